@@ -70,3 +70,35 @@ def strings(column: pa.Array) -> list[str]:
 def single_thread() -> None:
     """A task owns one core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
+def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
+    """At most about `bound` rows (1.2 times), chosen by the hash of the key; the same rows on each run."""
+    n = df.count()
+    if n <= bound:
+        return df
+    share = int(1_000_000 * bound / n)
+    return df.where(F.pmod(F.xxhash64(F.col(quoted(key))), F.lit(1_000_000)) < share)
+
+
+def logistic(x, y, weight, ridge: float = 1e-2):
+    """Weights of a logistic regression over standardized columns, the last for the constant; by Newton steps."""
+    import numpy as np
+
+    mean, dev = x.mean(0), x.std(0) + 1e-9
+    a = np.c_[(x - mean) / dev, np.ones(len(x))]
+    w = np.zeros(a.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        h = (a * (weight * (p * (1 - p) + 1e-6))[:, None]).T @ a + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, a.T @ (weight * (y - p)) - ridge * w)
+        w = w + np.clip(step, -5, 5)
+    return mean, dev, w
+
+
+def predict(model, x):
+    """Probabilities of logistic()'s model."""
+    import numpy as np
+
+    mean, dev, w = model
+    return 1 / (1 + np.exp(-np.clip(np.c_[(x - mean) / dev, np.ones(len(x))] @ w, -30, 30)))
