@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import functools
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -91,41 +90,39 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, words: int = 10
     Without rows of both labels the model scores every text by the share of toxic rows (or 0 without rows).
     """
     y = np.asarray(toxic, float)
-    counts = [Counter(), Counter()]
-    split = [windows(t) for t in texts]
-    for ws, label in zip(split, y, strict=True):
-        counts[int(label)].update(set(ws))
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     if not n1 or not n0:
         return ToxicityModel(b"", b"", -1, 1, (np.zeros(5), np.ones(5), np.array([0, 0, 0, 0, 0, 6.0 if n1 else -6.0])))
-    chosen = []
-    for w, k in counts[1].items():
-        m = counts[0][w]
-        if k < 3 or len(w) < 3:
-            continue
-        often, seldom = (k + 0.5) / (n1 + 1), (m + 0.5) / (n0 + 1)
-        excess = (k / n1 - m / n0) / ((k + m + 1) / (n1 + n0) / n1) ** 0.5
-        if excess > 4 and often > 8 * seldom:
-            chosen.append((k * np.log(often / seldom), w))
+    names: dict[str, int] = {}
+    split = [np.array([names.setdefault(w, len(names)) for w in windows(t)], np.int32) for t in texts]
+    counts = np.zeros((2, len(names)), np.int32)
+    for ids, label in zip(split, y, strict=True):
+        counts[int(label), np.unique(ids)] += 1
+    words_by = list(names)
+    k, m = counts[1].astype(float), counts[0].astype(float)
+    often, seldom = (k + 0.5) / (n1 + 1), (m + 0.5) / (n0 + 1)
+    excess = (k / n1 - m / n0) / ((k + m + 1) / (n1 + n0) / n1) ** 0.5
+    able = np.flatnonzero((k >= 3) & (excess > 4) & (often > 8 * seldom))
+    chosen = [(k[i] * np.log(often[i] / seldom[i]), words_by[i]) for i in able if len(words_by[i]) >= 3]
     chosen = [w for _, w in sorted(chosen, reverse=True)[:words]]
-    common = [w for w, _ in sorted(counts[0].items(), key=lambda x: (-x[1], x[0]))[: ordinary_bytes // 4] if w not in set(chosen)]
+    taken = set(chosen)
+    frequent = np.argsort(-counts[0], kind="stable")[: ordinary_bytes // 4 + len(taken)]
+    common = [words_by[i] for i in frequent if counts[0, i] and words_by[i] not in taken]
     t = stretched(" " + " ".join(reversed(chosen)) + " ")
     o = stretched((" " + " ".join(common))[:ordinary_bytes] + " ")
-    lengths, known = Lengths(o, t), {}
-
-    def both(w: str) -> tuple[int, int]:
-        if w not in known:
-            window = stretched(f" {w} ")
-            n = lengths.toxic(window)
-            known[w] = (n, lengths.ordinary(window) - n if n <= 24 else 0)
-        return known[w]
-
-    pairs = [np.array([both(w) for w in ws] or [(99, 0)]) for ws in split]
-    n = np.array([len(ws) for ws in split])
+    lengths = Lengths(o, t)
+    toxic_length, saved = np.full(len(words_by), 99), np.zeros(len(words_by), int)
+    for i, w in enumerate(words_by):
+        window = stretched(f" {w} ")
+        toxic_length[i] = lengths.toxic(window)
+        if toxic_length[i] <= 24:
+            saved[i] = lengths.ordinary(window) - toxic_length[i]
+    n = np.array([len(ids) for ids in split])
     best = None
     for most in range(12, 21):
         for gain in (2, 4):
-            hits = np.array([((p[:, 0] <= most) & (p[:, 1] >= gain)).sum() for p in pairs])
+            speaks = (toxic_length <= most) & (saved >= gain)
+            hits = np.array([speaks[ids].sum() for ids in split])
             x = _features(hits, n)
             curve = logistic(x, y, weight)
             p = np.clip(predict(curve, x), 1e-4, 1 - 1e-4)
@@ -150,7 +147,7 @@ def _score(texts: list[str], model: ToxicityModel) -> np.ndarray:
     return predict(model.curve, _features(np.array(hits), np.array(n))) if texts else np.zeros(0)
 
 
-def train(df: DataFrame, labels: DataFrame, rows: int = 6000, row_bytes: int = 200_000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
+def train(df: DataFrame, labels: DataFrame, rows: int = 2500, row_bytes: int = 200_000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
     """Fit on at most about `rows` labelled rows of each label whose crc32(key as text) mod 3 is not 1 and whose text
     has at most row_bytes bytes: a bounded sample, chosen by hash, collected to the driver. Keys with labels of both
     kinds, null labels and null texts are left out."""
