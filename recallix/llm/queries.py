@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, packing, quality, tokens, toxicity
+from . import bpe, embeddings, jaccard, packing, quality, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, labels)).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_bpe_codec, op4_best_fit_packing, op5_quality_rules, op6_toxicity)}
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_bpe_codec, op4_best_fit_packing, op5_quality_rules, op6_toxicity, op7_embedding_near_dedup)}
 
 ORACLES: dict[str, str] = {}
