@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, jaccard, packing, quality, tokens, toxicity
+from . import bpe, embeddings, jaccard, licenses, packing, quality, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,25 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_bpe_codec, op4_best_fit_packing, op5_quality_rules, op6_toxicity, op7_embedding_near_dedup)}
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, index = warc.write_warc(_table(spark, sf_dir, "pages"))
+    return warc.read_warc(folder, index, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_bpe_codec, op4_best_fit_packing, op5_quality_rules, op6_toxicity, op7_embedding_near_dedup, op8_license_scan, op10_warc)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS n, sha256(h) AS s FROM p),
+f AS (SELECT page_id, n, s, min(page_id) OVER (PARTITION BY s) AS first FROM d)
+SELECT page_id, n AS payload_bytes, s AS payload_digest,
+       CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
+FROM f""",
+}
