@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, jaccard, licenses, packing, quality, tokens, toxicity, warc
+from . import bpe, embeddings, jaccard, licenses, packing, quality, secret_scan, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,12 +54,17 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_scan.scan_secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, index = warc.write_warc(_table(spark, sf_dir, "pages"))
     return warc.read_warc(folder, index, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_bpe_codec, op4_best_fit_packing, op5_quality_rules, op6_toxicity, op7_embedding_near_dedup, op8_license_scan, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_bpe_codec, op4_best_fit_packing, op5_quality_rules, op6_toxicity, op7_embedding_near_dedup, op8_license_scan, op9_secret_scan, op10_warc)}
 
 ORACLES: dict[str, str] = {
     "op10_warc": """
