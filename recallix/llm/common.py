@@ -31,10 +31,26 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and go on from there; it survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Rows and bytes of one file of an intermediate table, at least.
+FILE_ROWS, FILE_BYTES = 100_000, 16 << 20
+
+
+def file_count(spark: SparkSession, rows: int | None = None, size: int | None = None) -> int:
+    """Files for an intermediate table of about so many rows or bytes: in proportion, and a few for each core."""
+    cores = spark.sparkContext.defaultParallelism
+    return max(cores, -(-rows // FILE_ROWS)) if rows is not None else max(4 * cores, -(-(size or 0) // FILE_BYTES))
+
+
+def cut_lineage(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and go on from there; it survives lost executors.
+
+    rows: about how many there are at most, if known; else the plan's estimate in bytes counts. Either keeps small
+    tables from being written as one file per shuffle partition; large ones keep their partitions.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    size = None if rows is not None else int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.coalesce(min(1_000_000, file_count(spark, rows, size))).checkpoint(eager=True)
 
 
 def short_batches(spark: SparkSession) -> None:

@@ -8,21 +8,22 @@ from pyspark.sql import functions as F
 from .common import cut_lineage
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
     """(id, label) of every id in a link; label is the smallest id that links reach.
 
     Each round takes the smallest label among neighbours and then the label's own label; the number of rounds follows
     the logarithm of a component's width. Each round's state is written to the shared folder. Self-links give their
-    id alone; null ends are dropped.
+    id alone; null ends are dropped. rows: about how many links there are at most, if known.
     """
     one = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    both = cut_lineage(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    state = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")))
+    both = cut_lineage(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), 2 * rows if rows is not None else None)
+    n = both.count()
+    state = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), n)
     while True:
         near = both.join(state, both["b"] == state["id"]).groupBy("a").agg(F.min("label").alias("m"))
         down = state.join(near, state["id"] == near["a"]).select("id", F.col("label").alias("was"), F.least("label", "m").alias("label"))
         to = state.select(F.col("id").alias("_at"), F.col("label").alias("_to"))
-        new = cut_lineage(down.join(to, down["label"] == to["_at"]).select("id", "was", F.least("label", "_to").alias("label")))
+        new = cut_lineage(down.join(to, down["label"] == to["_at"]).select("id", "was", F.least("label", "_to").alias("label")), n)
         changed = new.where("label < was").limit(1).count()
         state = new.select("id", "label")
         if not changed:

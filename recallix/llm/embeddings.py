@@ -132,6 +132,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     good = F.col("id").isNotNull() & F.col("label").isNotNull() & usable("v")
     rows = rows.withColumn("node", F.when(good, F.xxhash64("label", "v")))
     rows = cut_lineage(rows.withColumn("v", F.when(good, F.col("v"))))
+    n = rows.count()
     # equal vectors are one node, named by its 64-bit hash
     classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
 
@@ -147,7 +148,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
             yield pa.StructArray.from_arrays([pa.array(xs, pa.binary()), pa.array(out, pa.list_(pa.int64()))], ["x", "filters"])
 
     nodes = classes.withColumn("_c", caps_of.asNondeterministic()(F.col("v"))).select("node", "rep", "copies", "label", F.col("_c.x").alias("x"), F.col("_c.filters").alias("filters"))
-    nodes = cut_lineage(nodes)
+    nodes = cut_lineage(nodes, n)
     at = nodes.select("node", "label", F.octet_length("x").alias("wide"), F.explode("filters").alias("f"))
     keys = ["label", "wide", "f"]
     size = at.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select(*keys, F.ceil(F.col("_m") / caps.block).cast("int").alias("_nb"))
@@ -187,8 +188,8 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
         if out := done():
             yield out
 
-    found = cut_lineage(ordered.mapInArrow(work, "a bigint, b bigint, n bigint"))
-    groups = components(found.where("b IS NOT NULL").select("a", "b"))
+    found = cut_lineage(ordered.mapInArrow(work, "a bigint, b bigint, n bigint"), n)
+    groups = components(found.where("b IS NOT NULL").select("a", "b"), rows=n)
     links = found.where("n IS NOT NULL").groupBy("a").agg(F.sum("n").alias("_links"))
     own = nodes.select("node", "rep", "copies").join(groups, F.col("node") == F.col("id"), "left").select("node", "rep", "copies", F.coalesce("label", "node").alias("label"))
     least = own.groupBy("label").agg(F.min("rep").alias("component_id"))

@@ -17,7 +17,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +44,7 @@ _NAMES: dict[str, int] = {}
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
-    if len(_NAMES) > 400_000:
+    if len(_NAMES) > 150_000:
         _NAMES.clear()
     known = _NAMES
     for w in set(words).difference(known):
@@ -115,7 +114,7 @@ def signatures(df: DataFrame, key: str, text: str, forest: Forest) -> DataFrame:
     return r.select("id", F.col("_r.node").alias("node"), F.col("_r.n").alias("n"), F.col("_r.sig").alias("sig"))
 
 
-def trie_neighbours(classes: DataFrame, forest: Forest) -> DataFrame:
+def trie_neighbours(classes: DataFrame, forest: Forest, n: int) -> DataFrame:
     """(a, b, shared): neighbours in the sorted tries and the length of the prefix that they share, floor at least."""
     wide = 2 * forest.depth
     # node last in the sort: equal prefixes may lie over several tasks
@@ -123,14 +122,14 @@ def trie_neighbours(classes: DataFrame, forest: Forest) -> DataFrame:
     rows = classes.select("node", F.explode(trees).alias("_t")).select(F.col("_t.tree").cast("int").alias("tree"), F.col("_t.part").alias("part"), "node")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "tree", "part", "node").sortWithinPartitions("tree", "part", "node")
-    schema = "task int, end int, tree int, part binary, a bigint, b bigint, shared int"
+    schema = "end int, tree int, part binary, a bigint, b bigint, shared int"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, last, first = TaskContext.get().partitionId(), None, True
+        last, first = None, True
 
         def out(end, tree, part, a, b, shared):
             n = len(a)
-            return pa.RecordBatch.from_arrays([pa.array([task] * n, pa.int32()), pa.array([end] * n, pa.int32()), pa.array(tree, pa.int32()), pa.array(part, pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(shared, pa.int32())], ["task", "end", "tree", "part", "a", "b", "shared"])
+            return pa.RecordBatch.from_arrays([pa.array([end] * n, pa.int32()), pa.array(tree, pa.int32()), pa.array(part, pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(shared, pa.int32())], ["end", "tree", "part", "a", "b", "shared"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -151,9 +150,9 @@ def trie_neighbours(classes: DataFrame, forest: Forest) -> DataFrame:
         if last:
             yield out(1, [last[0]], [last[1]], [last[2]], [None], [None])
 
-    found = cut_lineage(ordered.mapInArrow(scan, schema))
-    # what meets where one task ends and the next begins: two rows a task
-    ends = found.where("end IS NOT NULL").withColumn("_next", F.lead(F.struct("tree", "part", "a")).over(Window.orderBy("task", "end"))).where("end = 1")
+    found = cut_lineage(ordered.mapInArrow(scan, schema), n)
+    # what meets where one range ends and the next begins: two rows a range, themselves in the tries' order
+    ends = found.where("end IS NOT NULL").withColumn("_next", F.lead(F.struct("tree", "part", "a")).over(Window.orderBy("tree", "part", "a", "end")))
     # positions in bytes of two: equal values up to the first that differs
     equal = [F.substring("part", 1, 2 * d) == F.substring(F.col("_next.part"), 1, 2 * d) for d in range(1, forest.depth + 1)]
     shared = sum((F.when(e, 1).otherwise(0) for e in equal[1:]), F.when(equal[0], 1).otherwise(0))
@@ -224,7 +223,7 @@ def _verify(node: np.ndarray, side: np.ndarray, copies: np.ndarray, sets: list[n
     return links, edges, len(a), float((1 / np.maximum(p, 1e-3)).sum())
 
 
-def verified(df: DataFrame, key: str, text: str, members: DataFrame, d: int, forest: Forest) -> DataFrame:
+def verified(df: DataFrame, key: str, text: str, members: DataFrame, d: int, forest: Forest, n: int) -> DataFrame:
     """Exact links inside the candidate components: rows (kind, a, b, value) of links ('n'), edges ('e') and sums."""
     spark = df.sparkSession
     short_batches(spark)
@@ -276,7 +275,7 @@ def verified(df: DataFrame, key: str, text: str, members: DataFrame, d: int, for
             yield out
         yield pa.RecordBatch.from_arrays([pa.array(["p", "w"]), pa.array([None, None], pa.int64()), pa.array([None, None], pa.int64()), pa.array([float(pairs), weight])], ["kind", "a", "b", "value"])
 
-    return cut_lineage(ordered.mapInArrow(work, "kind string, a bigint, b bigint, value double"))
+    return cut_lineage(ordered.mapInArrow(work, "kind string, a bigint, b bigint, value double"), n)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", forest: Forest = Forest()) -> DataFrame:
@@ -290,20 +289,21 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", fore
     an empty one; further columns are left out.
     """
     docs = cut_lineage(signatures(df, key, text, forest))
+    n = docs.count()
     some = docs.where("node IS NOT NULL AND id IS NOT NULL")
-    classes = cut_lineage(some.groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")))
-    near = cut_lineage(trie_neighbours(classes, forest))
+    classes = cut_lineage(some.groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), n)
+    near = trie_neighbours(classes, forest, n)
     d = forest.start
     while True:
-        labels = components(near.where(F.col("shared") >= d).select("a", "b"))
+        labels = components(near.where(F.col("shared") >= d).select("a", "b"), rows=n)
         members = classes.drop("sig").join(labels, classes["node"] == labels["id"]).select("node", "rep", "copies", "n", "label")
-        found = verified(df, key, text, members, d, forest)
+        found = verified(df, key, text, members, d, forest, n)
         sums = {r["kind"]: r["s"] for r in found.where("kind IN ('p', 'w')").groupBy("kind").agg(F.sum("value").alias("s")).collect()}
         pairs, weight = sums.get("p") or 0.0, sums.get("w") or 0.0
         if d <= forest.floor or pairs >= forest.recall * weight:
             break
         d -= 1
-    groups = components(found.where("kind = 'e'").select("a", "b"))
+    groups = components(found.where("kind = 'e'").select("a", "b"), rows=n)
     links = found.where("kind = 'n'").groupBy("a").agg(F.sum("value").cast("bigint").alias("_links"))
     own = classes.select("node", "rep", "copies").join(groups, classes["node"] == groups["id"], "left").select("node", "rep", "copies", F.coalesce("label", "node").alias("label"))
     least = own.groupBy("label").agg(F.min("rep").alias("class_id"))
@@ -314,6 +314,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", fore
 
 
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", forest: Forest = Forest()) -> DataFrame:
-    """df's rows, one document of each group of near duplicates (that with the smallest key); columns stay."""
+    """df's rows, one document of each group of near duplicates (that with the smallest key); columns stay. Of rows
+    with one key and one text, one stays."""
     gone = near_duplicates(df, key, text, forest).where("NOT kept").select(F.col(key).alias(free_name(df, "k"))).distinct()
-    return df.join(gone, df[key] == gone[gone.columns[0]], "left_anti")
+    left = df.join(gone, df[key] == gone[gone.columns[0]], "left_anti")
+    again = df.groupBy(key, F.xxhash64(text)).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").limit(1).count()
+    return left.dropDuplicates([key, text]) if again else left

@@ -131,7 +131,6 @@ def pack(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc
     blocks = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     own = pieces.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)))
     counts = own.groupBy("length", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    counts = cut_lineage(counts)
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most capacity rows
     if any(k is None or not 1 <= k <= capacity for k in histogram):
         raise ValueError(f"lengths must be between 1 and {capacity}")

@@ -36,7 +36,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
-    out = quality.quality(docs, labels, lean=True)
+    out = quality.quality(docs, labels)
     return out.select("doc_id", *quality.COUNTS, "base_failed", "kept", "path_length")
 
 

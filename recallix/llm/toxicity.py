@@ -135,7 +135,7 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, words: int = 10
 @functools.lru_cache(maxsize=2)
 def _table(toxic: bytes, ordinary: bytes, most: int, gain: int) -> PieceTable:
     one = _speaks(ToxicityModel(toxic, ordinary, most, gain, ()))
-    return PieceTable(lambda batch: [one(w) for w in batch], limit=500_000)
+    return PieceTable(lambda batch: [one(w) for w in batch], limit=200_000)
 
 
 def _score(texts: list[str], model: ToxicityModel) -> np.ndarray:

@@ -20,10 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, quoted, short_batches
+from .common import file_count, fresh_dir, quoted, short_batches
 
-#: Bytes after which a task opens its next file; the most that one read spans, and the gap that it may bridge.
-FILE_BYTES, READ_BYTES, GAP_BYTES = 256 << 20, 8 << 20, 64 << 10
+#: Bytes after which a task opens its next file; the most that one read spans, the gap that it may bridge, and
+#: the bytes that a task reads.
+FILE_BYTES, READ_BYTES, GAP_BYTES, TASK_BYTES = 256 << 20, 8 << 20, 64 << 10, 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -133,7 +134,8 @@ def write_warc(pages: DataFrame, folder: str | None = None, **names) -> tuple[st
                 out.close()
 
     rows = planned(pages, **names).select("page_id", "url", "payload", "digest", "refers_to")
-    rows.mapInArrow(write, INDEX).write.parquet(f"{folder}/index")
+    size = int(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    rows.mapInArrow(write, INDEX).coalesce(file_count(spark, size=size)).write.parquet(f"{folder}/index")
     return folder, spark.read.parquet(f"{folder}/index")
 
 
@@ -148,7 +150,8 @@ def _kinds(schema: str) -> list[pa.DataType]:
 def read_warc(folder: str, index: DataFrame, payload: bool = True) -> DataFrame:
     """The records of the index rows given, read from the archives by coalesced byte ranges in the order of places."""
     spark = index.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = index.agg(F.sum("length").alias("s")).first()["s"] or 0
+    parts = max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
     ordered = index.select("file", "offset", "length").repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,4 +185,4 @@ def read_warc(folder: str, index: DataFrame, payload: bool = True) -> DataFrame:
         if source:
             source.close()
 
-    return ordered.mapInArrow(read, RECORD)
+    return ordered.mapInArrow(read, RECORD).coalesce(parts)
