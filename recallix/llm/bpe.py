@@ -166,18 +166,45 @@ class TreeEncoder:
         return [i for mapped, _ in self.t.pre_tokenizer.pre_tokenize_str(text) for i in self.stretch(mapped)] if text else []
 
 
-def encode_pieces(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """Ids of byte-level pieces; long ones by tree concatenation."""
+def byte_alphabet() -> dict[int, str]:
+    """The characters that byte-level models write bytes as: printable Latin-1 ones as themselves, the others in order
+    from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_ALPHABET = byte_alphabet()
+_PLAIN = re.compile(rf" ?[{_LETTER}]+")
+
+
+def encode_pieces(path: str, fold: bool = False) -> Callable[[list[str]], list[list[int]]]:
+    """Ids of pieces. Runs of letters are one pre-token that nothing normalizes but case (fold), so that the model can
+    take them at once; a long piece of byte-level BPE goes by tree concatenation; all others through the tokenizer."""
     t, tree = tokenizer(path), []
+    tokenize, plain = t.model.tokenize, _PLAIN.fullmatch
+
+    def one(piece: str) -> list[int]:
+        x = piece.lower() if fold else piece
+        mapped = x.encode().decode("latin-1").translate(_ALPHABET)
+        return [token.id for token in tokenize(mapped)]
 
     def code(batch: list[str]) -> list[list[int]]:
-        if len(batch) == 1 and len(batch[0]) > LONG:
-            if not tree:
-                tree.append(TreeEncoder(t))
-            return [tree[0].encode(batch[0])]
-        if any(len(p) > LONG for p in batch):
-            return [code([p])[0] for p in batch]
-        return [e.ids for e in t.encode_batch_fast(batch, add_special_tokens=False)]
+        out, rest = [], []
+        for p in batch:
+            if len(p) > LONG and not fold:
+                if not tree:
+                    tree.append(TreeEncoder(t))
+                out.append(tree[0].encode(p))
+            elif plain(p):
+                out.append(one(p))
+            else:
+                rest.append(len(out))
+                out.append(p)
+        if rest:
+            for i, e in zip(rest, t.encode_batch_fast([out[i] for i in rest], add_special_tokens=False), strict=True):
+                out[i] = e.ids
+        return out
 
     return code
 

@@ -9,7 +9,7 @@ holds it. Pieces then find their places by their rank within their length, which
 from __future__ import annotations
 
 import functools
-import zlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import WORD_PIECE, PieceTable, independent, slices, tokenizer
+from .bpe import WORD_PIECE, PieceTable, encode_pieces, independent, slices
 from .common import cut_lineage, short_batches, strings
 
 
 @functools.lru_cache(maxsize=2)
 def _ids(path: str) -> PieceTable:
-    t = tokenizer(path)
-    return PieceTable(lambda batch: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(batch, add_special_tokens=False)])
+    encode = encode_pieces(path, fold=True)
+    return PieceTable(lambda batch: [struct.pack(f"<{len(ids)}I", *ids) for ids in encode(batch)])
 
 
 def text_ids(text: str, path: str) -> bytes:
@@ -161,7 +161,3 @@ def sequences(packed: DataFrame) -> DataFrame:
     joined = packed.groupBy("sequence_id").agg(parts.alias("_parts"))
     ids = F.aggregate("_parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
     return joined.select("sequence_id", F.size("_parts").alias("n_pieces"), ids.alias("ids"))
-
-
-def crc(ids: bytes) -> int:
-    return zlib.crc32(ids)

@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PieceTable, independent, slices, tokenizer
+from .bpe import PieceTable, encode_pieces, independent, slices
 from .common import short_batches, strings, with_struct
 
 
 @functools.lru_cache(maxsize=2)
 def _lengths(path: str) -> PieceTable:
-    t = tokenizer(path)
-    return PieceTable(lambda batch: [len(e) for e in t.encode_batch_fast(batch, add_special_tokens=False)])
+    encode = encode_pieces(path)
+    return PieceTable(lambda batch: [len(ids) for ids in encode(batch)])
 
 
 def n_tokens(text: str, path: str) -> int:
