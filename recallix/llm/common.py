@@ -49,7 +49,7 @@ def cut_lineage(df: DataFrame, rows: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     shared_dir(spark)
-    size = None if rows is not None else int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = None if rows is not None else int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.coalesce(min(1_000_000, file_count(spark, rows, size))).checkpoint(eager=True)
 
 

@@ -134,7 +134,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, **names) -> tuple[st
                 out.close()
 
     rows = planned(pages, **names).select("page_id", "url", "payload", "digest", "refers_to")
-    size = int(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     rows.mapInArrow(write, INDEX).coalesce(file_count(spark, size=size)).write.parquet(f"{folder}/index")
     return folder, spark.read.parquet(f"{folder}/index")
 
