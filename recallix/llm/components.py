@@ -1,4 +1,4 @@
-"""Connected components of links between long ids, by joins alone."""
+"""Connected components of links between long ids, by contraction."""
 
 from __future__ import annotations
 
@@ -9,22 +9,35 @@ from .common import cut_lineage
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
-    """(id, label) of every id in a link; label is the smallest id that links reach.
+    """(id, label) of every id in a link; ids have one label if links connect them. name_of(id) names it otherwise.
 
-    Each round takes the smallest label among neighbours and then the label's own label; the number of rounds follows
-    the logarithm of a component's width. Each round's state is written to the shared folder. Self-links give their
-    id alone; null ends are dropped. rows: about how many links there are at most, if known.
+    Each round moves every id to its neighbour of the smallest hash, if that is smaller than its own, and goes on with
+    the links between the places moved to. Hashes make the order random, so that paths in order of their ids shrink by
+    a constant factor too; the links left fall with each round, and so does the work. Each round is written to the
+    shared folder. Self-links and null ends are dropped. rows: about how many links there are at most, if known.
     """
-    one = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    both = cut_lineage(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), 2 * rows if rows is not None else None)
-    n = both.count()
-    state = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), n)
-    while True:
-        near = both.join(state, both["b"] == state["id"]).groupBy("a").agg(F.min("label").alias("m"))
-        down = state.join(near, state["id"] == near["a"]).select("id", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        to = state.select(F.col("id").alias("_at"), F.col("label").alias("_to"))
-        new = cut_lineage(down.join(to, down["label"] == to["_at"]).select("id", "was", F.least("label", "_to").alias("label")), n)
-        changed = new.where("label < was").limit(1).count()
-        state = new.select("id", "label")
-        if not changed:
-            return state
+    x, y = F.xxhash64(F.col(a)), F.xxhash64(F.col(b))
+    one = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    names = one.select(F.col(a).alias("id")).unionAll(one.select(F.col(b).alias("id"))).distinct()
+    edges = cut_lineage(one.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct(), rows)
+    moves = []
+    while n := edges.count():
+        ends = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        move = cut_lineage(ends.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("from"), F.least("a", "m").alias("to")), n)
+        moves.append(move)
+        left, right = move.select(F.col("from").alias("fa"), F.col("to").alias("ta")), move.select(F.col("from").alias("fb"), F.col("to").alias("tb"))
+        moved = edges.join(left, F.col("a") == F.col("fa")).join(right, F.col("b") == F.col("fb")).where("ta <> tb")
+        edges = cut_lineage(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), n)
+    if not moves:
+        return names.select("id", F.xxhash64("id").alias("label"))
+    label = moves[-1]
+    for move in reversed(moves[:-1]):
+        later = label.select(F.col("from").alias("at"), F.col("to").alias("end"))
+        label = move.join(later, F.col("to") == F.col("at"), "left").select("from", F.coalesce("end", "to").alias("to"))
+    label = cut_lineage(label, rows)
+    return names.join(label, F.xxhash64("id") == F.col("from")).select("id", F.col("to").alias("label"))
+
+
+def name_of(column: str) -> F.Column:
+    """The label of an id that has no link."""
+    return F.xxhash64(F.col(column))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, quoted, short_batches
-from .components import components
+from .components import components, name_of
 
 
 @dataclass(frozen=True)
@@ -191,7 +191,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     found = cut_lineage(ordered.mapInArrow(work, "a bigint, b bigint, n bigint"), n)
     groups = components(found.where("b IS NOT NULL").select("a", "b"), rows=n)
     links = found.where("n IS NOT NULL").groupBy("a").agg(F.sum("n").alias("_links"))
-    own = nodes.select("node", "rep", "copies").join(groups, F.col("node") == F.col("id"), "left").select("node", "rep", "copies", F.coalesce("label", "node").alias("label"))
+    own = nodes.select("node", "rep", "copies").join(groups, F.col("node") == F.col("id"), "left").select("node", "rep", "copies", F.coalesce(F.col("label"), name_of("node")).alias("label"))
     least = own.groupBy("label").agg(F.min("rep").alias("component_id"))
     table = own.join(least, "label").join(links, F.col("node") == F.col("a"), "left")
     table = table.select(F.col("node").alias("_node"), "component_id", (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))

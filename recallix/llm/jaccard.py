@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, free_name, quoted, short_batches, strings
-from .components import components
+from .components import components, name_of
 
 
 @dataclass(frozen=True)
@@ -305,7 +305,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", fore
         d -= 1
     groups = components(found.where("kind = 'e'").select("a", "b"), rows=n)
     links = found.where("kind = 'n'").groupBy("a").agg(F.sum("value").cast("bigint").alias("_links"))
-    own = classes.select("node", "rep", "copies").join(groups, classes["node"] == groups["id"], "left").select("node", "rep", "copies", F.coalesce("label", "node").alias("label"))
+    own = classes.select("node", "rep", "copies").join(groups, classes["node"] == groups["id"], "left").select("node", "rep", "copies", F.coalesce(F.col("label"), name_of("node")).alias("label"))
     least = own.groupBy("label").agg(F.min("rep").alias("class_id"))
     table = own.join(least, "label").join(links, own["node"] == links["a"], "left").select("node", "class_id", (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = docs.select("id", F.when(F.col("id").isNotNull(), F.col("node")).alias("node")).join(table, "node", "left")
