@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..config import DYNAMICS
 from ..functions.dynamics import clamped, coactivated
+from ..storage import shared_dir
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Cut a loop's lineage through the shared checkpoint folder, where one is set."""
-    sc = df.sparkSession.sparkContext
-    return df.checkpoint(eager=True) if sc.getCheckpointDir() else df.cache()
+    """Cut a loop's lineage through the shared checkpoint folder."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def expand(seeds: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..config import DAY_MS, DECAY_LAMBDA, FUSION, RELATION, RESONANCE, SECTORS
 from ..functions import compression, dynamics, embedding, passages, text, vectors
-from ..operators import analytics, facts, graph, memory, scope, search, sets
+from ..operators import analytics, facts, graph, ingest, memory, retrieval, scope, search, sets
+from ..sources import files, html
+from ..streaming import windows
 from . import derive, sqltext
 from .derive import CUES_SQL, EDGES_SQL, FACTS_SQL, GRAPH_SQL, MEMORIES_SQL, NOW_MS, VECTORS_SQL
 
@@ -619,3 +621,123 @@ def synthetic_embedding(spark, d):
 def fingerprint_vector(spark, d):
     m = derive.memories(spark, d)
     return m.select("id", embedding.fingerprint(F.concat_ws("|", F.col("id").cast("string"), "content")).alias("v"))
+
+
+# ingestion
+
+
+@query(None)
+def ingest_root_child(spark, d):
+    rows = derive.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.lit("txt").alias("kind"))
+    return ingest.ingest(rows, large=1500).select("id", "parent_id", "number", "strategy", F.length("content").alias("length"), F.md5("content").alias("key"))
+
+
+@query(None)
+def html_to_text(spark, d):
+    return derive.table(spark, d, "pages").select("page_id", html.text_of(F.col("html")).alias("text"))
+
+
+@query(None)
+def html_links(spark, d):
+    return derive.table(spark, d, "pages").select("page_id", F.explode(html.links_of(F.col("html"), F.col("url"))).alias("link"))
+
+
+@query(None)
+def extract_items(spark, d):
+    p = derive.table(spark, d, "pages")
+    rows = p.select("page_id", F.when(F.col("page_id") % 3 == 0, "html").when(F.col("page_id") % 3 == 1, "md").otherwise("pdf").alias("type"), F.col("html").alias("text"))
+    return files.extracted(rows).select("page_id", "type", "content", "error")
+
+
+# retrieval
+
+
+def _batch(spark, d):
+    """Each benchmark item asks; its vectors are those of the embeddings of the same number, one per sector."""
+    q = derive.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    v = derive.vectors(spark, d)
+    return q, v.join(q.select(F.col("query_id").alias("id")), "id").select(F.col("id").alias("query_id"), "sector", "v"), v
+
+
+@query(None)
+def retrieve_hybrid(spark, d):
+    q, qv, v = _batch(spark, d)
+    r = retrieval.retrieve(q, qv, derive.memories(spark, d), v, NOW_MS, 8, project="src2")
+    return r.select("query_id", "id", "rank", *[_r(F.col(c)).alias(c) for c in ("score", "z", "salience")])
+
+
+@query(None)
+def retrieve_expanded(spark, d):
+    """As above, with what the graph reaches from each query's seeds within two hops."""
+    q, qv, v = _batch(spark, d)
+    seeds = retrieval.candidates(qv, v, 8).select("query_id", "id").distinct()
+    e = derive.graph_edges(spark, d).select("src", "dst", F.least(F.col("weight"), F.lit(1.0)).alias("e"))
+    one = seeds.join(e, seeds["id"] == e["src"]).select("query_id", F.col("dst").alias("id"), (F.col("e") * 0.8).alias("weight")).where("weight >= 0.1")
+    w = one.groupBy("query_id", "id").agg(F.max("weight").alias("weight"))
+    r = retrieval.retrieve(q, qv, derive.memories(spark, d), v, NOW_MS, 8, waypoints=w)
+    return r.select("query_id", "id", "rank", _r(F.col("score")).alias("score"))
+
+
+@query(None)
+def retrieve_feedback(spark, d):
+    q, qv, v = _batch(spark, d)
+    m = derive.memories(spark, d).withColumn("feedback_score", F.lit(0.0))
+    r = retrieval.retrieve(q, qv, m, v, NOW_MS, 8)
+    return retrieval.feedback(m, r, NOW_MS).select("id", _r(F.col("salience")).alias("salience"), _r(F.col("feedback_score")).alias("feedback_score"))
+
+
+@query(None)
+def unified_query(spark, d):
+    q, qv, v = _batch(spark, d)
+    r = retrieval.retrieve(q, qv, derive.memories(spark, d), v, NOW_MS, 8, keywords=False)
+    return retrieval.unified(r, facts.current(derive.facts(spark, d)))
+
+
+# writes
+
+
+@query("SELECT id, CAST(max(n) AS INTEGER) AS version, round(arg_max(salience, n), 6) AS salience FROM (SELECT id, 1 AS n, salience FROM memories UNION ALL SELECT id, 2, salience / 2 FROM memories WHERE id % 3 = 0 UNION ALL SELECT id + 1000000, 2, salience FROM memories WHERE id % 7 = 0) GROUP BY id", ctes=MEMORIES_SQL)
+def upsert_memories(spark, d):
+    m = derive.memories(spark, d).select("id", "salience").withColumn("version", F.lit(1))
+    new = m.where("id % 3 = 0").select("id", (F.col("salience") / 2).alias("salience"), F.lit(2).alias("version"))
+    more = m.where("id % 7 = 0").select((F.col("id") + 1_000_000).alias("id"), "salience", F.lit(2).alias("version"))
+    return memory.upsert(m, new.unionByName(more), ("id",), "version").select("id", "version", _r(F.col("salience")).alias("salience"))
+
+
+@query("SELECT (SELECT count(*) FROM memories WHERE salience >= 0.2) AS memories, (SELECT count(*) FROM vectors v WHERE v.id NOT IN (SELECT id FROM memories WHERE salience < 0.2)) AS vectors, (SELECT count(*) FROM graph WHERE src NOT IN (SELECT id FROM memories WHERE salience < 0.2) AND dst NOT IN (SELECT id FROM memories WHERE salience < 0.2)) AS edges", ctes=f"{MEMORIES_SQL}, {VECTORS_SQL}, {GRAPH_SQL}")
+def cascade_delete(spark, d):
+    m = derive.memories(spark, d)
+    a, b, c = memory.cascade_delete(m.where("salience < 0.2"), m, derive.vectors(spark, d), derive.graph_edges(spark, d))
+    n = lambda x, name: x.agg(F.count(F.lit(1)).alias(name))
+    return n(a, "memories").crossJoin(n(b, "vectors")).crossJoin(n(c, "edges"))  # single rows
+
+
+@query("SELECT id, round(least(1, salience + CASE WHEN id % 5 = 0 THEN 0.1 ELSE 0 END), 6) AS salience FROM memories", ctes=MEMORIES_SQL)
+def reinforce(spark, d):
+    m = derive.memories(spark, d)
+    return memory.reinforced(m, m.where("id % 5 = 0")).select("id", _r(F.col("salience")).alias("salience"))
+
+
+# streams, run over all that is there
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_tumbling(spark, d):
+    return windows.drained(windows.tumbling(windows.opened(spark, d, "events"), "1 hour"), "complete")
+
+
+@query("SELECT b + INTERVAL (o) HOUR AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS b, event_type, value, unnest([0, -1]) AS o FROM events) GROUP BY 1, 2")
+def stream_sliding(spark, d):
+    return windows.drained(windows.sliding(windows.opened(spark, d, "events"), "2 hours", "1 hour"), "complete").withColumn("total", F.round("total", 4))
+
+
+@query("""SELECT min(ts) AS start, max(ts) + INTERVAL 4 HOUR AS "end", user_id, count(*) AS n FROM (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 4 HOUR AS gap FROM events)) GROUP BY user_id, s""")
+def stream_sessions(spark, d):
+    return windows.drained(windows.sessions(windows.opened(spark, d, "events"), "4 hours"), "complete")
+
+
+@query("SELECT subject, predicate, object, valid_from, valid_to FROM facts WHERE valid_to IS NOT NULL", ctes=FACTS_SQL)
+def stream_fact_closing(spark, d):
+    e = windows.opened(spark, d, "events")
+    rows = e.select(F.col("user_id").cast("string").alias("subject"), F.col("event_type").alias("predicate"), F.get_json_object("props", "$.k").alias("object"), F.unix_millis(F.col("ts").cast("timestamp")).alias("valid_from"))
+    return windows.drained(windows.closing_facts(rows))
