@@ -3,32 +3,17 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch: documents may be long, so batches are kept short.
-BATCH_ROWS = 256
-
+from ..storage import fresh_dir, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where none is configured."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="recallix-")
-        sc.setCheckpointDir(found)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found
+__all__ = ["fresh_dir", "shared_dir"]
 
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: Rows of one Arrow batch: documents may be long, so batches are kept short.
+BATCH_ROWS = 256
 
 
 #: Rows and bytes of one file of an intermediate table, at least.
