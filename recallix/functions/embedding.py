@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import EMBED_WEIGHT
-from .text import canonical_tokens
+from .text import canonical_list
 
 
 def _units(text: str) -> list[int]:
@@ -54,14 +54,15 @@ def simhash(text: Column) -> Column:
     """Hash of a text's distinct canonical tokens; without tokens, of the text itself. Null gives null."""
 
     @F.arrow_udf("string")
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for tokens, texts in batches:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
             out = []
-            for t, x in zip(tokens.to_pylist(), texts.to_pylist(), strict=True):
+            for x in texts.to_pylist():
+                t = canonical_list(x)
                 out.append(None if x is None else token_votes(t) if t else hashlib.blake2b(x.encode()).hexdigest()[:16])
             yield pa.array(out, pa.string())
 
-    return run.asNondeterministic()(canonical_tokens(text), text)
+    return run.asNondeterministic()(text)
 
 
 def synthetic(tokens: list[str], sector: str, dim: int) -> np.ndarray:
@@ -106,10 +107,10 @@ def synthetic_embedding(text: Column, sector: Column, dim: int = 256) -> Column:
 
     @F.arrow_udf("array<float>")
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for tokens, sectors in batches:
-            yield pa.array([synthetic(t or [], s or "semantic", dim) for t, s in zip(tokens.to_pylist(), sectors.to_pylist(), strict=True)], pa.list_(pa.float32()))
+        for texts, sectors in batches:
+            yield pa.array([synthetic(canonical_list(x), s or "semantic", dim) for x, s in zip(texts.to_pylist(), sectors.to_pylist(), strict=True)], pa.list_(pa.float32()))
 
-    return run.asNondeterministic()(canonical_tokens(text), sector)
+    return run.asNondeterministic()(text, sector)
 
 
 def fingerprint(text: Column, dim: int = 32) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -105,10 +106,18 @@ TEMPORAL = [
     ("w", r"what\s+(?:did|have)\s+(?:i|we)\s+(?:do|done)"),
 ]
 
+#: Endings and what they become, in the order of trial.
+_ENDINGS = [("ies$", "y"), ("ing$", ""), ("ers?$", "er"), ("ed$", ""), ("s$", "")]
+
 _LEFT, _RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 _CJK = r"㐀-䶿一-鿿豈-﫿぀-ヿ가-힯"
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def pattern(kind: str, body: str) -> str:
     """A Java pattern with ASCII word ends, whatever letters stand around."""
     if kind == "c":
@@ -135,7 +144,7 @@ def stem(t: Column) -> Column:
         return F.when(t.rlike(p) & (F.length(changed) >= 3), changed).otherwise(other)
 
     out = t
-    for p, to in reversed([("ies$", "y"), ("ing$", ""), ("ers?$", "er"), ("ed$", ""), ("s$", "")]):
+    for p, to in reversed(_ENDINGS):
         out = rule(p, to, out)
     return F.when(F.length(t) <= 3, t).otherwise(out)
 
@@ -150,6 +159,26 @@ def canonical_tokens(text: Column) -> Column:
     return F.filter(F.transform(tokens(text), canonical), lambda t: F.length(t) > 1)
 
 
+def canonical_list(text: str | None) -> list[str]:
+    """canonical_tokens() of one text in Python, for functions that run there anyway."""
+    out = []
+    for t in re.findall(rf"[a-z0-9]+|[{_CJK}]+", (text or "").lower()):
+        for x in [t] if len(t) < 2 or t[0] < "\x80" else [t[i : i + 2] for i in range(len(t) - 1)]:
+            if x not in HEAD:
+                x = _stemmed(x)
+            x = HEAD.get(x, x)
+            if len(x) > 1:
+                out.append(x)
+    return out
+
+
+def _stemmed(t: str) -> str:
+    for p, to in _ENDINGS if len(t) > 3 else ():
+        if re.search(p, t) and len(cut := re.sub(p, to, t)) >= 3:
+            return cut
+    return t
+
+
 def search_document(text: Column) -> Column:
     """Tokens with all their synonyms, in order, each once, joined by spaces."""
     groups = F.create_map(*[x for g in SYNONYMS for x in (F.lit(g[0]), F.array(*map(F.lit, g)))])
@@ -163,25 +192,30 @@ def fts_query(text: Column) -> Column:
 
 def token_overlap(query: Column, memory: Column) -> Column:
     """Share of the query's distinct tokens that the memory has; 0 for an empty query."""
-    q = F.array_distinct(query)
-    return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, memory)) / F.size(q))
+    return let(F.array_distinct(query), lambda q: F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, memory)) / F.size(q)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    both, any_ = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return F.when(any_ == 0, 0.0).otherwise(both / any_)
+    return let(F.struct(F.size(F.array_intersect(a, b)).alias("both"), F.size(F.array_union(a, b)).alias("any")), lambda n: F.when(n["any"] == 0, 0.0).otherwise(n["both"] / n["any"]))
 
 
 def keywords(text: Column, least: int = 3) -> Column:
     """Distinct canonical tokens of the least length with their character triples, and neighbours joined by _."""
-    t = canonical_tokens(text)
-    grams = F.flatten(F.transform(F.filter(t, lambda x: F.length(x) >= max(least, 1)), lambda x: F.concat(F.array(x), F.when(F.length(x) >= 3, F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: F.substring(x, i, F.lit(3)))).otherwise(F.array().cast("array<string>")))))
+    none = F.array().cast("array<string>")
+
+    def grams(x: Column) -> Column:
+        triples = F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: F.substring(x, i, F.lit(3)))
+        return F.concat(F.array(x), F.when(F.length(x) >= 3, triples).otherwise(none))
 
-    def runs(n: int) -> Column:
+    def runs(t: Column, n: int) -> Column:
         places = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
         return F.transform(places, lambda i: F.array_join(F.slice(t, i, n), "_"))
 
-    return F.array_distinct(F.concat(grams, F.filter(runs(2), lambda x: F.length(x) >= least), runs(3)))
+    def of(t: Column) -> Column:
+        single = F.flatten(F.transform(F.filter(t, lambda x: F.length(x) >= max(least, 1)), grams))
+        return F.array_distinct(F.concat(single, F.filter(runs(t, 2), lambda x: F.length(x) >= least), runs(t, 3)))
+
+    return let(canonical_tokens(text), of)
 
 
 def keyword_overlap(query: Column, content: Column) -> Column:
@@ -190,7 +224,10 @@ def keyword_overlap(query: Column, content: Column) -> Column:
     def weight(k: Column) -> Column:
         return F.size(k) + F.size(F.filter(k, lambda x: x.contains("_")))
 
-    return F.when(F.size(query) == 0, 0.0).otherwise(weight(F.array_intersect(query, content)) / weight(query))
+    def of(q: Column) -> Column:
+        return F.when(F.size(q) == 0, 0.0).otherwise(let(F.array_intersect(q, content), weight) / weight(q))
+
+    return let(query, of)
 
 
 def phrase_match(query: Column, content: Column) -> Column:
@@ -199,13 +236,16 @@ def phrase_match(query: Column, content: Column) -> Column:
 
 def bm25(query: Column, content: Column, corpus: int = 10_000, mean_length: float = 100.0, k1: float = 1.5, b: float = 0.75) -> Column:
     """Sum over the query's terms, repeated ones too; the term's weight falls with its own frequency in the content."""
-    n = F.size(content)
 
-    def term(q: Column) -> Column:
-        tf = F.size(F.filter(content, lambda c: c == q)).cast("double")
-        return F.when(tf > 0, F.log((corpus + 1) / (tf + 0.5)) * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * (n / mean_length)))).otherwise(0.0)
+    def of(c: Column) -> Column:
+        n = F.size(c)
+
+        def term(tf: Column) -> Column:
+            return F.when(tf > 0, F.log((corpus + 1) / (tf + 0.5)) * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * (n / mean_length)))).otherwise(0.0)
+
+        return F.aggregate(F.transform(query, lambda q: F.size(F.filter(c, lambda x: x == q)).cast("double")), F.lit(0.0), lambda a, tf: a + term(tf))
 
-    return F.aggregate(F.transform(query, term), F.lit(0.0), lambda a, x: a + x)
+    return let(content, of)
 
 
 def keyword_score(phrase: Column, overlap: Column, bm: Column) -> Column:

@@ -52,7 +52,8 @@ def retrieve(queries: DataFrame, query_vectors: DataFrame, memories: DataFrame,
     pairs = pairs.join(query_vectors.select("query_id", F.col("sector").alias("s"), F.col("v").alias("qv")), ["query_id", "s"]).join(q.select("query_id", "q_primary"), "query_id")
     w = fusion_weight(F.col("q_primary"), F.col("s"))
     fused = pairs.groupBy("query_id", "id").agg((F.sum(vectors.cosine(F.col("mv"), F.col("qv")) * w) / F.sum(w)).alias("fusion"))
-    m = memories.withColumn("m_tokens", text.canonical_tokens(F.col("content"))).withColumn("m_keywords", text.keywords(F.col("content")))
+    needed = memories.join(best.select("id").distinct(), "id", "left_semi")
+    m = needed.withColumn("m_tokens", text.canonical_tokens(F.col("content"))).withColumn("m_keywords", text.keywords(F.col("content")))
     rows = best.join(fused, ["query_id", "id"], "left").join(q, "query_id").join(m, "id").join(sure, "query_id", "left")
     resonant = F.coalesce("fusion", F.lit(0.0)) * vectors.resonance(F.col("sector"), F.col("q_primary"))
     similarity = F.greatest(resonant, F.coalesce("best", F.lit(0.0)))

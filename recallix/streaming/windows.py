@@ -83,4 +83,5 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
 def opened(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table's files as a stream."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parquet*")
+    rows = spark.readStream.schema(schema).parquet(f"{folder}/{name}.parquet*")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")) if dict(rows.dtypes).get("ts") == "timestamp_ntz" else rows
