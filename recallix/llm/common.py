@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,15 @@ FILE_ROWS, FILE_BYTES = 100_000, 16 << 20
 def file_count(spark: SparkSession, rows: int | None = None, size: int | None = None) -> int:
     """Files for an intermediate table of about so many rows or bytes: in proportion, and a few for each core."""
     cores = spark.sparkContext.defaultParallelism
-    return max(cores, -(-rows // FILE_ROWS)) if rows is not None else max(4 * cores, -(-(size or 0) // FILE_BYTES))
+    want = max(cores, -(-rows // FILE_ROWS)) if rows is not None else max(4 * cores, -(-(size or 0) // FILE_BYTES))
+    return min(1_000_000, want)
+
+
+def plan_size(df: DataFrame) -> int:
+    """Spark's own estimate of a plan's bytes; over joins it may be far too high."""
+    said = df._jdf.queryExecution().optimizedPlan().stats().simpleString()  # as a number it may have any length
+    number, unit = re.search(r"sizeInBytes=([0-9.E+]+) ([KMGTPE]i)?B", said).groups()
+    return int(min(2.0**60, float(number) * 1024.0 ** ("KMGTPE".index(unit[0]) + 1 if unit else 0)))
 
 
 def cut_lineage(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -34,8 +43,7 @@ def cut_lineage(df: DataFrame, rows: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     shared_dir(spark)
-    size = None if rows is not None else int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.coalesce(min(1_000_000, file_count(spark, rows, size))).checkpoint(eager=True)
+    return df.coalesce(file_count(spark, rows, None if rows is not None else plan_size(df))).checkpoint(eager=True)
 
 
 def short_batches(spark: SparkSession) -> None:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_count, fresh_dir, quoted, short_batches
+from .common import file_count, fresh_dir, plan_size, quoted, short_batches
 
 #: Bytes after which a task opens its next file; the most that one read spans, the gap that it may bridge, and
 #: the bytes that a task reads.
@@ -134,8 +134,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, **names) -> tuple[st
                 out.close()
 
     rows = planned(pages, **names).select("page_id", "url", "payload", "digest", "refers_to")
-    size = int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    rows.mapInArrow(write, INDEX).coalesce(file_count(spark, size=size)).write.parquet(f"{folder}/index")
+    rows.mapInArrow(write, INDEX).coalesce(file_count(spark, size=plan_size(pages))).write.parquet(f"{folder}/index")
     return folder, spark.read.parquet(f"{folder}/index")
 
 
