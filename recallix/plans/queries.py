@@ -268,9 +268,9 @@ def health_score(spark, d):
     return analytics.health(derive.memories(spark, d), NOW_MS).select("total", _r(F.col("score").cast("double")).alias("score"))
 
 
-@query("SELECT id, round((salience - avg(salience) OVER (PARTITION BY sector)) / (stddev_pop(salience) OVER (PARTITION BY sector) + 1e-8), 5) AS z FROM memories", ctes=MEMORIES_SQL)
+@query("SELECT id, round((salience - avg(salience) OVER (PARTITION BY sector)) / (stddev_pop(salience) OVER (PARTITION BY sector) + 1e-8), 5) + 0 AS z FROM memories", ctes=MEMORIES_SQL)
 def salience_zscore(spark, d):
-    return analytics.standardized(derive.memories(spark, d).select("id", "sector", "salience"), "sector", "salience").select("id", _r(F.col("z"), 5).alias("z"))
+    return analytics.standardized(derive.memories(spark, d).select("id", "sector", "salience"), "sector", "salience").select("id", (_r(F.col("z"), 5) + 0.0).alias("z"))
 
 
 @query("SELECT user_id, id, used FROM (SELECT user_id, id, CAST(sum(ceil(length(content) / 4.0)) OVER (PARTITION BY user_id ORDER BY salience DESC, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM memories) WHERE used <= 8000", ctes=MEMORIES_SQL)
