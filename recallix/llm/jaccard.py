@@ -150,7 +150,7 @@ def trie_neighbours(classes: DataFrame, forest: Forest, n: int) -> DataFrame:
         if last:
             yield out(1, [last[0]], [last[1]], [last[2]], [None], [None])
 
-    found = cut_lineage(ordered.mapInArrow(scan, schema), n)
+    found = cut_lineage(ordered.mapInArrow(scan, schema), forest.trees * n)
     # what meets where one range ends and the next begins: two rows a range, themselves in the tries' order
     ends = found.where("end IS NOT NULL").withColumn("_next", F.lead(F.struct("tree", "part", "a")).over(Window.orderBy("tree", "part", "a", "end")))
     # positions in bytes of two: equal values up to the first that differs
@@ -291,7 +291,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", fore
     docs = cut_lineage(signatures(df, key, text, forest))
     n = docs.count()
     some = docs.where("node IS NOT NULL AND id IS NOT NULL")
-    classes = cut_lineage(some.groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), n)
+    classes = cut_lineage(some.groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), 4 * n)  # wide rows
     near = trie_neighbours(classes, forest, n)
     d = forest.start
     while True:
