@@ -108,3 +108,9 @@ def token_weights(rows: DataFrame, tokens: str = "tokens", key: str = "id") -> D
     terms = rows.select(key, F.size(tokens).alias("length"), F.explode(tokens).alias("term")).groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return terms.join(df, "term").crossJoin(F.broadcast(n)).select(key, "term", (F.col("tf") / F.col("length") * F.log((F.col("N") + 1) / (F.col("df") + 1))).alias("weight"))  # one row of N
+
+
+def reflections(rows: DataFrame, groups: DataFrame, now: int, least: int = 2) -> DataFrame:
+    """Groups of similar memories: size, and salience from size and how lately they were made."""
+    j = rows.join(groups, "id").groupBy("seed", "sector").agg(F.count(F.lit(1)).alias("n"), F.avg(F.exp(-(F.lit(now) - F.col("created_at")) / (DAY_MS / 2))).alias("recent")).where(F.col("n") >= least)
+    return j.select("seed", "sector", "n", F.least(F.lit(1.0), 0.6 * F.col("n") / 10 + 0.3 * F.col("recent") + F.when(F.col("sector") == "emotional", 0.1).otherwise(0.0)).alias("salience"))

@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
 
-def similar_sets(rows: DataFrame, least: float, key: str = "id", by: str = "sector", tokens: str = "tokens") -> DataFrame:
+
+def _classes(rows: DataFrame, key: str, by: str, tokens: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with sets that are not empty, and one class for each different set of a group."""
+    sets = rows.select(F.col(key).alias("id"), F.col(by).alias("by"), F.array_sort(F.array_distinct(tokens)).alias("set")).where(F.size("set") > 0)
+    sets = sets.withColumn("hash", F.xxhash64("set"))
+    return sets, sets.groupBy("by", "hash").agg(F.min("id").alias("rep"), F.first("set").alias("set"))
+
+
+def similar_sets(rows: DataFrame, least: float, key: str = "id", by: str = "sector", tokens: str = "tokens", with_copies: bool = True) -> DataFrame:
     """(a, b, similarity) with a < b of one group, Jaccard of the least or more; empty sets match nothing.
 
     Sets of that similarity share one of their n - ceil(least * n) + 1 rarest tokens, so only these are joined; sizes
     rule out pairs before sets are compared. Equal sets are one class, whose members are paired through its first.
     """
-    sets = rows.select(F.col(key).alias("id"), F.col(by).alias("by"), F.array_sort(F.array_distinct(tokens)).alias("set")).where(F.size("set") > 0)
-    sets = sets.withColumn("hash", F.xxhash64("set"))
-    classes = sets.groupBy("by", "hash").agg(F.min("id").alias("rep"), F.first("set").alias("set"))
+    sets, classes = _classes(rows, key, by, tokens)
     terms = classes.select("by", "rep", F.size("set").alias("n"), F.explode("set").alias("t"))
     df = terms.groupBy("by", "t").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy("by", "rep").orderBy("df", "t")
@@ -25,5 +32,33 @@ def similar_sets(rows: DataFrame, least: float, key: str = "id", by: str = "sect
     both = found.join(sa, "a").join(sb, "b")
     s = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
     pairs = both.select("a", "b", s.alias("similarity")).where(F.col("similarity") >= least)
+    if not with_copies:
+        return pairs
     copies = sets.join(classes.select("by", "hash", "rep"), ["by", "hash"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
     return pairs.unionByName(copies)
+
+
+def greedy_groups(rows: DataFrame, least: float, key: str = "id", by: str = "sector", tokens: str = "tokens") -> DataFrame:
+    """(id, seed): in order of ids, a row that no group has taken becomes a seed and takes all later rows of its group
+    key that are similar to it; rows without tokens are alone.
+
+    Rounds decide rows all of whose earlier similar ones are decided: such a row is a seed unless one of these is one.
+    Rows with equal sets follow their first.
+    """
+    shared_dir(rows.sparkSession)
+    sets, classes = _classes(rows, key, by, tokens)
+    pairs = similar_sets(rows, least, key, by, tokens, with_copies=False).select("a", "b").checkpoint()
+    state = classes.select(F.col("rep").alias("id"), F.lit(None).cast("bigint").alias("seed")).checkpoint()
+    while True:
+        before = pairs.join(state.select(F.col("id").alias("a"), F.col("seed").alias("a_seed")), "a")
+        told = before.groupBy("b").agg(F.min(F.when(F.col("a_seed") == F.col("a"), F.col("a"))).alias("first"), F.count_if(F.col("a_seed").isNull()).alias("open"), F.min(F.when(F.col("a_seed").isNull(), F.col("a"))).alias("first_open"))
+        j = state.join(told, state["id"] == told["b"], "left")
+        # the first seed decides as soon as nothing before it is open
+        taken = F.col("first").isNotNull() & (F.col("first_open").isNull() | (F.col("first") < F.col("first_open")))
+        now = F.when(F.col("seed").isNotNull(), F.col("seed")).when(taken, F.col("first")).when(F.coalesce("open", F.lit(0)) == 0, F.col("id"))
+        state = j.select("id", now.alias("seed")).checkpoint()
+        if not state.where("seed IS NULL").limit(1).count():
+            break
+    member = sets.join(classes.select("by", "hash", "rep"), ["by", "hash"]).join(state.withColumnRenamed("id", "rep"), "rep").select("id", "seed")
+    alone = rows.where(F.coalesce(F.size(tokens), F.lit(0)) < 1).select(F.col(key).alias("id"), F.col(key).alias("seed"))
+    return member.unionByName(alone)

@@ -585,6 +585,19 @@ def jaccard_pairs(spark, d):
 # text and state operators that SQL cannot say
 
 
+@query(None)
+def reflection_clusters(spark, d):
+    m = derive.memories(spark, d).where("sector <> 'reflective'")
+    g = sets.greedy_groups(m.select("id", "sector", text.canonical_tokens(F.col("content")).alias("tokens")), 0.8)
+    return analytics.reflections(m, g, NOW_MS).withColumn("salience", _r(F.col("salience")))
+
+
+@query(None)
+def merge_duplicates(spark, d):
+    m = derive.memories(spark, d).select("id", F.lit("all").alias("sector"), text.tokens(F.col("content")).alias("tokens"))
+    return sets.greedy_groups(m, 0.85)
+
+
 @query(None)
 def simhash_dedup(spark, d):
     return memory.deduplicated(derive.memories(spark, d)).withColumn("salience", _r(F.col("salience")))

@@ -153,3 +153,18 @@ def test_rate_limit(spark, tmp_path):
     s = spark.readStream.schema("client string, at long").parquet(str(tmp_path / "r"))
     got = {(r.client, r.at): r.allowed for r in windows.drained(windows.rate_limited(s, 2, 100)).collect()}
     assert got == {("x", 0): True, ("x", 10): True, ("x", 20): False, ("x", 100): True, ("y", 5): True}
+
+
+def test_greedy_groups(spark):
+    import random
+
+    rng = random.Random(11)
+    base = [[f"w{rng.randint(0, 60)}" for _ in range(14)] for _ in range(4)]
+    rows = [(i, "s", rng.sample(base[i % 4], rng.randint(8, 14))) for i in range(60)] + [(60, "s", []), (61, "s", rng.sample(base[0], 14))]
+    got = {r.id: r.seed for r in sets.greedy_groups(spark.createDataFrame(rows, "id long, sector string, tokens array<string>"), 0.7).collect()}
+    t, want = {i: set(x) for i, _, x in rows}, {}
+    for i in sorted(t):
+        if i not in want:
+            want[i] = i
+            want |= {o: i for o in t if o > i and o not in want and t[i] and len(t[i] & t[o]) / len(t[i] | t[o]) >= 0.7}
+    assert got == want
