@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DAY_MS, DECAY_LAMBDA, FUSION, RELATION, RESONANCE, SECTORS
-from ..functions import compression, dynamics, embedding, passages, text, vectors
+from ..functions import analysis, compression, dynamics, embedding, passages, text, vectors
 from ..operators import analytics, facts, graph, ingest, memory, retrieval, scope, search, sets
 from ..sources import files, html
 from ..streaming import windows
@@ -582,6 +582,30 @@ def jaccard_pairs(spark, d):
     return sets.similar_sets(rows, 0.8).withColumn("similarity", _r(F.col("similarity")))
 
 
+def _any(words: list[str]) -> str:
+    return " OR ".join(f"contains(lower(text), '{w}')" for w in words)
+
+
+_LENGTHS = ", ".join(f"length(regexp_extract(text, '(?i)({p})', 1))" for p in analysis.INTENTS.values())
+
+
+@query(f"""SELECT id, CASE WHEN list_max(n) > 0 THEN {list(analysis.INTENTS)}[list_position(n, list_max(n))] ELSE 'factual' END AS intent, CASE WHEN contains(text, '?') OR regexp_matches(lower(trim(text)), '^(?:{"|".join(analysis.STARTERS)})') THEN 'interrogative' ELSE 'declarative' END AS form,
+CASE WHEN {_any(analysis.COMPLEX)} THEN 'complex' WHEN {_any(analysis.MODERATE)} THEN 'moderate' ELSE 'simple' END AS complexity, CASE WHEN {_any(analysis.PAST)} THEN 'past' WHEN {_any(analysis.FUTURE)} THEN 'future' WHEN {_any(analysis.PRESENT)} THEN 'present' ELSE 'general' END AS scope FROM (SELECT *, [{_LENGTHS}] AS n FROM cues)""", ctes=CUES_SQL)
+def query_analysis(spark, d):
+    t = F.col("text")
+    return derive.cue_texts(spark, d).select("id", analysis.intent(t).alias("intent"), analysis.form(t).alias("form"), analysis.complexity(t).alias("complexity"), analysis.time_scope(t).alias("scope"))
+
+
+@query("SELECT id, " + ", ".join(f"CAST({' + '.join(f'CASE WHEN contains(lower(text), {m!r}) THEN 1 ELSE 0 END' for m in ms)} AS BIGINT) AS n_{k}" for k, ms in analysis.MARKERS.items()) + " FROM cues", ctes=CUES_SQL)
+def discourse_markers(spark, d):
+    return derive.cue_texts(spark, d).select("id", *[F.size(analysis.markers(F.col("text"), k)).cast("bigint").alias(f"n_{k}") for k in analysis.MARKERS])
+
+
+@query(None)
+def text_sentiment(spark, d):
+    return derive.cue_texts(spark, d).select("id", analysis.sentiment(F.col("text")).alias("s"), F.size(analysis.entities(F.col("text"))).alias("entities")).select("id", "s.polarity", _r(F.col("s.intensity")).alias("intensity"), "entities")
+
+
 # text and state operators that SQL cannot say
 
 
