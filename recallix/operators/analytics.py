@@ -92,8 +92,8 @@ def distinct_projects(rows: DataFrame) -> DataFrame:
 
 def standardized(rows: DataFrame, by: str, value: str, epsilon: float = 1e-8) -> DataFrame:
     """Value less the group's mean over its population deviation."""
-    w = Window.partitionBy(by)
-    return rows.withColumn("z", (F.col(value) - F.avg(value).over(w)) / (F.stddev_pop(value).over(w) + epsilon))
+    own = rows.groupBy(by).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_dev"))
+    return rows.join(own, by).withColumn("z", (F.col(value) - F.col("_mean")) / (F.col("_dev") + epsilon)).drop("_mean", "_dev")
 
 
 def budgeted(rows: DataFrame, by: str, order: list, size: str, most: int) -> DataFrame:

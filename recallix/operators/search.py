@@ -16,7 +16,7 @@ BLOCK = 1024
 def blocks(rows: DataFrame, key: str, vector: str, by: str, size: int = BLOCK) -> DataFrame:
     """(by, block, keys, n, matrix): rows packed into matrices, by a salt that follows each group's own number."""
     number = rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / size).alias("_k"))
-    dealt = rows.join(F.broadcast(number) if by == "sector" else number, by).withColumn("block", F.pmod(F.xxhash64(key), F.col("_k")))
+    dealt = rows.join(number, by).withColumn("block", F.pmod(F.xxhash64(key), F.col("_k")))
     return dealt.groupBy(by, "block").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v"))).alias("rows"))
 
 
