@@ -145,6 +145,17 @@ def test_quality(spark):
     assert all(r.kept == (not r.base_failed) for r in quality.quality(df, labels.limit(0)).collect())
 
 
+def test_quality_splits_what_is_constant_on_good_rows(spark):
+    rng = random.Random(15)
+    good = [" ".join("".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(2, 9))) for _ in range(120)) for _ in range(400)]
+    junk = [" ".join("#" + w[1:] if rng.random() < 0.5 else w for w in g.split()) for g in good[300:]]  # differs in its symbols only
+    texts = good[:300] + junk
+    labels = spark.createDataFrame([(i, int(i < 300)) for i in range(0, 400, 2)], "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), labels).collect()}
+    held = range(1, 400, 2)
+    assert sum(not kept[i] for i in held if i >= 300) >= 45 and sum(not kept[i] for i in held if i < 300) <= 7
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(2, 7)))
