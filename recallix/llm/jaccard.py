@@ -3,9 +3,9 @@
 Texts become sets of five-word shingles. Copies (equal words in equal order) form a class, and one signature stands
 for it. A signature is cut into trees of `depth` values each; a tree's sorted signatures are a prefix trie, in which
 neighbours share their longest prefix. The sort is distributed and by range, so that no node of the trie has to lie in
-one task. Links between neighbours that share a prefix of a length d are candidates; d starts long and is shortened
-until the recall that the verified pairs show reaches the target (or the trees' floor). Candidates form components,
-whose members are compared with one another exactly, in blocks of bounded size.
+one task. Links between neighbours that share a prefix of a length d are candidates; d is the longest at which a pair
+just at the threshold is met with the recall aimed at, whatever other rows there are. Candidates form components, whose
+members are compared with one another exactly, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -160,11 +160,17 @@ def trie_neighbours(classes: DataFrame, forest: Forest, n: int) -> DataFrame:
     return found.where("end IS NULL").select("a", "b", "shared").unionByName(met)
 
 
-def chance(s: np.ndarray, d: int, trees: int) -> np.ndarray:
+def chance(s: float, d: int, trees: int) -> float:
     """That a pair of similarity s shares a prefix of length d in one tree at least."""
     return 1 - (1 - s**d) ** trees
 
 
+def prefix_length(forest: Forest) -> int:
+    """The longest prefix, from start down to floor, by which a pair of similarity least is met with the recall aimed
+    at; the floor where none is. It depends on the trees alone, so no row decides whether others are found."""
+    return next((d for d in range(forest.start, forest.floor, -1) if chance(forest.least, d, forest.trees) >= forest.recall), forest.floor)
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections, by products of the incidence matrix in slices of columns."""
     m = len(sets)
@@ -188,15 +194,14 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _verify(node: np.ndarray, side: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], d: int, forest: Forest):
-    """Links of one block pair: per-node sums of linked copies, a spanning forest, and sums for the recall."""
+def _verify(node: np.ndarray, side: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], forest: Forest):
+    """Links of one block pair: per-node sums of linked copies, and a spanning forest."""
     n = np.array([len(s) for s in sets], np.float64)
     if len(sets) == 2:
         inter = np.zeros((2, 2))
         inter[0, 1] = inter[1, 0] = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
     else:
         inter = overlaps(sets)
-    sim = inter / np.maximum(n[:, None] + n[None, :] - inter, 1)
     # integers on both sides, so that a similarity of just the threshold counts
     num = round(forest.least * 1000)
     hit = 1000 * inter >= num * (n[:, None] + n[None, :] - inter)
@@ -206,7 +211,6 @@ def _verify(node: np.ndarray, side: np.ndarray, copies: np.ndarray, sets: list[n
     links = hit @ copies
     root = np.arange(len(node))
     a, b = np.nonzero(np.triu(hit))
-    p = chance(sim[a, b], d, forest.trees) if len(a) else np.zeros(0)
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -220,11 +224,11 @@ def _verify(node: np.ndarray, side: np.ndarray, copies: np.ndarray, sets: list[n
             root[max(rx, ry)] = min(rx, ry)
     top = [find(i) for i in range(len(node))]
     edges = [(int(node[i]), int(node[t])) for i, t in enumerate(top) if i != t]
-    return links, edges, len(a), float((1 / np.maximum(p, 1e-3)).sum())
+    return links, edges
 
 
-def verified(df: DataFrame, key: str, text: str, members: DataFrame, d: int, forest: Forest, n: int) -> DataFrame:
-    """Exact links inside the candidate components: rows (kind, a, b, value) of links ('n'), edges ('e') and sums."""
+def verified(df: DataFrame, key: str, text: str, members: DataFrame, forest: Forest, n: int) -> DataFrame:
+    """Exact links inside the candidate components: rows (kind, a, b, value) of links ('n') and edges ('e')."""
     spark = df.sparkSession
     short_batches(spark)
     size = members.groupBy("label").agg(F.count(F.lit(1)).alias("_m"), F.sum("n").alias("_s"))
@@ -245,17 +249,15 @@ def verified(df: DataFrame, key: str, text: str, members: DataFrame, d: int, for
     ordered = spread.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "label", "i", "j").sortWithinPartitions("label", "i", "j", "node")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at, pairs, weight = [], None, 0, 0.0
+        held, at = [], None
 
         def done(rows):
-            nonlocal pairs, weight
             rows = list({r[4]: r for r in rows}.values())  # a repeated document gives its class twice
             if len(rows) < 2:
                 return None
             node = np.array([r[4] for r in rows], np.int64)
             side = np.array([int(r[6] != r[1]) for r in rows])
-            links, edges, n, w = _verify(node, side, np.array([r[5] for r in rows], np.int64), [np.frombuffer(r[3], np.uint64) for r in rows], d, forest)
-            pairs, weight = pairs + n, weight + w
+            links, edges = _verify(node, side, np.array([r[5] for r in rows], np.int64), [np.frombuffer(r[3], np.uint64) for r in rows], forest)
             has = np.flatnonzero(links)
             a = [int(node[i]) for i in has] + [e[0] for e in edges]
             if not a:
@@ -273,7 +275,6 @@ def verified(df: DataFrame, key: str, text: str, members: DataFrame, d: int, for
                 held.append((label, i, j, s, node, copies, h))
         if held and (out := done(held)):
             yield out
-        yield pa.RecordBatch.from_arrays([pa.array(["p", "w"]), pa.array([None, None], pa.int64()), pa.array([None, None], pa.int64()), pa.array([float(pairs), weight])], ["kind", "a", "b", "value"])
 
     return cut_lineage(ordered.mapInArrow(work, "kind string, a bigint, b bigint, value double"), n)
 
@@ -285,7 +286,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", fore
     one shingle) have a Jaccard similarity of forest.least or more. class_id is the smallest key that links reach,
     n_links the number of other documents linked directly (copies count each), kept says that key is class_id.
     Texts that are null or without words link with nothing, and rows with a null key have no class of their own: they
-    are kept with no links. Rows with one key and one text are each other's copies and both kept. An empty table gives
+    are kept with no links. A link of similarity s is never compared with a chance of (1 - s^d)^trees at most, d being
+    prefix_length(forest): 0.00003 at 0.8 with the default trees. Rows with one key and one text are each other's copies and both kept. An empty table gives
     an empty one; further columns are left out.
     """
     docs = cut_lineage(signatures(df, key, text, forest))
@@ -293,16 +295,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", fore
     some = docs.where("node IS NOT NULL AND id IS NOT NULL")
     classes = cut_lineage(some.groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), 4 * n)  # wide rows
     near = trie_neighbours(classes, forest, n)
-    d = forest.start
-    while True:
-        labels = components(near.where(F.col("shared") >= d).select("a", "b"), rows=n)
-        members = classes.drop("sig").join(labels, classes["node"] == labels["id"]).select("node", "rep", "copies", "n", "label")
-        found = verified(df, key, text, members, d, forest, n)
-        sums = {r["kind"]: r["s"] for r in found.where("kind IN ('p', 'w')").groupBy("kind").agg(F.sum("value").alias("s")).collect()}
-        pairs, weight = sums.get("p") or 0.0, sums.get("w") or 0.0
-        if d <= forest.floor or pairs >= forest.recall * weight:
-            break
-        d -= 1
+    labels = components(near.where(F.col("shared") >= prefix_length(forest)).select("a", "b"), rows=n)
+    members = classes.drop("sig").join(labels, classes["node"] == labels["id"]).select("node", "rep", "copies", "n", "label")
+    found = verified(df, key, text, members, forest, n)
     groups = components(found.where("kind = 'e'").select("a", "b"), rows=n)
     links = found.where("kind = 'n'").groupBy("a").agg(F.sum("value").cast("bigint").alias("_links"))
     own = classes.select("node", "rep", "copies").join(groups, classes["node"] == groups["id"], "left").select("node", "rep", "copies", F.coalesce(F.col("label"), name_of("node")).alias("label"))

@@ -219,6 +219,26 @@ def test_jaccard(spark, block):
     assert sorted(r.doc_id for r in left.where("doc_id IS NOT NULL").collect()) == sorted(i for i in texts if find(i) == i)
 
 
+def test_jaccard_pair_does_not_depend_on_other_rows(spark):
+    rng, forest = random.Random(17), jaccard.Forest()
+    factors = jaccard._factors(forest.trees * forest.depth)
+    sign = lambda w: jaccard.signature(jaccard.shingles(w), factors).reshape(forest.trees, forest.depth)
+    for i in range(20000):  # a pair of similarity 0.8 that meets by prefixes of 4 values, but not by those of 6
+        a = [f"p{i}w{j}" for j in range(49)]
+        b = [*a[:24], "other", *a[25:]]
+        same = np.cumprod(sign(a) == sign(b), axis=1).sum(1).max()
+        if same in (4, 5):
+            break
+    else:
+        raise AssertionError("no such pair")
+    base = [f"w{rng.randint(0, 5000)}" for _ in range(100)]
+    texts = {j: " ".join([*base, f"e{j}"]) for j in range(200)} | {1000: " ".join(a), 1001: " ".join(b)}
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r.doc_id: (r.n_links, r.class_id, r.kept) for r in jaccard.near_duplicates(df).collect()}
+    assert got[1000] == (1, 1000, True) and got[1001] == (1, 1000, False)
+    assert all(got[j] == (199, 0, j == 0) for j in range(200))
+
+
 def test_components(spark):
     rows = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001), (2000, i) if False else (2000, 2001), (5, 5), (None, 1)]
     got = {r.id: r.label for r in components.components(spark.createDataFrame(rows, "a long, b long")).collect()}
