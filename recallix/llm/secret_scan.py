@@ -19,10 +19,10 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 
 #: Weak candidates: whose value alone proves nothing.
 IDENTIFIER = r"""(?i:\b(?:user(?:name)?|login|account|client_?id|access_?(?:key_?)?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,64}"""
-MATERIAL = r"""(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]{0,63}[0-9])(?=[A-Za-z0-9+/]{0,63}[A-Z])(?=[A-Za-z0-9+/]{0,63}[a-z])[A-Za-z0-9+/]{32,128}={0,2}(?![A-Za-z0-9+/=])"""
+MATERIAL = r"""(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}+={0,2}(?![A-Za-z0-9+/=])"""
 ENDPOINT = r"""(?i:\b(?:https?|ftp|jdbc:[a-z]{2,20}|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://)[^\s"'<>]{3,200}"""
 
-#: Code points around a candidate within which its complements must lie.
+#: Code points that may lie between a candidate and its complements.
 SCOPE = 200
 #: Order of kinds in the span lists; the first three are the base's.
 KINDS = ["assign", "access", "hex", "identifier", "material", "endpoint"]
@@ -87,11 +87,17 @@ def found_spans(df: DataFrame, key: str = "doc_id", text: str = "text", scope: i
     weak = F.exists("parts", lambda x: x["kind"] >= 3)
     # a document's parts, only where some weak one and another part stand
     parts = rows.where(weak & (F.size("parts") > 1)).select("key", "hash", F.explode("parts").alias("p")).distinct().select("key", "hash", "p", F.col("p.start").alias("start"), F.col("p.kind").alias("kind"), F.col("p.end").alias("end"))
-    # intervals join where they come within the scope of one another, measured between starts
-    near = Window.partitionBy("key", "hash").orderBy("start").rangeBetween(-scope, scope)
-    secret = F.max(F.col("kind").isin(0, 2, 4).cast("int")).over(near)
-    name = F.max(F.col("kind").isin(1, 3).cast("int")).over(near)
-    linked = parts.withColumn("_s", secret).withColumn("_n", name)
+    # intervals join by what lies between them: back to the farthest end of those that start no later, and on to the
+    # next start; the latter by a window in falling order, as its sums run on
+    own = Window.partitionBy("key", "hash")
+    back, on = (own.orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc("start"), F.desc("start")))
+
+    def close(*kinds: int) -> Column:
+        of = F.col("kind").isin(*kinds)
+        gap = F.least(F.col("start") - F.max(F.when(of, F.col("end"))).over(back), F.min(F.when(of, F.col("start"))).over(on) - F.col("end"))
+        return (gap <= scope).cast("int")
+
+    linked = parts.withColumn("_s", close(0, 2, 4)).withColumn("_n", close(1, 3))
     told = F.when(F.col("kind") == 3, F.col("_s") == 1).when(F.col("kind") == 4, F.col("_n") == 1).when(F.col("kind") == 5, (F.col("_s") == 1) & (F.col("_n") == 1))
     more = linked.where(told).groupBy("key", "hash").agg(F.collect_list("p").alias("more")).select(F.col("key").alias("_k"), F.col("hash").alias("_h"), "more")
     both = rows.join(more, rows["key"].eqNullSafe(F.col("_k")) & (rows["hash"] == F.col("_h")), "left")

@@ -339,6 +339,31 @@ def test_secrets(spark):
     assert secret_scan.scan_secrets(empty(spark)).count() == 0
 
 
+def plain_linked(t, scope=200):
+    weak = [(m.start(), k, m.end()) for k, p in ((3, secret_scan.IDENTIFIER), (4, secret_scan.MATERIAL), (5, secret_scan.ENDPOINT)) for m in re.finditer(p, t)]
+    parts = plain_secrets(t) + weak
+    near = lambda x, kinds: any(y[1] in kinds and max(y[0] - x[2], x[0] - y[2]) <= scope for y in parts)
+    need = {3: [(0, 2, 4)], 4: [(1, 3)], 5: [(0, 2, 4), (1, 3)]}
+    return ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(x for x in parts if all(near(x, kinds) for kinds in need.get(x[1], []))))
+
+
+def test_secrets_link_by_distance_between_intervals(spark):
+    rng, value = random.Random(19), ("aB3-" * 63)[:251]
+    runs = ["aB3d" * (n // 4) + "z" * (n % 4) for n in (129, 172, 400)] + ["g" * 100 + "G" * 200 + "7"]
+    texts = [f"token = {value}\nuser: bob77 https://api.example/v1"] + [f"user: bob77\n{r}" for r in runs]
+    texts += [f"token = {value}{' ' * n}user: bob77" for n in (200, 201)] + [f"user: bob77{' ' * n}token = {value}" for n in (200, 201)]
+    some = [f"token = {value}", "AKIA" + "Q7" * 60, "0123456789abcdef" * 9, "user: bob77", "https://api.example/" + "v" * 90, *runs]
+    texts += [" ".join(x for _ in range(rng.randint(2, 9)) for x in (rng.choice(some), "." * rng.choice((1, 50, 150, 197, 198, 199, 300)))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by = {r.doc_id: r.spans for r in secret_scan.scan_secrets(df).collect()}
+    clean = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    assert by[0] == "assign:0:259,identifier:260:271,endpoint:272:294" and clean[0] == "[SECRET]\n[SECRET] [SECRET]"
+    for i, r in enumerate(runs, 1):
+        assert by[i] == f"identifier:0:11,material:12:{12 + len(r)}" and clean[i] == "[SECRET]\n[SECRET]"
+    assert ["identifier" in by[i] for i in (5, 6, 7, 8)] == [True, False, True, False]
+    assert by == {i: plain_linked(t) for i, t in enumerate(texts)}
+
+
 def test_warc(spark):
     big = "é<p>" * 60
     rows = [(5, "http://a/5", big), (3, "http://a/3", big), (9, None, big), (1, "http://a/1 x", "short"), (2, "u", "short"), (4, "u", None), (None, "u", "z" * 200), (7, "u", "z" * 200), (8, "u", "z" * 200), (8, "u", "z" * 200)]
