@@ -140,15 +140,10 @@ class Scanner:
                 for word in a.step[s]:
                     self.by_first.setdefault(word, []).append(a)
         self.phrases = [(f" {p} ".encode(), label) for p, label in phrases]
-        # words by which a text is ruled out quickly
-        self.hints = [b"license", b"reserved", b"cc", b"permission", b"redistribut", b"copyright", b"mozilla", b"creative"]
 
     def scan(self, text: str):
         """Number of words, starts of base phrases, base labels, (label, start, end) of accepted templates, score."""
-        folded = text.encode("utf-8", "surrogatepass").translate(_FOLD)
-        words = folded.split()
-        if not any(h in folded for h in self.hints):
-            return len(words), [], set(), [], 0.0
+        words = words_of(text)
         joined = b" " + b" ".join(words) + b" "
         starts, base = [], set()
         for phrase, label in self.phrases:

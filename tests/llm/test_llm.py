@@ -304,6 +304,17 @@ def test_licenses(spark):
     assert licenses.scan_licenses(empty(spark)).count() == 0
 
 
+def test_licenses_score_needs_no_hint(spark):
+    lesser = "under the gnu lesser general public licence version 3"
+    texts = [lesser, f"accept {lesser}", "it lies under the table", "nothing here"]
+    by = {r.doc_id: r.score for r in licenses.scan_licenses(docs(spark, [*TEXTS, *texts])).collect()}
+    first = len(TEXTS)
+    assert [by[first + i] for i in range(4)] == [0.75, 0.75, 0.5, 0]  # "under the" is half of the shortest wording
+    own = licenses.scan_licenses(docs(spark, [*TEXTS, "You may share it freely."]), templates=(("own", "may share <<var:0-1>> freely"),)).where(F.col("doc_id") == first).first()
+    assert (own.labels, own.score, own.matches[0].start, own.matches[0].end) == ("own", 1, 1, 5)
+    assert licenses.Scanner(phrases=(("public domain", "pd"),)).scan("In the PUBLIC domain.")[1:3] == ([2], {"pd"})
+
+
 def test_template_automata():
     a = licenses.compiled("x", "one <<opt>>two<</opt>> <<var:1-2>> three")
     run = lambda t: a.run(t.encode().split(), 0)[0]
