@@ -239,6 +239,16 @@ def test_jaccard_pair_does_not_depend_on_other_rows(spark):
     assert all(got[j] == (199, 0, j == 0) for j in range(200))
 
 
+def test_drop_near_duplicates_of_repeated_keys(spark):
+    text = lambda p: [f"{p}{j}" for j in range(60)]
+    a, b, c = text("a"), text("b"), text("c")
+    rows = [(1, a), (2, [*a[:-1], "x"]), (2, b), (3, c), (3, [*c[:-1], "x"]), (3, [w.upper() for w in c]), (4, [*c[:-1], "y"]), (None, a), (5, text("d")), (5, text("d"))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").withColumn("row", F.lit("c"))
+    left = jaccard.drop_near_duplicates(df)
+    got = [(r.doc_id, r.text.split()[0].lower()) for r in left.collect()]
+    assert left.columns == df.columns and sorted(got, key=str) == sorted([(1, "a0"), (2, "b0"), (3, "c0"), (None, "a0"), (5, "d0")], key=str)
+
+
 def test_components(spark):
     rows = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001), (2000, i) if False else (2000, 2001), (5, 5), (None, 1)]
     got = {r.id: r.label for r in components.components(spark.createDataFrame(rows, "a long, b long")).collect()}
