@@ -27,25 +27,31 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, key: str = "id", vector:
     of a query go on. Vectors of other dimensions or without length have similarity 0. With least, only rows of that
     similarity or more count.
     """
+    met = similarities(rows, queries, key, vector, by, query_key, k, include_self, least)
+    rank = F.row_number().over(Window.partitionBy(query_key, by).orderBy(F.desc("similarity"), key))
+    return met.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def similarities(rows: DataFrame, queries: DataFrame, key: str = "id", vector: str = "v", by: str = "sector", query_key: str = "query_id", k: int = 2**31 - 1, include_self: bool = True, least: float | None = None) -> DataFrame:
+    """(query, by, key, similarity): cosines of the queries with the rows of their group, at most k for a query from each
+    block of rows."""
     kind = "array<struct<q:bigint,k:bigint,s:double>>"
 
     @F.arrow_udf(kind)
     def meet(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
-            out = []
-            for qs, rs in zip(left.to_pylist(), right.to_pylist(), strict=True):
-                out.append(_best(qs, rs, k, include_self, least))
-            yield pa.array(out, pa.list_(pa.struct([("q", pa.int64()), ("k", pa.int64()), ("s", pa.float64())])))
+            out = [_best(qs.as_py(), rs.as_py(), k, include_self, least) for qs, rs in zip(left, right, strict=True)]
+            ends = np.cumsum([0, *(len(x[0]) for x in out)])
+            fields = [pa.array(np.concatenate([np.zeros(0, t), *(x[i] for x in out)])) for i, t in enumerate((np.int64, np.int64, float))]
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["q", "k", "s"]))
 
     q = blocks(queries, query_key, vector, by).select(by, F.col("rows").alias("qs"))
     r = blocks(rows, key, vector, by).select(by, F.col("rows").alias("rs"))
     met = q.join(r, by).select(by, F.explode(meet(F.col("qs"), F.col("rs"))).alias("m"))
-    rank = F.row_number().over(Window.partitionBy(F.col("m.q"), by).orderBy(F.desc("m.s"), "m.k"))
-    ranked = met.select(F.col("m.q").alias(query_key), by, F.col("m.k").alias(key), F.col("m.s").alias("similarity"), rank.alias("rank"))
-    return ranked.where(F.col("rank") <= k)
+    return met.select(F.col("m.q").alias(query_key), by, F.col("m.k").alias(key), F.col("m.s").alias("similarity"))
 
 
-def _best(qs: list[dict], rs: list[dict], k: int, include_self: bool, least: float | None) -> list[dict]:
+def _best(qs: list[dict], rs: list[dict], k: int, include_self: bool, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     wide = max([len(x["v"] or []) for x in qs + rs] or [0])
 
     def matrix(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
@@ -66,8 +72,8 @@ def _best(qs: list[dict], rs: list[dict], k: int, include_self: bool, least: flo
         if least is not None:
             usable = usable[row[usable] >= least]
         best = usable[np.lexsort((keys[usable], -row[usable]))][:k]
-        out += [{"q": q["k"], "k": int(keys[j]), "s": float(row[j])} for j in best]
-    return out
+        out.append((np.full(len(best), q["k"], np.int64), keys[best], row[best]))
+    return tuple(np.concatenate([x[i] for x in out]) for i in range(3))
 
 
 def fused(similarities: DataFrame, weights: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -168,3 +168,13 @@ def test_greedy_groups(spark):
             want[i] = i
             want |= {o: i for o in t if o > i and o not in want and t[i] and len(t[i] & t[o]) / len(t[i] | t[o]) >= 0.7}
     assert got == want
+
+
+def test_fusion_scores_all_queries(spark):
+    from recallix.plans import queries
+
+    d = "/root/testdata/sf0.001"
+    got = queries.QUERIES["vec_fusion_scores"](spark, d)
+    one = {(r.id, r.fusion) for r in got.where("query_id = 0").collect()}
+    assert got.select("query_id").distinct().count() > 1 and got.where("query_id % 20 <> 0").count() == 0
+    assert one == {(r.id, r.fusion) for r in queries.QUERIES["vec_fusion_score"](spark, d).collect()}
