@@ -13,8 +13,8 @@ from ..storage import fresh_dir, shared_dir
 
 __all__ = ["fresh_dir", "shared_dir"]
 
-#: Rows of one Arrow batch: documents may be long, so batches are kept short.
-BATCH_ROWS = 256
+#: Most rows and bytes of one Arrow batch: documents may be long, so batches are kept short.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
 
 #: Rows and bytes of one file of an intermediate table, at least.
@@ -47,8 +47,12 @@ def cut_lineage(df: DataFrame, rows: int | None = None) -> DataFrame:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Bound the bytes of an Arrow batch by its rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound an Arrow batch by rows and by bytes, where the session allows more. The settings count when a plan runs,
+    so they stay; tighter ones of the caller's are kept."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub(r"\D", "", spark.conf.get(f"spark.sql.execution.arrow.{name}")) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def with_struct(df: DataFrame, call, names: list[str]) -> DataFrame:
@@ -71,6 +75,10 @@ def free_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def free_names(df: DataFrame, *bases: str) -> list[str]:
+    return [free_name(df, b) for b in bases]
+
+
 def strings(column: pa.Array) -> list[str]:
     """The texts of an Arrow column, null as empty."""
     return [x if x is not None else "" for x in column.to_pylist()]
@@ -90,18 +98,18 @@ def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.col(quoted(key))), F.lit(1_000_000)) < share)
 
 
-def logistic(x, y, weight, ridge: float = 1e-2):
-    """Weights of a logistic regression over standardized columns, the last for the constant; by Newton steps."""
+def logistic(x, y, weight, ridge: float = 1.0):
+    """Weights of a logistic regression over standardized columns, the last for the constant (which the ridge leaves
+    alone); by short Newton steps."""
     import numpy as np
 
     mean, dev = x.mean(0), x.std(0) + 1e-9
     a = np.c_[(x - mean) / dev, np.ones(len(x))]
-    w = np.zeros(a.shape[1])
-    for _ in range(60):
+    w, held = np.zeros(a.shape[1]), np.diag([ridge] * x.shape[1] + [1e-6])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (weight * (p * (1 - p) + 1e-6))[:, None]).T @ a + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, a.T @ (weight * (y - p)) - ridge * w)
-        w = w + np.clip(step, -5, 5)
+        h = (a * (weight * (p * (1 - p) + 1e-6))[:, None]).T @ a + held
+        w = w + np.clip(np.linalg.solve(h, a.T @ (weight * (y - p)) - held @ w), -1, 1)
     return mean, dev, w
 
 
