@@ -1,22 +1,23 @@
-"""Byte-pair coding of whole texts: pieces between safe boundaries, and tree concatenation for what has none.
+"""Byte-pair coding of whole texts by tree concatenation, and helpers for coding in parts.
 
-A text falls into pieces at places where the tokenizer always starts anew (a single space between two other
-characters, for byte-level BPE; white space, for the word BPE). Pieces are coded alone, each distinct one once, and
-their tokens joined. A long stretch without such a place goes through `TreeEncoder`.
+`TreeEncoder` codes halves of a text apart, as batches, and joins them by windows that are coded again. Texts of many
+megabytes are first cut into slices at places where the tokenizer always starts anew: a single space between two other
+characters, for byte-level BPE. `PieceTable` codes a text in small pieces, each distinct one once; packing uses it for
+the word BPE.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-import os
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Encoding, Tokenizer
 
 from .common import short_batches, single_thread, strings, with_struct
 
@@ -24,15 +25,14 @@ from .common import short_batches, single_thread, strings, with_struct
 _WS, _WORD = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 #: Latin-1 letters, and ASCII marks; a run of either ends where the tokenizer's own pre-tokens end.
 _LETTER, _MARK = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"\x00-\x08\x0e-\x1f!-/:-@\[-`{-~\x7f"
-BYTE_PIECE = re.compile(rf" ?[{_LETTER}]++(?![\u0100-\U0010ffff])|'(?:s|t|re|ve|m|ll|d)| ?[{_MARK}]++(?![^\x00-\x7f])| ?{_WORD}+|{_WS}+(?!{_WORD})|{_WS}")
 #: For the word BPE, which folds case and composes characters first, and drops white space.
 _SHORT = "'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])"
 WORD_PIECE = re.compile(rf"[{_LETTER}]++(?![\u0100-\U0010ffff])|{_SHORT}(?![\u0100-\U0010ffff])|{_SHORT}{_WORD}+|[{_MARK}]++(?![^\x00-\x7f])|{_WORD}+")
 BYTE_SAFE = re.compile(rf"(?<={_WORD}) (?={_WORD})")
-#: Characters of a text taken at a time, and from which on a piece is coded by halves.
-SLICE, LONG = 1 << 20, 4096
-#: Distinct pieces that a worker remembers.
-REMEMBERED = 300_000
+#: Characters of a text taken at a time, of a leaf of the tree, and the bytes of a batch.
+SLICE, LEAF, BATCH = 1 << 20, 2048, 1 << 17
+#: Distinct pieces that a worker remembers, and the most characters of one.
+REMEMBERED, SHORT = 300_000, 64
 
 
 @functools.lru_cache(maxsize=4)
@@ -63,7 +63,7 @@ def specials(path: str) -> re.Pattern | None:
     return re.compile("(" + "|".join(map(re.escape, found)) + ")") if found else None
 
 
-def independent(text: str, path: str, piece: re.Pattern = BYTE_PIECE) -> list[str]:
+def independent(text: str, path: str, piece: re.Pattern) -> list[str]:
     """Pieces of a text that the tokenizer codes independently of one another."""
     cut = specials(path)
     if not cut or not cut.search(text):
@@ -71,99 +71,166 @@ def independent(text: str, path: str, piece: re.Pattern = BYTE_PIECE) -> list[st
     return [p for i, part in enumerate(cut.split(text)) for p in ([part] if i % 2 else piece.findall(part))]
 
 
-def by_bytes(pieces: Iterable[str], most: int = 1 << 17) -> Iterator[list[str]]:
-    """Batches of about equal bytes, so that no batch waits for one long piece."""
-    batch, held = [], 0
-    for p in sorted(pieces, key=len):
-        if batch and held + len(p) > most:
-            yield batch
-            batch, held = [], 0
-        batch.append(p)
-        held += len(p) + 16
-    if batch:
-        yield batch
+def byte_size(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
+def batches(texts: list[str], most: int = BATCH) -> Iterator[list[str]]:
+    """The texts in their order, in runs of about `most` bytes; a longer text is a run of its own."""
+    run, held = [], 0
+    for x in texts:
+        size = byte_size(x) + 16
+        if run and held + size > most:
+            yield run
+            run, held = [], 0
+        run.append(x)
+        held += size
+    if run:
+        yield run
 
 
 class PieceTable:
-    """Values of pieces: `code` computes them for a batch; the first `limit` distinct pieces are remembered."""
+    """Values of pieces: `code` computes them for a batch; the first `limit` distinct short pieces are remembered."""
 
     def __init__(self, code: Callable[[list[str]], list], limit: int = REMEMBERED):
         self.code, self.limit, self.known = code, limit, {}
 
     def __call__(self, pieces: list[str]) -> list:
         known = self.known
-        missing = set(pieces).difference(known)
-        if missing:
-            fresh = {}
-            for batch in by_bytes(missing):
-                fresh.update(zip(batch, self.code(batch), strict=True))
-            if len(known) + len(fresh) <= self.limit:
-                known.update(fresh)
-            else:
-                room = self.limit - len(known)
-                if room > 0:
-                    known.update(list(fresh.items())[:room])
-                return [known[p] if p in known else fresh[p] for p in pieces]
-        return [known[p] for p in pieces]
+        missing = list(set(pieces).difference(known))
+        if not missing:
+            return [known[p] for p in pieces]
+        fresh = {}
+        for batch in batches(missing):
+            fresh.update(zip(batch, self.code(batch), strict=True))
+        out = [known[p] if p in known else fresh[p] for p in pieces]
+        for p, v in fresh.items():
+            if len(known) >= self.limit:
+                break
+            if len(p) <= SHORT:
+                known[p] = v
+        return out
 
 
-class TreeEncoder:
-    """Tree concatenation for text without a safe boundary.
+@dataclass
+class Part:
+    """Tokens low to high of a coded stretch of the text that begins at character `at`; it begins a pre-token."""
+
+    e: Encoding
+    at: int
+    low: int
+    high: int
 
-    The stretch is cut into leaves of at most `leaf` characters, which are coded together in parallel. Neighbours are
-    then joined pair by pair, level by level: the tokens around a join are coded again in a window that grows until
-    the pair at each of its two edges, coded alone, gives these same two tokens. Byte-pair coding is determined by
-    its adjacent pairs, so that then the joined list is the one that coding the whole would give.
+    def start(self, token: int) -> int:
+        return self.at + self.e.token_to_chars(token)[0]
+
+    def begins(self, token: int) -> bool:
+        """Whether the token is a pre-token's first."""
+        return token == self.low or self.e.token_to_word(token) != self.e.token_to_word(token - 1)
+
+
+class TreeEncoder:
+    """Tree concatenation: texts as the tokenizer codes them whole, from halves that are coded apart.
+
+    A text is halved until its leaves have at most `leaf` characters; the leaves of all texts are coded as batches.
+    Neighbours are then joined pair by pair, level by level. The text around a join is coded again in a window that
+    starts where the left side begins a pre-token and grows until it agrees with the right side on a place where both
+    begin one. Pre-tokens are found from left to right and coded alone, so that from there on both sides stay equal,
+    and the joined tokens are those of the whole. Near the end of a coded stretch nothing is trusted (`margin`), since
+    what follows may change it; at a text's own end all is. Without such a place the window grows to the whole.
     """
 
-    def __init__(self, t: Tokenizer, leaf: int = LONG):
+    def __init__(self, t: Tokenizer, leaf: int = LEAF, window: int = 64):
         self.t, self.leaf = t, leaf
-        self.raw = Tokenizer.from_str(t.to_str())
-        self.raw.pre_tokenizer = None
-        self.text = {v: k for k, v in t.get_vocab(with_added_tokens=False).items()}
-        self.special = {a.content: i for i, a in t.get_added_tokens_decoder().items()}
-        self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-
-    def _code(self, parts: list[str]) -> list[list[int]]:
-        before = os.environ.get("TOKENIZERS_PARALLELISM")
-        os.environ["TOKENIZERS_PARALLELISM"] = "true" if len(parts) > 1 else "false"
-        try:
-            return [[x.id for x in self.t.model.tokenize(parts[0])]] if len(parts) == 1 else [e.ids for e in self.raw.encode_batch(parts, add_special_tokens=False)]
-        finally:
-            os.environ["TOKENIZERS_PARALLELISM"] = before or "false"
-
-    def _pair(self, a: int, b: int) -> bool:
-        return [x.id for x in self.t.model.tokenize(self.text[a] + self.text[b])] == [a, b]
-
-    def join(self, left: list[int], right: list[int]) -> list[int]:
-        k = 4
-        while True:
-            a, b = max(0, len(left) - k), min(len(right), k)
-            middle = self._code(["".join(self.text[i] for i in left[a:] + right[:b])])[0]
-            ok_left = a == 0 or self._pair(left[a - 1], middle[0])
-            ok_right = b == len(right) or self._pair(middle[-1], right[b])
-            if ok_left and ok_right:
-                return left[:a] + middle + right[b:]
-            k *= 2
-
-    def stretch(self, mapped: str) -> list[int]:
-        """Tokens of one pre-token, given in the byte alphabet."""
-        if len(mapped) <= self.leaf:
-            return self._code([mapped])[0]
-        level = self._code([mapped[i : i + self.leaf] for i in range(0, len(mapped), self.leaf)])
-        while len(level) > 1:
-            level = [self.join(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        return level[0]
-
-    def encode(self, text: str) -> list[int]:
-        out, at = [], 0
-        for m in self.cut.finditer(text) if self.cut else ():
-            out += self._plain(text[at : m.start()]) + [self.special[m[0]]]
-            at = m.end()
-        return out + self._plain(text[at:])
-
-    def _plain(self, text: str) -> list[int]:
-        return [i for mapped, _ in self.t.pre_tokenizer.pre_tokenize_str(text) for i in self.stretch(mapped)] if text else []
+        self.margin = 8 + max([len(a.content) for a in t.get_added_tokens_decoder().values()] or [0])
+        self.window = max(window, 2 * self.margin)
+        self.joins = 0
+
+    def _code(self, texts: list[str]) -> list[Encoding]:
+        return [e for batch in batches(texts) for e in self.t.encode_batch(batch, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        leaves, cuts = [], []
+        for x in texts:
+            n = 1
+            while len(x) > n * self.leaf:
+                n *= 2
+            cuts.append([len(x) * i // n for i in range(n + 1)])
+            leaves += [x[a:b] for a, b in zip(cuts[-1], cuts[-1][1:], strict=False)]
+        coded, levels = iter(self._code(leaves)), []
+        for own in cuts:
+            levels.append([(a, b, [Part(e, a, 0, len(e))]) for a, b, e in zip(own, own[1:], coded)])  # noqa: B905
+        while any(len(level) > 1 for level in levels):
+            pairs = [(i, j) for i, level in enumerate(levels) for j in range(0, len(level) - 1, 2)]
+            joined = self._joined([(texts[i], levels[i][j], levels[i][j + 1]) for i, j in pairs])
+            after: list[list] = [[] if len(level) > 1 else level for level in levels]
+            for (i, _), node in zip(pairs, joined, strict=True):
+                after[i].append(node)
+            levels = after
+        return [[k for part in level[0][2] for k in part.e.ids[part.low : part.high]] if level else [] for level in levels]
+
+    def _joined(self, pairs: list[tuple]) -> list[tuple]:
+        """Nodes (start, end, parts) of neighbours; a window that does not agree yet is coded again at twice its width."""
+        self.joins += len(pairs)
+        done: list = [None] * len(pairs)
+        open_, width = list(range(len(pairs))), self.window
+        while open_:
+            plans = []
+            for i in open_:
+                text, left, right = pairs[i]
+                k, token, start = self._before(left, left[1] - width)
+                plans.append((i, k, token, start, min(right[1], right[0] + width)))
+            later = []
+            for (i, k, token, start, end), e in zip(plans, self._code([pairs[i][0][start:end] for i, _, _, start, end in plans]), strict=True):
+                node = self._agreed(pairs[i][1], pairs[i][2], k, token, Part(e, start, 0, len(e)), end)
+                if node is None:
+                    later.append(i)
+                done[i] = node
+            open_, width = later, 2 * width
+        return done
+
+    @staticmethod
+    def _before(node: tuple, place: int) -> tuple[int, int, int]:
+        """Part, token and character of the last pre-token that begins at a place or before it."""
+        if place <= node[0]:
+            return 0, node[2][0].low, node[0]
+        k = len(node[2]) - 1
+        while node[2][k].start(node[2][k].low) > place:
+            k -= 1
+        part = node[2][k]
+        token = min(part.e.char_to_token(place - part.at), part.high - 1)
+        while not part.begins(token):
+            token -= 1
+        return k, token, part.start(token)
+
+    def _agreed(self, left: tuple, right: tuple, k: int, token: int, window: Part, end: int) -> tuple | None:
+        whole = end == right[1]
+        if whole and window.at == left[0]:
+            return left[0], right[1], [window]
+        last = end - (0 if whole else self.margin)
+        for w in range(window.e.char_to_token(right[0] - window.at), window.high):
+            place = window.start(w)
+            if place < right[0] or not window.begins(w):
+                continue
+            if place > last:
+                break
+            for j, part in enumerate(right[2]):
+                if part.start(part.high - 1) < place:
+                    continue
+                if part.start(part.low) > place:
+                    break
+                at = part.e.char_to_token(place - part.at)
+                if at is not None and part.low <= at < part.high and part.start(at) == place and part.begins(at):
+                    parts = [*left[2][:k]]
+                    if token > left[2][k].low:
+                        parts.append(Part(left[2][k].e, left[2][k].at, left[2][k].low, token))
+                    parts.append(Part(window.e, window.at, 0, w))
+                    return left[0], right[1], [p for p in [*parts, Part(part.e, part.at, at, part.high), *right[2][j + 1 :]] if p.high > p.low]
+                break
+        if whole:  # no common place up to the end: all from the window's start on is the window's
+            parts = [*left[2][:k], Part(left[2][k].e, left[2][k].at, left[2][k].low, token), window]
+            return left[0], right[1], [p for p in parts if p.high > p.low]
+        return None
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -180,8 +247,8 @@ _PLAIN = re.compile(rf" ?[{_LETTER}]+")
 
 def encode_pieces(path: str, fold: bool = False) -> Callable[[list[str]], list[list[int]]]:
     """Ids of pieces. Runs of letters are one pre-token that nothing normalizes but case (fold), so that the model can
-    take them at once; a long piece of byte-level BPE goes by tree concatenation; all others through the tokenizer."""
-    t, tree = tokenizer(path), []
+    take them at once; all others go through the tokenizer."""
+    t = tokenizer(path)
     tokenize, plain = t.model.tokenize, _PLAIN.fullmatch
 
     def one(piece: str) -> list[int]:
@@ -192,11 +259,7 @@ def encode_pieces(path: str, fold: bool = False) -> Callable[[list[str]], list[l
     def code(batch: list[str]) -> list[list[int]]:
         out, rest = [], []
         for p in batch:
-            if len(p) > LONG and not fold:
-                if not tree:
-                    tree.append(TreeEncoder(t))
-                out.append(tree[0].encode(p))
-            elif plain(p):
+            if plain(p):
                 out.append(one(p))
             else:
                 rest.append(len(out))
@@ -210,27 +273,33 @@ def encode_pieces(path: str, fold: bool = False) -> Callable[[list[str]], list[l
 
 
 @functools.lru_cache(maxsize=2)
-def _coder(path: str) -> PieceTable:
-    encode, t = encode_pieces(path), tokenizer(path)
+def tree_encoder(path: str) -> TreeEncoder:
+    return TreeEncoder(tokenizer(path))
+
+
+def coded(texts: list[str], path: str) -> Iterator[list[list[int]]]:
+    """For each text the ids of its slices between safe boundaries. Slices of several texts are coded together, up to
+    about SLICE characters; a longer one, which has no safe boundary, alone."""
+    tree = tree_encoder(path)
+    held, size, owners = [], 0, []
 
-    def code(batch: list[str]) -> list[tuple[bytes, bytes]]:
-        ids = encode(batch)
-        decoded = t.decode_batch(ids, skip_special_tokens=False)
-        return [("".join([f"{i}," for i in x]).encode(), d.encode()) for x, d in zip(ids, decoded, strict=True)]
+    def flush() -> list[list[list[int]]]:
+        ids = iter(tree.encode(held))
+        return [[next(ids) for _ in range(n)] for n in owners]
 
-    return PieceTable(code)
+    for x in texts:
+        own = list(slices(x)) if x else []
+        if held and size + len(x) > SLICE:
+            yield from flush()
+            held, size, owners = [], 0, []
+        held, size, owners = held + own, size + len(x), [*owners, len(own)]
+    yield from flush()
 
 
-def codes(text: str, path: str) -> tuple[int, bytes, bytes]:
-    """Number of tokens, decimal ids joined by commas, and the decoded text in UTF-8."""
-    ids, decoded = [], []
-    table = _coder(path)
-    for part in slices(text):
-        found = table(independent(part, path))
-        ids.append(b"".join([x for x, _ in found]))
-        decoded.append(b"".join([x for _, x in found]))
-    joined = b"".join(ids)
-    return joined.count(b","), joined[:-1], b"".join(decoded)
+def digests(ids: list[list[int]], t: Tokenizer) -> tuple[int, bytes, bytes]:
+    """Number of tokens, decimal ids joined by commas, and the decoded text in UTF-8, of a text's slices."""
+    listed = b",".join([",".join(map(str, x)).encode() for x in ids if x])
+    return sum(map(len, ids)), listed, "".join(t.decode_batch(ids, skip_special_tokens=False)).encode() if ids else b""
 
 
 def encode_decode(df: DataFrame, path: str, text: str = "text", full: bool = False) -> DataFrame:
@@ -246,13 +315,13 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", full: bool = Fal
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             n, a, b, ids, texts = [], [], [], [], []
-            for x in strings(batch):
-                k, listed, decoded = codes(x, path)
+            for own in coded(strings(batch), path):
+                k, listed, decoded = digests(own, tokenizer(path))
                 n.append(k)
                 a.append(hashlib.sha256(listed).hexdigest())
                 b.append(hashlib.sha256(decoded).hexdigest())
                 if full:
-                    ids.append([int(i) for i in listed.split(b",")] if listed else [])
+                    ids.append([i for x in own for i in x])
                     texts.append(decoded.decode("utf-8", "replace"))
             cols = [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             names = ["n_tokens", "ids_sha256", "decoded_sha256"]
