@@ -1,10 +1,12 @@
-"""Toxicity by compression distance: two zstandard dictionaries, and what each saves on the windows of a text.
-
-A window is one word. Its bytes are stretched (each becomes four), since zstandard's lengths are whole bytes and a short
-word would else fit no match. One dictionary holds words of toxic text, those that labelled toxic rows have far more
-often than others; the other holds words of ordinary text. A window speaks for toxicity where the toxic dictionary
-compresses it to a calibrated length or less and the ordinary one needs more. A document's score comes from the number
-and share of such windows, through a logistic curve fitted on labelled rows.
+"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, and what each saves on the
+windows of a text.
+
+The ordinary dictionary is trained on windows of ordinary text. Toxic dictionaries are trained on those spans of toxic
+text whose byte strings toxic documents have far more often than ordinary ones; each lies before the ordinary
+dictionary's content, so that what all texts have in common compresses alike and the difference of two lengths comes
+from the toxic part. A second one is trained on the toxic documents that the first leaves unseen. A window's lengths
+under the dictionaries are compared with calibrated thresholds, and a document's score is a logistic curve over the
+numbers and shares of windows beyond them.
 """
 
 from __future__ import annotations
@@ -20,168 +22,261 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PieceTable
-from .common import bounded_sample, logistic, predict, short_batches, strings, with_struct
-
-WORD = re.compile(r"[^\W_]+")
-#: Longest window in characters; a longer word is several windows.
-WINDOW = 48
-_STRETCH = [bytes((i, (i * 7 + 91) & 255, (i * 29 + 17) & 255, (i * 113 + 200) & 255)) for i in range(256)]
-
+from .common import bounded_sample, logistic, predict, quoted, short_batches, strings, with_struct
 
-def stretched(text: str) -> bytes:
-    return b"".join([_STRETCH[c] for c in text.encode("utf-8", "surrogatepass")])
-
-
-def windows(text: str) -> list[str]:
-    found = WORD.findall(text.lower())
-    if any(len(w) > WINDOW for w in found):
-        return [w[i : i + WINDOW] for w in found for i in range(0, len(w), WINDOW)]
-    return found
+#: Bytes of a half window; a window is two neighbouring halves, so that each byte but the first and last is in two.
+HALF = 48
+_CUT = re.compile(rb".{1,%d}(?: |$)|.{%d}" % (HALF, HALF), re.S)
+_SPACE = re.compile(rb"\s+")
+#: Bytes of the strings that toxic and ordinary text are contrasted by.
+GRAM = 6
+#: Gains in bytes that are counted, and the pairs of them that calibration chooses from.
+GAINS = (1, 2, 3, 4, 5)
+PAIRS = ((1, 3), (2, 3), (2, 4), (3, 5))
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """What a fit leaves: both dictionaries' content, the calibrated length and gain, the score's weights."""
+    """What a fit leaves: the ordinary dictionary's content, the toxic ones', the calibrated gains, the score's curve."""
 
-    toxic: bytes
     ordinary: bytes
-    most: int
-    gain: int
+    toxic: tuple[bytes, ...]
+    gains: tuple[int, int]
     curve: tuple
 
 
-class Lengths:
-    """Compressed lengths of windows under both dictionaries."""
+def folded(text: str) -> bytes:
+    """Lower case, white space as single spaces, one at either end."""
+    return b" " + _SPACE.sub(b" ", text.lower().encode("utf-8", "surrogatepass")).strip(b" ") + b" "
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        params = zstandard.ZstdCompressionParameters(window_log=18, chain_log=17, hash_log=17, search_log=8, min_match=4, target_length=256, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
-        held = [zstandard.ZstdCompressionDict(x or b" " * 64, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for x in (ordinary, toxic)]
-        for d in held:
-            d.precompute_compress(compression_params=params)
-        self.held = held
-        self.by = [zstandard.ZstdCompressor(dict_data=d, compression_params=params) for d in held]
-
-    def toxic(self, window: bytes) -> int:
-        return len(self.by[1].compress(window))
-
-    def ordinary(self, window: bytes) -> int:
-        return len(self.by[0].compress(window))
 
+def windows(data: bytes) -> Iterator[bytes]:
+    """Overlapping windows of at most 2 * HALF + 2 bytes over folded text, cut after spaces where there are any."""
+    start = middle = 0
+    for m in _CUT.finditer(data):
+        if middle:
+            yield data[start : m.end()]
+        start, middle = middle, m.end()
+    if not start and middle:
+        yield data[:middle]
 
-def _speaks(model: ToxicityModel):
-    lengths = Lengths(model.ordinary, model.toxic)
 
-    def one(word: str) -> int:
-        window = stretched(f" {word} ")
-        n = lengths.toxic(window)
-        return int(n <= model.most and lengths.ordinary(window) - n >= model.gain)
+class Lengths:
+    """Compressed lengths of windows: under the ordinary dictionary, and under each toxic one with it."""
 
-    return one
+    def __init__(self, ordinary: bytes, toxic: tuple[bytes, ...]):
+        self.params = params = zstandard.ZstdCompressionParameters(window_log=17, chain_log=15, hash_log=15, search_log=6, min_match=4, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+        self.held = [zstandard.ZstdCompressionDict(x + ordinary or b" " * 64, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for x in (b"", *toxic)]
+        for d in self.held:
+            d.precompute_compress(compression_params=params)
+        self.by = [zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress for d in self.held]
+
+    def of(self, window: bytes) -> list[int]:
+        return [len(c(window)) for c in self.by]
+
+    def counts(self, text: str) -> np.ndarray:
+        """Windows, then for each toxic dictionary the windows that gain GAINS bytes or more, and all gains (8 a window
+        at most)."""
+        base, *rest = self.by
+        n, seen = 0, [[0] * 9 for _ in rest]
+        for w in windows(folded(text)):
+            n += 1
+            before = len(base(w))
+            for gains, c in zip(seen, rest, strict=True):
+                gain = before - len(c(w))
+                if gain > 0:
+                    gains[min(gain, 8)] += 1
+        out = [n]
+        for gains in seen:
+            out += [sum(gains[g:]) for g in GAINS] + [sum(i * k for i, k in enumerate(gains))]
+        return np.array(out, float)
 
 
-def _features(hits: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return np.c_[np.log1p(hits), np.log(hits + 0.3) - np.log(n + 30), hits > 0, hits > 1, np.log(n + 1)].astype(float)
+@functools.lru_cache(maxsize=2)
+def lengths_of(ordinary: bytes, toxic: tuple[bytes, ...]) -> Lengths:
+    return Lengths(ordinary, toxic)
+
+
+def columns(counts: np.ndarray, gains: tuple[int, int]) -> np.ndarray:
+    """What the curve sees: for each dictionary and gain the number and share of windows, for each the mean gain."""
+    n = counts[:, 0]
+    out = [np.log1p(n)]
+    for at in range(1, counts.shape[1], len(GAINS) + 1):
+        for g in gains:
+            hits = counts[:, at + GAINS.index(g)]
+            out += [np.log(hits + 0.3) - np.log(n + 8), np.log1p(hits), hits > 0]
+        out.append(np.log(counts[:, at + len(GAINS)] + 0.5) - np.log(n + 8))
+    return np.array(out, float).T
+
+
+def grams(data: bytes) -> np.ndarray:
+    """The strings of GRAM bytes at each place, as numbers."""
+    a = np.frombuffer(data, np.uint8)
+    out = np.zeros(max(0, len(a) - GRAM + 1), np.uint64)
+    for i in range(GRAM):
+        out = (out << np.uint64(8)) | a[i : len(out) + i]
+    return out
+
+
+def telling_spans(toxic: list[bytes], ordinary: list[bytes], least: int = 4, ratio: float = 8.0, deviations: float = 8.0) -> list[bytes]:
+    """The distinct spans of each toxic text made of strings that `least` toxic texts have or more, and that are `ratio`
+    times as frequent there as in ordinary text, by that many deviations."""
+    per_text = [np.unique(grams(x), return_counts=True) for x in toxic]
+    if not per_text:
+        return []
+    keys, at = np.unique(np.concatenate([k for k, _ in per_text]), return_inverse=True)
+    texts = np.bincount(at, minlength=len(keys))
+    times = np.bincount(at, weights=np.concatenate([n for _, n in per_text]), minlength=len(keys))
+    others, all_others = np.zeros(len(keys)), 0
+    for x in ordinary:
+        g = grams(x)
+        all_others += len(g)
+        i = np.minimum(np.searchsorted(keys, g), len(keys) - 1) if len(keys) else np.zeros(0, int)
+        others += np.bincount(i[keys[i] == g], minlength=len(keys)) if len(keys) else 0
+    n1, n0 = max(1.0, times.sum()), max(1, all_others)
+    expected = (times + others) * n1 / (n1 + n0)
+    beyond = (times - expected) / np.sqrt(expected * n0 / (n1 + n0) + 1e-9)
+    good = keys[(texts >= least) & (times / n1 > ratio * (others + 1) / n0) & (beyond > deviations)]
+    out = []
+    for x in toxic if len(good) else ():
+        g = grams(x)
+        i = np.minimum(np.searchsorted(good, g), len(good) - 1)
+        edge = np.zeros(len(x) + 1, int)
+        hits = np.flatnonzero(good[i] == g)
+        edge[hits] += 1
+        edge[hits + GRAM] -= 1
+        inside = np.r_[0, (np.cumsum(edge)[: len(x)] > 0).astype(int), 0]
+        ends = np.flatnonzero(np.diff(inside))
+        out += sorted({x[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)})
+    return out
+
+
+def trained(samples: list[bytes], size: int, k: int) -> bytes:
+    """The content of zstandard's trained dictionary of about `size` bytes, without its tables; the samples themselves
+    where they are too few to train on."""
+    try:
+        whole = zstandard.train_dictionary(size, samples, k=k, d=6).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(dict.fromkeys(samples))[:size]
+    head = whole.find(b"\x01\0\0\0\x04\0\0\0\x08\0\0\0", 8)  # the last words before the content
+    return whole[head + 12 :] if head > 0 else whole
+
+
+def ordinary_dictionary(ordinary: list[str], size: int = 16_384, most: int = 30_000, seed: int = 5) -> bytes:
+    """Trained on at most `most` windows of ordinary texts, drawn at random."""
+    cut = [w for x in ordinary for w in windows(folded(x))]
+    chosen = np.random.default_rng(seed).permutation(len(cut))[:most]
+    return trained([cut[i] for i in chosen], size, 32)
+
+
+def toxic_dictionaries(base: bytes, toxic: list[str], ordinary: list[str], size: int = 1024) -> tuple[bytes, ...]:
+    """Two dictionaries; the second from the toxic texts that under the first have no larger a share of gaining windows
+    than ordinary texts (0.95 of the first 500)."""
+    fine, found, left = [folded(x) for x in ordinary], [], toxic
+    for _ in range(2):
+        spans = telling_spans([folded(x) for x in left], fine)
+        found.append(trained(spans, size, 16) if spans else b"")
+        lengths = Lengths(base, (found[-1],))
+        share = lambda x: (c := lengths.counts(x))[2] / max(c[0], 1)  # noqa: B023, E731
+        usual = np.quantile([share(x) for x in ordinary[:500]], 0.95)
+        left = [x for x in left if share(x) <= usual]
+    return tuple(found)
+
+
+def fit_curve(counts: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, tuple[int, int], tuple]:
+    """The pair of gains whose curve fits labelled documents best, its loss first, and that curve."""
+    best = None
+    for gains in PAIRS:
+        x = columns(counts, gains)
+        curve = logistic(x, y, weight)
+        p = np.clip(predict(curve, x), 1e-4, 1 - 1e-4)
+        loss = -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()
+        if best is None or loss < best[0] * 0.99:
+            best = (loss, gains, curve)
+    return best
+
+
+def flat(share: float) -> ToxicityModel:
+    """A model without dictionaries: one score for all texts."""
+    at = float(np.log(np.clip(share, 0.001, 0.999) / (1 - np.clip(share, 0.001, 0.999))))
+    return ToxicityModel(b"", (), PAIRS[0], (np.zeros(1), np.ones(1), np.array([0.0, at])))
+
+
+def scores(texts: list[str], model: ToxicityModel) -> np.ndarray:
+    """The score of each text, 0 to 1."""
+    if not texts:
+        return np.zeros(0)
+    lengths = lengths_of(model.ordinary, model.toxic)
+    counts = np.array([lengths.counts(x) for x in texts])
+    return predict(model.curve, columns(counts, model.gains))
+
+
+def sampled(df: DataFrame, labels: DataFrame, rows: int, key: str, text: str, label: str) -> DataFrame:
+    """(key, text, y, of) of at most about `rows` rows of each label whose crc32(key as text) mod 3 is not 1; of is the
+    number of the label's rows that they stand for. Keys with labels of both kinds, null labels and null texts are left out."""
+    k = F.col(quoted(key))
+    own = labels.where(F.col(quoted(label)).isin(0, 1)).groupBy(k.alias("key")).agg(F.min(quoted(label)).alias("y"), F.max(quoted(label)).alias("z")).where("y = z")
+    own = own.where(F.crc32(F.col("key").cast("string").cast("binary")) % 3 != 1).select("key", "y")
+    parts = []
+    for y in (0, 1):
+        kind = own.where(F.col("y") == y)
+        parts.append(bounded_sample(kind, "key", rows).withColumn("of", F.lit(kind.count())))
+    chosen = parts[0].unionByName(parts[1])  # at most about 2.4 times rows keys: small enough to broadcast
+    texts = df.where(F.col(quoted(text)).isNotNull()).select(k.alias("key"), F.col(quoted(text)).alias("text"))
+    return texts.join(F.broadcast(chosen), "key")
 
 
-def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, words: int = 1000, ordinary_bytes: int = 4096) -> ToxicityModel:
-    """Train both dictionaries on labelled texts, and calibrate the window's thresholds and the score on them.
+def train(df: DataFrame, labels: DataFrame, rows: int = 2000, part: int = 2048, parts: int = 4, folds: int = 3, sizes: tuple[int, ...] = (8192, 16_384), positive: float = 1.0, key: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
+    """Fit on at most about `rows` labelled rows of each label whose crc32(key as text) mod 3 is not 1.
 
-    Without rows of both labels the model scores every text by the share of toxic rows (or 0 without rows).
+    The dictionaries are trained on the driver, from those rows' texts; of a text of over part * parts characters, from
+    as many parts of that length, evenly spread. The curve is fitted to counts over the rows' whole texts, which the
+    executors take, each fold under toxic dictionaries of the other folds, so that no row is judged by its own spans;
+    only the counts come back, and they choose the ordinary dictionary's size too. A row of label 1 weighs `positive` times one of label 0. Without rows of both labels the
+    score is one number for all texts.
     """
-    y = np.asarray(toxic, float)
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    if not n1 or not n0:
-        return ToxicityModel(b"", b"", -1, 1, (np.zeros(5), np.ones(5), np.array([0, 0, 0, 0, 0, 6.0 if n1 else -6.0])))
-    names: dict[str, int] = {}
-    split = [np.array([names.setdefault(w, len(names)) for w in windows(t)], np.int32) for t in texts]
-    counts = np.zeros((2, len(names)), np.int32)
-    for ids, label in zip(split, y, strict=True):
-        counts[int(label), np.unique(ids)] += 1
-    words_by = list(names)
-    k, m = counts[1].astype(float), counts[0].astype(float)
-    often, seldom = (k + 0.5) / (n1 + 1), (m + 0.5) / (n0 + 1)
-    excess = (k / n1 - m / n0) / ((k + m + 1) / (n1 + n0) / n1) ** 0.5
-    able = np.flatnonzero((k >= 3) & (excess > 4) & (often > 8 * seldom))
-    chosen = [(k[i] * np.log(often[i] / seldom[i]), words_by[i]) for i in able if len(words_by[i]) >= 3]
-    chosen = [w for _, w in sorted(chosen, reverse=True)[:words]]
-    taken = set(chosen)
-    frequent = np.argsort(-counts[0], kind="stable")[: ordinary_bytes // 4 + len(taken)]
-    common = [words_by[i] for i in frequent if counts[0, i] and words_by[i] not in taken]
-    t = stretched(" " + " ".join(reversed(chosen)) + " ")
-    o = stretched((" " + " ".join(common))[:ordinary_bytes] + " ")
-    lengths = Lengths(o, t)
-    toxic_length, saved = np.full(len(words_by), 99), np.zeros(len(words_by), int)
-    for i, w in enumerate(words_by):
-        window = stretched(f" {w} ")
-        toxic_length[i] = lengths.toxic(window)
-        if toxic_length[i] <= 24:
-            saved[i] = lengths.ordinary(window) - toxic_length[i]
-    n = np.array([len(ids) for ids in split])
-    best = None
-    for most in range(12, 21):
-        for gain in (2, 4):
-            speaks = (toxic_length <= most) & (saved >= gain)
-            hits = np.array([speaks[ids].sum() for ids in split])
-            x = _features(hits, n)
-            curve = logistic(x, y, weight)
-            p = np.clip(predict(curve, x), 1e-4, 1 - 1e-4)
-            loss = -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()
-            if best is None or loss < best[0] * 0.999:
-                best = (loss, most, gain, curve)
-    return ToxicityModel(t, o, best[1], best[2], best[3])
-
-
-@functools.lru_cache(maxsize=2)
-def _table(toxic: bytes, ordinary: bytes, most: int, gain: int) -> PieceTable:
-    one = _speaks(ToxicityModel(toxic, ordinary, most, gain, ()))
-    return PieceTable(lambda batch: [one(w) for w in batch], limit=200_000)
-
-
-def _score(texts: list[str], model: ToxicityModel) -> np.ndarray:
-    table, hits, n = _table(model.toxic, model.ordinary, model.most, model.gain), [], []
-    for t in texts:
-        ws = windows(t)
-        hits.append(sum(table(ws)))
-        n.append(len(ws))
-    return predict(model.curve, _features(np.array(hits), np.array(n))) if texts else np.zeros(0)
-
-
-def train(df: DataFrame, labels: DataFrame, rows: int = 2500, row_bytes: int = 200_000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
-    """Fit on at most about `rows` labelled rows of each label whose crc32(key as text) mod 3 is not 1 and whose text
-    has at most row_bytes bytes: a bounded sample, chosen by hash, collected to the driver. Keys with labels of both
-    kinds, null labels and null texts are left out."""
-    own = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).alias("_y"), F.max(label).alias("_z")).where("_y = _z")
-    own = own.where(F.crc32(F.col(key).cast("string").cast("binary")) % 3 != 1).select(key, "_y")
-    parts, weights = [], {}
-    for y in (0, 1):
-        kind = own.where(F.col("_y") == y)
-        part = bounded_sample(kind, key, rows)
-        parts.append(part)
-        weights[y] = kind.count()
-    chosen = parts[0].unionByName(parts[1])  # at most about 2.4 times rows keys: small enough to broadcast
-    got = df.where(F.col(text).isNotNull() & (F.octet_length(text) <= row_bytes)).select(key, text).join(F.broadcast(chosen), key).select(text, "_y").toPandas()
-    y = got["_y"].to_numpy(dtype=float)
-    taken = {k: max(1, int((y == k).sum())) for k in (0, 1)}
-    weight = np.array([weights[int(k)] / taken[int(k)] for k in y]) if len(y) else np.zeros(0)
-    weight = weight / weight.mean() if len(y) else weight
-    return fit(got[text].tolist(), y, weight)
+    short_batches(df.sparkSession)
+    some = sampled(df, labels, rows, key, text, label).withColumn("fold", F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(folds)).cast("int"))
+    n, most = F.length("text"), part * parts
+    spread = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.substring(F.col("text"), (i * (n - part) / (parts - 1)).cast("int") + 1, F.lit(part)))
+    got = some.select("key", F.when(n > most, spread).otherwise(F.array("text")).alias("text"), "y", "fold").toPandas().sort_values(["key", "y"], kind="stable")
+    y, fold = got["y"].to_numpy(dtype=float), got["fold"].to_numpy()
+    if not len(y) or y.min() == y.max():
+        return flat(float(y.mean()) if len(y) else 0.0)
+    texts = [" ".join(x) for x in got["text"]]
+    of = lambda label, but=None: [x for x, k, f in zip(texts, y, fold, strict=True) if k == label and f != but]
+    bases = [ordinary_dictionary(of(0), size) for size in sizes]
+    apart = [[toxic_dictionaries(base, of(1, f), of(0, f) or of(0)) for f in range(folds)] for base in bases]
+
+    @F.arrow_udf("array<double>")
+    def count(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        by = [[Lengths(base, x) for x in own] for base, own in zip(bases, apart, strict=True)]
+        for batch, of_fold in batches:
+            yield pa.array([np.concatenate([own[f].counts(x) for own in by]) for x, f in zip(strings(batch), of_fold.to_pylist(), strict=True)], pa.list_(pa.float64()))
+
+    seen = some.select("key", "y", "of", count.asNondeterministic()(F.col("text"), F.col("fold")).alias("c")).toPandas().sort_values(["key", "y"], kind="stable")
+    y, rows_of = seen["y"].to_numpy(dtype=float), seen["of"].to_numpy(dtype=float)
+    weight = rows_of / np.where(y == 1, y.sum(), len(y) - y.sum()) * np.where(y == 1, positive, 1.0)
+    counts = np.split(np.array(seen["c"].tolist(), float), len(sizes), axis=1)
+    fits = [(*fit_curve(c, y, weight / weight.mean()), base) for c, base in zip(counts, bases, strict=True)]
+    _, gains, curve, base = min(fits, key=lambda x: x[0])
+    return ToxicityModel(base, toxic_dictionaries(base, of(1), of(0)), gains, curve)
 
 
 def score(df: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text", cut: float = 0.7) -> DataFrame:
     """Add held_out (crc32(key as text) mod 3 is 1), score (0 to 1) and predicted (1 if score >= cut) to every row.
 
-    The whole text is scored and nothing else is looked at. Null counts as empty; empty texts get the score of no
-    windows. Repeated rows score alike; extra columns stay; columns of df with the names of the new ones are replaced.
-    A null key is not held out. An empty table gives an empty one.
+    The whole text is scored and nothing else is looked at. Null counts as empty; empty texts get the score of one
+    window of spaces. Repeated rows score alike; extra columns stay; columns of df with the names of the new ones are
+    replaced. A null key is not held out. An empty table gives an empty one.
     """
     short_batches(df.sparkSession)
 
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array(_score(strings(batch), model), pa.float64())
+            yield pa.array(scores(strings(batch), model), pa.float64())
 
-    held = F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    out = with_struct(df, F.struct(held.alias("held_out"), run.asNondeterministic()(F.col(text)).alias("score")), ["held_out", "score"])
+    held = F.coalesce(F.crc32(F.col(quoted(key)).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    out = with_struct(df, F.struct(held.alias("held_out"), run.asNondeterministic()(F.col(quoted(text))).alias("score")), ["held_out", "score"])
     return out.drop("predicted").withColumn("predicted", F.when(F.col("score") >= cut, 1).otherwise(0))
