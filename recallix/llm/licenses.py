@@ -1,7 +1,8 @@
 """License scans: base phrases, and template markup compiled into token automata.
 
-A template is wording with optional regions, `<<opt>> ... <</opt>>`, and replaceable ones, `<<var:A-B>>`, which stand
-for A to B words of any kind. All other words are mandatory and must stand in the text exactly and in order. Templates
+A template is wording with optional regions, `<<opt>> ... <</opt>>`, which may hold others, and replaceable ones,
+`<<var:A-B>>`, which stand for A to B words of any kind. All other words are mandatory and must stand in the text exactly
+and in order. Wording is read as texts are: words without case and marks. Templates, of notices and of whole licenses,
 become automata over words; a text is accepted where one of them runs through to its end.
 """
 
@@ -20,26 +21,83 @@ from .common import short_batches, strings, with_struct
 #: Fixed values of the base: phrase and label.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Label and wording. The words are those of the public license texts and of customary notices.
+#: Fixed values, the public license texts: label and wording, first of notices, then of whole licenses, whose copyright
+#: lines, names of holders and list marks may be left out or replaced.
 TEMPLATES = [
-    ("mit", "<<opt>>released<</opt>> under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and <<opt>>associated<</opt>> documentation files <<opt>>the software<</opt>> to deal in the software without restriction"),
-    ("apache-2.0", "licensed under the apache license version 2 0 <<opt>>the license<</opt>>"),
-    ("gpl-2", "licensed under the <<opt>>terms of the<</opt>> gnu general public license <<opt>>as published by the free software foundation either<</opt>> version 2"),
-    ("gpl-3", "licensed under the <<opt>>terms of the<</opt>> gnu general public license <<opt>>as published by the free software foundation either<</opt>> version 3"),
-    ("gpl-3", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license"),
-    ("lgpl", "under the <<opt>>terms of the<</opt>> gnu lesser general public license <<var:0-8>> version <<var:1-2>>"),
-    ("agpl", "under the <<opt>>terms of the<</opt>> gnu affero general public license <<var:0-8>> version <<var:1-2>>"),
-    ("cc-by-nc", "licensed under <<opt>>the<</opt>> <<opt>>creative commons<</opt>> cc by nc <<opt>>sa<</opt>> <<opt>>nd<</opt>> 4 0"),
-    ("cc-by-sa", "licensed under <<opt>>the<</opt>> <<opt>>creative commons<</opt>> cc by sa 4 0"),
-    ("cc-by-nc", "creative commons attribution noncommercial <<opt>>sharealike<</opt>> <<opt>>noderivatives<</opt>> <<var:0-3>> license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc", "permission to use copy modify and <<opt>>or<</opt>> distribute this software for any purpose with or without fee is hereby granted"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("spdx", "spdx license identifier <<var:1-2>>"),
-    ("copyright", "copyright <<opt>>c<</opt>> <<var:1-8>> all rights reserved"),
+    ("mit", "<<opt>>released<</opt>> under the MIT license"),
+    ("apache-2.0", "licensed under the Apache License, Version 2.0 <<opt>>(the License)<</opt>>"),
+    ("gpl-2", "licensed under the <<opt>>terms of the<</opt>> GNU General Public License <<opt>>as published by the Free Software Foundation; either<</opt>> version 2"),
+    ("gpl-3", "licensed under the <<opt>>terms of the<</opt>> GNU General Public License <<opt>>as published by the Free Software Foundation; either<</opt>> version 3"),
+    ("lgpl", "under the <<opt>>terms of the<</opt>> GNU Lesser General Public License <<var:0-8>> version <<var:1-2>>"),
+    ("agpl", "under the <<opt>>terms of the<</opt>> GNU Affero General Public License <<var:0-8>> version <<var:1-2>>"),
+    ("cc-by-nc", "licensed under <<opt>>the<</opt>> <<opt>>Creative Commons<</opt>> CC BY-NC <<opt>>SA<</opt>> <<opt>>ND<</opt>> 4.0"),
+    ("cc-by-sa", "licensed under <<opt>>the<</opt>> <<opt>>Creative Commons<</opt>> CC BY-SA 4.0"),
+    ("cc-by-nc", "Creative Commons Attribution-NonCommercial <<opt>>ShareAlike<</opt>> <<opt>>NoDerivatives<</opt>> <<var:0-3>> license"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. <<opt>>If a copy of the MPL was not distributed with this file, You can obtain one at http<<opt>>s<</opt>>://<<opt>>www.<</opt>>mozilla.org/MPL/2.0/.<</opt>>"),
+    ("spdx", "SPDX-License-Identifier: <<var:1-2>>"),
+    ("copyright", "copyright <<opt>>(c)<</opt>> <<var:1-8>> all rights reserved"),
+    (
+        "apache-2.0-notice",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http<<opt>>s<</opt>>://www.apache.org/licenses/LICENSE-2.0 <<opt>>html<</opt>> Unless required by applicable law or agreed to in writing, software distributed under the License is "
+        "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "gpl-notice",
+        "This <<opt>>program<</opt>> <<opt>>file<</opt>> is free software<<opt>>:<</opt>> you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation<<opt>>,<</opt>> "
+        "either version <<var:1-1>> of the License, or (at your option) any later version. <<var:0-4>> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. <<opt>>You should have received a copy of the GNU General Public License along with <<var:1-4>> If not, see <<var:1-6>><</opt>>",
+    ),
+    (
+        "mit-text",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without "
+        "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+        "conditions: The above copyright notice and this permission notice <<opt>>(including the next paragraph)<</opt>> shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY "
+        "KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var:1-12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "bsd-text",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<var:0-1>> Redistributions of source code must retain the above "
+        "copyright notice, this list of conditions and the following disclaimer. <<var:0-1>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in "
+        "the documentation and/or other materials provided with the distribution. <<opt>><<var:0-1>> Neither the name of <<var:1-16>> may be used to endorse or promote products derived from this software without specific prior "
+        "written permission.<</opt>> THIS SOFTWARE IS PROVIDED BY <<var:1-12>> \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR "
+        "PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var:1-12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+        "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF "
+        "THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "isc-text",
+        "Permission to use, copy, modify, and<<opt>>/or<</opt>> distribute this software for any purpose with or without fee is hereby granted<<opt>>, provided that the above copyright notice and this permission notice appear in all "
+        "copies<</opt>>. THE SOFTWARE IS PROVIDED \"AS IS\" AND <<var:1-10>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var:1-10>> BE "
+        "LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF "
+        "OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "zlib-text",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this "
+        "software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: <<var:0-1>> The origin of this software must not be misrepresented; you must "
+        "not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. <<var:0-1>> Altered source versions must be "
+        "plainly marked as such, and must not be misrepresented as being the original software. <<var:0-1>> This notice may not be removed or altered from any source distribution.",
+    ),
+    (
+        "unlicense-text",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means. <<opt>>In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public "
+        "domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future "
+        "rights to this software under copyright law.<</opt>>",
+    ),
+    (
+        "boost-text",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, "
+        "execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    ),
 ]
 
+#: Markup of optional and replaceable regions.
+_MARKUP = re.compile(r"<<opt>>|<</opt>>|<<var:\d+-\d+>>")
+
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i if i >= 128 or 48 <= i <= 57 or 97 <= i <= 122 else 32 for i in range(256))
 
 
@@ -96,13 +154,15 @@ def compiled(label: str, wording: str) -> Automaton:
         need.append(total)
         return len(step) - 1
 
-    for token in re.findall(r"<<[^>]*>>|[^\s<]+", wording):
+    tokens = [x for i, part in enumerate(re.split(f"({_MARKUP.pattern})", wording)) for x in ([part] if i % 2 else words_of(part))]
+    for token in tokens:
         here = len(step) - 1
         if token == "<<opt>>":
             open_at.append(here)
         elif token == "<</opt>>":
             skip[open_at.pop()].append(here)
-        elif m := re.fullmatch(r"<<var:(\d+)-(\d+)>>", token):
+        elif isinstance(token, str):
+            m = re.fullmatch(r"<<var:(\d+)-(\d+)>>", token)
             low, high = int(m[1]), int(m[2])
             ends = [here]
             for _ in range(high):
@@ -114,7 +174,7 @@ def compiled(label: str, wording: str) -> Automaton:
         else:
             total += not open_at
             t = state()
-            step[here].setdefault(token.encode(), []).append(t)
+            step[here].setdefault(token, []).append(t)
     if open_at:
         raise ValueError("an optional region is not closed")
     starts, todo = {0}, [0]
@@ -147,13 +207,14 @@ class Scanner:
         joined = b" " + b" ".join(words) + b" "
         starts, base = [], set()
         for phrase, label in self.phrases:
-            at = joined.find(phrase)
+            at, seen, word = joined.find(phrase), 0, 0
             while at >= 0:
-                starts.append(joined.count(b" ", 0, at))
+                word, seen = word + joined.count(b" ", seen, at), at
+                starts.append(word)
                 base.add(label)
                 at = joined.find(phrase, at + 1)
         found, score = [], 0.5 if base else 0.0
-        here = {w for w in self.by_first if w in joined}
+        here = {w for w in self.by_first if w in joined}  # where none stands, no template can begin
         for i, w in enumerate(words) if here else ():
             if w in here and w in self.by_first:
                 for a in self.by_first[w]:
