@@ -2,7 +2,8 @@
 
 The base kinds are patterns; spans come from splitting a text by a pattern and adding up the lengths of what lies
 between and of the matches. Beside them, weak candidates (identifiers, key material, endpoints) are linked: all parts of
-a document become intervals, and a candidate is reported only if the parts that complete it lie within its scope.
+a document become intervals, and a candidate is reported only if the parts that complete it lie within its scope, which
+is its block of lines and a distance in it.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, free_name, quoted
+from .common import cut_lineage, free_names, quoted
 
 #: The base kinds, in their order, with what a match must have at least.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -18,12 +19,13 @@ ACCESS, HEX = r"AKIA[A-Z0-9]+", r"[0-9a-f]+"
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 
 #: Weak candidates: whose value alone proves nothing.
-IDENTIFIER = r"""(?i:\b(?:user(?:name)?|login|account|client_?id|access_?(?:key_?)?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,64}"""
+IDENTIFIER = r"""(?i:\b(?:user(?:name)?|login|account|client_?id|access_?(?:key_?)?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}"""
 MATERIAL = r"""(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}+={0,2}(?![A-Za-z0-9+/=])"""
-ENDPOINT = r"""(?i:\b(?:https?|ftp|jdbc:[a-z]{2,20}|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://)[^\s"'<>]{3,200}"""
+ENDPOINT = r"""(?i:\b(?:https?|ftp|jdbc:[a-z]{2,20}|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://)[^\s"'<>]{3,}"""
 
-#: Code points that may lie between a candidate and its complements.
+#: Code points that may lie between a candidate and its complements, in a block of lines that no blank line cuts.
 SCOPE = 200
+BLANK = r"\n[\x20\t\r]*\n"
 #: Order of kinds in the span lists; the first three are the base's.
 KINDS = ["assign", "access", "hex", "identifier", "material", "endpoint"]
 
@@ -83,13 +85,18 @@ def found_spans(df: DataFrame, key: str = "doc_id", text: str = "text", scope: i
     rows = _spans(rows, "text", "identifier", IDENTIFIER, 1, 0, F.col("text").rlike(IDENTIFIER))
     rows = _spans(rows, "text", "material", MATERIAL, 1, 0, F.col("text").rlike(r"[A-Za-z0-9+/]{32}"))
     rows = _spans(rows, "text", "endpoint", ENDPOINT, 1, 0, F.contains("text", F.lit("://")))
-    rows = cut_lineage(rows.select("key", "hash", _tagged(KINDS).alias("parts"), _tagged(KINDS[:3]).alias("base")))
+    rows = _spans(rows, "text", "blank", BLANK, 1, 0, (F.size("identifier") + F.size("material") + F.size("endpoint") > 0) & F.contains("text", F.lit("\n")))
+    blank = F.transform("blank", lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), x["end"].alias("end")))
+    rows = cut_lineage(rows.select("key", "hash", _tagged(KINDS).alias("parts"), _tagged(KINDS[:3]).alias("base"), blank.alias("blank")))
     weak = F.exists("parts", lambda x: x["kind"] >= 3)
     # a document's parts, only where some weak one and another part stand
-    parts = rows.where(weak & (F.size("parts") > 1)).select("key", "hash", F.explode("parts").alias("p")).distinct().select("key", "hash", "p", F.col("p.start").alias("start"), F.col("p.kind").alias("kind"), F.col("p.end").alias("end"))
+    parts = rows.where(weak & (F.size("parts") > 1)).select("key", "hash", F.explode(F.concat("parts", "blank")).alias("p")).distinct().select("key", "hash", "p", F.col("p.start").alias("start"), F.col("p.kind").alias("kind"), F.col("p.end").alias("end"))
+    # a block's number is that of the blank lines before it
+    whole = Window.partitionBy("key", "hash").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = parts.withColumn("block", F.count_if(F.col("kind") == len(KINDS)).over(whole)).where(F.col("kind") < len(KINDS))
     # intervals join by what lies between them: back to the farthest end of those that start no later, and on to the
     # next start; the latter by a window in falling order, as its sums run on
-    own = Window.partitionBy("key", "hash")
+    own = Window.partitionBy("key", "hash", "block")
     back, on = (own.orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc("start"), F.desc("start")))
 
     def close(*kinds: int) -> Column:
@@ -110,7 +117,8 @@ def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", scope:
 
     Whole texts are read; null counts as empty: no spans, the digest of the empty string. Spans are kind:start:end in
     code points, end exclusive, by start and then kind. Weak kinds stand only where they are linked: an identifier near
-    a secret, key material near an identifier or access key, an endpoint near both. Repeated rows give equal results;
+    a secret, key material near an identifier or access key, an endpoint near both; near is at most `scope` code points
+    apart, with no blank line between. Repeated rows give equal results;
     null keys are allowed; further columns are left out. An empty table gives an empty one.
     """
     found = found_spans(df, key, text, scope)
@@ -121,12 +129,12 @@ def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", scope:
 
 
 def redact(df: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
-    """df with each found span of the text replaced by the mark; overlapping spans become one. Columns stay."""
-    found = found_spans(df, key, text, scope).where(F.size("spans") > 0).select(F.col("key").alias("_k"), F.col("hash").alias("_h"), "spans").dropDuplicates(["_k", "_h"])
-    holder = free_name(df, "spans")
-    found = found.withColumnRenamed("spans", holder)
+    """df with each found span of the text replaced by the mark; overlapping spans become one. Columns stay, and so do
+    null texts and repeated rows."""
+    holder, k, h = free_names(df, "spans", "key", "hash")
+    found = found_spans(df, key, text, scope).where(F.size("spans") > 0).select(F.col("key").alias(k), F.col("hash").alias(h), F.col("spans").alias(holder)).dropDuplicates([k, h])
     t = F.col(quoted(text))
-    joined = df.join(found, df[key].eqNullSafe(F.col("_k")) & (F.xxhash64(t) == F.col("_h")), "left")
+    joined = df.join(found, F.col(quoted(key)).eqNullSafe(F.col(k)) & (F.xxhash64(t) == F.col(h)), "left")
     # one pass over sorted spans: what lies between is kept, and `at` is the end of all spans so far
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -136,4 +144,5 @@ def redact(df: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(fresh, F.concat(s["out"], F.array(piece))).otherwise(s["out"]).alias("out"))
 
     done = F.aggregate(holder, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(t, s["at"] + 1, F.length(t))))
-    return joined.withColumn(text, F.when(F.col(holder).isNotNull(), done).otherwise(t)).select(*[F.col(quoted(c)) for c in df.columns])
+    clean = F.when(F.col(holder).isNotNull(), done).otherwise(t).alias(text)
+    return joined.select(*[clean if c.lower() == text.lower() else F.col(quoted(c)) for c in df.columns])
