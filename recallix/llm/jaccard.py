@@ -11,6 +11,7 @@ members are compared with one another exactly, in blocks of bounded size.
 from __future__ import annotations
 
 import hashlib
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, free_name, quoted, short_batches, strings
-from .components import components, name_of
+from .components import components
 
 
 @dataclass(frozen=True)
@@ -89,26 +90,22 @@ def digest(words: list[str]) -> bytes:
     return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def node_of(d: bytes) -> int:
-    return int.from_bytes(d[:8], "little", signed=True)
-
-
 def signatures(df: DataFrame, key: str, text: str, forest: Forest) -> DataFrame:
-    """(id, node, n, sig): node is a hash of the words, n the number of shingles; without words node is null."""
+    """(id, node, n, sig): node is a 128-bit digest of the words, n the number of shingles; without words node is null."""
     short_batches(df.sparkSession)
     factors = _factors(forest.trees * forest.depth)
 
-    @F.arrow_udf("struct<node:bigint,n:int,sig:binary>")
+    @F.arrow_udf("struct<node:binary,n:int,sig:binary>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             node, n, sig = [], [], []
             for t in strings(batch):
                 ws = words_of(t)
                 x = shingles(ws, forest.words)
-                node.append(node_of(digest(ws)) if len(x) else None)
+                node.append(digest(ws) if len(x) else None)
                 n.append(len(x))
                 sig.append(signature(x, factors).tobytes() if len(x) else None)
-            yield pa.StructArray.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(sig, pa.binary())], ["node", "n", "sig"])
+            yield pa.StructArray.from_arrays([pa.array(node, pa.binary()), pa.array(n, pa.int32()), pa.array(sig, pa.binary())], ["node", "n", "sig"])
 
     r = df.select(F.col(quoted(key)).alias("id"), run(F.col(quoted(text))).alias("_r"))
     return r.select("id", F.col("_r.node").alias("node"), F.col("_r.n").alias("n"), F.col("_r.sig").alias("sig"))
@@ -122,30 +119,30 @@ def trie_neighbours(classes: DataFrame, forest: Forest, n: int) -> DataFrame:
     rows = classes.select("node", F.explode(trees).alias("_t")).select(F.col("_t.tree").cast("int").alias("tree"), F.col("_t.part").alias("part"), "node")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "tree", "part", "node").sortWithinPartitions("tree", "part", "node")
-    schema = "end int, tree int, part binary, a bigint, b bigint, shared int"
+    schema = "end int, tree int, part binary, a binary, b binary, shared int"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, first = None, True
 
         def out(end, tree, part, a, b, shared):
             n = len(a)
-            return pa.RecordBatch.from_arrays([pa.array([end] * n, pa.int32()), pa.array(tree, pa.int32()), pa.array(part, pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(shared, pa.int32())], ["end", "tree", "part", "a", "b", "shared"])
+            return pa.RecordBatch.from_arrays([pa.array([end] * n, pa.int32()), pa.array(tree, pa.int32()), pa.array(part, pa.binary()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(shared, pa.int32())], ["end", "tree", "part", "a", "b", "shared"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             tree = batch.column(0).to_numpy()
-            parts_, node = batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            parts_, node = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             if first:
                 yield out(0, tree[:1], parts_[:1], node[:1], [None], [None])
                 first = False
             if last:
-                tree, parts_, node = np.r_[last[0], tree], [last[1], *parts_], np.r_[last[2], node]
+                tree, parts_, node = np.r_[last[0], tree], [last[1], *parts_], [last[2], *node]
             m = np.frombuffer(b"".join(parts_), ">u2").reshape(-1, forest.depth)
             same = np.cumprod(m[1:] == m[:-1], axis=1).sum(1) * (tree[1:] == tree[:-1])
-            hit = np.flatnonzero((same >= forest.floor) & (node[1:] != node[:-1]))
-            if len(hit):
-                yield out(None, [None] * len(hit), [None] * len(hit), node[hit], node[hit + 1], same[hit])
+            hit = [i for i in np.flatnonzero(same >= forest.floor).tolist() if node[i] != node[i + 1]]
+            if hit:
+                yield out(None, [None] * len(hit), [None] * len(hit), [node[i] for i in hit], [node[i + 1] for i in hit], same[hit])
             last = (tree[-1], parts_[-1], node[-1])
         if last:
             yield out(1, [last[0]], [last[1]], [last[2]], [None], [None])
@@ -167,8 +164,13 @@ def chance(s: float, d: int, trees: int) -> float:
 
 def prefix_length(forest: Forest) -> int:
     """The longest prefix, from start down to floor, by which a pair of similarity least is met with the recall aimed
-    at; the floor where none is. It depends on the trees alone, so no row decides whether others are found."""
-    return next((d for d in range(forest.start, forest.floor, -1) if chance(forest.least, d, forest.trees) >= forest.recall), forest.floor)
+    at; the floor, with a warning, where none is. It depends on the trees alone, so no row decides whether others are
+    found."""
+    for d in range(forest.start, forest.floor - 1, -1):
+        if chance(forest.least, d, forest.trees) >= forest.recall:
+            return d
+    warnings.warn(f"prefixes of {forest.floor} meet pairs at {forest.least} with a chance of {chance(forest.least, forest.floor, forest.trees):.6f} only", stacklevel=2)
+    return forest.floor
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -194,8 +196,8 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _verify(node: np.ndarray, side: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], forest: Forest):
-    """Links of one block pair: per-node sums of linked copies, and a spanning forest."""
+def _verify(node: list[bytes], cross: bool, side: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], forest: Forest):
+    """Links of one block pair, between its blocks (cross) or in one: per-node sums of linked copies, and a spanning forest."""
     n = np.array([len(s) for s in sets], np.float64)
     if len(sets) == 2:
         inter = np.zeros((2, 2))
@@ -206,7 +208,7 @@ def _verify(node: np.ndarray, side: np.ndarray, copies: np.ndarray, sets: list[n
     num = round(forest.least * 1000)
     hit = 1000 * inter >= num * (n[:, None] + n[None, :] - inter)
     np.fill_diagonal(hit, False)
-    if (side == 1).any():
+    if cross:
         hit &= side[:, None] != side[None, :]
     links = hit @ copies
     root = np.arange(len(node))
@@ -223,7 +225,7 @@ def _verify(node: np.ndarray, side: np.ndarray, copies: np.ndarray, sets: list[n
         if rx != ry:
             root[max(rx, ry)] = min(rx, ry)
     top = [find(i) for i in range(len(node))]
-    edges = [(int(node[i]), int(node[t])) for i, t in enumerate(top) if i != t]
+    edges = [(node[i], node[t]) for i, t in enumerate(top) if i != t]
     return links, edges
 
 
@@ -235,11 +237,11 @@ def verified(df: DataFrame, key: str, text: str, members: DataFrame, forest: For
     blocks = F.greatest(F.ceil(F.col("_m") / forest.block), F.ceil(F.col("_s") / forest.block_shingles)).cast("int")
     dealt = members.join(size.select("label", blocks.alias("_nb")), "label").withColumn("_h", F.pmod(F.xxhash64("node"), F.col("_nb")).cast("int"))
 
-    @F.arrow_udf("struct<node:bigint,set:binary>")
+    @F.arrow_udf("struct<node:binary,set:binary>")
     def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             ws = [words_of(t) for t in strings(batch)]
-            yield pa.StructArray.from_arrays([pa.array([node_of(digest(w)) for w in ws], pa.int64()), pa.array([shingles(w, forest.words).tobytes() for w in ws], pa.binary())], ["node", "set"])
+            yield pa.StructArray.from_arrays([pa.array([digest(w) for w in ws], pa.binary()), pa.array([shingles(w, forest.words).tobytes() for w in ws], pa.binary())], ["node", "set"])
 
     texts = df.select(F.col(quoted(key)).alias("rep"), F.col(quoted(text)).alias("_text"))
     got = dealt.join(texts, "rep").withColumn("_r", sets.asNondeterministic()(F.col("_text"))).where("_r.node = node")
@@ -255,16 +257,16 @@ def verified(df: DataFrame, key: str, text: str, members: DataFrame, forest: For
             rows = list({r[4]: r for r in rows}.values())  # a repeated document gives its class twice
             if len(rows) < 2:
                 return None
-            node = np.array([r[4] for r in rows], np.int64)
+            node = [r[4] for r in rows]
             side = np.array([int(r[6] != r[1]) for r in rows])
-            links, edges = _verify(node, side, np.array([r[5] for r in rows], np.int64), [np.frombuffer(r[3], np.uint64) for r in rows], forest)
+            links, edges = _verify(node, at[1] != at[2], side, np.array([r[5] for r in rows], np.int64), [np.frombuffer(r[3], np.uint64) for r in rows], forest)
             has = np.flatnonzero(links)
-            a = [int(node[i]) for i in has] + [e[0] for e in edges]
+            a = [node[i] for i in has] + [e[0] for e in edges]
             if not a:
                 return None
             b = [None] * len(has) + [e[1] for e in edges]
             v = [float(links[i]) for i in has] + [None] * len(edges)
-            return pa.RecordBatch.from_arrays([pa.array(["n"] * len(has) + ["e"] * len(edges)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(v, pa.float64())], ["kind", "a", "b", "value"])
+            return pa.RecordBatch.from_arrays([pa.array(["n"] * len(has) + ["e"] * len(edges)), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(v, pa.float64())], ["kind", "a", "b", "value"])
 
         for batch in batches:
             for label, i, j, node, copies, h, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -276,7 +278,7 @@ def verified(df: DataFrame, key: str, text: str, members: DataFrame, forest: For
         if held and (out := done(held)):
             yield out
 
-    return cut_lineage(ordered.mapInArrow(work, "kind string, a bigint, b bigint, value double"), n)
+    return cut_lineage(ordered.mapInArrow(work, "kind string, a binary, b binary, value double"), n)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", forest: Forest = Forest()) -> DataFrame:
@@ -287,8 +289,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", fore
     n_links the number of other documents linked directly (copies count each), kept says that key is class_id.
     Texts that are null or without words link with nothing, and rows with a null key have no class of their own: they
     are kept with no links. A link of similarity s is never compared with a chance of (1 - s^d)^trees at most, d being
-    prefix_length(forest): 0.00003 at 0.8 with the default trees. Rows with one key and one text are each other's copies and both kept. An empty table gives
-    an empty one; further columns are left out.
+    prefix_length(forest): 0.00003 at 0.8 with the default trees. Rows with one key and one text are each other's copies
+    and both kept. An empty table gives an empty one; further columns are left out.
     """
     docs = cut_lineage(signatures(df, key, text, forest))
     n = docs.count()
@@ -300,7 +302,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", fore
     found = verified(df, key, text, members, forest, n)
     groups = components(found.where("kind = 'e'").select("a", "b"), rows=n)
     links = found.where("kind = 'n'").groupBy("a").agg(F.sum("value").cast("bigint").alias("_links"))
-    own = classes.select("node", "rep", "copies").join(groups, classes["node"] == groups["id"], "left").select("node", "rep", "copies", F.coalesce(F.col("label"), name_of("node")).alias("label"))
+    own = classes.select("node", "rep", "copies").join(groups, classes["node"] == groups["id"], "left").select("node", "rep", "copies", F.coalesce("label", "node").alias("label"))
     least = own.groupBy("label").agg(F.min("rep").alias("class_id"))
     table = own.join(least, "label").join(links, own["node"] == links["a"], "left").select("node", "class_id", (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = docs.select("id", F.when(F.col("id").isNotNull(), F.col("node")).alias("node")).join(table, "node", "left")
@@ -317,5 +319,5 @@ def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text",
     marked = df.withColumn(row, F.when(k.isNotNull(), F.struct(k.alias("key"), F.xxhash64(t).alias("hash"))))
     gone = near_duplicates(marked, row, text, forest).where("NOT kept").select(row).distinct()
     left = marked.join(gone, row, "left_anti").select(*[F.col(quoted(c)) for c in df.columns])
-    again = df.groupBy(k, F.xxhash64(t)).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").limit(1).count()
+    again = df.groupBy(k.alias("k"), F.xxhash64(t).alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     return left.dropDuplicates([key, text]) if again else left
