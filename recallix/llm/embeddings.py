@@ -10,8 +10,9 @@ smallest common filter), so pairs are counted without being listed.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from statistics import NormalDist
 
 import numpy as np
@@ -20,51 +21,82 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, quoted, short_batches
-from .components import components, name_of
+from .components import components
 
 
 @dataclass(frozen=True)
 class Caps:
-    """The link's cosine; independent codes, codewords of each of a code's two blocks, filters of a code that a vector
-    exceeds on average, and the fewest that it gets: where the cap's height leaves fewer, the vector's own height is
-    lowered to that of its fewest-th best filter. block: most vectors that are compared at a time."""
+    """The link's cosine; independent codes; blocks of each code and codewords of each block (none: sized for the number
+    of vectors); filters of a code that a vector exceeds on average, and the fewest that it gets: where the cap's height
+    leaves fewer, the vector's own height is lowered to that of its fewest-th best filter. block: most vectors that are
+    compared at a time."""
 
     least: float = 0.98
     codes: int = 3
-    codewords: int = 600
+    blocks: int = 2
+    codewords: int | None = None
     mean_filters: float = 6.0
     fewest: int = 8
     block: int = 512
     seed: int = 11
 
+    def sized(self, vectors: int, most: int = 1024) -> Caps:
+        """With four filters of a code for each vector, so that a filter's vectors stay as few at any number of them;
+        more blocks rather than more than `most` codewords a block, which bounds a vector's decoding."""
+        if self.codewords:
+            return self
+        filters, blocks = max(4096, 4 * vectors), self.blocks
+        while filters ** (1 / blocks) > most:
+            blocks += 1
+        return replace(self, blocks=blocks, codewords=math.ceil(filters ** (1 / blocks)))
+
 
 @functools.lru_cache(maxsize=16)
 def _code(dim: int, caps: Caps, which: int) -> tuple[np.ndarray, list[np.ndarray], float]:
-    """Rotation, codewords of both blocks, and the cap's height (in sums over blocks) for vectors of a dimension."""
+    """Rotation, codewords of the blocks, and the cap's height (in sums over blocks) for vectors of a dimension."""
     rng = np.random.default_rng([caps.seed, dim, which])
-    wide = max(2, dim + dim % 2)
+    wide = caps.blocks * -(-max(dim, 2) // caps.blocks)
     turn = np.linalg.qr(rng.normal(size=(wide, wide)))[0][:, :dim]
-    words = [(w := rng.normal(size=(caps.codewords, wide // 2))) / np.linalg.norm(w, axis=1, keepdims=True) for _ in range(2)]
-    return turn, words, NormalDist().inv_cdf(1 - caps.mean_filters / caps.codewords**2) * (2 / wide) ** 0.5
+    words = [(w := rng.normal(size=(caps.codewords, wide // caps.blocks))) / np.linalg.norm(w, axis=1, keepdims=True) for _ in range(caps.blocks)]
+    share = min(0.5, caps.mean_filters / caps.codewords**caps.blocks)
+    return turn, words, NormalDist().inv_cdf(1 - share) * (caps.blocks / wide) ** 0.5
+
+
+def _best_sums(parts: list[np.ndarray], few: int) -> np.ndarray:
+    """The `few` greatest sums of one value from each part, greatest first."""
+    sums = np.zeros(1)
+    for p in parts:
+        top = np.sort(p)[::-1][:few]
+        sums = np.sort((sums[:, None] + top[None, :]).ravel())[::-1][:few]
+    return sums
 
 
 def decode(x: np.ndarray, caps: Caps) -> np.ndarray:
     """Sorted ids of all filters that the unit vector x exceeds the height for, by pruned sums of its blocks."""
-    found, b, few = [], caps.codewords, min(caps.fewest, caps.codewords)
+    found, few = [], min(caps.fewest, caps.codewords**caps.blocks)
     for which in range(caps.codes):
         turn, words, height = _code(len(x), caps, which)
-        y = turn @ x
-        half = len(y) // 2
-        one, two = words[0] @ y[:half], words[1] @ y[half:]
-        best = np.partition(one, -few)[-few:][:, None] + np.partition(two, -few)[-few:][None, :]
-        need = min(height, np.partition(best.ravel(), -few)[-few])
-        i, j = np.flatnonzero(one >= need - two.max()), np.flatnonzero(two >= need - one.max())
-        a, c = np.nonzero(one[i][:, None] + two[j][None, :] >= need)
-        found.append((which * b + i[a]) * b + j[c])
+        parts = [w @ y for w, y in zip(words, np.split(turn @ x, caps.blocks), strict=True)]
+        need = min(height, _best_sums(parts, few)[-1] - 1e-12)
+        rest = sum(p.max() for p in parts)
+        sums, ids = np.zeros(1), np.full(1, which, np.int64)
+        for p in parts:
+            rest -= p.max()
+            fit = np.flatnonzero(p >= need - rest - sums.max())
+            i, j = np.nonzero(sums[:, None] + p[fit][None, :] >= need - rest)
+            sums, ids = sums[i] + p[fit[j]], ids[i] * caps.codewords + fit[j]
+        found.append(ids[sums >= need])
     return np.unique(np.concatenate(found)).astype(np.int64)
 
 
+def scaled(values: np.ndarray) -> np.ndarray:
+    """Divided by the largest component, so that no square over- or underflows."""
+    most = np.abs(values).max(initial=0.0)
+    return values / most if most > 0 and np.isfinite(most) else values
+
+
 def unit(values: np.ndarray) -> np.ndarray | None:
+    values = scaled(values)
     norm = np.sqrt((values * values).sum())
     return values / norm if np.isfinite(norm) and norm > 0 else None
 
@@ -76,17 +108,17 @@ def usable(vector: str) -> F.Column:
     return v.isNotNull() & F.coalesce(fine, F.lit(False)) & F.exists(v, lambda x: x != 0)
 
 
-def _links(rows: list, f: int, caps: Caps):
-    """Links of one block pair at filter f: sums of copies where the link is not known from a smaller filter, and a
+def _links(rows: list, f: int, cross: bool, caps: Caps):
+    """Links of one block pair, between its blocks (cross) or in one, at filter f: sums of copies where the link is not known from a smaller filter, and a
     spanning forest."""
-    node = np.array([r[0] for r in rows], np.int64)
+    node = np.array([r[0] for r in rows], object)
     copies = np.array([r[1] for r in rows], np.int64)
     x = np.array([np.frombuffer(r[2], np.float64) for r in rows])
     norm = np.sqrt((x * x).sum(1))
     hit = (x @ x.T) / (norm[:, None] * norm[None, :]) >= caps.least
     np.fill_diagonal(hit, False)
     side = np.array([r[4] for r in rows])
-    if side.any():
+    if cross:
         hit &= side[:, None] != side[None, :]
     some = np.flatnonzero(hit.any(1))
     if not len(some):
@@ -113,7 +145,7 @@ def _links(rows: list, f: int, caps: Caps):
         if (new == top).all():
             break
         top = new
-    return [(int(node[i]), int(sums[i])) for i in np.flatnonzero(sums)], [(int(node[i]), int(node[t])) for i, t in enumerate(top) if i != t]
+    return [(node[i], int(sums[i])) for i in np.flatnonzero(sums)], [(node[i], node[t]) for i, t in enumerate(top) if i != t]
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", caps: Caps = Caps()) -> DataFrame:
@@ -130,10 +162,12 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(quoted(key)).alias("id"), F.col(quoted(label)).alias("label"), F.transform(F.col(quoted(vector)), lambda x: x.cast("double")).alias("v"))
     good = F.col("id").isNotNull() & F.col("label").isNotNull() & usable("v")
-    rows = rows.withColumn("node", F.when(good, F.xxhash64("label", "v")))
+    half = lambda *c: F.lpad(F.hex(F.xxhash64(*c)), 16, "0")
+    rows = rows.withColumn("node", F.when(good, F.unhex(F.concat(half("label", "v"), half(F.lit("other"), "v", "label")))))
     rows = cut_lineage(rows.withColumn("v", F.when(good, F.col("v"))))
     n = rows.count()
-    # equal vectors are one node, named by its 64-bit hash
+    caps = caps.sized(n)
+    # equal vectors are one node, named by two 64-bit hashes
     classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
 
     @F.arrow_udf("struct<x:binary,filters:array<bigint>>")
@@ -141,7 +175,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
         for batch in batches:
             xs, out = [], []
             for v in batch:
-                x = np.array(v.as_py(), np.float64)
+                x = scaled(np.array(v.as_py(), np.float64))
                 u = unit(x)
                 xs.append(x.tobytes())
                 out.append(decode(u, caps) if u is not None else np.zeros(0, np.int64))
@@ -172,11 +206,11 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
         def done():
             if len(held) < 2:
                 return None
-            links, edges = _links(held, now[2], caps)
+            links, edges = _links(held, now[2], now[3] != now[4], caps)
             if not links and not edges:
                 return None
             n = len(links)
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links + edges], pa.int64()), pa.array([None] * n + [x[1] for x in edges], pa.int64()), pa.array([x[1] for x in links] + [None] * len(edges), pa.int64())], ["a", "b", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links + edges], pa.binary()), pa.array([None] * n + [x[1] for x in edges], pa.binary()), pa.array([x[1] for x in links] + [None] * len(edges), pa.int64())], ["a", "b", "n"])
 
         for batch in batches:
             for lab, wide, f, i, j, node, copies, x, lists, side in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -188,10 +222,10 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
         if out := done():
             yield out
 
-    found = cut_lineage(ordered.mapInArrow(work, "a bigint, b bigint, n bigint"), n)
+    found = cut_lineage(ordered.mapInArrow(work, "a binary, b binary, n bigint"), n)
     groups = components(found.where("b IS NOT NULL").select("a", "b"), rows=n)
     links = found.where("n IS NOT NULL").groupBy("a").agg(F.sum("n").alias("_links"))
-    own = nodes.select("node", "rep", "copies").join(groups, F.col("node") == F.col("id"), "left").select("node", "rep", "copies", F.coalesce(F.col("label"), name_of("node")).alias("label"))
+    own = nodes.select("node", "rep", "copies").join(groups, F.col("node") == F.col("id"), "left").select("node", "rep", "copies", F.coalesce("label", "node").alias("label"))
     least = own.groupBy("label").agg(F.min("rep").alias("component_id"))
     table = own.join(least, "label").join(links, F.col("node") == F.col("a"), "left")
     table = table.select(F.col("node").alias("_node"), "component_id", (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
