@@ -27,7 +27,7 @@ from .common import file_count, fresh_dir, plan_size, quoted, short_batches
 FILE_BYTES, READ_BYTES, GAP_BYTES, TASK_BYTES = 256 << 20, 8 << 20, 64 << 10, 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+_HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 INDEX = "page_id bigint, url string, file string, offset bigint, length bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 RECORD = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
 
@@ -36,33 +36,55 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One record, as a gzip member; a revisit holds no payload, but its size and digest."""
-    block = b"" if revisit else _HTTP + payload
+def escaped(url: str) -> str:
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
+
+
+def member(head: list[str], block: bytes) -> bytes:
+    """A record as a gzip member."""
+    raw = "\r\n".join(["WARC/1.1", *head, f"Content-Length: {len(block)}"]).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
+    c = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return c.compress(raw) + c.flush()
+
+
+def named(place: str) -> str:
+    """A record's id, from its file and offset, so that repeated rows have ids of their own."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>"
+
+
+def info(name: str) -> bytes:
+    """The record that opens a file."""
+    head = ["WARC-Type: warcinfo", f"WARC-Record-ID: {named(name)}", f"WARC-Date: {DATE}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"]
+    return member(head, b"software: recallix\r\nformat: WARC File Format 1.1\r\n")
+
+
+def record(place: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None = None, target: str | None = None) -> bytes:
+    """One page's record. A revisit holds no payload, but its size and digest, and names the URL and date of the response
+    that has it."""
+    revisit = refers_to is not None
+    block = b"" if revisit else _HTTP.format(len(payload)).encode() + payload
     head = [
-        "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}')}>",
+        f"WARC-Record-ID: {named(place)}",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Payload-Length: {len(payload)}",
         "Content-Type: application/http; msgtype=response",
-        f"Content-Length: {len(block)}",
     ]
     if url is not None:
-        head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
+        head.append("WARC-Target-URI: " + escaped(url))
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page-Id: {refers_to}"]
-    raw = "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
-    c = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return c.compress(raw) + c.flush()
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page-Id: {refers_to}"]
+        if target is not None:
+            head.append("WARC-Refers-To-Target-URI: " + escaped(target))
+    return member(head, block)
 
 
-def parsed(member: bytes) -> dict:
+def parsed(data: bytes) -> dict:
     """A record's fields; a response's size and digest are those of the payload that is there."""
-    raw = zlib.decompress(member, 31)
+    raw = zlib.decompress(data, 31)
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "surrogatepass").split("\r\n")
     if lines[0] != "WARC/1.1":
@@ -84,7 +106,7 @@ def parsed(member: bytes) -> dict:
 
 
 def planned(pages: DataFrame, least: int = 100, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, url, payload (binary), digest, and refers_to where the record is to be a revisit.
+    """page_id, url, payload (binary), digest, and refers_to and target (its URL) where the record is to be a revisit.
 
     Payloads are compared by SHA-256 and only from `least` bytes on; digests meet without their payloads, and counts
     are taken before the shuffle, so that a payload with many copies is no burden to a task.
@@ -92,9 +114,11 @@ def planned(pages: DataFrame, least: int = 100, key: str = "page_id", url: str =
     payload = F.coalesce(F.col(quoted(html)), F.lit("")).cast("binary")
     rows = pages.select(F.col(quoted(key)).cast("bigint").alias("page_id"), F.col(quoted(url)).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    small = rows.where(F.octet_length("payload") >= least).select("page_id", "digest")
-    many = small.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    marks = small.join(many, "digest").where("page_id > first").select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), F.col("first").alias("refers_to")).distinct()
+    small = rows.where(F.octet_length("payload") >= least).select("page_id", "digest", "url")
+    least_url = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    many = small.groupBy("digest").agg(least_url.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    marks = small.join(many, "digest").where("page_id > first.page_id")
+    marks = marks.select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("target")).distinct()
     return rows.join(marks, (F.col("page_id") == F.col("_p")) & (F.col("digest") == F.col("_d")), "left").drop("_p", "_d")
 
 
@@ -117,23 +141,25 @@ def write_warc(pages: DataFrame, folder: str | None = None, **names) -> tuple[st
         try:
             for batch in batches:
                 rows = []
-                for p, u, payload, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for p, u, payload, digest, refers, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if out is None or at >= FILE_BYTES:
                         if out:
                             out.close()
                         name, at, number = f"{stem}-{number:03d}.warc.gz", 0, number + 1
                         out = system.open_output_stream(f"{path}/{name}", compression=None)
-                    member = record(p, u, payload, digest, refers, refers is not None)
-                    out.write(member)
-                    rows.append((p, u, name, at, len(member), len(payload), digest, "response" if refers is None else "revisit", refers))
-                    at += len(member)
+                        out.write(first := info(name))
+                        at = len(first)
+                    data = record(f"{name}:{at}", p, u, payload, digest, refers, target)
+                    out.write(data)
+                    rows.append((p, u, name, at, len(data), len(payload), digest, "response" if refers is None else "revisit", refers))
+                    at += len(data)
                 cols = list(zip(*rows, strict=True)) or [()] * 9
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _kinds(INDEX), strict=True)], _names(INDEX))
         finally:
             if out:
                 out.close()
 
-    rows = planned(pages, **names).select("page_id", "url", "payload", "digest", "refers_to")
+    rows = planned(pages, **names).select("page_id", "url", "payload", "digest", "refers_to", "target")
     rows.mapInArrow(write, INDEX).coalesce(file_count(spark, size=plan_size(pages))).write.parquet(f"{folder}/index")
     return folder, spark.read.parquet(f"{folder}/index")
 
