@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import WORD_PIECE, PieceTable, encode_pieces, independent, slices
-from .common import cut_lineage, short_batches, strings
+from .common import cut_lineage, free_names, quoted, short_batches, strings
 
 
 @functools.lru_cache(maxsize=2)
@@ -37,7 +37,8 @@ def cut_pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0,
     """One row per piece: df's columns but the text, with piece, start, length and ids (binary, little-endian uint32).
 
     A document's ids are its text's (null: none) and end_id. Only those longer than capacity are cut, into pieces of
-    capacity ids, of which the last may be shorter. Columns of df with the new names are replaced.
+    capacity ids, of which the last may be shorter. Repeated rows are cut alike; columns of df with the new names are
+    replaced. An empty table gives an empty one.
     """
     short_batches(df.sparkSession)
     end, wide = np.array([end_id], "<u4").tobytes(), 4 * capacity
@@ -51,8 +52,8 @@ def cut_pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0,
                 out.append([ids[i : i + wide] for i in range(0, len(ids), wide)])
             yield pa.array(out, pa.list_(pa.binary()))
 
-    keep = [c for c in df.columns if c.lower() not in {"piece", "start", "length", "ids", text.lower()}]
-    cut = df.select(*keep, F.posexplode(run(F.col(text))).alias("piece", "ids"))
+    keep = [F.col(quoted(c)) for c in df.columns if c.lower() not in {"piece", "start", "length", "ids", text.lower()}]
+    cut = df.select(*keep, F.posexplode(run(F.col(quoted(text)))).alias("piece", "ids"))
     start = F.col("piece").cast("bigint") * capacity
     return cut.select(*keep, "piece", start.alias("start"), (F.octet_length("ids") / 4).cast("bigint").alias("length"), "ids")
 
@@ -129,16 +130,17 @@ def pack(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc
     if checkpoint:
         pieces = cut_lineage(pieces)
     blocks = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    own = pieces.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)))
-    counts = own.groupBy("length", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most capacity rows
+    block, number, before, within, rank, place_ = free_names(pieces, "block", "n", "before", "within", "rank", "place")
+    own = pieces.withColumn(block, F.pmod(F.xxhash64(*[F.col(quoted(c)) for c in order]), F.lit(blocks)))
+    counts = own.groupBy("length", block).agg(F.count(F.lit(1)).alias(number))
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum(number).alias("n")).collect()}  # at most capacity rows
     if any(k is None or not 1 <= k <= capacity for k in histogram):
         raise ValueError(f"lengths must be between 1 and {capacity}")
     at = places(minimum_slack(histogram, capacity))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select("length", "_block", F.coalesce("_before", F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("length", "_block").orderBy(*order))
-    ranked = own.withColumn("_within", within).join(before, ["length", "_block"]).withColumn("_rank", F.col("_before") + F.col("_within") - 1)
+    earlier = F.sum(number).over(Window.partitionBy("length").orderBy(block).rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("length", block, F.coalesce(earlier, F.lit(0)).alias(before))
+    nth_ = F.row_number().over(Window.partitionBy("length", block).orderBy(*[F.col(quoted(c)) for c in order]))
+    ranked = own.withColumn(within, nth_).join(starts, ["length", block]).withColumn(rank, F.col(before) + F.col(within) - 1)
     shift = 1 << 48
     keys = at["length"] * shift + at["rank"]
 
@@ -149,15 +151,21 @@ def pack(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc
         nth = r - at["rank"][i]
         return pa.StructArray.from_arrays([pa.array(at["bin"][i] + nth // at["number"][i]), pa.array(at["at"][i] + nth % at["number"][i] * n)], ["sequence_id", "offset"])
 
-    names = [c for c in pieces.columns]
-    placed = ranked.withColumn("_place", place(F.col("length"), F.col("_rank")))
-    return placed.select(*names, F.col("_place.sequence_id").alias("sequence_id"), F.col("_place.offset").alias("offset"))
+    placed = ranked.withColumn(place_, place(F.col("length"), F.col(rank)))
+    return placed.select(*[F.col(quoted(c)) for c in pieces.columns], F.col(f"{place_}.sequence_id").alias("sequence_id"), F.col(f"{place_}.offset").alias("offset"))
 
 
-def sequences(packed: DataFrame) -> DataFrame:
-    """The packed sequences themselves: sequence_id, n_pieces and ids (binary), in order of offsets; a sequence is
-    bounded by the capacity. packed: what pack() gives for rows of cut_pieces()."""
-    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+def sequences(packed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The packed sequences themselves: sequence_id, length, pieces (key, piece, start, length, offset) and ids (array of
+    int), in order of offsets; a sequence is bounded by the capacity. packed: what pack() gives for cut_pieces()' rows."""
+    k = F.col(quoted(key)).alias(key)
+    parts = F.array_sort(F.collect_list(F.struct("offset", k, "piece", "start", "length", "ids")))
     joined = packed.groupBy("sequence_id").agg(parts.alias("_parts"))
-    ids = F.aggregate("_parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
-    return joined.select("sequence_id", F.size("_parts").alias("n_pieces"), ids.alias("ids"))
+
+    @F.arrow_udf("array<int>")
+    def whole(lists: pa.Array) -> pa.Array:
+        return pa.array([np.frombuffer(b"".join(v), "<u4").astype("int32") for v in lists.to_pylist()], pa.list_(pa.int32()))
+
+    pieces = F.transform("_parts", lambda x: F.struct(x[key].alias(key), x["piece"].alias("piece"), x["start"].alias("start"), x["length"].alias("length"), x["offset"].alias("offset")))
+    length = F.aggregate("_parts", F.lit(0).cast("bigint"), lambda a, x: a + x["length"])
+    return joined.select("sequence_id", length.alias("length"), pieces.alias("pieces"), whole(F.transform("_parts", lambda x: x["ids"])).alias("ids"))
