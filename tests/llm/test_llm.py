@@ -58,25 +58,41 @@ def test_codec(spark):
 def test_tree_concatenation_is_exact(leaf):
     t, rng = bpe.tokenizer(BYTE), random.Random(leaf)
     tree = bpe.TreeEncoder(t, leaf)
-    for alphabet in ("ab", "etaoinshr", "0123456789", "étionçà", "=-_"):
-        for _ in range(8):
-            x = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 2500)))
-            assert tree.encode(x) == t.encode(x, add_special_tokens=False).ids
+    for alphabet in ("ab", "etaoin shr", "0123456789 ", "étionçà  \n", "=-_ ", "a b\n\t \x1c\x85 'sre1 2!?", "T é日本12 \n x's", "  \n", "😀 a"):
+        xs = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 1200))).replace("T", "<|endoftext|>") for _ in range(6)]
+        assert tree.encode(xs) == [t.encode(x, add_special_tokens=False).ids for x in xs]
+    assert tree.joins > 100
+
+
+def test_coding_of_very_long_texts():
+    t = bpe.tokenizer(BYTE)
+    for x in ("word and é日 <|endoftext|> x's 12  " * 40000, "q" * 150000 + " end", "日本語" * 20000, " \n" * 30000):
+        ids = t.encode(x, add_special_tokens=False).ids
+        n, listed, decoded = bpe.digests(next(bpe.coded([x], BYTE)), t)
+        assert n == len(ids) and listed.decode() == ",".join(map(str, ids)) and decoded == x.encode()
+        assert tokens.token_counts(["a", x, "", x[:7]], BYTE) == [len(t.encode(y, add_special_tokens=False).ids) for y in ("a", x, "", x[:7])]
+        assert len(list(bpe.slices("a b" * 5000, size=1000))) > 10
+
+
+def test_batches_hold_about_equal_bytes():
+    texts = ["é" * n for n in (10, 500, 20, 3000, 1, 1, 40)]
+    runs = list(bpe.batches(texts, 1100))
+    assert [x for r in runs for x in r] == texts and all(len(r) == 1 or sum(bpe.byte_size(x) + 16 for x in r) <= 1100 for r in runs)
 
 
 def test_pieces_are_independent():
-    rng = random.Random(2)
-    for path, code in ((BYTE, lambda x: [int(i) for i in bpe.codes(x, BYTE)[1].split(b",") if i]), (WORD, lambda x: np.frombuffer(packing.text_ids(x, WORD), "<u4").tolist())):
-        t = bpe.tokenizer(path)
-        for _ in range(400):
-            alphabet = rng.choice(["a b\n\t \x1c\x85 'sre1 2!?", "s'SLltreVÉ̸=!eE'", "İıſKÅ'sSa ́", "t <|endoftext|> é日本12 \n x's"])
-            x = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 120))).replace("t", "<|endoftext|>")
-            assert code(x) == t.encode(x, add_special_tokens=False).ids
+    rng, t = random.Random(2), bpe.tokenizer(WORD)
+    for _ in range(800):
+        alphabet = rng.choice(["a b\n\t \x1c\x85 'sre1 2!?", "s'SLltreVÉ̸=!eE'", "İıſKÅ'sSa ́", "t <|endoftext|> é日本12 \n x's"])
+        x = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 120))).replace("t", "<|endoftext|>")
+        assert np.frombuffer(packing.text_ids(x, WORD), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
 
 
 def test_packing(spark):
     t = bpe.tokenizer(WORD)
-    pieces = packing.cut_pieces(docs(spark).where("doc_id IS NOT NULL"), WORD)
+    odd = docs(spark).withColumn("_before", F.lit(1)).withColumn("_block", F.lit(2)).withColumn("a.b", F.lit(3))
+    pieces = packing.cut_pieces(odd.where("doc_id IS NOT NULL"), WORD)
+    assert {"_before", "_block", "a.b"} <= set(pieces.columns)
     got = packing.pack(pieces, order=("doc_id", "piece")).collect()
     bins = collections.defaultdict(list)
     for r in got:
@@ -86,8 +102,13 @@ def test_packing(spark):
     for b in bins.values():
         b.sort()
         assert [x[0] for x in b] == [sum(n for _, n in b[:i]) for i in range(len(b))] and sum(n for _, n in b) <= 2048
-    s = packing.sequences(packing.pack(pieces)).collect()
-    assert sum(len(r.ids) for r in s) == sum(4 * r.length for r in got)
+    s = packing.sequences(packing.pack(pieces, order=("doc_id", "piece", "ids"))).collect()
+    assert sum(len(r.ids) for r in s) == sum(r.length for r in got)
+    for r in s:
+        assert len(r.ids) == r.length and [p.offset for p in r.pieces] == [sum(q.length for q in r.pieces[:i]) for i in range(len(r.pieces))]
+        for p in r.pieces:
+            text = "no key" if p.doc_id is None else TEXTS[p.doc_id] or ""
+            assert r.ids[p.offset : p.offset + p.length] == (t.encode(text, add_special_tokens=False).ids + [0])[p.start : p.start + p.length]
     assert packing.pack(packing.cut_pieces(empty(spark), WORD)).count() == 0
 
 
@@ -145,6 +166,28 @@ def test_quality(spark):
     assert all(r.kept == (not r.base_failed) for r in quality.quality(df, labels.limit(0)).collect())
 
 
+def test_path_lengths_by_walking_each_tree():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, len(quality.FEATURES)))
+    forest = quality.grow(x[:200], x, trees=12, sample=32)
+
+    def walk(t, node, row, depth):
+        f = forest.feature[t, node]
+        if f < 0:
+            return forest.path[t, node], depth
+        return walk(t, 2 * node + 1 + int(row[f] >= forest.value[t, node]), row, depth + 1)
+
+    for i, d in enumerate(forest.depth(x)):
+        ends = [walk(t, 0, x[i], 0) for t in range(12)]
+        assert abs(d - np.mean([p for p, _ in ends])) < 1e-9 and all(p >= depth for p, depth in ends)
+    assert quality.expected_path(2) == 1 and abs(quality.expected_path(256) - 10.2448) < 1e-3
+    bad = x[200:] + 6
+    judged = quality.calibrated(forest, np.r_[x[:200], bad], np.r_[np.ones(200, bool), np.zeros(100, bool)])
+    d, far = forest.depth(x[:200]), forest.depth(bad)
+    gain = lambda c: (far < c).mean() - 5 * (d < c).mean()
+    assert gain(judged.cut) >= max(gain(c) for c in np.unique(np.r_[d, far])) - 1e-9
+
+
 def test_quality_splits_what_is_constant_on_good_rows(spark):
     rng = random.Random(15)
     good = [" ".join("".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(2, 9))) for _ in range(120)) for _ in range(400)]
@@ -177,6 +220,53 @@ def test_toxicity(spark):
     assert toxicity.score(df.limit(0), toxicity.train(df, lab.limit(0))).count() == 0
 
 
+def test_window_lengths_are_those_of_plain_compression():
+    import zstandard
+
+    rng = random.Random(31)
+    data = " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) for _ in range(900))
+    for text in (data, data.replace(" ", ""), "", "a", "x " * 30, " \n "):
+        folded = (" " + " ".join(text.lower().split()) + " ").encode()
+        cuts, at = [0], 0
+        while at < len(folded):  # a half ends after its last space within reach, else where it is full
+            if at + toxicity.HALF + 1 >= len(folded):
+                end = len(folded)
+            else:
+                space = folded.rfind(b" ", at + 1, at + toxicity.HALF + 1)
+                end = space + 1 if space > 0 else at + toxicity.HALF
+            cuts.append(end)
+            at = end
+        plain = [folded[cuts[i] : cuts[min(i + 2, len(cuts) - 1)]] for i in range(max(1, len(cuts) - 2))]
+        assert list(toxicity.windows(toxicity.folded(text))) == plain
+        base, toxic = folded[:700], (folded[300:900], b"foul words here")
+        lengths = toxicity.Lengths(base, toxic)
+        want = np.zeros(1 + 2 * 6)
+        for w in plain:
+            sizes = [len(zstandard.ZstdCompressor(dict_data=d, compression_params=lengths.params).compress(w)) for d in lengths.held]
+            assert sizes == lengths.of(w)
+            want[0] += 1
+            for j, n in enumerate(sizes[1:]):
+                gain = min(8, max(0, sizes[0] - n))
+                want[1 + 6 * j : 7 + 6 * j] += [*(gain >= g for g in toxicity.GAINS), gain]
+        assert lengths.counts(text).tolist() == want.tolist()
+
+
+def test_telling_spans():
+    rng = random.Random(33)
+    word = lambda: "".join(rng.choice("aeinrst") for _ in range(rng.randint(2, 7)))
+    fine = [toxicity.folded(" ".join(word() for _ in range(80))) for _ in range(60)]
+    bad = [toxicity.folded(" ".join([*(word() for _ in range(40)), "scumbucket", *(word() for _ in range(40))])) for _ in range(20)]
+    spans = toxicity.telling_spans(bad, fine, deviations=5)
+    assert len(spans) >= 20 and all(b"scumbucket" in x for x in spans) and toxicity.telling_spans([], fine) == [] == toxicity.telling_spans(fine, fine)
+
+
+def test_toxicity_of_repeated_and_odd_rows(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, None), (2, ""), (None, "a b"), (3, "x" * 300000)], "doc_id long, text string").withColumn("predicted", F.lit("c")).withColumn("_r", F.lit("d"))
+    model = toxicity.train(df, spark.createDataFrame([(1, 1), (1, 0), (3, None), (None, 1)], "doc_id long, toxic int"))
+    got = toxicity.score(df, model).collect()
+    assert len(got) == 6 and len({r.score for r in got}) == 1 and all(r._r == "d" for r in got)
+
+
 def plain_links(texts, k=5, least=0.8):
     sets = {}
     for i, t in texts.items():
@@ -187,7 +277,7 @@ def plain_links(texts, k=5, least=0.8):
     return [(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
 
 
-@pytest.mark.parametrize("block", [400, 3])
+@pytest.mark.parametrize("block", [400, 3, 2])
 def test_jaccard(spark, block):
     rng = random.Random(7)
     texts = {0: None, 1: "", 2: "one two", 3: "One  two", 4: "x"}
@@ -254,6 +344,9 @@ def test_components(spark):
     got = {r.id: r.label for r in components.components(spark.createDataFrame(rows, "a long, b long")).collect()}
     assert len({got[i] for i in range(301)}) == 1 and got[1000] == got[1001] != got[0] and got[2000] == got[2001] != got[1000]
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    digests = [hashlib.md5(bytes([i])).digest() for i in range(6)]
+    got = {bytes(r.id): bytes(r.label) for r in components.components(spark.createDataFrame([(digests[0], digests[1]), (digests[2], digests[1]), (digests[4], digests[5])], "a binary, b binary")).collect()}
+    assert got[digests[0]] == got[digests[1]] == got[digests[2]] != got[digests[4]] == got[digests[5]] and digests[3] not in got
 
 
 def test_embeddings(spark):
@@ -285,8 +378,10 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_cap_recall_at_the_threshold():
-    rng, caps, missed = np.random.default_rng(9), embeddings.Caps(), 0
+@pytest.mark.parametrize("vectors", [500, 50_000, 2_000_000, 600_000_000])
+def test_cap_recall_at_the_threshold(vectors):
+    rng, caps, missed = np.random.default_rng(9), embeddings.Caps().sized(vectors), 0
+    assert caps.codewords <= 1024 and caps.codewords**caps.blocks >= 4 * vectors
     for _ in range(300):
         x = rng.normal(size=64)
         x /= np.linalg.norm(x)
@@ -297,6 +392,30 @@ def test_cap_recall_at_the_threshold():
     assert missed <= 3
 
 
+def test_decoding_finds_all_filters_beyond_the_height():
+    rng = np.random.default_rng(12)
+    for blocks, words in ((2, 30), (3, 9)):
+        caps = embeddings.Caps(codes=2, blocks=blocks, codewords=words)
+        for _ in range(20):
+            x = embeddings.unit(rng.normal(size=7))
+            want = []
+            for which in range(2):
+                turn, codes, height = embeddings._code(7, caps, which)
+                parts = [w @ y for w, y in zip(codes, np.split(turn @ x, blocks), strict=True)]
+                sums = parts[0]
+                for p in parts[1:]:
+                    sums = np.add.outer(sums, p)
+                need = min(height, np.sort(sums.ravel())[-caps.fewest] - 1e-12)
+                want += (np.flatnonzero(sums.ravel() >= need) + which * words**blocks).tolist()
+            assert embeddings.decode(x, caps).tolist() == want
+
+
+def test_embeddings_of_extreme_size(spark):
+    rows = [(1, [1e200, 2e200]), (2, [1e200, 2.0000001e200]), (3, [1e-200, 2e-200]), (4, [5e-324, 0.0]), (5, [-1e200, -2e200])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5)}
+
+
 def test_licenses(spark):
     texts = TEXTS + ["This is CC-BY, cc by. ALL RIGHTS reserved", "Released under the MIT License.", "Copyright (c) 2020 Some Body. All rights reserved.", "licensed under the Apache License version 2", "x Licensed under CC BY-NC 4.0 GNU General Public License general public license"]
     got = licenses.scan_licenses(docs(spark, texts)).collect()
@@ -325,6 +444,43 @@ def test_licenses_score_needs_no_hint(spark):
     assert licenses.Scanner(phrases=(("public domain", "pd"),)).scan("In the PUBLIC domain.")[1:3] == ([2], {"pd"})
 
 
+def test_whole_licenses_with_and_without_their_optional_regions():
+    scanner = licenses.Scanner()
+    for label, wording in licenses.TEMPLATES:
+        fill = lambda x: re.sub(r"<<var:(\d+)-(\d+)>>", lambda m: " zz" * int(m[2]), x)
+        bare = wording
+        while (shorter := re.sub(r"<<opt>>(?:(?!<<opt>>).)*?<</opt>>", " ", bare)) != bare:
+            bare = shorter
+        full = fill(re.sub("<</?opt>>", " ", wording))
+        for x in (full, fill(bare)):
+            assert any(a == label and b == 1 for a, b, _ in scanner.scan(f"intro, {x} tail")[3])
+        words = licenses.words_of(fill(bare))
+        kept = [i for i, w in enumerate(words) if w != b"zz"]
+        for i in kept[:: max(1, len(kept) // 6)]:  # a mandatory word that differs
+            wrong = b" ".join([*words[:i], b"qq", *words[i + 1 :]]).decode()
+            assert not any(a == label and c - b >= len(words) - 2 for a, b, c in scanner.scan(wrong)[3])
+
+
+def test_license_scan_looks_at_every_place():
+    rng, scanner = random.Random(23), licenses.Scanner(templates=(("a", "foo bar <<opt>>baz<</opt>> end"), ("b", "bar <<var:0-2>> foo end")))
+    every = [a for x in scanner.by_first.values() for a in x]
+    for _ in range(300):
+        words = [rng.choice([b"foo", b"bar", b"baz", b"end", b"x"]) for _ in range(rng.randint(0, 14))]
+        found, share = set(), 0.0
+        for a in every:
+            for i in range(len(words)):
+                end, s = a.run(words, i)
+                share = max(share, s)
+                found |= {(a.label, i, end)} if end >= 0 else set()
+        got = scanner.scan(b" ".join(words).decode())
+        assert set(got[3]) == found and got[4] == share
+
+
+def test_base_counts_take_linear_time():
+    n, starts, base, _, _ = licenses.Scanner().scan("cc by " * 60000)
+    assert n == 120000 and starts == list(range(0, 120000, 2)) and base == {"cc-by"}
+
+
 def test_template_automata():
     a = licenses.compiled("x", "one <<opt>>two<</opt>> <<var:1-2>> three")
     run = lambda t: a.run(t.encode().split(), 0)[0]
@@ -355,7 +511,7 @@ def test_secrets(spark):
     by = {r.doc_id: r.spans for r in got}
     first = len(TEXTS)
     assert by[first + 2] == "identifier:0:8,material:11:54,endpoint:55:74" and by[first + 3] == ""
-    clean = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    clean = {r.doc_id: r.text for r in secret_scan.redact(df.withColumn("_k", F.lit(1)).withColumn("_h", F.lit(1)).withColumn("_key", F.lit(1))).collect()}
     assert clean[first + 3] == texts[first + 3] and clean[first + 2] == "[SECRET] \n [SECRET] [SECRET]" and clean[0] is None
     assert secret_scan.scan_secrets(empty(spark)).count() == 0
 
@@ -363,7 +519,9 @@ def test_secrets(spark):
 def plain_linked(t, scope=200):
     weak = [(m.start(), k, m.end()) for k, p in ((3, secret_scan.IDENTIFIER), (4, secret_scan.MATERIAL), (5, secret_scan.ENDPOINT)) for m in re.finditer(p, t)]
     parts = plain_secrets(t) + weak
-    near = lambda x, kinds: any(y[1] in kinds and max(y[0] - x[2], x[0] - y[2]) <= scope for y in parts)
+    blank = [m.start() for m in re.finditer(secret_scan.BLANK, t)]
+    block = lambda x: sum(b <= x[0] for b in blank)
+    near = lambda x, kinds: any(y[1] in kinds and block(x) == block(y) and max(y[0] - x[2], x[0] - y[2]) <= scope for y in parts)
     need = {3: [(0, 2, 4)], 4: [(1, 3)], 5: [(0, 2, 4), (1, 3)]}
     return ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(x for x in parts if all(near(x, kinds) for kinds in need.get(x[1], []))))
 
@@ -373,7 +531,8 @@ def test_secrets_link_by_distance_between_intervals(spark):
     runs = ["aB3d" * (n // 4) + "z" * (n % 4) for n in (129, 172, 400)] + ["g" * 100 + "G" * 200 + "7"]
     texts = [f"token = {value}\nuser: bob77 https://api.example/v1"] + [f"user: bob77\n{r}" for r in runs]
     texts += [f"token = {value}{' ' * n}user: bob77" for n in (200, 201)] + [f"user: bob77{' ' * n}token = {value}" for n in (200, 201)]
-    some = [f"token = {value}", "AKIA" + "Q7" * 60, "0123456789abcdef" * 9, "user: bob77", "https://api.example/" + "v" * 90, *runs]
+    texts += [f"user: bob77\n\n{'aB3d' * 10}", f"user: bob77\n {'aB3d' * 10}"]
+    some = [f"token = {value}", "\n\n", "\n \t\n", "user=" + "u" * 90, "https://x.example/" + "w" * 300, "AKIA" + "Q7" * 60, "0123456789abcdef" * 9, "user: bob77", "https://api.example/" + "v" * 90, *runs]
     texts += [" ".join(x for _ in range(rng.randint(2, 9)) for x in (rng.choice(some), "." * rng.choice((1, 50, 150, 197, 198, 199, 300)))) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     by = {r.doc_id: r.spans for r in secret_scan.scan_secrets(df).collect()}
@@ -382,6 +541,7 @@ def test_secrets_link_by_distance_between_intervals(spark):
     for i, r in enumerate(runs, 1):
         assert by[i] == f"identifier:0:11,material:12:{12 + len(r)}" and clean[i] == "[SECRET]\n[SECRET]"
     assert ["identifier" in by[i] for i in (5, 6, 7, 8)] == [True, False, True, False]
+    assert {by[i] for i in (9, 10)} == {"", "identifier:0:11,material:13:53"}
     assert by == {i: plain_linked(t) for i, t in enumerate(texts)}
 
 
@@ -402,20 +562,72 @@ def test_warc(spark):
         assert (r.payload_bytes, r.payload_digest) == (len(h.encode()), hashlib.sha256(h.encode()).hexdigest())
         assert (r.record_type, r.refers_to) == (("revisit", min(ids[h])) if revisit else ("response", None))
         assert r.payload is None if revisit else bytes(r.payload) == h.encode()
+    heads = []
+    for f in {r.file for r in index.collect()}:
+        with open(f"{folder.removeprefix('file://')}/{f}", "rb") as h:
+            data, at = h.read(), 0
+        while at < len(data):
+            d = zlib.decompressobj(31)
+            raw = d.decompress(data[at:])
+            at = len(data) - len(d.unused_data)
+            heads.append(dict(x.split(": ", 1) for x in raw.partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:]))
+            assert len(raw) == raw.index(b"\r\n\r\n") + 8 + int(heads[-1]["Content-Length"])
+            if heads[-1]["WARC-Type"] == "response":
+                block = raw.partition(b"\r\n\r\n")[2]
+                assert int(re.search(rb"Content-Length: (\d+)", block)[1]) == len(block.partition(b"\r\n\r\n")[2]) - 4
+    assert len({h["WARC-Record-ID"] for h in heads}) == len(heads) == len(rows) + len({r.file for r in index.collect()})
+    assert {h.get("WARC-Refers-To-Target-URI") for h in heads if h["WARC-Type"] == "revisit"} == {"http://a/3", "u"}
     some = warc.read_warc(folder, index.where("page_id = 3")).collect()
     assert [r.page_id for r in some] == [3]
     assert warc.read_warc(*warc.write_warc(df.limit(0))).count() == 0
 
 
+def test_warc_of_a_very_long_payload(spark):
+    html = "<p>é" * 2_000_000
+    df = spark.createDataFrame([(1, "u", html), (2, "v", html), (3, "w", html[:-4])], "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc.read_warc(*warc.write_warc(df)).collect()}
+    assert bytes(got[1].payload) == html.encode() and got[2].refers_to == 1 and got[3].record_type == "response"
+
+
+def stage_rows(spark, tmp_path):
+    rng = random.Random(41)
+    prose = lambda n: " ".join("".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    same = prose(90)
+    texts = {1: same, 2: same, 3: prose(120) + " password = hunter2x", 4: None, 5: "", 6: prose(60000), 7: "a b c " * 100, 8: prose(70)}
+    kind = "doc_id long, text string, lang string, source string, n_chars long, kept string, score string, _k string, _before string, `a.b` string"
+    rows = [(i, t, None, "s", None, "x", None, "k", "b", "d") for i, t in texts.items()]
+    labels = spark.createDataFrame([(1, 1, 0), (8, 1, 0), (7, 0, 0), (99, None, None)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    return spark.createDataFrame([*rows, rows[2], (None, same, None, None, 5, None, None, None, None, None)], kind)
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    df = stage_rows(spark, tmp_path)
+    for name, stage in pipeline.STAGES[:-1]:
+        got, none = stage(spark, df, str(tmp_path)), stage(spark, df.limit(0), str(tmp_path))
+        assert got.columns == df.columns == none.columns and none.count() == 0, name
+        rows = got.collect()
+        ids = sorted((r.doc_id for r in rows if r.doc_id is not None))
+        assert all(r["a.b"] == "d" and r.kept == "x" and r._k == "k" for r in rows if r.doc_id is not None)
+        want = {"quality rules": [1, 2, 3, 3, 6, 8], "toxicity": [1, 2, 3, 3, 4, 5, 6, 7, 8], "n-gram Jaccard join": [1, 3, 4, 5, 6, 7, 8], "secret scans": [1, 2, 3, 3, 4, 5, 6, 7, 8]}
+        assert ids == want[name], name
+        if name == "secret scans":
+            assert all("hunter2x" not in (r.text or "") and r.n_chars == (len(r.text) if r.text is not None else None) for r in rows)
+    last = pipeline.STAGES[-1][1]
+    rows = last(spark, df, str(tmp_path)).collect()
+    assert sorted((p.doc_id for r in rows for p in r.pieces if p.piece == 0 and p.doc_id is not None)) == [1, 2, 3, 3, 4, 5, 6, 7, 8]
+    assert all(len(r.ids) == r.length <= 2048 for r in rows) and last(spark, df.limit(0), str(tmp_path)).count() == 0
+    bare = df.select("doc_id", "text")
+    assert pipeline.secrets(spark, bare, str(tmp_path)).columns == bare.columns
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     d = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
     got = pipeline.run(spark, d).collect()
-    kept = {r.doc_id for r in got}
+    kept = {p.doc_id for r in got for p in r.pieces}
     assert kept < set(texts) and len(kept) > 0.5 * len(texts)
     assert not plain_links({i: texts[i] for i in kept})
-    bins = collections.defaultdict(list)
-    for r in got:
-        bins[r.sequence_id].append((r.offset, r.length))
-    assert all(sum(n for _, n in b) <= 2048 for b in bins.values())
+    assert all(len(r.ids) == r.length <= 2048 for r in got)
