@@ -296,10 +296,22 @@ def coded(texts: list[str], path: str) -> Iterator[list[list[int]]]:
     yield from flush()
 
 
-def digests(ids: list[list[int]], t: Tokenizer) -> tuple[int, bytes, bytes]:
+@functools.lru_cache(maxsize=2)
+def tables(path: str) -> tuple[list[str], list[bytes]]:
+    """For each id its decimal digits, and the bytes that a byte-level decoder gives it: its characters' bytes in the
+    byte alphabet, or where one has none (in an added token) the token as it is."""
+    t, byte = tokenizer(path), {c: b for b, c in _ALPHABET.items()}
+    tokens = [t.id_to_token(i) or "" for i in range(t.get_vocab_size(with_added_tokens=True))]
+    plain = [bytes([byte[c] for c in x]) if all(c in byte for c in x) else x.encode() for x in tokens]
+    return list(map(str, range(len(tokens)))), plain
+
+
+def digests(ids: list[list[int]], path: str) -> tuple[int, bytes, bytes]:
     """Number of tokens, decimal ids joined by commas, and the decoded text in UTF-8, of a text's slices."""
-    listed = b",".join([",".join(map(str, x)).encode() for x in ids if x])
-    return sum(map(len, ids)), listed, "".join(t.decode_batch(ids, skip_special_tokens=False)).encode() if ids else b""
+    digits, plain = tables(path)
+    listed = ",".join([digits[i] for x in ids for i in x]).encode()
+    decoded = b"".join([plain[i] for x in ids for i in x])
+    return sum(map(len, ids)), listed, decoded.decode("utf-8", "replace").encode()
 
 
 def encode_decode(df: DataFrame, path: str, text: str = "text", full: bool = False) -> DataFrame:
@@ -316,7 +328,7 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", full: bool = Fal
         for batch in batches:
             n, a, b, ids, texts = [], [], [], [], []
             for own in coded(strings(batch), path):
-                k, listed, decoded = digests(own, tokenizer(path))
+                k, listed, decoded = digests(own, path)
                 n.append(k)
                 a.append(hashlib.sha256(listed).hexdigest())
                 b.append(hashlib.sha256(decoded).hexdigest())
