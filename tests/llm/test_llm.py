@@ -68,12 +68,19 @@ def test_coding_of_very_long_texts():
     t = bpe.tokenizer(BYTE)
     for x in ("word and é日 <|endoftext|> x's 12  " * 40000, "q" * 150000 + " end", "日本語" * 20000, " \n" * 30000):
         ids = t.encode(x, add_special_tokens=False).ids
-        n, listed, decoded = bpe.digests(next(bpe.coded([x], BYTE)), t)
+        n, listed, decoded = bpe.digests(next(bpe.coded([x], BYTE)), BYTE)
         assert n == len(ids) and listed.decode() == ",".join(map(str, ids)) and decoded == x.encode()
         assert tokens.token_counts(["a", x, "", x[:7]], BYTE) == [len(t.encode(y, add_special_tokens=False).ids) for y in ("a", x, "", x[:7])]
         assert len(list(bpe.slices("a b" * 5000, size=1000))) > 10
 
 
+def test_decoding_is_the_librarys():
+    t, rng = bpe.tokenizer(BYTE), random.Random(8)
+    for _ in range(300):  # any ids: what they spell need not be UTF-8
+        ids = [rng.choice((rng.randrange(50257), rng.randrange(256), 50256)) for _ in range(rng.randint(0, 12))]
+        assert bpe.digests([ids], BYTE)[2].decode() == t.decode(ids, skip_special_tokens=False)
+
+
 def test_batches_hold_about_equal_bytes():
     texts = ["é" * n for n in (10, 500, 20, 3000, 1, 1, 40)]
     runs = list(bpe.batches(texts, 1100))
