@@ -84,16 +84,34 @@ def essence(text: str, most: int = 200) -> str:
     return " ".join(sentences[i] for i in sorted(taken))
 
 
+def frequent_words(text: str, k: int) -> list[str]:
+    """The k most frequent words that are no stop words, ties in alphabetical order."""
+    n = Counter(w for w in re.findall("[a-z0-9]+", text.lower()) if w not in _STOP)
+    return [w for w, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:k]]
+
+
 def summary(text: str) -> str:
-    """A third of the sentences, three at most: those whose words the text repeats most, in their order."""
-    sentences = [s for s in (x.strip() for x in _SENTENCE.split(text)) if s]
+    """A third of the sentences, three at most, in their order: those with most words of their own (six count) and marks
+    within (three count)."""
+    sentences = [s for s in _SENTENCE.split(text) if s]
     if not sentences:
         return text
-    words = [w for w in re.findall("[a-z0-9]+", text.lower()) if w not in _STOP]
-    often = {w: n for w, n in Counter(words).items()}
-    score = [sum(often.get(w, 0) for w in re.findall("[a-z0-9]+", s.lower())) + len(re.findall("[,;:]", s)) for s in sentences]
+    score = [len(frequent_words(s, 6)) + min(3, len(re.findall("[,;:]", s))) for s in sentences]
     best = sorted(range(len(sentences)), key=lambda i: -score[i])[: min(3, -(-len(sentences) // 3))]
-    return " ".join(sentences[i] for i in sorted(best))
+    return " ".join(sentences[i] for i in sorted(best)) or sentences[0]
+
+
+def reduced(text: str, left: float, layers: int = 3) -> str:
+    """What decay leaves of a text: its beginning, its summary's, or its most frequent words, by the share that is left."""
+    t = text.strip()
+    cut = lambda x, n: x if len(x) <= n else x[: n - 1].rstrip() + "…"
+    if not t:
+        return ""
+    if left > 0.8:
+        return cut(t, 200)
+    if left > 0.4:
+        return cut(summary(t), 80 if layers >= 2 else 200)
+    return " ".join(frequent_words(t, 5 if layers >= 3 else 3))
 
 
 def _texts(call, kind: str, arrow: pa.DataType):
@@ -124,3 +142,15 @@ def essence_of(text: Column, most: int = 200) -> Column:
 
 def summary_of(text: Column) -> Column:
     return _texts(summary, "string", pa.string())(text)
+
+
+def reduced_of(text: Column, left: Column, layers: int = 3) -> Column:
+    @F.arrow_udf("string")
+    def run(texts: pa.Array, lefts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or f is None else reduced(x, f, layers) for x, f in zip(texts.to_pylist(), lefts.to_pylist(), strict=True)], pa.string())
+
+    return run.asNondeterministic()(text, left)
+
+
+def words_of_text(text: Column, k: int) -> Column:
+    return _texts(lambda x: " ".join(frequent_words(x, k)), "string", pa.string())(text)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 
@@ -179,6 +180,33 @@ def _stemmed(t: str) -> str:
     return t
 
 
+def keyword_set(tokens: list[str], least: int = 3) -> set[str]:
+    """keywords() of canonical tokens in Python."""
+    out = set()
+    for t in tokens:
+        if len(t) >= max(least, 1):
+            out.add(t)
+            out.update(t[i : i + 3] for i in range(len(t) - 2))
+    out.update(x for x in map("_".join, zip(tokens, tokens[1:], strict=False)) if len(x) >= least)
+    out.update(map("_".join, zip(tokens, tokens[1:], tokens[2:], strict=False)))
+    return out
+
+
+def text_scores(query: tuple, content: tuple, corpus: int = 10_000, mean_length: float = 100.0, k1: float = 1.5, b: float = 0.75) -> tuple[float, float]:
+    """token_overlap() and keyword_score() in Python, of (lower-case trimmed text, canonical tokens, keywords) of a query
+    and (lower-case text, counts of tokens, number of tokens, keywords) of a content."""
+    (phrase, tokens, own), (text, counts, n, theirs) = query, content
+    distinct = set(tokens)
+    overlap = sum(t in counts for t in distinct) / len(distinct) if distinct else 0.0
+    weight = lambda k: sum(2 if "_" in x else 1 for x in k)
+    shared = weight(own & theirs) / weight(own) if own else 0.0
+    bm = 0.0
+    for t in tokens:
+        if tf := counts.get(t):
+            bm += math.log((corpus + 1) / (tf + 0.5)) * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * (n / mean_length)))
+    return overlap, (1.0 if phrase in text else 0.0) + shared * 0.8 + min(1.0, bm / 10) * 0.5
+
+
 def search_document(text: Column) -> Column:
     """Tokens with all their synonyms, in order, each once, joined by spaces."""
     groups = F.create_map(*[x for g in SYNONYMS for x in (F.lit(g[0]), F.array(*map(F.lit, g)))])

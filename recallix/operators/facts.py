@@ -2,28 +2,57 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DAY_MS
 from ..functions.dynamics import confidence_decay
-from .scope import like, valid_at, valid_in
+from .scope import like, of_project, of_user, valid_at, valid_in
+
+
+#: What names a fact: its owner, subject and predicate.
+KEY = ("user_id", "subject", "predicate")
+
 
+def keys(rows: DataFrame) -> list[str]:
+    """The columns of KEY that the rows have; without owners all facts are one's."""
+    return [c for c in KEY if c in rows.columns]
 
-def close_intervals(rows: DataFrame, by: tuple[str, ...] = ("subject", "predicate"), key: str = "id") -> DataFrame:
-    """A history loaded in order: each row of a key ends just before the next one begins; the last stays open."""
-    order = Window.partitionBy(*by).orderBy("valid_from", key)
-    return rows.withColumn("valid_to", F.lead("valid_from").over(order) - 1)
+
+def close_intervals(rows: DataFrame) -> DataFrame:
+    """A history loaded in order: each row of a key ends just before the next later one begins; the last stays open."""
+    later = Window.partitionBy(*keys(rows)).orderBy("valid_from").rangeBetween(1, Window.unboundedFollowing)
+    return rows.withColumn("valid_to", F.min("valid_from").over(later) - 1)
 
 
 def insert_facts(state: DataFrame, new: DataFrame) -> DataFrame:
-    """New rows close open ones of their subject and predicate that began before; late rows stay open beside them."""
-    first = new.groupBy("subject", "predicate").agg(F.array_sort(F.collect_set("valid_from")).alias("_starts"))
+    """New rows close open ones of their owner, subject and predicate that began before; late rows stay open beside
+    them. A null owner is an owner of its own."""
+    by = keys(state)
+    first = new.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.array_sort(F.collect_set("valid_from")).alias("_starts"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
     later = F.array_min(F.filter("_starts", lambda s: s > F.col("valid_from")))
-    closed = state.join(first, ["subject", "predicate"], "left").withColumn("valid_to", F.when(F.col("valid_to").isNull(), later - 1).otherwise(F.col("valid_to"))).select(state.columns)
+    closed = state.join(first, same, "left").withColumn("valid_to", F.when(F.col("valid_to").isNull(), later - 1).otherwise(F.col("valid_to"))).select(state.columns)
     return closed.unionByName(close_intervals(new.drop("valid_to")).select(state.columns))
 
 
+def by_id(facts: DataFrame, ids: DataFrame, user: str, project: str | None = None) -> DataFrame:
+    """Facts of the given ids as far as they are the user's, and in the project's scope."""
+    return facts.join(ids.select("id").distinct(), "id", "left_semi").where(of_user(user) & of_project(project))
+
+
+def insert_edges(state: DataFrame, new: DataFrame) -> DataFrame:
+    """Edges are added open."""
+    return state.unionByName(new.withColumn("edge_to", F.lit(None).cast("bigint")).select(state.columns))
+
+
+def invalidate_edges(state: DataFrame, ids: DataFrame, at: int, key: tuple[str, str] = ("source_id", "target_id")) -> DataFrame:
+    marked = ids.select(*key).distinct().withColumn("_hit", F.lit(True))
+    return state.join(marked, list(key), "left").withColumn("edge_to", F.when(F.col("_hit"), F.lit(at)).otherwise(F.col("edge_to"))).select(state.columns)
+
+
 def invalidate(state: DataFrame, ids: DataFrame, at: int) -> DataFrame:
     """Close the rows of the given ids at an instant."""
     marked = ids.select("id").distinct().withColumn("_hit", F.lit(True))
@@ -49,9 +78,18 @@ def at_time(facts: DataFrame, at: int, least: float = 0.1, subject: str | None =
 
 
 def current(facts: DataFrame) -> DataFrame:
-    """The newest open fact of each subject and predicate."""
+    """The newest open fact of each owner, subject and predicate."""
     newest = F.max_by(F.struct("id", "object", "valid_from", "confidence"), F.struct("valid_from", "id"))
-    return facts.where("valid_to IS NULL").groupBy("subject", "predicate").agg(newest.alias("f")).select("subject", "predicate", "f.*")
+    by = keys(facts)
+    return facts.where("valid_to IS NULL").groupBy(*by).agg(newest.alias("f")).select(*by, "f.*")
+
+
+def by_subject(facts: DataFrame, historical: bool = False) -> DataFrame:
+    """Each owner's facts about a subject with their position: open ones by predicate and start, or all by start."""
+    rows = facts if historical else facts.where("valid_to IS NULL")
+    order = [F.desc("valid_from"), "id"] if historical else ["predicate", F.desc("valid_from"), "id"]
+    own = Window.partitionBy(*[c for c in keys(facts) if c != "predicate"]).orderBy(*order)
+    return rows.withColumn("position", F.row_number().over(own).cast("bigint"))
 
 
 def in_range(facts: DataFrame, low: int | None, high: int | None) -> DataFrame:
@@ -59,17 +97,26 @@ def in_range(facts: DataFrame, low: int | None, high: int | None) -> DataFrame:
 
 
 def conflicts(facts: DataFrame) -> DataFrame:
-    """Overlapping facts of one subject and predicate with different objects, found by a running end, not by pairs."""
-    order = Window.partitionBy("subject", "predicate").orderBy("valid_from", "id")
-    far = F.lit(2**62)
-    seen = F.max(F.struct(F.coalesce("valid_to", far).alias("end"), F.col("object").alias("object"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = facts.withColumn("_seen", seen)
-    return rows.where((F.col("_seen.end") >= F.col("valid_from")) & (F.col("_seen.object") != F.col("object"))).select(facts.columns)
+    """Facts that overlap one of the same owner, subject and predicate with another object; no pairs are listed.
+
+    Rows in order of their start know the farthest end before them and whose object has it, and the farthest end of any
+    other object: the loser of each meeting of two objects. Later rows of another object begin with the next change.
+    """
+    order = Window.partitionBy(*keys(facts)).orderBy("valid_from", "id")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    end = F.coalesce("valid_to", F.lit(2**62))
+    same = F.col("_best.object").eqNullSafe(F.col("object"))
+    rows = facts.withColumn("_best", F.max(F.struct(end.alias("end"), F.col("object").alias("object"))).over(before))
+    rows = rows.withColumn("_lost", F.when(F.col("_best").isNotNull() & ~same, F.least(end, F.col("_best.end"))))
+    rows = rows.withColumn("_other", F.when(~same, F.col("_best.end")).otherwise(F.max("_lost").over(before)))
+    rows = rows.withColumn("_change", F.when(~F.lag("object").over(order).eqNullSafe(F.col("object")), F.col("valid_from")))
+    hit = (F.col("_best").isNotNull() & (F.col("_other") >= F.col("valid_from"))) | (F.min("_change").over(after) <= end)
+    return rows.withColumn("_hit", hit).where("_hit").select(facts.columns)
 
 
 def conflicts_at(facts: DataFrame, at: int) -> DataFrame:
-    """Subjects and predicates with more than one fact at an instant."""
-    return facts.where(valid_at(at)).groupBy("subject", "predicate").agg(F.count(F.lit(1)).alias("n_facts"), F.countDistinct("object").alias("n_objects")).where("n_facts > 1")
+    """Owners, subjects and predicates with more than one fact at an instant."""
+    return facts.where(valid_at(at)).groupBy(*keys(facts)).agg(F.count(F.lit(1)).alias("n_facts"), F.countDistinct("object").alias("n_objects")).where("n_facts > 1")
 
 
 def search(facts: DataFrame, part: str, field: str = "subject", limit: int | None = 100) -> DataFrame:
@@ -77,11 +124,14 @@ def search(facts: DataFrame, part: str, field: str = "subject", limit: int | Non
     return rows.limit(limit) if limit else rows
 
 
-def related(edges: DataFrame, facts: DataFrame, at: int) -> DataFrame:
-    """Targets of edges of valid facts, valid at the instant themselves, with the edge's weight."""
-    source = facts.select(F.col("id").alias("source_id"), F.col("subject").alias("source_subject"))
-    target = facts.where(valid_at(at)).select(F.col("id").alias("target_id"), "subject", "predicate", "object", "confidence")
-    return edges.where(F.col("edge_from") <= at).join(source, "source_id").join(target, "target_id")
+def related(edges: DataFrame, facts: DataFrame, at: int, user: str | None = None) -> DataFrame:
+    """Targets of edges that hold at the instant, valid then themselves, with the edge's weight. Both ends have one owner;
+    with a user only that one's are given."""
+    own = facts.where(of_user(user))
+    source = own.select(F.col("id").alias("source_id"), F.col("subject").alias("source_subject"), F.col("user_id").alias("_owner"))
+    target = own.where(valid_at(at)).select(F.col("id").alias("target_id"), "user_id", "subject", "predicate", "object", "confidence")
+    valid = edges.where((F.col("edge_from") <= at) & (F.col("edge_to").isNull() | (F.col("edge_to") >= at)))
+    return valid.join(source, "source_id").join(target, "target_id").where(F.col("_owner").eqNullSafe(F.col("user_id"))).drop("_owner")
 
 
 def timeline(facts: DataFrame) -> DataFrame:
@@ -89,7 +139,8 @@ def timeline(facts: DataFrame) -> DataFrame:
     made = F.struct(F.lit("created").alias("change"), F.col("valid_from").alias("at_ms"))
     ended = F.struct(F.lit("invalidated").alias("change"), F.col("valid_to").alias("at_ms"))
     events = F.when(F.col("valid_to").isNotNull(), F.array(made, ended)).otherwise(F.array(made))
-    return facts.select("id", "subject", "predicate", "object", "confidence", F.explode(events).alias("e")).select("id", "subject", "predicate", "object", "confidence", "e.change", "e.at_ms")
+    names = ["id", *keys(facts), "object", "confidence"]
+    return facts.select(*names, F.explode(events).alias("e")).select(*names, "e.change", "e.at_ms")
 
 
 def changes_between(facts: DataFrame, low: int, high: int) -> DataFrame:
@@ -97,25 +148,30 @@ def changes_between(facts: DataFrame, low: int, high: int) -> DataFrame:
 
 
 def compare(facts: DataFrame, one: int, two: int) -> DataFrame:
-    """Added, removed, changed and unchanged between two instants, by subject and predicate; the latest row speaks."""
+    """Added, removed, changed and unchanged between two instants, by owner, subject and predicate; the latest row
+    speaks."""
+    by = keys(facts)
 
     def side(at: int, name: str) -> DataFrame:
         last = F.max_by("object", F.struct("valid_from", "id"))
-        return facts.where(valid_at(at)).groupBy("subject", "predicate").agg(last.alias(name))
+        return facts.where(valid_at(at)).groupBy(*by).agg(last.alias(name))
 
-    both = side(one, "before").join(side(two, "after"), ["subject", "predicate"], "full_outer")
+    left, right = side(one, "before"), side(two, "after").select(*[F.col(c).alias(f"_{c}") for c in by], "after")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    both = left.join(right, same, "full_outer").select(*[F.coalesce(c, f"_{c}").alias(c) for c in by], "before", "after")
     kind = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(F.col("before") == F.col("after"), "unchanged").otherwise("changed")
     return both.withColumn("change", kind)
 
 
 def change_frequency(facts: DataFrame, now: int, window_days: int) -> DataFrame:
-    """Changes of each subject and predicate in the window, mean days until closed, and changes a day."""
+    """Changes of each owner, subject and predicate in the window, mean days until closed, and changes a day."""
     own = facts.where(F.col("valid_from") >= now - window_days * DAY_MS)
-    return own.groupBy("subject", "predicate").agg(F.count(F.lit(1)).alias("changes"), (F.avg(F.col("valid_to") - F.col("valid_from")) / DAY_MS).alias("mean_days"), (F.count(F.lit(1)) / window_days).alias("per_day"))
+    return own.groupBy(*keys(facts)).agg(F.count(F.lit(1)).alias("changes"), (F.avg(F.col("valid_to") - F.col("valid_from")) / DAY_MS).alias("mean_days"), (F.count(F.lit(1)) / window_days).alias("per_day"))
 
 
 def volatile(facts: DataFrame, limit: int | None = 10) -> DataFrame:
-    rows = facts.groupBy("subject", "predicate").agg(F.count(F.lit(1)).alias("changes"), F.avg("confidence").alias("confidence")).where("changes > 1").orderBy(F.desc("changes"), F.asc("confidence"), "subject", "predicate")
+    by = keys(facts)
+    rows = facts.groupBy(*by).agg(F.count(F.lit(1)).alias("changes"), F.avg("confidence").alias("confidence")).where("changes > 1").orderBy(F.desc("changes"), F.asc("confidence"), *by)
     return rows.limit(limit) if limit else rows
 
 

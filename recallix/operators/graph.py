@@ -16,20 +16,22 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def expand(seeds: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(id, weight, path) reached from seeds (id): each hop multiplies by the edge and 0.8, and stops below 0.1.
+def expand(seeds: DataFrame, edges: DataFrame, rounds: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, id, weight, path) reached from seeds (*by, id): each hop multiplies by the edge and 0.8, and stops below 0.1.
 
     Level by level, a node keeps the first level's best path (greatest weight, then smallest predecessor). A weight of
-    0.8 to the tenth is the least that passes, so ten rounds are all.
+    0.8 to the tenth is the least that passes, so ten rounds are all. With `by` each group of seeds walks on its own, and
+    all groups in one plan.
     """
-    level = seeds.select("id").distinct().select("id", F.lit(1.0).alias("weight"), F.array("id").alias("path"))
+    own, places = list(by), [*by, "id"]
+    level = seeds.select(*places).distinct().select(*places, F.lit(1.0).alias("weight"), F.array("id").alias("path"))
     seen = level = _kept(level)
-    own = edges.select("src", "dst", clamped(F.col("weight")).alias("edge"))
+    hops = edges.select("src", "dst", clamped(F.col("weight")).alias("edge"))
     for _ in range(rounds):
-        step = level.join(own, level["id"] == own["src"]).withColumn("_w", F.col("weight") * F.col("edge") * DYNAMICS.hop)
-        step = step.where((F.col("_w") >= DYNAMICS.least_hop)).join(seen.select(F.col("id").alias("dst")), "dst", "left_anti")
+        step = level.join(hops, level["id"] == hops["src"]).withColumn("_w", F.col("weight") * F.col("edge") * DYNAMICS.hop)
+        step = step.where(F.col("_w") >= DYNAMICS.least_hop).join(seen.select(*own, F.col("id").alias("dst")), [*own, "dst"], "left_anti")
         best = F.min_by(F.struct(F.col("_w").alias("weight"), F.concat("path", F.array("dst")).alias("path")), F.struct((-F.col("_w")).alias("m"), F.col("src")))
-        level = _kept(step.groupBy("dst").agg(best.alias("b")).select(F.col("dst").alias("id"), "b.weight", "b.path"))
+        level = _kept(step.groupBy(*own, "dst").agg(best.alias("b")).select(*own, F.col("dst").alias("id"), "b.weight", "b.path"))
         if level.isEmpty():
             break
         seen = _kept(seen.unionByName(level))

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 BLOCK = 1024
 
 
-def blocks(rows: DataFrame, key: str, vector: str, by: str, size: int = BLOCK) -> DataFrame:
-    """(by, block, keys, n, matrix): rows packed into matrices, by a salt that follows each group's own number."""
-    number = rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / size).alias("_k"))
-    dealt = rows.join(number, by).withColumn("block", F.pmod(F.xxhash64(key), F.col("_k")))
-    return dealt.groupBy(by, "block").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v"))).alias("rows"))
+def blocks(rows: DataFrame, key: str, vector: str, by: str, size: int | None = None) -> DataFrame:
+    """(by, block, of, rows): rows packed into blocks, by a salt that follows each group's own number of them."""
+    number = rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / (size or BLOCK)).cast("int").alias("of"))
+    dealt = rows.join(number, by).withColumn("block", F.pmod(F.xxhash64(key), F.col("of")).cast("int"))
+    return dealt.groupBy(by, "block", "of").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v"))).alias("rows"))
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "v", by: str = "sector", query_key: str = "query_id", include_self: bool = True, least: float | None = None) -> DataFrame:
@@ -34,46 +34,60 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, key: str = "id", vector:
 
 def similarities(rows: DataFrame, queries: DataFrame, key: str = "id", vector: str = "v", by: str = "sector", query_key: str = "query_id", k: int = 2**31 - 1, include_self: bool = True, least: float | None = None) -> DataFrame:
     """(query, by, key, similarity): cosines of the queries with the rows of their group, at most k for a query from each
-    block of rows."""
+    block of rows. Blocks of queries go to every block of rows of their group, and meet there: a group of any size is
+    spread over as many tasks as it has blocks of rows."""
     kind = "array<struct<q:bigint,k:bigint,s:double>>"
 
     @F.arrow_udf(kind)
     def meet(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
-            out = [_best(qs.as_py(), rs.as_py(), k, include_self, least) for qs, rs in zip(left, right, strict=True)]
+            out = [_best(_matrix(qs), _matrix(rs), k, include_self, least) for qs, rs in zip(left, right, strict=True)]
             ends = np.cumsum([0, *(len(x[0]) for x in out)])
             fields = [pa.array(np.concatenate([np.zeros(0, t), *(x[i] for x in out)])) for i, t in enumerate((np.int64, np.int64, float))]
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["q", "k", "s"]))
 
-    q = blocks(queries, query_key, vector, by).select(by, F.col("rows").alias("qs"))
-    r = blocks(rows, key, vector, by).select(by, F.col("rows").alias("rs"))
-    met = q.join(r, by).select(by, F.explode(meet(F.col("qs"), F.col("rs"))).alias("m"))
+    r = blocks(rows, key, vector, by).select(by, "block", "of", F.col("rows").alias("rs"))
+    parts = r.groupBy(by).agg(F.max("of").alias("parts"))
+    q = blocks(queries, query_key, vector, by).select(by, F.col("rows").alias("qs")).join(parts, by)
+    q = q.select(by, "qs", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"))
+    met = q.join(r.drop("of"), [by, "block"]).select(by, F.explode(meet(F.col("qs"), F.col("rs"))).alias("m"))
     return met.select(F.col("m.q").alias(query_key), by, F.col("m.k").alias(key), F.col("m.s").alias("similarity"))
 
 
-def _best(qs: list[dict], rs: list[dict], k: int, include_self: bool, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    wide = max([len(x["v"] or []) for x in qs + rs] or [0])
-
-    def matrix(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        size = np.array([len(x["v"] or []) for x in rows])
-        m = np.zeros((len(rows), wide))
-        for i, x in enumerate(rows):
-            m[i, : size[i]] = x["v"] or []
-        n = np.linalg.norm(m, axis=1)
-        return m / np.where(n > 0, n, 1)[:, None], size
-
-    (a, na), (b, nb) = matrix(qs), matrix(rs)
-    s = np.where(na[:, None] == nb[None, :], a @ b.T, 0.0)
-    keys = np.array([x["k"] for x in rs], np.int64)
-    out = []
-    for i, q in enumerate(qs):
-        row = s[i]
-        usable = np.flatnonzero((keys != q["k"]) | include_self)
-        if least is not None:
-            usable = usable[row[usable] >= least]
-        best = usable[np.lexsort((keys[usable], -row[usable]))][:k]
-        out.append((np.full(len(best), q["k"], np.int64), keys[best], row[best]))
-    return tuple(np.concatenate([x[i] for x in out]) for i in range(3))
+def _matrix(block: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, unit vectors (shorter ones padded) and dimensions of a block's rows."""
+    rows = block.values
+    keys, lists = rows.field("k").to_numpy(zero_copy_only=False), rows.field("v")
+    size = np.array([0 if n is None else n for n in lists.value_lengths().to_pylist()], np.int64)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+    wide = int(size.max(initial=0))
+    if len(size) and (size == wide).all():
+        m = flat.reshape(len(size), wide)
+    else:
+        m = np.zeros((len(size), wide))
+        m[np.arange(wide)[None, :] < size[:, None]] = flat
+    n = np.linalg.norm(m, axis=1)
+    return keys, m / np.where(n > 0, n, 1)[:, None], size
+
+
+def _best(queries: tuple, rows: tuple, k: int, include_self: bool, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    (qk, a, na), (rk, b, nb) = queries, rows
+    wide = min(a.shape[1], b.shape[1])
+    s = np.where(na[:, None] == nb[None, :], a[:, :wide] @ b[:, :wide].T, 0.0)
+    s[np.isnan(s)] = 0.0
+    use = np.full(s.shape, True) if include_self else qk[:, None] != rk[None, :]
+    if least is not None:
+        use &= s >= least
+    if k < s.shape[1]:  # what may be among the k best: all from the k-th value on
+        masked = np.where(use, s, -np.inf)
+        use &= s >= np.partition(masked, -k, axis=1)[:, -k][:, None]
+    i, j = np.nonzero(use)
+    order = np.lexsort((rk[j], -s[i, j], i))
+    i, j = i[order], j[order]
+    first = np.searchsorted(i, i, "left")
+    keep = np.arange(len(i)) - first < k
+    i, j = i[keep], j[keep]
+    return qk[i].astype(np.int64), rk[j].astype(np.int64), s[i, j]
 
 
 def fused(similarities: DataFrame, weights: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -86,6 +100,7 @@ def fused(similarities: DataFrame, weights: DataFrame, keys: tuple[str, ...]) ->
 def mean_vectors(vectors: DataFrame, key: str = "id", beta: float = 2.0) -> DataFrame:
     """One vector per memory: its sectors' vectors under a softmax of their weights, of length one."""
     from ..config import SECTOR_WEIGHT
+    from ..functions.text import let
     from ..functions.vectors import norm
 
     table = F.create_map(*[F.lit(x) for pair in SECTOR_WEIGHT.items() for x in pair])
@@ -95,4 +110,4 @@ def mean_vectors(vectors: DataFrame, key: str = "id", beta: float = 2.0) -> Data
     first = F.transform(F.get(F.col("p"), F.lit(0))["v"], lambda x: F.lit(0.0))
     summed = F.aggregate("p", first, lambda a, x: F.zip_with(a, x["v"], lambda s, y: s + y * x["_e"] / total))
     out = parts.select(key, summed.alias("mean"))
-    return out.select(key, F.transform("mean", lambda x: x / (norm(F.col("mean")) + 1e-8)).alias("mean"))
+    return out.select(key, let(F.struct(F.col("mean").alias("v"), (norm(F.col("mean")) + 1e-8).alias("n")), lambda m: F.transform(m["v"], lambda x: x / m["n"])).alias("mean"))

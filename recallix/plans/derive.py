@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DAY_MS, SECTORS, SEGMENT_SIZE
+from ..operators.facts import close_intervals as closed
 
 #: The clock of all queries: 2024-02-01T00:00Z.
 NOW_MS = 1_706_745_600_000
@@ -78,30 +79,56 @@ CUES_SQL = f"cues AS (SELECT doc_id AS id, [{', '.join(map(_quoted, CUES))}][doc
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts from events: user, type and value; each is closed just before the next of its subject and predicate."""
-    e = table(spark, sf_dir, "events")
-    order = Window.partitionBy("subject", "predicate").orderBy("valid_from", "id")
-    rows = e.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("subject"), F.col("event_type").alias("predicate"), F.get_json_object("props", "$.k").alias("object"), F.unix_millis(F.col("ts").cast("timestamp")).alias("valid_from"), (F.lit(0.05) + (F.col("event_id") % 20) / 20.0).alias("confidence"))
-    return rows.withColumn("valid_to", F.lead("valid_from").over(order) - 1)
+    """Facts from events: user, type and value, of three owners; each is closed just before the next later one of its
+    owner, subject and predicate."""
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    rows = e.select(
+        i.alias("id"),
+        F.concat(F.lit("t"), i % 3).alias("user_id"),
+        F.when(i % 4 == 0, "system_global").when(i % 4 != 1, F.concat(F.lit("p"), i % 4)).alias("project_id"),
+        F.col("user_id").cast("string").alias("subject"),
+        F.col("event_type").alias("predicate"),
+        F.get_json_object("props", "$.k").alias("object"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("valid_from"),
+        (F.lit(0.05) + (i % 20) / 20.0).alias("confidence"),
+    )
+    return closed(rows)
 
 
 FACTS_SQL = """
-f0 AS (SELECT event_id AS id, CAST(user_id AS VARCHAR) AS subject, event_type AS predicate, json_extract_string(props, '$.k') AS object,
+f0 AS (SELECT event_id AS id, 't' || CAST(event_id % 3 AS VARCHAR) AS user_id, CASE event_id % 4 WHEN 0 THEN 'system_global' WHEN 1 THEN NULL ELSE 'p' || CAST(event_id % 4 AS VARCHAR) END AS project_id,
+  CAST(user_id AS VARCHAR) AS subject, event_type AS predicate, json_extract_string(props, '$.k') AS object,
   epoch_us(ts) // 1000 AS valid_from, CAST(0.05 AS DOUBLE) + (event_id % 20) / CAST(20.0 AS DOUBLE) AS confidence FROM events),
-facts AS (SELECT *, lead(valid_from) OVER (PARTITION BY subject, predicate ORDER BY valid_from, id) - 1 AS valid_to FROM f0)"""
+facts AS (SELECT *, min(valid_from) OVER (PARTITION BY user_id, subject, predicate ORDER BY valid_from RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - 1 AS valid_to FROM f0)"""
 
 
 def fact_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An edge from each fact of a subject to its next one; its weight falls with the days between."""
+    """An edge from each fact of an owner's subject to its next one, which ends with it; its weight falls with the days
+    between."""
     f = facts(spark, sf_dir)
-    w = Window.partitionBy("subject").orderBy("valid_from", "id")
-    n = f.withColumn("target_id", F.lead("id").over(w)).withColumn("until", F.lead("valid_from").over(w)).where("target_id IS NOT NULL")
-    return n.select(F.col("id").alias("source_id"), "target_id", F.col("predicate").alias("relation"), F.col("valid_from").alias("edge_from"), (1 / (1 + (F.col("until") - F.col("valid_from")) / DAY_MS)).alias("weight"))
+    w = Window.partitionBy("user_id", "subject").orderBy("valid_from", "id")
+    n = f.withColumn("target_id", F.lead("id").over(w)).withColumn("until", F.lead("valid_from").over(w)).withColumn("edge_to", F.lead("valid_to").over(w)).where("target_id IS NOT NULL")
+    return n.select(F.col("id").alias("source_id"), "target_id", F.col("predicate").alias("relation"), F.col("valid_from").alias("edge_from"), "edge_to", (1 / (1 + (F.col("until") - F.col("valid_from")) / DAY_MS)).alias("weight"))
 
 
 EDGES_SQL = """
-e0 AS (SELECT *, lead(id) OVER (PARTITION BY subject ORDER BY valid_from, id) AS target_id, lead(valid_from) OVER (PARTITION BY subject ORDER BY valid_from, id) AS until FROM facts),
-edges AS (SELECT id AS source_id, target_id, predicate AS relation, valid_from AS edge_from, 1 / (1 + (until - valid_from) / CAST(86400000 AS DOUBLE)) AS weight FROM e0 WHERE target_id IS NOT NULL)"""
+e0 AS (SELECT *, lead(id) OVER w AS target_id, lead(valid_from) OVER w AS until, lead(valid_to) OVER w AS edge_to FROM facts WINDOW w AS (PARTITION BY user_id, subject ORDER BY valid_from, id)),
+edges AS (SELECT id AS source_id, target_id, predicate AS relation, valid_from AS edge_from, edge_to, 1 / (1 + (until - valid_from) / CAST(86400000 AS DOUBLE)) AS weight FROM e0 WHERE target_id IS NOT NULL)"""
+
+
+def memory_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five vectors, one a sector, for every memory: those of the embeddings of the numbers that follow from its own, as
+    often as there are embeddings."""
+    e = table(spark, sf_dir, "embeddings")
+    n = e.count()
+    sectors = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("sector")) for i, s in enumerate(SECTORS)]))
+    m = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), sectors.alias("s"))
+    m = m.select("id", "s.sector", ((F.col("id") * 5 + F.col("s.i")) % n).alias("vec_id"))
+    return m.join(e.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")), "vec_id").select("id", "sector", "v")
+
+
+MEMORY_VECTORS_SQL = """mv AS (SELECT d.doc_id AS id, s.sector, CAST(e.embedding AS DOUBLE[]) AS v FROM documents d, (VALUES (0, 'episodic'), (1, 'semantic'), (2, 'procedural'), (3, 'emotional'), (4, 'reflective')) s(i, sector)
+  JOIN embeddings e ON e.vec_id = (d.doc_id * 5 + s.i) % (SELECT count(*) FROM embeddings))"""
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

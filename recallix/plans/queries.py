@@ -40,7 +40,8 @@ def _r(c, n: int = 6):
 
 # facts
 
-FACT = "id, subject, predicate, object, valid_from, valid_to, confidence"
+FACT = "id, user_id, subject, predicate, object, valid_from, valid_to, confidence"
+OWN = "user_id, subject, predicate"
 
 
 @query(f"SELECT {FACT} FROM facts", ctes=FACTS_SQL)
@@ -48,12 +49,12 @@ def facts_close_intervals(spark, d):
     return derive.facts(spark, d).select(*FACT.split(", "))
 
 
-@query(f"SELECT id, subject, predicate, object, valid_from, confidence FROM facts WHERE valid_from <= {AT} AND (valid_to IS NULL OR valid_to >= {AT}) AND confidence >= 0.1", ctes=FACTS_SQL)
+@query(f"SELECT id, user_id, subject, predicate, object, valid_from, confidence FROM facts WHERE valid_from <= {AT} AND (valid_to IS NULL OR valid_to >= {AT}) AND confidence >= 0.1", ctes=FACTS_SQL)
 def facts_at_time(spark, d):
-    return facts.at_time(derive.facts(spark, d), AT).select("id", "subject", "predicate", "object", "valid_from", "confidence")
+    return facts.at_time(derive.facts(spark, d), AT).select("id", "user_id", "subject", "predicate", "object", "valid_from", "confidence")
 
 
-@query("SELECT subject, predicate, id, object, valid_from, confidence FROM facts WHERE valid_to IS NULL QUALIFY row_number() OVER (PARTITION BY subject, predicate ORDER BY valid_from DESC, id DESC) = 1", ctes=FACTS_SQL)
+@query("SELECT user_id, subject, predicate, id, object, valid_from, confidence FROM facts WHERE valid_to IS NULL QUALIFY row_number() OVER (PARTITION BY user_id, subject, predicate ORDER BY valid_from DESC, id DESC) = 1", ctes=FACTS_SQL)
 def facts_current(spark, d):
     return facts.current(derive.facts(spark, d))
 
@@ -63,22 +64,54 @@ def facts_in_range(spark, d):
     return facts.in_range(derive.facts(spark, d), LOW, HIGH).select(*FACT.split(", "))
 
 
-@query("SELECT subject, predicate, count(*) AS n_facts, count(DISTINCT object) AS n_objects FROM (SELECT subject, object, 'any' AS predicate FROM facts WHERE valid_from <= %d AND (valid_to IS NULL OR valid_to >= %d)) GROUP BY 1, 2 HAVING count(*) > 1" % (AT, AT), ctes=FACTS_SQL)
+LONGER = "longer AS (SELECT * REPLACE (valid_to + 43200000 AS valid_to) FROM facts)"
+
+
+def _longer(spark, d):
+    """Facts that hold for half a day more, so that some overlap."""
+    return derive.facts(spark, d).withColumn("valid_to", F.col("valid_to") + 43_200_000)
+
+
+@query(f"SELECT {OWN}, count(*) AS n_facts, count(DISTINCT object) AS n_objects FROM longer WHERE valid_from <= {AT} AND (valid_to IS NULL OR valid_to >= {AT}) GROUP BY ALL HAVING count(*) > 1", ctes=f"{FACTS_SQL}, {LONGER}")
 def facts_conflicts(spark, d):
-    """All facts of a subject under one predicate, so that several hold at an instant."""
-    return facts.conflicts_at(derive.facts(spark, d).withColumn("predicate", F.lit("any")), AT)
+    return facts.conflicts_at(_longer(spark, d), AT)
+
 
+@query(f"SELECT {FACT} FROM longer a WHERE EXISTS (SELECT 1 FROM longer b WHERE b.user_id = a.user_id AND b.subject = a.subject AND b.predicate = a.predicate AND b.object IS DISTINCT FROM a.object AND b.valid_from <= coalesce(a.valid_to, 9e18) AND a.valid_from <= coalesce(b.valid_to, 9e18))", ctes=f"{FACTS_SQL}, {LONGER}")
+def facts_overlaps(spark, d):
+    return facts.conflicts(_longer(spark, d)).select(*FACT.split(", "))
 
-@query("SELECT subject, count(*) AS n, max(valid_from) AS latest, round(avg(confidence), 6) AS confidence FROM facts WHERE valid_to IS NULL GROUP BY subject", ctes=FACTS_SQL)
+
+@query("SELECT id, user_id, subject, predicate, object, row_number() OVER (PARTITION BY user_id, subject ORDER BY predicate, valid_from DESC, id) AS position FROM facts WHERE valid_to IS NULL", ctes=FACTS_SQL)
 def facts_by_subject_current(spark, d):
-    return derive.facts(spark, d).where("valid_to IS NULL").groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.max("valid_from").alias("latest"), _r(F.avg("confidence")).alias("confidence"))
+    return facts.by_subject(derive.facts(spark, d)).select("id", "user_id", "subject", "predicate", "object", "position")
 
 
-@query("SELECT subject, predicate, object, valid_from, row_number() OVER (PARTITION BY subject ORDER BY valid_from DESC, id) AS position FROM facts", ctes=FACTS_SQL)
+@query("SELECT id, user_id, subject, predicate, object, valid_from, row_number() OVER (PARTITION BY user_id, subject ORDER BY valid_from DESC, id) AS position FROM facts", ctes=FACTS_SQL)
 def facts_by_subject_history(spark, d):
-    from pyspark.sql import Window
+    return facts.by_subject(derive.facts(spark, d), historical=True).select("id", "user_id", "subject", "predicate", "object", "valid_from", "position")
+
+
+@query(f"SELECT {FACT}, project_id FROM facts WHERE id % 20 = 0 AND user_id = 't1' AND (project_id = 'p2' OR project_id = 'system_global' OR project_id IS NULL)", ctes=FACTS_SQL)
+def facts_get(spark, d):
+    """Of the ids divisible by 20, what one owner sees in one project."""
+    f = derive.facts(spark, d)
+    return facts.by_id(f, f.where("id % 20 = 0"), "t1", "p2").select(*FACT.split(", "), "project_id")
+
+
+@query(f"SELECT id, CASE WHEN id % 10 = 0 THEN 0.5 ELSE confidence END AS confidence, CASE WHEN id % 10 = 5 THEN 'new' ELSE object END AS object FROM facts WHERE id % 7 <> 0", ctes=FACTS_SQL)
+def facts_update_delete(spark, d):
+    f = derive.facts(spark, d)
+    changes = f.where("id % 5 = 0").select("id", F.when(F.col("id") % 10 == 0, F.lit(0.5)).alias("confidence"), F.when(F.col("id") % 10 == 5, F.lit("new")).alias("object"))
+    return facts.delete(facts.update(f, changes), f.where("id % 7 = 0")).select("id", "confidence", "object")
+
 
-    return derive.facts(spark, d).select("subject", "predicate", "object", "valid_from", F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("valid_from"), "id")).cast("bigint").alias("position"))
+@query(f"SELECT source_id, target_id, CASE WHEN source_id % 4 = 0 THEN {AT} ELSE edge_to END AS edge_to FROM edges UNION ALL SELECT id, id, NULL FROM facts WHERE id % 50 = 0", ctes=f"{FACTS_SQL}, {EDGES_SQL}")
+def facts_edge_writes(spark, d):
+    """Edges of every fourth source end; every fiftieth fact gets one to itself."""
+    e, f = derive.fact_edges(spark, d), derive.facts(spark, d)
+    new = f.where("id % 50 = 0").select(F.col("id").alias("source_id"), F.col("id").alias("target_id"), F.lit("self").alias("relation"), F.lit(AT).alias("edge_from"), F.lit(1.0).alias("weight"))
+    return facts.insert_edges(facts.invalidate_edges(e, e.where("source_id % 4 = 0"), AT), new).select("source_id", "target_id", "edge_to")
 
 
 @query(f"SELECT {FACT} FROM facts WHERE predicate ILIKE '%C_I%' ORDER BY confidence DESC, valid_from DESC, id LIMIT 100", ctes=FACTS_SQL)
@@ -86,18 +119,18 @@ def facts_search_ilike(spark, d):
     return facts.search(derive.facts(spark, d), "C_I", "predicate").select(*FACT.split(", "))
 
 
-@query(f"SELECT e.source_id, e.target_id, e.relation, round(e.weight, 6) AS weight, s.subject AS source_subject, t.predicate, t.object, t.confidence FROM edges e JOIN facts s ON s.id = e.source_id JOIN facts t ON t.id = e.target_id WHERE e.edge_from <= {AT} AND t.valid_from <= {AT} AND (t.valid_to IS NULL OR t.valid_to >= {AT})", ctes=f"{FACTS_SQL}, {EDGES_SQL}")
+@query(f"SELECT e.source_id, e.target_id, e.relation, round(e.weight, 6) AS weight, s.subject AS source_subject, t.user_id, t.predicate, t.object, t.confidence FROM edges e JOIN facts s ON s.id = e.source_id JOIN facts t ON t.id = e.target_id AND t.user_id = s.user_id WHERE e.edge_from <= {AT} AND (e.edge_to IS NULL OR e.edge_to >= {AT}) AND t.valid_from <= {AT} AND (t.valid_to IS NULL OR t.valid_to >= {AT})", ctes=f"{FACTS_SQL}, {EDGES_SQL}")
 def facts_related(spark, d):
     f = derive.facts(spark, d)
-    return facts.related(derive.fact_edges(spark, d), f, AT).select("source_id", "target_id", "relation", _r(F.col("weight")).alias("weight"), "source_subject", "predicate", "object", "confidence")
+    return facts.related(derive.fact_edges(spark, d), f, AT).select("source_id", "target_id", "relation", _r(F.col("weight")).alias("weight"), "source_subject", "user_id", "predicate", "object", "confidence")
 
 
-TIMELINE = "SELECT id, subject, predicate, 'created' AS change, valid_from AS at_ms FROM facts UNION ALL SELECT id, subject, predicate, 'invalidated', valid_to FROM facts WHERE valid_to IS NOT NULL"
+TIMELINE = "SELECT id, user_id, subject, predicate, 'created' AS change, valid_from AS at_ms FROM facts UNION ALL SELECT id, user_id, subject, predicate, 'invalidated', valid_to FROM facts WHERE valid_to IS NOT NULL"
 
 
 @query(TIMELINE, ctes=FACTS_SQL)
 def facts_timeline_subject(spark, d):
-    return facts.timeline(derive.facts(spark, d)).select("id", "subject", "predicate", "change", "at_ms")
+    return facts.timeline(derive.facts(spark, d)).select("id", "user_id", "subject", "predicate", "change", "at_ms")
 
 
 @query(f"SELECT predicate, change, count(*) AS n, min(at_ms) AS first_at, max(at_ms) AS last_at FROM ({TIMELINE}) GROUP BY 1, 2", ctes=FACTS_SQL)
@@ -107,24 +140,24 @@ def facts_timeline_predicate(spark, d):
 
 @query(f"SELECT * FROM ({TIMELINE}) WHERE at_ms BETWEEN {LOW} AND {HIGH}", ctes=FACTS_SQL)
 def facts_changes_in_window(spark, d):
-    return facts.changes_between(derive.facts(spark, d), LOW, HIGH).select("id", "subject", "predicate", "change", "at_ms")
+    return facts.changes_between(derive.facts(spark, d), LOW, HIGH).select("id", "user_id", "subject", "predicate", "change", "at_ms")
 
 
 def _side(at: int) -> str:
-    return f"(SELECT subject, predicate, arg_max(object, (valid_from, id)) AS o FROM facts WHERE valid_from <= {at} AND (valid_to IS NULL OR valid_to >= {at}) GROUP BY 1, 2)"
+    return f"(SELECT {OWN}, arg_max(object, (valid_from, id)) AS o FROM facts WHERE valid_from <= {at} AND (valid_to IS NULL OR valid_to >= {at}) GROUP BY ALL)"
 
 
-@query(f"SELECT coalesce(a.subject, b.subject) AS subject, coalesce(a.predicate, b.predicate) AS predicate, a.o AS before, b.o AS after, CASE WHEN a.o IS NULL THEN 'added' WHEN b.o IS NULL THEN 'removed' WHEN a.o = b.o THEN 'unchanged' ELSE 'changed' END AS change FROM {_side(LOW)} a FULL JOIN {_side(HIGH)} b ON a.subject = b.subject AND a.predicate = b.predicate", ctes=FACTS_SQL)
+@query(f"SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.subject, b.subject) AS subject, coalesce(a.predicate, b.predicate) AS predicate, a.o AS before, b.o AS after, CASE WHEN a.o IS NULL THEN 'added' WHEN b.o IS NULL THEN 'removed' WHEN a.o = b.o THEN 'unchanged' ELSE 'changed' END AS change FROM {_side(LOW)} a FULL JOIN {_side(HIGH)} b ON a.user_id = b.user_id AND a.subject = b.subject AND a.predicate = b.predicate", ctes=FACTS_SQL)
 def facts_compare_points(spark, d):
     return facts.compare(derive.facts(spark, d), LOW, HIGH)
 
 
-@query(f"SELECT subject, predicate, count(*) AS changes, round(avg(valid_to - valid_from) / 86400000, 6) AS mean_days, round(count(*) / 20.0, 6) AS per_day FROM facts WHERE valid_from >= {NOW_MS - 20 * DAY_MS} GROUP BY 1, 2", ctes=FACTS_SQL)
+@query(f"SELECT {OWN}, count(*) AS changes, round(avg(valid_to - valid_from) / 86400000, 6) AS mean_days, round(count(*) / 20.0, 6) AS per_day FROM facts WHERE valid_from >= {NOW_MS - 20 * DAY_MS} GROUP BY ALL", ctes=FACTS_SQL)
 def facts_change_frequency(spark, d):
-    return facts.change_frequency(derive.facts(spark, d), NOW_MS, 20).select("subject", "predicate", "changes", _r(F.col("mean_days")).alias("mean_days"), _r(F.col("per_day")).alias("per_day"))
+    return facts.change_frequency(derive.facts(spark, d), NOW_MS, 20).select("user_id", "subject", "predicate", "changes", _r(F.col("mean_days")).alias("mean_days"), _r(F.col("per_day")).alias("per_day"))
 
 
-@query("SELECT subject, predicate, count(*) AS changes, round(avg(confidence), 6) AS confidence FROM facts GROUP BY 1, 2 HAVING count(*) > 1", ctes=FACTS_SQL)
+@query(f"SELECT {OWN}, count(*) AS changes, round(avg(confidence), 6) AS confidence FROM facts GROUP BY ALL HAVING count(*) > 1", ctes=FACTS_SQL)
 def facts_volatile(spark, d):
     return facts.volatile(derive.facts(spark, d), None).withColumn("confidence", _r(F.col("confidence")))
 
@@ -145,8 +178,8 @@ def facts_invalidate(spark, d):
     return facts.invalidate(f, f.where("confidence < 0.2"), NOW_MS).select("id", "valid_to")
 
 
-@query(f"""SELECT id, CASE WHEN valid_to IS NULL THEN (SELECT min(n.valid_from) - 1 FROM facts n WHERE n.subject = o.subject AND n.predicate = o.predicate AND n.valid_from > o.valid_from AND n.valid_from > {AT}) ELSE valid_to END AS valid_to
-FROM (SELECT id, subject, predicate, valid_from, CASE WHEN lead(valid_from) OVER w IS NULL THEN NULL ELSE lead(valid_from) OVER w - 1 END AS valid_to FROM facts WHERE valid_from <= {AT} WINDOW w AS (PARTITION BY subject, predicate ORDER BY valid_from, id)) o
+@query(f"""SELECT id, CASE WHEN valid_to IS NULL THEN (SELECT min(n.valid_from) - 1 FROM facts n WHERE n.user_id = o.user_id AND n.subject = o.subject AND n.predicate = o.predicate AND n.valid_from > o.valid_from AND n.valid_from > {AT}) ELSE valid_to END AS valid_to
+FROM (SELECT id, user_id, subject, predicate, valid_from, CASE WHEN lead(valid_from) OVER w IS NULL THEN NULL ELSE lead(valid_from) OVER w - 1 END AS valid_to FROM facts WHERE valid_from <= {AT} WINDOW w AS (PARTITION BY user_id, subject, predicate ORDER BY valid_from, id)) o
 UNION ALL SELECT id, valid_to FROM facts WHERE valid_from > {AT}""", ctes=FACTS_SQL)
 def facts_insert_batch(spark, d):
     """The first half of the events as state, the second as an insert."""
@@ -699,27 +732,61 @@ def extract_items(spark, d):
 
 
 def _batch(spark, d):
-    """Each benchmark item asks; its vectors are those of the embeddings of the same number, one per sector."""
+    """Each benchmark item asks; its vectors are those of the memory of the same number, one per sector. All memories
+    have vectors."""
     q = derive.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    v = derive.vectors(spark, d)
+    v = derive.memory_vectors(spark, d)
     return q, v.join(q.select(F.col("query_id").alias("id")), "id").select(F.col("id").alias("query_id"), "sector", "v"), v
 
 
 @query(None)
 def retrieve_hybrid(spark, d):
     q, qv, v = _batch(spark, d)
-    r = retrieval.retrieve(q, qv, derive.memories(spark, d), v, NOW_MS, 8, project="src2")
+    r = retrieval.retrieve(q, qv, derive.memories(spark, d), v, NOW_MS, 8)
     return r.select("query_id", "id", "rank", *[_r(F.col(c)).alias(c) for c in ("score", "z", "salience")])
 
 
+SCOPE = dict(user="u3", project="src3", least_salience=0.2, since=NOW_MS - 150 * DAY_MS, until=NOW_MS - DAY_MS)
+_BENCH = sqltext.canonical_tokens("text")
+RETRIEVE_SQL = f"""{MEMORIES_SQL}, {derive.MEMORY_VECTORS_SQL},
+q0 AS (SELECT item_id AS query_id, {_BENCH} AS qt, {sqltext.scores('text')} FROM benchmark),
+q1 AS (SELECT *, [s0, s1, s2, s3, s4] AS s FROM q0),
+q AS (SELECT query_id, qt, list_distinct(qt) AS qd, CASE WHEN list_max(s) > 0 THEN {SECTORS}[list_position(s, list_max(s))] ELSE 'semantic' END AS primary_sector,
+  CASE WHEN list_max(s) > 0 THEN list_filter({SECTORS}, lambda x: s[list_position({SECTORS}, x)] > 0 AND s[list_position({SECTORS}, x)] >= greatest(1, 0.3 * list_max(s))) ELSE [] END AS near FROM q1),
+own AS (SELECT * FROM memories WHERE user_id = '{SCOPE["user"]}' AND (project_id = '{SCOPE["project"]}' OR project_id = 'system_global' OR project_id IS NULL) AND salience >= {SCOPE["least_salience"]} AND created_at BETWEEN {SCOPE["since"]} AND {SCOPE["until"]}),
+sims AS (SELECT a.id AS query_id, r.id, r.sector, list_cosine_similarity(a.v, r.v) AS s FROM mv a JOIN mv r ON a.sector = r.sector JOIN own ON own.id = r.id WHERE a.id IN (SELECT query_id FROM q)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, sector ORDER BY round(s, 9) DESC, id) AS rank FROM sims),
+found AS (SELECT * FROM ranked WHERE rank <= 24),
+sure AS (SELECT query_id, avg(s) FILTER (rank <= 8) AS average FROM found GROUP BY 1),
+best AS (SELECT query_id, id, max(s) AS best FROM found GROUP BY 1, 2),
+w(sector, one, other) AS (VALUES {", ".join(f"('{s}', {a}, {b})" for s, (a, b) in FUSION.items())}),
+fused AS (SELECT b.query_id, b.id, sum(x.s * CASE WHEN q.primary_sector = x.sector THEN w.one ELSE w.other END) / sum(CASE WHEN q.primary_sector = x.sector THEN w.one ELSE w.other END) AS fusion FROM best b JOIN sims x ON x.query_id = b.query_id AND x.id = b.id JOIN q ON q.query_id = b.query_id JOIN w ON w.sector = x.sector GROUP BY 1, 2),
+parts AS (SELECT b.query_id, m.id, m.sector, m.salience, ({NOW_MS} - m.last_seen_at) / CAST(86400000 AS DOUBLE) AS days, su.average, m.project_id,
+  greatest(f.fusion * [{", ".join(map(str, RESONANCE))}][list_position({SECTORS}, m.sector)][list_position({SECTORS}, q.primary_sector)], b.best) AS sim,
+  CASE WHEN m.sector = q.primary_sector OR list_contains(q.near, m.sector) THEN 1.0 ELSE coalesce(MAP {{{", ".join(f"'{a}>{b}': {v}" for a, row in RELATION.items() for b, v in row.items())}}}[q.primary_sector || '>' || m.sector], 0.3) END AS pen,
+  CASE WHEN len(q.qd) = 0 THEN 0 ELSE len(list_filter(q.qd, lambda x: list_contains({sqltext.canonical_tokens("m.content")}, x))) / len(q.qd) END AS overlap,
+  least(1.0, list_sum(list_transform(m.tags, lambda t: CASE WHEN list_contains(q.qd, lower(t)) THEN 2 ELSE len(list_filter(q.qd, lambda x: contains(lower(t), x) OR contains(x, lower(t)))) END)) / (2.0 * len(m.tags))) AS tag
+  FROM best b JOIN own m ON m.id = b.id JOIN q ON q.query_id = b.query_id JOIN fused f ON f.query_id = b.query_id AND f.id = b.id JOIN sure su ON su.query_id = b.query_id),
+scored AS (SELECT *, 1 / (1 + exp(-(0.35 * (1 - exp(-3 * sim * pen)) + 0.2 * overlap + 0.1 * (exp(-days / 7) * (1 - days / 60)) + 0.2 * tag + CASE WHEN project_id = '{SCOPE["project"]}' THEN 0.2 ELSE 0 END))) AS score FROM parts),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM scored),
+kept AS (SELECT * FROM top WHERE rank <= 8 + ceil(0.3 * 8 * (1 - average))),
+zs AS (SELECT *, (score - avg(score) OVER (PARTITION BY query_id)) / (stddev_pop(score) OVER (PARTITION BY query_id) + 1e-8) AS z FROM kept)"""
+
+
+@query("SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score, round(z, 4) + 0 AS z FROM zs WHERE rank <= 8", ctes=RETRIEVE_SQL)
+def retrieve_scoped(spark, d):
+    """What one user sees in one project, salient enough and of some months, by vectors, tokens, tags and time."""
+    q, qv, v = _batch(spark, d)
+    r = retrieval.retrieve(q, qv, derive.memories(spark, d), v, NOW_MS, 8, keywords=False, **SCOPE)
+    return r.select("query_id", "id", F.col("rank").cast("int").alias("rank"), _r(F.col("score")).alias("score"), (_r(F.col("z"), 4) + 0.0).alias("z"))
+
+
 @query(None)
 def retrieve_expanded(spark, d):
-    """As above, with what the graph reaches from each query's seeds within two hops."""
+    """As retrieve_hybrid, with what the graph reaches from each query's seeds."""
     q, qv, v = _batch(spark, d)
     seeds = retrieval.candidates(qv, v, 8).select("query_id", "id").distinct()
-    e = derive.graph_edges(spark, d).select("src", "dst", F.least(F.col("weight"), F.lit(1.0)).alias("e"))
-    one = seeds.join(e, seeds["id"] == e["src"]).select("query_id", F.col("dst").alias("id"), (F.col("e") * 0.8).alias("weight")).where("weight >= 0.1")
-    w = one.groupBy("query_id", "id").agg(F.max("weight").alias("weight"))
+    w = retrieval.expand_seeds(seeds, derive.graph_edges(spark, d), 16).select("query_id", "id", "weight")
     r = retrieval.retrieve(q, qv, derive.memories(spark, d), v, NOW_MS, 8, waypoints=w)
     return r.select("query_id", "id", "rank", _r(F.col("score")).alias("score"))
 
@@ -782,8 +849,8 @@ def stream_sessions(spark, d):
     return windows.drained(windows.sessions(windows.opened(spark, d, "events"), "4 hours"), "complete")
 
 
-@query("SELECT subject, predicate, object, valid_from, valid_to FROM facts WHERE valid_to IS NOT NULL", ctes=FACTS_SQL)
+@query(f"SELECT {OWN}, object, valid_from, valid_to FROM facts WHERE valid_to IS NOT NULL", ctes=FACTS_SQL)
 def stream_fact_closing(spark, d):
     e = windows.opened(spark, d, "events")
-    rows = e.select(F.col("user_id").cast("string").alias("subject"), F.col("event_type").alias("predicate"), F.get_json_object("props", "$.k").alias("object"), F.unix_millis(F.col("ts").cast("timestamp")).alias("valid_from"))
+    rows = e.select(F.concat(F.lit("t"), F.col("event_id") % 3).alias("user_id"), F.col("user_id").cast("string").alias("subject"), F.col("event_type").alias("predicate"), F.get_json_object("props", "$.k").alias("object"), F.unix_millis(F.col("ts").cast("timestamp")).alias("valid_from"))
     return windows.drained(windows.closing_facts(rows))
