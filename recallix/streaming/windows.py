@@ -25,18 +25,15 @@ def sessions(events: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "user_id", "n")
 
 
-def closing_facts(facts: DataFrame, idle_ms: int = 30 * 86_400_000) -> DataFrame:
+def closing_facts(facts: DataFrame) -> DataFrame:
     """Closed intervals as facts arrive in order: a row leaves when its owner, subject and predicate has a later one.
 
-    facts: user_id, subject, predicate, object, valid_from. State is one open row per key; it goes after `idle_ms` without
-    a new one, by processing time. A key's rows of a batch are taken in chunks, which come in order of valid_from.
+    facts: user_id, subject, predicate, object, valid_from. State is one open row per key, as the fact stays open until
+    its next one. A key's rows of a batch are taken in chunks where these come in order of valid_from.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         names = ["user_id", "subject", "predicate", "object", "valid_from", "valid_to"]
-        if state.hasTimedOut:
-            state.remove()
-            return
         held = state.get if state.exists else None
         for rows in _sorted_chunks(batches, "valid_from"):
             out = []
@@ -46,10 +43,9 @@ def closing_facts(facts: DataFrame, idle_ms: int = 30 * 86_400_000) -> DataFrame
                 held = (obj, int(at))
             yield pd.DataFrame(out, columns=names)
         state.update(held)
-        state.setTimeoutDuration(idle_ms)
 
     kind = "user_id string, subject string, predicate string, object string, valid_from long, valid_to long"
-    return facts.groupBy("user_id", "subject", "predicate").applyInPandasWithState(step, kind, "object string, valid_from long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return facts.groupBy("user_id", "subject", "predicate").applyInPandasWithState(step, kind, "object string, valid_from long", "append", GroupStateTimeout.NoTimeout)
 
 
 def _sorted_chunks(batches: Iterator[pd.DataFrame], by: str) -> Iterator[pd.DataFrame]:
