@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _LEFT, _RIGHT
+from .text import _LEFT, _RIGHT, let
 
 #: Words that the analysis leaves out, and its word lists.
 STOP_WORDS = "a an and are as at be by for from has he in is it its of on that the to was will with i you me my we our this these those can do have had been being but or if than because while where after so though since until whether before although nor like once unless now except also into over such then them same only may must shall".split()
@@ -91,3 +91,21 @@ def entities(text: Column) -> Column:
     """Capitalized runs, quoted passages, acronyms and dates, each once."""
     every = lambda p, g=0: F.regexp_extract_all(text, F.lit(p), F.lit(g))
     return F.array_distinct(F.concat(every(_LEFT + r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*" + _RIGHT), every(r'"([^"]+)"', 1), every(_LEFT + r"[A-Z]{2,}" + _RIGHT), every(_LEFT + r"\d{1,2}/\d{1,2}/\d{2,4}" + _RIGHT)))
+
+
+def ngrams(w: Column, n: int) -> Column:
+    """Runs of n neighbouring words."""
+    places = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.array_join(F.slice(w, i, n), " "))
+
+
+def bm25(query: Column, content: Column, mean_length: float = 100.0, k1: float = 1.5, b: float = 0.75) -> Column:
+    """Sum over the query's words, repeated ones too, of the variant whose weight is ln(1 + 1 / (tf + 1))."""
+
+    def of(c: Column) -> Column:
+        def term(tf: Column) -> Column:
+            return F.when(tf > 0, F.log(1 + 1 / (tf + 1)) * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * (F.size(c) / mean_length)))).otherwise(0.0)
+
+        return F.aggregate(F.transform(query, lambda q: F.size(F.filter(c, lambda x: x == q)).cast("double")), F.lit(0.0), lambda a, tf: a + term(tf))
+
+    return let(content, of)

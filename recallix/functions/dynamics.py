@@ -116,3 +116,29 @@ def hybrid_score(similarity: Column, overlap: Column, waypoint: Column, recency_
 
 def confidence_decay(confidence: Column, rate: float, age_days: Column) -> Column:
     return F.greatest(F.lit(0.1), confidence * (1 - rate * age_days))
+
+
+def link_strength(semantic: Column, emotional: Column) -> Column:
+    return sigmoid(0.7 * semantic + 0.3 * emotional)
+
+
+def compressed_size(size: Column, left: Column, least: int = 64, most: int = 1536) -> Column:
+    """Components that decay leaves of a vector: buckets of equal width for the share that is left."""
+    want = F.greatest(F.lit(least), F.least(size, F.greatest(F.lit(least), F.least(F.lit(most), F.floor(size * clamped(left)).cast("int")))))
+    return F.when(want >= size, size).otherwise(F.ceil(size / F.ceil(size / want)).cast("int"))
+
+
+def hit(salience: Column) -> Column:
+    """Salience of a memory that a query has met."""
+    return clamped(salience + 0.5)
+
+
+def plain_score(relevance: Column, hours: Column, salience: Column, rate: float = 0.02) -> Column:
+    return relevance * 0.6 + F.exp(-rate * F.greatest(F.lit(0.0), hours)) * 0.2 + F.least(salience, F.lit(1.0)) * 0.2
+
+
+def temporal_relevance(scope: Column, days: Column) -> Column:
+    """How well a memory's age fits what a query says of time; 1 where it says nothing or the age is not known."""
+    falling = 1 - days / 30
+    present = F.when(days < 7, 1.0).otherwise(F.greatest(F.lit(0.5), falling))
+    return F.when(days.isNull(), 1.0).when(scope == "past", F.greatest(F.lit(0.3), falling)).when(scope == "present", present).when(scope == "future", 0.7).otherwise(1.0)

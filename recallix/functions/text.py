@@ -359,7 +359,17 @@ def compression_tokens(text: Column) -> Column:
 
 
 def truncated(text: Column, n: int) -> Column:
-    return F.when(F.length(text) > n, F.concat(F.rtrim(F.substring(text, 1, n)), F.lit("..."))).otherwise(text)
+    return F.when(F.length(text) > n, F.concat(F.regexp_replace(F.substring(text, 1, n), r"\s+$", ""), F.lit("..."))).otherwise(text)
+
+
+def basename(path: Column) -> Column:
+    """What follows the last slash or backslash."""
+    return F.regexp_extract(path, r"([^\\/]*)$", 1)
+
+
+def parsed_or(text: Column, kind: str, otherwise: Column) -> Column:
+    """JSON of a kind; what is no such JSON gives the other value."""
+    return F.coalesce(F.from_json(text, kind, {"mode": "PERMISSIVE"}), otherwise)
 
 
 def text_key(text: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,3 +73,21 @@ def resonance(a: Column, b: Column) -> Column:
         return reduce(lambda c, i: c.when(s == SECTORS[i], i), range(1, 5), F.when(s == SECTORS[0], 0)).otherwise(1)
 
     return F.get(F.get(table, number(a)), number(b))
+
+
+def to_bytes(a: Column) -> Column:
+    """Components as little-endian 32-bit floats."""
+
+    @F.arrow_udf("binary")
+    def run(lists: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else np.array(v, "<f4").tobytes() for v in lists.to_pylist()], pa.binary())
+
+    return run(a)
+
+
+def from_bytes(b: Column) -> Column:
+    @F.arrow_udf("array<double>")
+    def run(blobs: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else np.frombuffer(v, "<f4").astype(float) for v in blobs.to_pylist()], pa.list_(pa.float64()))
+
+    return run(b)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DAY_MS, SECTORS
+from ..functions.dynamics import sector_rate
 
 
 def sector_statistics(rows: DataFrame) -> DataFrame:
@@ -15,7 +16,7 @@ def sector_statistics(rows: DataFrame) -> DataFrame:
 def overview(rows: DataFrame, now: int) -> DataFrame:
     """Totals, the last day's, salience, and a count for each sector, in one pass."""
     by = [F.count_if(F.col("sector") == s).alias(f"n_{s}") for s in SECTORS]
-    return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("created_at") >= now - DAY_MS).alias("last_day"), F.avg("salience").alias("mean_salience"), F.min("salience").alias("least_salience"), F.max("salience").alias("most_salience"), *by)
+    return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("created_at") >= now - DAY_MS).alias("last_day"), F.avg("salience").alias("mean_salience"), F.min("salience").alias("least_salience"), F.max("salience").alias("most_salience"), F.avg(sector_rate(F.col("sector"))).alias("mean_rate"), *by)
 
 
 def sector_timeline(rows: DataFrame, pattern: str) -> DataFrame:
@@ -56,16 +57,28 @@ def user_summary(rows: DataFrame, recent: int = 100) -> DataFrame:
 
 
 def sector_balance(rows: DataFrame) -> DataFrame:
-    """Count and share by sector and whether it is the largest."""
+    """Count and share by sector, whether it is the largest, and the balance of all: 1 less the mean distance of the
+    shares from equal ones."""
     n = rows.groupBy("sector").agg(F.count(F.lit(1)).alias("n"))
-    total, most = F.sum("n").over(Window.partitionBy()), F.max("n").over(Window.partitionBy())
-    return n.select("sector", "n", (F.col("n") / total).alias("share"), (F.col("n") == most).alias("dominant"))
+    every = Window.partitionBy()  # a row a sector
+    share = F.col("n") / F.sum("n").over(every)
+    out = n.select("sector", "n", share.alias("share"), (F.col("n") == F.max("n").over(every)).alias("dominant"))
+    away = out.withColumn("_away", F.abs(F.col("share") - 1 / F.count(F.lit(1)).over(every)))
+    return away.withColumn("balance", 1 - F.avg("_away").over(every)).drop("_away")
+
+
+def fresh(age_days: F.Column) -> F.Column:
+    """1 for what was just seen, falling to 0 in 180 days."""
+    return F.greatest(F.lit(0.0), 1 - age_days / 180)
 
 
 def freshness(rows: DataFrame, now: int) -> DataFrame:
-    """Mean of exp(-age/30 days), and memories not seen for 90 days, by sector."""
+    """By sector, and for all (sector null): freshness and memories not seen for 90 days. A sector's freshness is over all
+    its rows, that of all over those with a time."""
     age = (F.lit(now) - F.col("last_seen_at")) / DAY_MS
-    return rows.groupBy("sector").agg(F.avg(F.exp(-age / 30)).alias("freshness"), F.count_if(age > 90).alias("stale"))
+    total, seen, stale = F.coalesce(F.sum(fresh(age)), F.lit(0.0)), F.count("last_seen_at"), F.count_if(age > 90).alias("stale")
+    by = rows.groupBy("sector").agg((total / F.count(F.lit(1))).alias("freshness"), stale)
+    return by.unionByName(rows.agg(F.when(seen > 0, total / seen).otherwise(0.0).alias("freshness"), stale).withColumn("sector", F.lit(None).cast("string")))
 
 
 def temporal_patterns(rows: DataFrame, now: int) -> DataFrame:
@@ -75,15 +88,16 @@ def temporal_patterns(rows: DataFrame, now: int) -> DataFrame:
 
 def health(rows: DataFrame, now: int) -> DataFrame:
     """A score of 1, times a penalty for each thing that is wrong: few rows, imbalance, staleness, low activity, low
-    salience."""
-    n = rows.groupBy("sector").agg(F.count(F.lit(1)).alias("n"))
-    shares = n.agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    age = (F.lit(now) - F.col("last_seen_at")) / DAY_MS
+    salience; and its parts."""
+    seen = (F.lit(now) - F.col("last_seen_at")) / DAY_MS
     born = (F.lit(now) - F.col("created_at")) / DAY_MS
-    facts = rows.agg(F.count(F.lit(1)).alias("total"), F.avg(F.exp(-age / 30)).alias("fresh"), F.avg(F.when(born <= 7, 1.0).otherwise(0.0)).alias("recent"), F.avg("salience").alias("salience")).crossJoin(shares)  # two single rows
+    by = rows.groupBy("sector").agg(F.count(F.lit(1)).alias("n"), F.sum(fresh(seen)).alias("f"), F.count("last_seen_at").alias("s"), F.count_if(born <= 7).alias("r"), F.sum("salience").alias("v"))
+    every = by.agg(F.collect_list("n").alias("ns"), F.sum("n").alias("total"), F.sum("f").alias("f"), F.sum("s").alias("s"), F.sum("r").alias("r"), F.sum("v").alias("v"))  # a number a sector
+    balance = 1 - F.aggregate("ns", F.lit(0.0), lambda a, x: a + F.abs(x / F.col("total") - 1 / F.size("ns"))) / F.size("ns")
+    parts = every.select(F.coalesce("total", F.lit(0)).alias("total"), balance.alias("balance"), (F.col("f") / F.col("s")).alias("fresh"), (F.col("r") / F.col("total")).alias("recent"), (F.col("v") / F.col("total")).alias("salience"))
     off = lambda bad, x: F.when(bad, x).otherwise(1.0)
-    score = off(F.col("total") < 10, 0.7) * off(F.col("lo") / F.col("hi") < 0.5, 0.9) * off(F.col("fresh") < 0.3, 0.8) * off(F.col("recent") < 0.2, 0.9) * off(F.col("salience") < 0.3, 0.85)
-    return facts.select("total", F.when(F.col("total") == 0, 0.0).otherwise(score).alias("score"))
+    score = off(F.col("total") < 10, 0.7) * off(F.col("balance") < 0.5, 0.9) * off(F.coalesce("fresh", F.lit(0.0)) < 0.3, 0.8) * off(F.col("recent") < 0.2, 0.9) * off(F.col("salience") < 0.3, 0.85)
+    return parts.select("total", "balance", "fresh", "recent", "salience", F.when(F.col("total") == 0, 0.0).otherwise(score).alias("score"))
 
 
 def distinct_projects(rows: DataFrame) -> DataFrame:
@@ -114,3 +128,9 @@ def reflections(rows: DataFrame, groups: DataFrame, now: int, least: int = 2) ->
     """Groups of similar memories: size, and salience from size and how lately they were made."""
     j = rows.join(groups, "id").groupBy("seed", "sector").agg(F.count(F.lit(1)).alias("n"), F.avg(F.exp(-(F.lit(now) - F.col("created_at")) / (DAY_MS / 2))).alias("recent")).where(F.col("n") >= least)
     return j.select("seed", "sector", "n", F.least(F.lit(1.0), 0.6 * F.col("n") / 10 + 0.3 * F.col("recent") + F.when(F.col("sector") == "emotional", 0.1).otherwise(0.0)).alias("salience"))
+
+
+def error_rates(events: DataFrame, width: str) -> DataFrame:
+    """(hour, n, failed, error_rate in percent, one digit) of each window that has events; failed says which went wrong."""
+    w = events.groupBy(F.window("ts", width).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("failed"))
+    return w.select(F.col("w.start").alias("hour"), "n", "failed", F.round(100.0 * F.col("failed") / F.col("n"), 1).alias("error_rate"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DYNAMICS
 from ..functions.dynamics import clamped, coactivated
 from ..storage import shared_dir
+from .search import top_k
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -99,3 +100,16 @@ def contextual(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     both = edges.join(p, ["src", "dst"], "full_outer")
     w = F.when(F.col("_p").isNull(), F.col("weight")).when(F.col("weight").isNull(), 0.3).otherwise(F.least(F.lit(1.0), F.col("weight") + 0.1))
     return both.select("src", "dst", w.alias("weight"))
+
+
+def cross_sector(memories: DataFrame, weight: float = 0.5) -> DataFrame:
+    """Edges both ways between a memory (id, additional) and each of its further sectors."""
+    one = memories.select(F.col("id").cast("string").alias("src"), F.explode("additional").alias("s")).select("src", F.concat_ws(":", "src", "s").alias("dst"))
+    return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("weight", F.lit(weight))
+
+
+def inter_memory(vectors: DataFrame, new: DataFrame, least: float = 0.75, weight: float = 0.5) -> DataFrame:
+    """Edges both ways between new vectors (id, sector, v) and those of their sector that are similar enough."""
+    met = top_k(vectors, new.withColumnRenamed("id", "query_id"), 2**31 - 1, include_self=False, least=least)
+    one = met.select(F.col("query_id").alias("src"), F.col("id").alias("dst"))
+    return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().withColumn("weight", F.lit(weight))

@@ -162,10 +162,11 @@ def feedback(memories: DataFrame, results: DataFrame, now: int) -> DataFrame:
     return j.withColumn("salience", F.when(F.col("_n") > 0, F.least(F.lit(1.0), grown)).otherwise(F.col("salience"))).withColumn("feedback_score", F.when(F.col("_n") > 0, 0.9 * F.coalesce("feedback_score", F.lit(0.0)) + 0.1 * F.col("_z")).otherwise(F.col("feedback_score"))).withColumn("last_seen_at", F.when(F.col("_n") > 0, F.lit(now)).otherwise(F.col("last_seen_at"))).drop("_n", "_z")
 
 
-def coactivation_pairs(results: DataFrame) -> DataFrame:
+def coactivation_pairs(results: DataFrame, keep_query: bool = False) -> DataFrame:
     """Pairs of results of one query; at most k of them stand there, so pairs are bounded by k squared a query."""
-    a, b = results.select("query_id", F.col("id").alias("a")), results.select("query_id", F.col("id").alias("b"))
-    return a.join(b, "query_id").where("a < b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    a, b = results.select("query_id", F.col("id").alias("src")), results.select("query_id", F.col("id").alias("dst"))
+    pairs = a.join(b, "query_id").where("src < dst")
+    return pairs if keep_query else pairs.select("src", "dst")
 
 
 def unified(contextual: DataFrame, factual: DataFrame) -> DataFrame:

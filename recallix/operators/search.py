@@ -111,3 +111,9 @@ def mean_vectors(vectors: DataFrame, key: str = "id", beta: float = 2.0) -> Data
     summed = F.aggregate("p", first, lambda a, x: F.zip_with(a, x["v"], lambda s, y: s + y * x["_e"] / total))
     out = parts.select(key, summed.alias("mean"))
     return out.select(key, let(F.struct(F.col("mean").alias("v"), (norm(F.col("mean")) + 1e-8).alias("n")), lambda m: F.transform(m["v"], lambda x: x / m["n"])).alias("mean"))
+
+
+def pooled(vectors: DataFrame, key: str = "id") -> DataFrame:
+    """The plain mean of each key's vectors, not brought to length one; components meet by their place."""
+    x = vectors.select(key, F.posexplode("v").alias("i", "x")).groupBy(key, "i").agg(F.avg("x").alias("x"))
+    return x.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))

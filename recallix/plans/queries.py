@@ -237,9 +237,9 @@ def sector_stats(spark, d):
     return analytics.sector_statistics(derive.memories(spark, d)).withColumn("mean_salience", _r(F.col("mean_salience")))
 
 
-@query(f"SELECT count(*) AS total, count(*) FILTER (created_at >= {NOW_MS - DAY_MS}) AS last_day, round(avg(salience), 6) AS mean_salience, min(salience) AS least_salience, max(salience) AS most_salience, " + ", ".join(f"count(*) FILTER (sector = '{s}') AS n_{s}" for s in SECTORS) + " FROM memories", ctes=MEMORIES_SQL)
+@query(f"SELECT count(*) AS total, count(*) FILTER (created_at >= {NOW_MS - DAY_MS}) AS last_day, round(avg(salience), 6) AS mean_salience, min(salience) AS least_salience, max(salience) AS most_salience, round(avg(" + "CASE sector " + " ".join(f"WHEN '{s}' THEN CAST({v} AS DOUBLE)" for s, v in DECAY_LAMBDA.items()) + " END), 6) AS mean_rate, " + ", ".join(f"count(*) FILTER (sector = '{s}') AS n_{s}" for s in SECTORS) + " FROM memories", ctes=MEMORIES_SQL)
 def dashboard_stats(spark, d):
-    return analytics.overview(derive.memories(spark, d), NOW_MS).withColumn("mean_salience", _r(F.col("mean_salience")))
+    return analytics.overview(derive.memories(spark, d), NOW_MS).withColumn("mean_salience", _r(F.col("mean_salience"))).withColumn("mean_rate", _r(F.col("mean_rate")))
 
 
 @query("SELECT sector, strftime(make_timestamp(created_at * 1000), '%m-%d') AS label, count(*) AS n FROM memories GROUP BY 1, 2", ctes=MEMORIES_SQL)
@@ -279,12 +279,17 @@ def user_summary_stats(spark, d):
     return analytics.user_summary(rows).withColumn("projects", ordered("projects")).withColumn("languages", ordered("languages"))
 
 
-@query("SELECT sector, n, round(n / sum(n) OVER (), 6) AS share, n = max(n) OVER () AS dominant FROM (SELECT sector, count(*) AS n FROM memories GROUP BY 1)", ctes=MEMORIES_SQL)
+BALANCE = "(SELECT *, 1 - avg(abs(share - 1 / k)) OVER () AS balance FROM (SELECT sector, n, n / sum(n) OVER () AS share, n = max(n) OVER () AS dominant, count(*) OVER () AS k FROM (SELECT sector, count(*) AS n FROM memories GROUP BY 1)))"
+FRESH = f"greatest(0, 1 - (({NOW_MS} - last_seen_at) / CAST(86400000 AS DOUBLE)) / 180)"
+STALE = f"count(*) FILTER (({NOW_MS} - last_seen_at) / CAST(86400000 AS DOUBLE) > 90)"
+
+
+@query(f"SELECT sector, n, round(share, 6) AS share, dominant, round(balance, 6) AS balance FROM {BALANCE}", ctes=MEMORIES_SQL)
 def sector_balance(spark, d):
-    return analytics.sector_balance(derive.memories(spark, d)).withColumn("share", _r(F.col("share")))
+    return analytics.sector_balance(derive.memories(spark, d)).withColumn("share", _r(F.col("share"))).withColumn("balance", _r(F.col("balance")))
 
 
-@query(f"SELECT sector, round(avg(exp(-(({NOW_MS} - last_seen_at) / CAST(86400000 AS DOUBLE)) / 30)), 6) AS freshness, count(*) FILTER (({NOW_MS} - last_seen_at) / CAST(86400000 AS DOUBLE) > 90) AS stale FROM memories GROUP BY 1", ctes=MEMORIES_SQL)
+@query(f"SELECT sector, round(avg({FRESH}), 6) AS freshness, {STALE} AS stale FROM memories GROUP BY 1 UNION ALL SELECT NULL, round(avg({FRESH}), 6), {STALE} FROM memories", ctes=MEMORIES_SQL)
 def freshness(spark, d):
     return analytics.freshness(derive.memories(spark, d), NOW_MS).withColumn("freshness", _r(F.col("freshness")))
 
@@ -295,10 +300,10 @@ def temporal_patterns(spark, d):
     return t.select(*[_r(F.col(c)).alias(c) for c in t.columns])
 
 
-@query(f"""SELECT total, CAST(round((CASE WHEN total < 10 THEN 0.7 ELSE 1 END) * (CASE WHEN lo / hi < 0.5 THEN 0.9 ELSE 1 END) * (CASE WHEN fresh < 0.3 THEN 0.8 ELSE 1 END) * (CASE WHEN recent < 0.2 THEN 0.9 ELSE 1 END) * (CASE WHEN salience < 0.3 THEN 0.85 ELSE 1 END), 6) AS DOUBLE) AS score
-FROM (SELECT count(*) AS total, avg(exp(-(({NOW_MS} - last_seen_at) / CAST(86400000 AS DOUBLE)) / 30)) AS fresh, avg(CASE WHEN ({NOW_MS} - created_at) / CAST(86400000 AS DOUBLE) <= 7 THEN 1.0 ELSE 0.0 END) AS recent, avg(salience) AS salience FROM memories), (SELECT min(n) AS lo, max(n) AS hi FROM (SELECT count(*) AS n FROM memories GROUP BY sector))""", ctes=MEMORIES_SQL)
+@query(f"""SELECT total, round(balance, 6) AS balance, round(fresh, 6) AS fresh, CAST(round((CASE WHEN total < 10 THEN 0.7 ELSE 1 END) * (CASE WHEN balance < 0.5 THEN 0.9 ELSE 1 END) * (CASE WHEN fresh < 0.3 THEN 0.8 ELSE 1 END) * (CASE WHEN recent < 0.2 THEN 0.9 ELSE 1 END) * (CASE WHEN salience < 0.3 THEN 0.85 ELSE 1 END), 6) AS DOUBLE) AS score
+FROM (SELECT count(*) AS total, avg({FRESH}) AS fresh, avg(CASE WHEN ({NOW_MS} - created_at) / CAST(86400000 AS DOUBLE) <= 7 THEN 1.0 ELSE 0.0 END) AS recent, avg(salience) AS salience FROM memories), (SELECT max(balance) AS balance FROM {BALANCE})""", ctes=MEMORIES_SQL)
 def health_score(spark, d):
-    return analytics.health(derive.memories(spark, d), NOW_MS).select("total", _r(F.col("score").cast("double")).alias("score"))
+    return analytics.health(derive.memories(spark, d), NOW_MS).select("total", _r(F.col("balance")).alias("balance"), _r(F.col("fresh")).alias("fresh"), _r(F.col("score").cast("double")).alias("score"))
 
 
 @query("SELECT id, round((salience - avg(salience) OVER (PARTITION BY sector)) / (stddev_pop(salience) OVER (PARTITION BY sector) + 1e-8), 5) + 0 AS z FROM memories", ctes=MEMORIES_SQL)
