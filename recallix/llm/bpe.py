@@ -30,7 +30,7 @@ _SHORT = "'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])"
 WORD_PIECE = re.compile(rf"[{_LETTER}]++(?![\u0100-\U0010ffff])|{_SHORT}(?![\u0100-\U0010ffff])|{_SHORT}{_WORD}+|[{_MARK}]++(?![^\x00-\x7f])|{_WORD}+")
 BYTE_SAFE = re.compile(rf"(?<={_WORD}) (?={_WORD})")
 #: Characters of a text taken at a time, of a leaf of the tree, and the bytes of a batch.
-SLICE, LEAF, BATCH = 1 << 20, 2048, 1 << 17
+SLICE, LEAF, BATCH = 1 << 20, 4096, 1 << 17
 #: Distinct pieces that a worker remembers, and the most characters of one.
 REMEMBERED, SHORT = 300_000, 64
 
