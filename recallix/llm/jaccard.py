@@ -312,12 +312,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", fore
 
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", forest: Forest = Forest()) -> DataFrame:
     """df's rows, one document of each group of near duplicates (that with the smallest key); columns stay. Of rows
-    with one key and one text, one stays. Rows of one key with several texts are judged each by its own text: in one
-    group the smallest hash stays, in several each group keeps its own."""
+    with one key and one text, one stays (null counts as one text). Rows of one key with several texts are judged each by
+    its own text: in one group the smallest hash stays, in several each group keeps its own. Rows with a null key all
+    stay."""
     row = free_name(df, "row")
     k, t = F.col(quoted(key)), F.col(quoted(text))
     marked = df.withColumn(row, F.when(k.isNotNull(), F.struct(k.alias("key"), F.xxhash64(t).alias("hash"))))
     gone = near_duplicates(marked, row, text, forest).where("NOT kept").select(row).distinct()
     left = marked.join(gone, row, "left_anti").select(*[F.col(quoted(c)) for c in df.columns])
-    again = df.groupBy(k.alias("k"), F.xxhash64(t).alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    return left.dropDuplicates([key, text]) if again else left
+    again = df.where(k.isNotNull()).groupBy(k.alias("k"), F.xxhash64(t).alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    return left.where(k.isNotNull()).dropDuplicates([key, text]).union(df.where(k.isNull())) if again else left

@@ -344,6 +344,10 @@ def test_drop_near_duplicates_of_repeated_keys(spark):
     left = jaccard.drop_near_duplicates(df)
     got = [(r.doc_id, r.text.split()[0].lower()) for r in left.collect()]
     assert left.columns == df.columns and sorted(got, key=str) == sorted([(1, "a0"), (2, "b0"), (3, "c0"), (None, "a0"), (5, "d0")], key=str)
+    same = " ".join(a)
+    for rows in ([(None, same)] * 2, [(None, same), (5, same), (None, same), (5, same), (6, None), (6, None)]):
+        got = [r.doc_id for r in jaccard.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+        assert sorted(got, key=str) == sorted([None, None, *({i for i, _ in rows} - {None})], key=str)
 
 
 def test_components(spark):
