@@ -11,7 +11,7 @@ from ..storage import shared_dir
 def _classes(rows: DataFrame, key: str, by: str, tokens: str) -> tuple[DataFrame, DataFrame]:
     """Rows with sets that are not empty, and one class for each different set of a group."""
     sets = rows.select(F.col(key).alias("id"), F.col(by).alias("by"), F.array_sort(F.array_distinct(tokens)).alias("set")).where(F.size("set") > 0)
-    sets = sets.withColumn("hash", F.xxhash64("set"))
+    sets = sets.withColumn("hash", F.sha2(F.to_json("set"), 256))
     return sets, sets.groupBy("by", "hash").agg(F.min("id").alias("rep"), F.first("set").alias("set"))
 
 
