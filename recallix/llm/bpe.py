@@ -27,7 +27,7 @@ _WS, _WORD = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 _LETTER, _MARK = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"\x00-\x08\x0e-\x1f!-/:-@\[-`{-~\x7f"
 #: For the word BPE, which folds case and composes characters first, and drops white space.
 _SHORT = "'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])"
-WORD_PIECE = re.compile(rf"[{_LETTER}]++(?![\u0100-\U0010ffff])|{_SHORT}(?![\u0100-\U0010ffff])|{_SHORT}{_WORD}+|[{_MARK}]++(?![^\x00-\x7f])|{_WORD}+")
+WORD_PIECE = re.compile(rf"[{_LETTER}]++(?![^\s\x00-\xff])|{_SHORT}(?![^\s\x00-\xff])|{_SHORT}{_WORD}+|[{_MARK}]++(?![^\x00-\x7f])|{_WORD}+")
 BYTE_SAFE = re.compile(rf"(?<={_WORD}) (?={_WORD})")
 #: Characters of a text taken at a time, of a leaf of the tree, and the bytes of a batch.
 SLICE, LEAF, BATCH = 1 << 20, 4096, 1 << 17

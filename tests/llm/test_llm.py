@@ -95,6 +95,15 @@ def test_pieces_are_independent():
         assert np.frombuffer(packing.text_ids(x, WORD), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_pieces_before_any_white_space():
+    rng, t = random.Random(5), bpe.tokenizer(WORD)
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()] + ["\u200b", "\u200d", "\ufeff", "\u180e", "\u2060"]
+    fixed = [f"{a}{w}{b}" for w in spaces for a in ("it's", "they're", "don't", "we'LL") for b in ("fine", "", "'s", "é")]
+    kinds = [[*spaces, *"s'tre1!a" * 6], [*spaces, *"sSlLdDmM'é́İıſK" * 4], [*spaces, *["it's", "they're", "<|endoftext|>", "日", "'ve", "\U0001f600"] * 5]]
+    for x in fixed + ["".join(rng.choice(kinds[i % 3]) for _ in range(rng.randint(0, 60))) for i in range(1500)]:
+        assert np.frombuffer(packing.text_ids(x, WORD), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 def test_packing(spark):
     t = bpe.tokenizer(WORD)
     odd = docs(spark).withColumn("_before", F.lit(1)).withColumn("_block", F.lit(2)).withColumn("a.b", F.lit(3))
