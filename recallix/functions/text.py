@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column
@@ -173,6 +175,21 @@ def canonical_list(text: str | None) -> list[str]:
     return out
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _canonical(t: str) -> str:
+    return HEAD.get(t) or HEAD.get(x := _stemmed(t), x)
+
+
+def canonical_counts(text: str | None) -> Counter:
+    """How often each canonical token stands in a text; each distinct word is taken apart once."""
+    out = Counter()
+    for t, n in Counter(m[0] for m in re.finditer(rf"[a-z0-9]+|[{_CJK}]+", (text or "").lower())).items():
+        for x in [t] if len(t) < 2 or t[0] < "\x80" else [t[i : i + 2] for i in range(len(t) - 1)]:
+            if len(x := _canonical(x)) > 1:
+                out[x] += n
+    return out
+
+
 def _stemmed(t: str) -> str:
     for p, to in _ENDINGS if len(t) > 3 else ():
         if re.search(p, t) and len(cut := re.sub(p, to, t)) >= 3:
