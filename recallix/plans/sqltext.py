@@ -48,3 +48,14 @@ def temporal(text: str) -> str:
 
 def scores(text: str) -> str:
     return ", ".join(f"{sector_score(s, text)} AS s{i}" for i, s in enumerate(SECTORS))
+
+
+
+def token_hashes(text: str) -> str:
+    """SQL of the multiply-by-31 hashes of a text's distinct canonical tokens, of ASCII letters and digits."""
+    return f"list_transform(list_distinct({canonical_tokens(text)}), lambda t: list_reduce(list_transform(string_split(t, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda a, b: (a * 31 + b) & 4294967295, CAST(0 AS BIGINT)))"
+
+
+def majority_bits(hashes: str) -> str:
+    """SQL of the number whose bits are the majority votes of a column of hashes."""
+    return " + ".join(f"CASE WHEN 2 * len(list_filter({hashes}, lambda h: (h >> {i}) & 1 = 1)) > len({hashes}) THEN CAST({1 << i} AS BIGINT) ELSE 0 END" for i in range(32))
