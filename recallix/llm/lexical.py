@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import fresh_dir, quoted, short_batches
 
 #: Bytes of text of one shard, about; bytes of a text that are taken apart at a time; queries that meet a shard at once.
-SHARD_BYTES, PART_BYTES, QUERIES = 32 << 20, 1 << 20, 256
+SHARD_BYTES, PART_BYTES, QUERIES = 16 << 20, 1 << 20, 256
 #: Everything but digits, letters and what lies beyond ASCII becomes a space; A-Z become a-z.
 _FOLD = bytes(c if c >= 128 or chr(c).isalnum() and not chr(c).isupper() else c + 32 if chr(c).isupper() else 32 for c in range(256))
 INDEX = "shard bigint, term string, df bigint, times bigint, docs binary, postings binary"
