@@ -88,6 +88,16 @@ def coactivation(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.join(e, ["src", "dst"], "left").withColumn("weight", coactivated(F.coalesce("weight", F.lit(0.0)), F.col("hours")))
 
 
+def coactivation_folded(pairs: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(src, dst, weight, updates) of pairs (src, dst, hours) after all their updates, from the edge's weight or 0. Each
+    update leaves a share of what is missing to 1, so that their order does not count."""
+    left = pairs.groupBy("src", "dst").agg(F.product(1 - coactivated(F.lit(0.0), F.col("hours"))).alias("_left"), F.count(F.lit(1)).alias("updates"))
+    if edges is not None:
+        left = left.join(edges.groupBy("src", "dst").agg(F.max("weight").alias("_w")), ["src", "dst"], "left")
+    missing = 1 - F.coalesce("_w", F.lit(0.0)) if edges is not None else F.lit(1.0)
+    return left.select("src", "dst", (1 - missing * F.col("_left")).alias("weight"), "updates")
+
+
 def best_edges(similar: DataFrame) -> DataFrame:
     """One out-edge per memory, to its most similar one (query_id, id, similarity); without one, to itself."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))

@@ -34,7 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memories from documents: owners, projects, times, salience and sectors by the id; tags from language and source."""
-    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    return as_memories(table(spark, sf_dir, "documents"))
+
+
+def as_memories(d: DataFrame) -> DataFrame:
+    """memories() of documents that may also come as a stream."""
+    i = F.col("doc_id")
     sectors = F.array(*map(F.lit, SECTORS))
     rows = d.select(
         i.alias("id"),
@@ -81,8 +86,13 @@ CUES_SQL = f"cues AS (SELECT doc_id AS id, [{', '.join(map(_quoted, CUES))}][doc
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts from events: user, type and value, of three owners; each is closed just before the next later one of its
     owner, subject and predicate."""
-    e, i = table(spark, sf_dir, "events"), F.col("event_id")
-    rows = e.select(
+    return closed(as_facts(table(spark, sf_dir, "events")))
+
+
+def as_facts(e: DataFrame) -> DataFrame:
+    """The facts of events that may also come as a stream, without ends."""
+    i = F.col("event_id")
+    return e.select(
         i.alias("id"),
         F.concat(F.lit("t"), i % 3).alias("user_id"),
         F.when(i % 4 == 0, "system_global").when(i % 4 != 1, F.concat(F.lit("p"), i % 4)).alias("project_id"),
@@ -92,7 +102,6 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.unix_millis(F.col("ts").cast("timestamp")).alias("valid_from"),
         (F.lit(0.05) + (i % 20) / 20.0).alias("confidence"),
     )
-    return closed(rows)
 
 
 FACTS_SQL = """

@@ -53,10 +53,7 @@ def memory_fulltext_topk(spark, d):
     return fulltext.search(index, q).select("query_id", "id", _r(F.col("score")).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-SIMHASHES_SQL = f"""{MEMORIES_SQL}, token_hashes AS (SELECT id, {sqltext.token_hashes("coalesce(content, '')")} AS h FROM memories), simhashes AS (SELECT id, {sqltext.majority_bits("h")} AS bits FROM token_hashes)"""
-
-
-@query("""SELECT a.id, count(*) FILTER (a.bits = b.bits) - 1 AS same, count(*) FILTER (a.bits <> b.bits) AS near, min(b.id) AS first FROM simhashes a JOIN simhashes b ON 2 * bit_count(xor(a.bits, b.bits)) <= 3 GROUP BY a.id""", ctes=SIMHASHES_SQL)
+@query("""SELECT a.id, count(*) FILTER (a.bits = b.bits) - 1 AS same, count(*) FILTER (a.bits <> b.bits) AS near, min(b.id) AS first FROM simhashes a JOIN simhashes b ON 2 * bit_count(xor(a.bits, b.bits)) <= 3 GROUP BY a.id""", ctes=sqltext.simhashes(MEMORIES_SQL))
 def simhash_near(spark, d):
     """Of each memory the others of its simhash, those within three bits of it, and the smallest id of all. (The 32 bits
     stand twice in a simhash, so that the SQL counts each twice.)"""

@@ -11,7 +11,7 @@ from ..config import DAY_MS, DECAY_LAMBDA, FUSION, RELATION, RESONANCE, SECTORS
 from ..functions import analysis, compression, dynamics, embedding, passages, text, vectors
 from ..operators import analytics, facts, graph, ingest, memory, retrieval, scope, search, sets
 from ..sources import files, html
-from ..streaming import windows
+from ..streaming import stateful, windows
 from . import derive, sqltext
 from .derive import CUES_SQL, EDGES_SQL, FACTS_SQL, GRAPH_SQL, MEMORIES_SQL, NOW_MS, VECTORS_SQL
 
@@ -669,7 +669,8 @@ def merge_duplicates(spark, d):
     return sets.greedy_groups(m, 0.85)
 
 
-@query(None)
+@query("""SELECT min_by(id, (created_at, id)) AS id, simhash, count(*) AS arrivals, max(created_at) AS last_seen_at, round(least(1, min_by(salience, (created_at, id)) + CAST(0.15 AS DOUBLE) * (count(*) - 1)), 6) AS salience
+  FROM (SELECT id, %s AS simhash FROM token_hashes) JOIN memories USING (id) GROUP BY simhash""" % sqltext.hex_digits("h"), ctes=sqltext.simhashes(MEMORIES_SQL))
 def simhash_dedup(spark, d):
     return memory.deduplicated(derive.memories(spark, d)).withColumn("salience", _r(F.col("salience")))
 
@@ -854,8 +855,26 @@ def stream_sessions(spark, d):
     return windows.drained(windows.sessions(windows.opened(spark, d, "events"), "4 hours"), "complete")
 
 
-@query(f"SELECT {OWN}, object, valid_from, valid_to FROM facts WHERE valid_to IS NOT NULL", ctes=FACTS_SQL)
+@query(f"SELECT id, {OWN}, object, valid_from, valid_to FROM facts WHERE valid_to IS NOT NULL", ctes=FACTS_SQL)
 def stream_fact_closing(spark, d):
-    e = windows.opened(spark, d, "events")
-    rows = e.select(F.concat(F.lit("t"), F.col("event_id") % 3).alias("user_id"), F.col("user_id").cast("string").alias("subject"), F.col("event_type").alias("predicate"), F.get_json_object("props", "$.k").alias("object"), F.unix_millis(F.col("ts").cast("timestamp")).alias("valid_from"))
-    return windows.drained(windows.closing_facts(rows))
+    """Facts that a later one closes, as they stand after all that arrived; late ones correct what came before them."""
+    rows = stateful.fact_history(derive.as_facts(windows.opened(spark, d, "events")))
+    return stateful.latest(rows, ["id"]).where("valid_to IS NOT NULL")
+
+
+@query("""SELECT min_by(id, (created_at, id)) AS id, count(*) AS arrivals, max(created_at) AS last_seen_at, round(least(1, min_by(salience, (created_at, id)) + CAST(0.15 AS DOUBLE) * (count(*) - 1)), 6) AS salience
+  FROM simhashes JOIN memories USING (id) WHERE content IS NOT NULL GROUP BY bits""", ctes=sqltext.simhashes(MEMORIES_SQL))
+def stream_arrivals(spark, d):
+    """Memories by simhash as they arrive: the first of each, with a boost for every further one."""
+    rows = stateful.arrivals(derive.as_memories(windows.opened(spark, d, "documents")))
+    return stateful.latest(rows, ["simhash"]).select("id", "arrivals", "last_seen_at", _r(F.col("salience")).alias("salience"))
+
+
+@query("""SELECT src, dst, round(1 - exp(sum(ln(1 - CAST(0.1 AS DOUBLE) * exp(-CAST(src % 24 AS DOUBLE) / 4)))), 6) AS weight, count(*) AS updates FROM (SELECT doc_id AS src, doc_id + o AS dst FROM documents, (VALUES (1), (2), (1)) v(o)) GROUP BY 1, 2""")
+def stream_coactivation(spark, d):
+    """Pairs of each document with the two after it, one of them twice, through queues that let fifty go at a tick."""
+    docs = windows.opened(spark, d, "documents").select(F.col("doc_id").alias("src"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(1))).alias("o"))
+    pairs = docs.select("src", (F.col("src") + F.col("o")).alias("dst"), (F.col("src") % 24 / 4).alias("hours"))
+    n = 3 * derive.table(spark, d, "documents").count()
+    left = stateful.drained_queue(stateful.coactivation_queue(pairs, lanes=max(4, -(-n // 500))), n)
+    return graph.coactivation_folded(left, None).select("src", "dst", _r(F.col("weight")).alias("weight"), "updates")

@@ -59,3 +59,15 @@ def token_hashes(text: str) -> str:
 def majority_bits(hashes: str) -> str:
     """SQL of the number whose bits are the majority votes of a column of hashes."""
     return " + ".join(f"CASE WHEN 2 * len(list_filter({hashes}, lambda h: (h >> {i}) & 1 = 1)) > len({hashes}) THEN CAST({1 << i} AS BIGINT) ELSE 0 END" for i in range(32))
+
+
+def simhashes(memories: str) -> str:
+    """CTEs of the memories' token hashes and simhash bits."""
+    return f"""{memories}, token_hashes AS (SELECT id, {token_hashes("coalesce(content, '')")} AS h FROM memories), simhashes AS (SELECT id, {majority_bits("h")} AS bits FROM token_hashes)"""
+
+
+def hex_digits(hashes: str) -> str:
+    """SQL of the simhash as text: eight digits of four votes each, the first vote the highest bit, written twice."""
+    vote = lambda i: f"CASE WHEN 2 * len(list_filter({hashes}, lambda h: (h >> {i}) & 1 = 1)) > len({hashes}) THEN 1 ELSE 0 END"
+    digits = " || ".join(f"'0123456789abcdef'[1 + " + " + ".join(f"{8 >> j} * ({vote(i + j)})" for j in range(4)) + "]" for i in range(0, 32, 4))
+    return f"repeat({digits}, 2)"

@@ -25,42 +25,6 @@ def sessions(events: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "user_id", "n")
 
 
-def closing_facts(facts: DataFrame) -> DataFrame:
-    """Closed intervals as facts arrive in order: a row leaves when its owner, subject and predicate has a later one.
-
-    facts: user_id, subject, predicate, object, valid_from. State is one open row per key, as the fact stays open until
-    its next one. A key's rows of a batch are taken in chunks where these come in order of valid_from.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names = ["user_id", "subject", "predicate", "object", "valid_from", "valid_to"]
-        held = state.get if state.exists else None
-        for rows in _sorted_chunks(batches, "valid_from"):
-            out = []
-            for at, obj in zip(rows["valid_from"], rows["object"], strict=True):
-                if held is not None:
-                    out.append((*key, held[0], held[1], int(at) - 1))
-                held = (obj, int(at))
-            yield pd.DataFrame(out, columns=names)
-        state.update(held)
-
-    kind = "user_id string, subject string, predicate string, object string, valid_from long, valid_to long"
-    return facts.groupBy("user_id", "subject", "predicate").applyInPandasWithState(step, kind, "object string, valid_from long", "append", GroupStateTimeout.NoTimeout)
-
-
-def _sorted_chunks(batches: Iterator[pd.DataFrame], by: str) -> Iterator[pd.DataFrame]:
-    """A key's rows in order: as they come where each chunk begins where the last one ended, else sorted together."""
-    held, last = [], None
-    for rows in batches:
-        if rows[by].is_monotonic_increasing and not held and (last is None or rows[by].iloc[0] >= last):
-            last = rows[by].iloc[-1] if len(rows) else last
-            yield rows
-        else:
-            held.append(rows)
-    if held:
-        yield pd.concat(held).sort_values(by, kind="stable")
-
-
 def rate_limited(requests: DataFrame, most: int, width_ms: int) -> DataFrame:
     """(client, at, allowed): a client's window opens at its first request and admits `most`; then a new one opens."""
 
