@@ -2,7 +2,7 @@
 
 Equal vectors are one node. Nodes are dealt by hash into shards of bounded size, and each shard has its own graph. A
 further coordinate brings a shard's vectors to one length, so that the nearest vector on the sphere is that with the
-largest inner product. Nodes enter the graph in growing batches: a greedy search from the entry node proposes
+largest inner product. Nodes enter the graph in growing batches: a greedy search from the starts proposes
 neighbours; pruning keeps a candidate only if no kept one is nearer to it by the factor `relax` than the node itself is,
 which leaves diverse edges; edges back are added, and pruned where a node has too many. A query walks each shard's graph
 with a beam, whose nodes are then compared in double precision; the shards' best meet in one ranking.
@@ -26,7 +26,7 @@ from .embeddings import usable
 class Graph:
     """degree: most edges of a node; beam: width of the greedy search of the building and of queries; relax: factor of
     the pruning's distances; shard: nodes of a shard, about; wide: nodes that a search expands at a time; batch: most
-    searches that run side by side; queries: query vectors that meet a shard at a time."""
+    searches that run side by side; queries: query vectors that meet a shard at a time; starts: nodes where walks begin."""
 
     degree: int = 32
     build_beam: int = 64
@@ -36,13 +36,14 @@ class Graph:
     wide: int = 4
     batch: int = 256
     queries: int = 2048
+    starts: int = 48
     seed: int = 5
 
 
-INDEX = "shard long, dim int, ids binary, vectors binary, points binary, edges binary, entry int"
+INDEX = "shard long, dim int, ids binary, vectors binary, points binary, edges binary, starts binary"
 
 
-def beam_search(points: np.ndarray, edges: np.ndarray, entry: int, asked: np.ndarray, beam: int, wide: int) -> np.ndarray:
+def beam_search(points: np.ndarray, edges: np.ndarray, starts: np.ndarray, asked: np.ndarray, beam: int, wide: int) -> np.ndarray:
     """The nodes (-1: none) that each of the asked vectors' walks holds at its end, nearest first.
 
     A walk expands its nearest nodes that are not yet expanded, `wide` at a time, and holds the `beam` nearest ones seen;
@@ -53,9 +54,12 @@ def beam_search(points: np.ndarray, edges: np.ndarray, entry: int, asked: np.nda
     held = np.full((len(asked), beam), -1, np.int64)
     near = np.full((len(asked), beam), -np.inf, points.dtype)
     done = np.ones((len(asked), beam), bool)
-    held[:, 0], near[:, 0], done[:, 0] = entry, asked @ points[entry], False
+    first = asked @ points[starts].T
+    order = np.argsort(-first, axis=1, kind="stable")[:, :beam]
+    begun = order.shape[1]
+    held[:, :begun], near[:, :begun], done[:, :begun] = starts[order], np.take_along_axis(first, order, 1), False
     seen = np.zeros((len(asked), n + 1), bool)  # the last column stands for "no edge"
-    seen[:, entry] = seen[:, n] = True
+    seen[:, starts] = seen[:, n] = True
     while len(rows):
         order = np.argsort(done[rows], axis=1, kind="stable")[:, :wide]
         fresh = ~np.take_along_axis(done[rows], order, 1)
@@ -106,18 +110,21 @@ def pruned(points: np.ndarray, nodes: np.ndarray, found: np.ndarray, degree: int
     return kept
 
 
-def build_graph(points: np.ndarray, g: Graph) -> tuple[np.ndarray, int]:
-    """Edges (node by degree, -1: none) and the entry node of a graph over unit vectors."""
+def build_graph(points: np.ndarray, g: Graph) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node by degree, -1: none) and the starts of a graph over the points of on_sphere(): the most central node,
+    those of the longest vectors, which lie apart from the others there, and some by chance."""
     n = len(points)
     edges = np.full((n, g.degree), -1, np.int64)
-    entry = int((points @ points.mean(0)).argmax())
+    central = int((points @ points.mean(0)).argmax())
     order = np.random.default_rng([g.seed, n]).permutation(n)
-    order = order[order != entry]
+    longest = np.argsort(points[:, -1], kind="stable")[: g.starts // 2]
+    starts = np.array(list(dict.fromkeys([central, *longest.tolist(), *order[: g.starts - g.starts // 2 - 1].tolist()])))
+    order = np.concatenate([starts[1:], order[~np.isin(order, starts)]])
     at, size = 0, 1
     while at < len(order):
         batch = order[at : at + size]
         at, size = at + len(batch), min(2 * size, g.batch)
-        found = beam_search(points, edges, entry, points[batch], g.build_beam, g.wide)
+        found = beam_search(points, edges, starts, points[batch], g.build_beam, g.wide)
         edges[batch] = out = pruned(points, batch, found, g.degree, g.relax)
         src, dst = np.repeat(batch, g.degree), out.ravel()
         src, dst = src[dst >= 0], dst[dst >= 0]
@@ -135,7 +142,7 @@ def build_graph(points: np.ndarray, g: Graph) -> tuple[np.ndarray, int]:
             for part in np.array_split(np.flatnonzero(full), max(1, -(-int(full.sum()) * wide.shape[1] ** 2 // (1 << 22)))):
                 if len(part):
                     edges[t[part]] = pruned(points, t[part], wide[part], g.degree, g.relax)
-    return edges, entry
+    return edges, starts
 
 
 def on_sphere(vectors: np.ndarray) -> np.ndarray:
@@ -157,21 +164,23 @@ def _nodes(df: DataFrame, key: str, vector: str, k: int) -> tuple[DataFrame, Dat
 
 
 def build_index(nodes: DataFrame, g: Graph = Graph()) -> DataFrame:
-    """One row for each shard of nodes (rep, dim, v): ids, vectors, points on the sphere, edges, entry node."""
+    """One row for each shard of nodes (rep, dim, v): ids, vectors, points on the sphere, edges, starts."""
     size = nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / g.shard).cast("int").alias("of"))
+    shards = size.agg(F.coalesce(F.sum("of"), F.lit(1))).first()[0]
     dealt = nodes.join(size, "dim").withColumn("shard", F.pmod(F.xxhash64("rep", F.lit(g.seed)), F.col("of")))
+    dealt = dealt.select("shard", "dim", "rep", "v").repartition(int(shards), "dim", "shard")  # few bytes, much work
 
     def build(group: pa.Table) -> pa.Table:
         group = group.sort_by("rep")
         ids, dim = group["rep"].to_numpy(), group["dim"][0].as_py()
         vectors = group["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
         points = on_sphere(vectors)
-        edges, entry = build_graph(points, g)
-        row = [group["shard"][0].as_py(), dim, ids.tobytes(), vectors.tobytes(), points.tobytes(), edges.astype(np.int32).tobytes(), entry]
+        edges, starts = build_graph(points, g)
+        row = [group["shard"][0].as_py(), dim, ids.tobytes(), vectors.tobytes(), points.tobytes(), edges.astype(np.int32).tobytes(), starts.tobytes()]
         return pa.table([pa.array([x], f.type) for x, f in zip(row, kinds, strict=True)], kinds)
 
-    kinds = pa.schema([("shard", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("points", pa.binary()), ("edges", pa.binary()), ("entry", pa.int32())])
-    return cut_lineage(dealt.select("shard", "dim", "rep", "v").groupBy("dim", "shard").applyInArrow(build, INDEX))
+    kinds = pa.schema([("shard", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("points", pa.binary()), ("edges", pa.binary()), ("starts", pa.binary())])
+    return cut_lineage(dealt.groupBy("dim", "shard").applyInArrow(build, INDEX))
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, g: Graph = Graph()) -> DataFrame:
@@ -186,11 +195,12 @@ def search(index: DataFrame, queries: DataFrame, k: int, g: Graph = Graph()) ->
     def walk(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for columns in batches:
             lists = []
-            for dim, ids, vectors, points, edges, entry, asked in zip(*columns, strict=True):
+            for dim, ids, vectors, points, edges, starts, asked in zip(*columns, strict=True):
                 dim, ids = dim.as_py(), np.frombuffer(ids.as_buffer(), np.int64)
                 vectors = np.frombuffer(vectors.as_buffer()).reshape(-1, dim)
                 points = np.frombuffer(points.as_buffer(), np.float32).reshape(-1, dim + 1)
                 edges = np.frombuffer(edges.as_buffer(), np.int32).reshape(len(ids), -1)
+                starts = np.frombuffer(starts.as_buffer(), np.int64)
                 names = asked.values.field("query_id").to_numpy()
                 q = asked.values.field("v").flatten().to_numpy().reshape(-1, dim)
                 out = []
@@ -198,7 +208,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, g: Graph = Graph()) ->
                     part = q[low : low + g.batch]
                     scaled = part / np.abs(part).max(1, keepdims=True)
                     flat = np.concatenate([scaled, np.zeros((len(part), 1))], 1).astype(np.float32)
-                    held = beam_search(points, edges, entry.as_py(), flat, max(g.beam, 2 * k), g.wide)
+                    held = beam_search(points, edges, starts, flat, max(g.beam, 2 * k), g.wide)
                     score = np.where(held >= 0, np.einsum("bcd,bd->bc", vectors[held], part), -np.inf)
                     top = np.lexsort((ids[held], -score), axis=1)[:, :k]
                     use = np.take_along_axis(held, top, 1) >= 0
@@ -209,7 +219,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, g: Graph = Graph()) ->
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["query_id", "rep", "score"]))
 
     met = index.join(every, ["dim", "shard"])
-    return met.select(F.explode(walk("dim", "ids", "vectors", "points", "edges", "entry", "asked")).alias("m")).select("m.*")
+    return met.select(F.explode(walk("dim", "ids", "vectors", "points", "edges", "starts", "asked")).alias("m")).select("m.*")
 
 
 def nearest(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", g: Graph = Graph()) -> DataFrame:
