@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -65,41 +66,136 @@ def simhash(text: Column) -> Column:
     return run.asNondeterministic()(text)
 
 
+def _prefix(text: str) -> tuple[int, int]:
+    return fnv1a(text), mixed(text)
+
+
+@functools.lru_cache(maxsize=8)
+def _waves(dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the first fifty positions: where a wave adds, and its sines and cosines."""
+    at = np.arange(50) % dim
+    angles = [i / 10000 ** (2 * int(x) / dim) for i, x in enumerate(at)]
+    return at, np.array([math.sin(x) for x in angles]), np.array([math.cos(x) for x in angles])
+
+
+class _Features:
+    """Features of many texts as stretches of one array of code units, so that all are hashed side by side."""
+
+    def __init__(self):
+        self.units, self.size, self.seeds, self.starts, self.lengths = [], 0, [], [], []
+        self.known: dict[str, tuple[int, int]] = {}
+
+    def put(self, text: str) -> int:
+        """Where the units of a text begin."""
+        raw = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2")
+        self.units.append(raw)
+        self.size += len(raw)
+        return self.size - len(raw)
+
+    def add(self, prefix: str, starts: np.ndarray, lengths: np.ndarray) -> None:
+        seed = self.known.get(prefix) or self.known.setdefault(prefix, _prefix(prefix))
+        self.seeds.append(np.broadcast_to(np.array(seed, np.uint32), (len(starts), 2)))
+        self.starts.append(starts)
+        self.lengths.append(lengths)
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """fnv1a() and mixed() of each feature, a code unit of all at a time; the longest features stand first."""
+        units = np.concatenate([*self.units, np.zeros(0, np.uint16)]).astype(np.uint32)
+        starts, lengths = np.concatenate(self.starts), np.concatenate(self.lengths)
+        by = np.argsort(-lengths, kind="stable")
+        starts, (h, g) = starts[by], np.concatenate(self.seeds)[by].T.copy()
+        left = len(starts) - np.searchsorted(np.sort(lengths), np.arange(int(lengths.max(initial=0))), "right")
+        for i, k in enumerate(left.tolist()):
+            u = units[starts[:k] + i]
+            h[:k] = (h[:k] ^ u) * np.uint32(16777619)
+            x = (g[:k] ^ u) * np.uint32(0x5BD1E995)
+            g[:k] = x ^ x >> np.uint32(13)
+        back = np.empty(len(by), np.int64)
+        back[by] = np.arange(len(by))
+        return h[back], g[back]
+
+
+def synthetic_many(rows: list[tuple[list[str], str]], dim: int) -> list[np.ndarray]:
+    """Signed feature hashing of tokens, their character triples and quadruples, neighbours, positions and length, for
+    many (tokens, sector)."""
+    f, weights = _Features(), []
+    for tokens, sector in rows:
+        if not tokens:
+            weights.append(None)
+            continue
+        sw, distinct = EMBED_WEIGHT.get(sector, 1.0), list(dict.fromkeys(tokens))
+        n = len(distinct)
+        w = (math.log(1 + n) / n + 1) * sw
+        size = np.array([len(t) if t.isascii() else len(t.encode("utf-16-le", "surrogatepass")) // 2 for t in distinct])
+        at = f.put("_".join(distinct)) + np.cumsum(size + 1) - size - 1
+        # each token's own stretches in turn: itself, its triples, its quadruples
+        number = 1 + np.maximum(0, size - 2) + np.maximum(0, size - 3)
+        owner = np.repeat(np.arange(n), number)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
+        triples = np.maximum(0, size - 2)[owner]
+        kind = np.where(place == 0, 0, np.where(place <= triples, 1, 2))
+        start = at[owner] + np.where(kind == 0, 0, np.where(kind == 1, place - 1, place - 1 - triples))
+        length = np.where(kind == 0, size[owner], kind + 2)
+        own = [np.array([w, w * 0.4, w * 0.3])[kind]]
+        seeds = np.array([f.known.get(p) or f.known.setdefault(p, _prefix(p)) for p in (f"{sector}|tok|", f"{sector}|c3|", f"{sector}|c4|")], np.uint32)
+        f.seeds.append(seeds[kind])
+        f.starts.append(start)
+        f.lengths.append(length)
+        m, wide = len(tokens), dict(zip(distinct, size.tolist(), strict=True))
+        sizes = np.array([wide[t] for t in tokens])
+        starts = f.put("_".join(tokens)) + np.cumsum(sizes + 1) - sizes - 1
+        ends = starts + sizes
+        if m > 1:
+            f.add(f"{sector}|bi|", starts[:-1], ends[1:] - starts[:-1])
+            own.append(1.4 * sw / (1 + np.arange(m - 1) * 0.1))
+        if m > 2:
+            f.add(f"{sector}|tri|", starts[:-2], ends[2:] - starts[:-2])
+            own.append(np.full(m - 2, sw))
+            skips = [f"{tokens[i]}_{tokens[i + 2]}" for i in range(min(m - 2, 20))]
+            lengths = sizes[: len(skips)] + sizes[2 : len(skips) + 2] + 1
+            f.add(f"{sector}|skip|", f.put("".join(skips)) + np.cumsum(lengths) - lengths, lengths)
+            own.append(np.full(len(skips), 0.7 * sw))
+        for prefix, text, share in (("len", str(min(int(math.log2(n + 1)), 10)), 0.6), ("dens", "10", 0.5)):
+            f.add(f"{sector}|{prefix}|", np.array([f.put(text)]), np.array([len(text)]))
+            own.append(np.array([share * sw]))
+        weights.append((np.concatenate(own), min(m, 50), 0.5 * sw / math.log(1 + n)))
+    h, g = f.hashes() if f.starts else (np.zeros(0, np.uint32), np.zeros(0, np.uint32))
+    out, low = [], 0
+    for row in weights:
+        if row is None:
+            out.append(np.full(dim, 1 / math.sqrt(dim), np.float32))
+            continue
+        w, m, part = row
+        mine = slice(low, low + len(w))
+        low += len(w)
+        at = np.stack([h[mine] % dim, g[mine] % dim], 1)
+        value = np.where(h[mine] & 1, -w, w)
+        value = np.stack([value, value * 0.5], 1).astype(np.float32)
+        v = np.zeros(dim, np.float32)
+        np.add.at(v, at[:-2].ravel(), value[:-2].ravel())
+        wave, sin, cos = (x[:m] for x in _waves(dim))
+        np.add.at(v, np.stack([wave, (wave + 1) % dim], 1).ravel(), np.stack([part * sin, part * cos], 1).astype(np.float32).ravel())
+        np.add.at(v, at[-2:].ravel(), value[-2:].ravel())
+        norm = math.sqrt(float((v.astype(np.float64) ** 2).sum()))
+        out.append(v / np.float32(norm) if norm else v)
+    return out
+
+
 def synthetic(tokens: list[str], sector: str, dim: int) -> np.ndarray:
-    """Signed feature hashing of tokens, their character triples and quadruples, neighbours, positions and length."""
-    if not tokens:
-        return np.full(dim, 1 / math.sqrt(dim), np.float32)
-    v, sw = np.zeros(dim, np.float32), EMBED_WEIGHT.get(sector, 1.0)
-
-    def add(feature: str, w: float) -> None:
-        h, g = fnv1a(f"{sector}|{feature}"), mixed(f"{sector}|{feature}")
-        value = -w if h & 1 else w
-        v[h % dim] += value
-        v[g % dim] += value * 0.5
-
-    distinct = list(dict.fromkeys(tokens))
-    n = len(distinct)
-    w = (math.log(1 + n) / n + 1) * sw
-    for t in distinct:
-        add(f"tok|{t}", w)
-        for size, share in ((3, 0.4), (4, 0.3)):
-            for i in range(len(t) - size + 1):
-                add(f"c{size}|{t[i : i + size]}", w * share)
-    for i, (a, b) in enumerate(zip(tokens, tokens[1:], strict=False)):
-        add(f"bi|{a}_{b}", 1.4 * sw / (1 + i * 0.1))
-    for a, b, c in zip(tokens, tokens[1:], tokens[2:], strict=False):
-        add(f"tri|{a}_{b}_{c}", sw)
-    for i in range(min(len(tokens) - 2, 20)):
-        add(f"skip|{tokens[i]}_{tokens[i + 2]}", 0.7 * sw)
-    for i in range(min(len(tokens), 50)):
-        at = i % dim
-        angle, part = i / 10000 ** (2 * at / dim), 0.5 * sw / math.log(1 + n)
-        v[at] += part * math.sin(angle)
-        v[(at + 1) % dim] += part * math.cos(angle)
-    add(f"len|{min(int(math.log2(n + 1)), 10)}", 0.6 * sw)
-    add("dens|10", 0.5 * sw)
-    norm = math.sqrt(float((v.astype(np.float64) ** 2).sum()))
-    return v / np.float32(norm) if norm else v
+    return synthetic_many([(tokens, sector)], dim)[0]
+
+
+def vectors_of(rows: list[tuple[str | None, str]], dim: int, most: int = 20_000) -> Iterator[np.ndarray]:
+    """synthetic() of (text, sector), hashed together in runs of about so many tokens."""
+    run, held = [], 0
+    for text, sector in rows:
+        tokens = canonical_list(text)
+        if run and held + len(tokens) > most:
+            yield from synthetic_many(run, dim)
+            run, held = [], 0
+        run.append((tokens, sector))
+        held += len(tokens)
+    yield from synthetic_many(run, dim)
 
 
 def synthetic_embedding(text: Column, sector: Column, dim: int = 256) -> Column:
@@ -108,7 +204,10 @@ def synthetic_embedding(text: Column, sector: Column, dim: int = 256) -> Column:
     @F.arrow_udf("array<float>")
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, sectors in batches:
-            yield pa.array([synthetic(canonical_list(x), s or "semantic", dim) for x, s in zip(texts.to_pylist(), sectors.to_pylist(), strict=True)], pa.list_(pa.float32()))
+            rows = [(x, s or "semantic") for x, s in zip(texts.to_pylist(), sectors.to_pylist(), strict=True)]
+            out = list(vectors_of(rows, dim))
+            flat = np.concatenate([np.zeros(0, np.float32), *out])
+            yield pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * dim, pa.array(flat))
 
     return run.asNondeterministic()(text, sector)
 

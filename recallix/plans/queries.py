@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DAY_MS, DECAY_LAMBDA, FUSION, RELATION, RESONANCE, SECTORS
-from ..functions import analysis, compression, dynamics, embedding, passages, text, vectors
+from ..functions import analysis, compression, dynamics, embedding, passages, providers, text, vectors
 from ..operators import analytics, facts, graph, ingest, memory, retrieval, scope, search, sets
 from ..sources import files, html
 from ..streaming import stateful, windows
@@ -699,7 +699,7 @@ def summarize_quick(spark, d):
 @query(None)
 def synthetic_embedding(spark, d):
     m = derive.memories(spark, d)
-    return m.select("id", "sector", embedding.synthetic_embedding(F.col("content"), F.col("sector")).alias("v"))
+    return m.select("id", "sector", embedding.synthetic_embedding(F.col("content"), F.col("sector"), providers.DIMENSION).alias("v"))
 
 
 @query(None)
