@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DAY_MS
 from ..functions.dynamics import confidence_decay
 from .scope import like, of_project, of_user, valid_at, valid_in
+from .versions import Versions
 
 
 #: What names a fact: its owner, subject and predicate.
@@ -30,14 +31,26 @@ def close_intervals(rows: DataFrame) -> DataFrame:
 def insert_facts(state: DataFrame, new: DataFrame) -> DataFrame:
     """New rows close open ones of their owner, subject and predicate that began before; late rows stay open beside
     them. A null owner is an owner of its own."""
-    by = keys(state)
-    first = new.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.array_sort(F.collect_set("valid_from")).alias("_starts"))
-    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
-    later = F.array_min(F.filter("_starts", lambda s: s > F.col("valid_from")))
-    closed = state.join(first, same, "left").withColumn("valid_to", F.when(F.col("valid_to").isNull(), later - 1).otherwise(F.col("valid_to"))).select(state.columns)
+    rows = state.withColumn("_start", F.lit(None).cast("bigint"))
+    starts = new.select(*keys(state), F.col("valid_from").alias("_start")).distinct().withColumn("valid_from", F.col("_start"))
+    later = Window.partitionBy(*keys(state)).orderBy("valid_from").rangeBetween(1, Window.unboundedFollowing)
+    both = rows.unionByName(starts, allowMissingColumns=True).withColumn("_new", F.col("_start").isNotNull()).withColumn("_next", F.min("_start").over(later))
+    closed = both.where("NOT _new").withColumn("valid_to", F.coalesce("valid_to", F.col("_next") - 1)).select(state.columns)
     return closed.unionByName(close_intervals(new.drop("valid_to")).select(state.columns))
 
 
+def checked(new: DataFrame) -> DataFrame:
+    """Facts of a batch, which fails as a whole where one lacks subject, predicate or start, or has a confidence outside
+    0 to 1."""
+    bad = F.col("subject").isNull() | F.col("predicate").isNull() | F.col("valid_from").isNull() | ~F.coalesce(F.col("confidence").between(0, 1), F.lit(False))
+    return new.withColumn("valid_from", F.when(bad, F.raise_error(F.concat(F.lit("bad fact: "), F.coalesce(F.col("id").cast("string"), F.lit("no id"))))).otherwise(F.col("valid_from")))
+
+
+def insert_batch(tables: Versions, new: DataFrame, table: str = "facts") -> int:
+    """Insert a batch of facts in one step: all of them, or none where one is bad or a task fails."""
+    return tables.transact(lambda read: {table: insert_facts(read(table), checked(new))})
+
+
 def by_id(facts: DataFrame, ids: DataFrame, user: str, project: str | None = None) -> DataFrame:
     """Facts of the given ids as far as they are the user's, and in the project's scope."""
     return facts.join(ids.select("id").distinct(), "id", "left_semi").where(of_user(user) & of_project(project))

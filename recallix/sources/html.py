@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
+
 #: Elements whose content is no text, and those that end a line.
 DROPPED = {"script", "style", "nav", "footer", "header", "aside", "noscript", "template"}
 BLOCKS = {"p", "div", "br", "li", "tr", "section", "article", "main", "ul", "ol", "table", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6"}
@@ -21,11 +24,15 @@ class _Reader(HTMLParser):
         self.parts: list[tuple[frozenset, str]] = []
         self.open: list[str] = []
         self.links: list[str] = []
-        self.skip = 0
+        self.titles: list[str] = []
+        self.skip, self.in_title = 0, False
 
     def handle_starttag(self, tag, attrs):
         if tag == "a":
             self.links += [v for k, v in attrs if k == "href" and v]
+        if tag == "title":
+            self.titles.append("")
+            self.in_title = True
         if tag in DROPPED:
             self.skip += 1
         elif tag in MAIN:
@@ -40,6 +47,8 @@ class _Reader(HTMLParser):
             self.put("```\n")
 
     def handle_endtag(self, tag):
+        if tag == "title":
+            self.in_title = False
         if tag in DROPPED:
             self.skip = max(0, self.skip - 1)
         elif tag in MAIN and tag in self.open:
@@ -50,6 +59,8 @@ class _Reader(HTMLParser):
             self.put("\n")
 
     def handle_data(self, data):
+        if self.in_title:
+            self.titles[-1] += data
         self.put(data)
 
     def put(self, x):
@@ -76,34 +87,68 @@ def text_of(html: Column) -> Column:
     return run.asNondeterministic()(html)
 
 
-def links_of(html: Column, url: Column) -> Column:
+def own_links(links: list[str], url: str) -> list[str]:
     """Absolute http addresses of the page's own host, without query and fragment, each once in order."""
-
-    @F.arrow_udf("array<string>")
-    def run(pages: pa.Array, urls: pa.Array) -> pa.Array:
-        out = []
-        for h, u in zip(pages.to_pylist(), urls.to_pylist(), strict=True):
-            found = []
-            for link in read(h)[1]:
-                try:
-                    to = urlsplit(urldefrag(urljoin(u or "", link))[0])
-                except ValueError:
-                    continue
-                if to.scheme in ("http", "https") and to.netloc == urlsplit(u or "").netloc:
-                    found.append(f"{to.scheme}://{to.netloc}{to.path}")
-            out.append(list(dict.fromkeys(found)))
-        return pa.array(out, pa.list_(pa.string()))
+    found = []
+    for link in links:
+        try:
+            to, own = urlsplit(urldefrag(urljoin(url, link))[0]), urlsplit(url).netloc
+        except ValueError:
+            continue
+        if to.scheme in ("http", "https") and to.netloc == own:
+            found.append(f"{to.scheme}://{to.netloc}{to.path}")
+    return list(dict.fromkeys(found))
+
+
+def outline_of(html: Column, url: Column) -> Column:
+    """Title (the address where there is none) and own links of a page."""
+
+    @F.arrow_udf("struct<title:string,links:array<string>>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for pages, urls in batches:
+            out = []
+            for h, u in zip(pages.to_pylist(), urls.to_pylist(), strict=True):
+                r = _Reader()
+                r.feed(h or "")
+                r.close()
+                out.append({"title": "".join(r.titles).strip() or u, "links": own_links(r.links, u or "")})
+            yield pa.array(out, pa.struct([("title", pa.string()), ("links", pa.list_(pa.string()))]))
 
     return run.asNondeterministic()(html, url)
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
-    """(url, depth) of stored pages reached from seeds over links of their hosts, level by level."""
-    plain = F.regexp_replace("url", r"[?#].*$", "")
-    graph = pages.select(plain.alias("from"), F.explode(links_of(F.col("html"), F.col("url"))).alias("to"))
-    level = seen = seeds.select(plain.alias("url"), F.lit(0).alias("depth")).distinct()
-    for i in range(1, depth + 1):
-        step = level.join(graph, level["url"] == graph["from"]).select(F.col("to").alias("url")).distinct()
-        level = step.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(i))
-        seen = seen.unionByName(level)
-    return seen
+def links_of(html: Column, url: Column) -> Column:
+    return outline_of(html, url)["links"]
+
+
+def plain_address(url: Column) -> Column:
+    return F.regexp_replace(url, r"[?#].*$", "")
+
+
+def crawl(pages: DataFrame, seeds: DataFrame, depth: int = 3, most: int = 50) -> DataFrame:
+    """(crawl, url, title, depth, place): what crawls of stored pages (page_id, url, html) reach from their seeds (crawl,
+    url) over links of the page's own host, breadth first.
+
+    A crawl takes pages in the order of a queue: a level after the other, by the place of the page that first named them
+    and their order there; it ends after `most` pages, or `depth` links from its seeds. An address is followed once in a
+    crawl, without its query and fragment, whether or not there is a page; of pages with one address that of the smallest
+    id counts. Each level is a round of joins over all crawls, cut off by a checkpoint.
+    """
+    shared_dir(pages.sparkSession)
+    outline = pages.where("url IS NOT NULL").select("page_id", plain_address(F.col("url")).alias("url"), outline_of(F.col("html"), F.col("url")).alias("o"))
+    stored = outline.groupBy("url").agg(F.min_by("o", "page_id").alias("o")).select("url", "o.title", "o.links").checkpoint()
+    frontier = seeds.select("crawl", plain_address(F.col("url")).alias("url")).distinct().select("crawl", "url", F.struct(F.lit(0).alias("place"), F.col("url").alias("link")).alias("rank"))
+    taken = visited = None
+    for level in range(depth + 1):
+        frontier = frontier.checkpoint()
+        if frontier.isEmpty():
+            break
+        before = frontier.select("crawl", F.lit(0).alias("before")).distinct() if taken is None else taken.groupBy("crawl").agg(F.max("place").alias("before"))
+        order = Window.partitionBy("crawl").orderBy("rank")  # the links of at most `most` pages
+        found = frontier.join(stored, "url").join(before, "crawl").withColumn("place", F.col("before") + F.row_number().over(order)).where(F.col("place") <= most)
+        found = found.select("crawl", "url", "title", F.lit(level).alias("depth"), "place", "links").checkpoint()
+        taken = found.drop("links") if taken is None else taken.unionByName(found.drop("links")).checkpoint()
+        visited = frontier.select("crawl", "url") if visited is None else visited.unionByName(frontier.select("crawl", "url")).checkpoint()
+        named = found.select("crawl", "place", F.posexplode("links").alias("link", "url")).groupBy("crawl", "url").agg(F.min(F.struct("place", "link")).alias("rank"))
+        frontier = named.join(visited, ["crawl", "url"], "left_anti")
+    return taken if taken is not None else pages.sparkSession.createDataFrame([], "crawl string, url string, title string, depth int, place int")
