@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from ..storage import fresh_dir, shared_dir
 from .search import top_k
 
-#: Most rows that centres are trained on, most bytes of those, most cells, and most queries that recall is measured by.
-SAMPLE, SAMPLE_BYTES, MOST_CELLS, MEASURED = 65_536, 128 << 20, 4096, 256
+#: Rows for each centre that it is trained on, most bytes of all those, most cells, and most queries that recall is
+#: measured by.
+PER_CELL, SAMPLE_BYTES, MOST_CELLS, MEASURED = 64, 128 << 20, 4096, 256
 
 
 @dataclass(frozen=True)
@@ -74,7 +75,7 @@ def build(rows: DataFrame, key: str = "id", vector: str = "v", cells: int | None
     """Deal rows to cells (the square root of their number, 4096 at most, unless given) and write them, with all their
     columns, to the shared folder by cell.
 
-    Centres are trained on at most about 65,536 rows or 128 MB. Rows whose vectors are null, zero, not finite or of
+    Centres are trained on at most about 64 rows each, and 128 MB, chosen by hash. Rows whose vectors are null, zero, not finite or of
     another dimension than most of the sample's lie in no cell.
     """
     spark = rows.sparkSession
@@ -84,9 +85,10 @@ def build(rows: DataFrame, key: str = "id", vector: str = "v", cells: int | None
         return Cells(fresh_dir(spark, "cells"), key, np.zeros((0, 1)), np.zeros(0), np.zeros(0, np.int64))
     dim, n = wide["d"], wide["count"]
     rows = rows.where(F.size(vector) == dim)
-    most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
+    cells = cells or min(MOST_CELLS, max(1, round(n**0.5)))
+    most = max(1, min(PER_CELL * cells, SAMPLE_BYTES // (8 * dim)))
     told = sampled(rows.select(key, vector), key, most).select(F.transform(vector, lambda x: x.cast("double")).alias("v")).toArrow()["v"].combine_chunks()
-    centres = trained(_units(told, dim), cells or min(MOST_CELLS, max(1, round(n**0.5))))
+    centres = trained(_units(told, dim), cells)
 
     @F.arrow_udf("struct<cell:int,angle:double>")
     def place(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -128,12 +130,13 @@ def _ordered(index: Cells, by_bound: bool, low: int, high: int):
 
 
 def _searched(index: Cells, queries: DataFrame, k: int, vector: str, where: Column | None) -> DataFrame:
-    """(query_id, key, similarity): the k best rows of each of the queries' cells (query_id, v, cell)."""
+    """(query_id, key, similarity): the k best rows of each of the queries' cells (query_id, v, cell), as far as they
+    reach the query's last, if it has one."""
     spark = queries.sparkSession
     cells = [r["cell"] for r in queries.select("cell").distinct().collect()]  # MOST_CELLS at most
     rows = read(spark, index, cells)
     rows = rows if where is None else rows.where(where)
-    found = top_k(rows.select(index.key, F.transform(vector, lambda x: x.cast("double")).alias("v"), "cell"), queries, k, key=index.key, by="cell")
+    found = top_k(rows.select(index.key, F.transform(vector, lambda x: x.cast("double")).alias("v"), "cell"), queries, k, key=index.key, by="cell", floor="last" if "last" in queries.columns else None)
     return found.select("query_id", index.key, "similarity")
 
 
@@ -180,25 +183,25 @@ def widened(index: Cells, queries: DataFrame, k: int, where: Column, vector: str
     """(query_id, key, similarity, rank): the k rows of greatest cosine that pass the filter; never fewer where there are
     k. Ties go by key.
 
-    The first round reads as many cells as hold about 2k rows; each further one doubles their number for the queries that
-    are left. A query is done when it has k rows and (exact) no unread cell can hold one as near as its last, by its
-    centre's angle and radius. The filter is applied as the cells' files are read.
+    The first round reads as many cells as hold about 2k rows; each further one reads up to four times as many for the
+    queries that are left, and takes up only rows that reach a query's last one. A query is done when it has k rows and
+    (exact) no unread cell can hold one as near as its last, by its centre's angle and radius. The filter is applied as
+    the cells' files are read.
     """
     spark = queries.sparkSession
     shared_dir(spark)
-    left = queries.where(usable("v", index.centres.shape[1])).select("query_id", "v").checkpoint()
+    left = queries.where(usable("v", index.centres.shape[1])).select("query_id", "v", F.lit(None).cast("double").alias("last"))
     cells, n = int((index.rows > 0).sum()), max(1, int(index.rows.sum()))
     low, high, found = 0, max(1, -(-2 * k * cells // n)), None
     while low < cells:
         order = _ordered(index, True, low, high)
-        told = left.withColumn("_o", order(F.col("v"))).select("query_id", "v", "_o.cells", "_o.rest").checkpoint()
-        new = _searched(index, told.select("query_id", "v", F.explode("cells").alias("cell")), k, vector, where)
-        best = _ranked(new if found is None else found.drop("rank").unionByName(new), index.key, k)
-        found = best.checkpoint()
+        told = left.withColumn("_o", order(F.col("v"))).select("query_id", "v", "last", "_o.cells", "_o.rest").checkpoint()
+        if told.isEmpty():
+            break
+        new = _searched(index, told.select("query_id", "v", (F.col("last") - 1e-8).alias("last"), F.explode("cells").alias("cell")), k, vector, where)
+        found = _ranked(new if found is None else found.drop("rank").unionByName(new), index.key, k).checkpoint()
         last = found.where(F.col("rank") == k).select("query_id", F.col("similarity").alias("last"))
         done = F.col("last") > F.col("rest") + 1e-8 if exact else F.col("last").isNotNull()
-        left = told.join(last, "query_id", "left").where(~F.coalesce(done, F.lit(False))).select("query_id", "v").checkpoint()
-        if left.isEmpty():
-            break
-        low, high = high, 2 * high
+        left = told.drop("last").join(last, "query_id", "left").where(~F.coalesce(done, F.lit(False))).select("query_id", "v", "last")
+        low, high = high, 4 * high
     return found if found is not None else spark.createDataFrame([], f"query_id bigint, {index.key} bigint, similarity double, rank int")

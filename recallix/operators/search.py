@@ -13,26 +13,26 @@ from pyspark.sql import functions as F
 BLOCK = 1024
 
 
-def blocks(rows: DataFrame, key: str, vector: str, by: str, size: int | None = None) -> DataFrame:
+def blocks(rows: DataFrame, key: str, vector: str, by: str, size: int | None = None, floor: str | None = None) -> DataFrame:
     """(by, block, of, rows): rows packed into blocks, by a salt that follows each group's own number of them."""
     number = rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / (size or BLOCK)).cast("int").alias("of"))
     dealt = rows.join(number, by).withColumn("block", F.pmod(F.xxhash64(key), F.col("of")).cast("int"))
-    return dealt.groupBy(by, "block", "of").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v"))).alias("rows"))
+    return dealt.groupBy(by, "block", "of").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v"), *([F.col(floor).alias("f")] if floor else []))).alias("rows"))
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "v", by: str = "sector", query_key: str = "query_id", include_self: bool = True, least: float | None = None) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "v", by: str = "sector", query_key: str = "query_id", include_self: bool = True, least: float | None = None, floor: str | None = None) -> DataFrame:
     """(query, by, key, similarity, rank): the k rows of the query's group with the greatest cosine, ties by key.
 
     Both sides are cut into blocks of bounded size; a pair of blocks is one matrix product, after which at most k rows
     of a query go on. Vectors of other dimensions or without length have similarity 0. With least, only rows of that
-    similarity or more count.
+    similarity or more count; with floor, a column of the queries, only those of their query's (null: all).
     """
-    met = similarities(rows, queries, key, vector, by, query_key, k, include_self, least)
+    met = similarities(rows, queries, key, vector, by, query_key, k, include_self, least, floor)
     rank = F.row_number().over(Window.partitionBy(query_key, by).orderBy(F.desc("similarity"), key))
     return met.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def similarities(rows: DataFrame, queries: DataFrame, key: str = "id", vector: str = "v", by: str = "sector", query_key: str = "query_id", k: int = 2**31 - 1, include_self: bool = True, least: float | None = None) -> DataFrame:
+def similarities(rows: DataFrame, queries: DataFrame, key: str = "id", vector: str = "v", by: str = "sector", query_key: str = "query_id", k: int = 2**31 - 1, include_self: bool = True, least: float | None = None, floor: str | None = None) -> DataFrame:
     """(query, by, key, similarity): cosines of the queries with the rows of their group, at most k for a query from each
     block of rows. Blocks of queries go to every block of rows of their group, and meet there: a group of any size is
     spread over as many tasks as it has blocks of rows."""
@@ -41,14 +41,14 @@ def similarities(rows: DataFrame, queries: DataFrame, key: str = "id", vector: s
     @F.arrow_udf(kind)
     def meet(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
-            out = [_best(_matrix(qs), _matrix(rs), k, include_self, least) for qs, rs in zip(left, right, strict=True)]
+            out = [_best(_matrix(qs), _matrix(rs), k, include_self, least, _floors(qs) if floor else None) for qs, rs in zip(left, right, strict=True)]
             ends = np.cumsum([0, *(len(x[0]) for x in out)])
             fields = [pa.array(np.concatenate([np.zeros(0, t), *(x[i] for x in out)])) for i, t in enumerate((np.int64, np.int64, float))]
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["q", "k", "s"]))
 
     r = blocks(rows, key, vector, by).select(by, "block", "of", F.col("rows").alias("rs"))
     parts = r.groupBy(by).agg(F.max("of").alias("parts"))
-    q = blocks(queries, query_key, vector, by).select(by, F.col("rows").alias("qs")).join(parts, by)
+    q = blocks(queries, query_key, vector, by, floor=floor).select(by, F.col("rows").alias("qs")).join(parts, by)
     q = q.select(by, "qs", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"))
     met = q.join(r.drop("of"), [by, "block"]).select(by, F.explode(meet(F.col("qs"), F.col("rs"))).alias("m"))
     return met.select(F.col("m.q").alias(query_key), by, F.col("m.k").alias(key), F.col("m.s").alias("similarity"))
@@ -70,7 +70,11 @@ def _matrix(block: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, m / np.where(n > 0, n, 1)[:, None], size
 
 
-def _best(queries: tuple, rows: tuple, k: int, include_self: bool, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _floors(block: pa.ListScalar) -> np.ndarray:
+    return block.values.field("f").cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+
+
+def _best(queries: tuple, rows: tuple, k: int, include_self: bool, least: float | None, floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     (qk, a, na), (rk, b, nb) = queries, rows
     wide = min(a.shape[1], b.shape[1])
     s = np.where(na[:, None] == nb[None, :], a[:, :wide] @ b[:, :wide].T, 0.0)
@@ -78,6 +82,8 @@ def _best(queries: tuple, rows: tuple, k: int, include_self: bool, least: float
     use = np.full(s.shape, True) if include_self else qk[:, None] != rk[None, :]
     if least is not None:
         use &= s >= least
+    if floors is not None:
+        use &= s >= floors[:, None]
     if k < s.shape[1]:  # what may be among the k best: all from the k-th value on
         masked = np.where(use, s, -np.inf)
         use &= s >= np.partition(masked, -k, axis=1)[:, -k][:, None]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import facts
 from ..operators.versions import Versions
-from ..sources import html, webhooks
+from ..sources import html, office, webhooks
 from ..storage import fresh_dir
 from ..streaming import windows
 from . import derive
@@ -86,3 +86,10 @@ def crawl_frontier(spark, d):
     pages = p.select("page_id", "html", "site", F.concat("site", F.coalesce(link, F.lit("/"))).alias("url"))
     seeds = pages.select(F.col("site").alias("crawl"), F.concat("site", F.lit("/")).alias("url")).distinct()
     return html.crawl(pages, seeds, 3, 20)
+
+
+@query("SELECT doc_id, md5(replace(replace(coalesce(text, ''), chr(13), ''), chr(10), chr(10) || chr(10))) AS text, NULL AS error FROM documents")
+def extract_docx(spark, d):
+    """Every document written as a DOCX file and read again."""
+    files = derive.table(spark, d, "documents").select("doc_id", office.as_docx(F.coalesce("text", F.lit(""))).alias("content"), F.lit("docx").alias("type"))
+    return office.extracted(files).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text"), "error")
