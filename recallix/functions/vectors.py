@@ -48,7 +48,7 @@ def bucket_means(a: Column, n: int) -> Column:
     return F.when(size <= n, a).otherwise(normalized(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), mean)))
 
 
-def pooled(a: Column, share: float, least: int = 64) -> Column:
+def pooled(a: Column, share: float | Column, least: int = 64) -> Column:
     """Means over buckets of equal size (the last may be shorter) for floor(size * share) components, least at least."""
     size = F.size(a)
     width = F.ceil(size / F.least(size, F.greatest(F.lit(least), F.floor(size * share)))).cast("int")

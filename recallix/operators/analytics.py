@@ -130,6 +130,23 @@ def reflections(rows: DataFrame, groups: DataFrame, now: int, least: int = 2) ->
     return j.select("seed", "sector", "n", F.least(F.lit(1.0), 0.6 * F.col("n") / 10 + 0.3 * F.col("recent") + F.when(F.col("sector") == "emotional", 0.1).otherwise(0.0)).alias("salience"))
 
 
+def reflected(memories: DataFrame, groups: DataFrame, now: int, least: int = 2, grow: float = 1.1) -> DataFrame:
+    """Memories after a reflection job: members of groups (id, seed) of two or more are marked as consolidated, a tenth
+    more salient, up to 1, and just updated."""
+    size = groups.groupBy("seed").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    hit = memories.join(groups.join(size, "seed", "left_semi").select("id", F.lit(True).alias("_hit")), "id", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    out = hit.withColumn("consolidated", F.col("_hit")).withColumn("salience", F.when(F.col("_hit"), F.least(F.lit(1.0), F.col("salience") * grow)).otherwise(F.col("salience")))
+    return out.withColumn("updated_at", F.when(F.col("_hit"), F.lit(now)).otherwise(F.col("created_at"))).drop("_hit")
+
+
+def newest(memories: DataFrame, most: int = 100, least: int = 20) -> DataFrame:
+    """What a reflection job of each owner looks at: the newest memories, none where there are fewer than `least`."""
+    own = Window.partitionBy("user_id")
+    place = F.row_number().over(own.orderBy(F.desc("created_at"), "id"))
+    rows = memories.withColumn("_p", place).where(F.col("_p") <= most)
+    return rows.withColumn("_n", F.count(F.lit(1)).over(own)).where(F.col("_n") >= least).drop("_p", "_n")
+
+
 def error_rates(events: DataFrame, width: str) -> DataFrame:
     """(hour, n, failed, error_rate in percent, one digit) of each window that has events; failed says which went wrong."""
     w = events.groupBy(F.window("ts", width).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("failed"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import DAY_MS
 from ..functions import analysis, dynamics, providers, reading, vectors
+from ..functions.embedding import fingerprint
 from ..functions.text import jaccard, let
 from .graph import spread
 from .retrieval import cosines
@@ -60,6 +61,15 @@ def decayed(memories: DataFrame, now: int) -> DataFrame:
     return m.withColumn("salience", dynamics.clamped(active * F.col("kept")))
 
 
+def compressed(memories: DataFrame, least: int = 64, cold: float = 0.3, prints: int = 32) -> DataFrame:
+    """Decayed memories (id, content, kept, v) with their vectors as decay leaves them: means over buckets where less
+    than 0.7 is kept, at least `least` components, and a fingerprint of id and content where less than `cold` is."""
+    key = F.concat_ws("|", F.col("id").cast("string"), "content")
+    shorter = vectors.pooled(F.col("v"), F.least(F.lit(1.0), F.col("kept")), least)
+    printed = F.transform(fingerprint(F.when(F.col("kept") < cold, key), prints), lambda x: x.cast("double"))
+    return memories.withColumn("v", F.when(F.col("kept") < cold, printed).when(F.col("kept") < 0.7, shorter).otherwise(F.col("v")))
+
+
 def on_hit(memories: DataFrame, ids: DataFrame, now: int, dim: int) -> DataFrame:
     """Memories that a query has met: salience grows by 0.5, and a vector of 64 components or fewer is made anew."""
     j = memories.join(ids.select("id").distinct().withColumn("_hit", F.lit(True)), "id", "left")

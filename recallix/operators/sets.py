@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..storage import shared_dir
 
+#: Sets that meet at one token in one task; a token of more sets is split.
+MEET = 2048
+
 
 def _classes(rows: DataFrame, key: str, by: str, tokens: str) -> tuple[DataFrame, DataFrame]:
     """Rows with sets that are not empty, and one class for each different set of a group."""
@@ -18,16 +21,26 @@ def _classes(rows: DataFrame, key: str, by: str, tokens: str) -> tuple[DataFrame
 def similar_sets(rows: DataFrame, least: float, key: str = "id", by: str = "sector", tokens: str = "tokens", with_copies: bool = True) -> DataFrame:
     """(a, b, similarity) with a < b of one group, Jaccard of the least or more; empty sets match nothing.
 
-    Sets of that similarity share one of their n - ceil(least * n) + 1 rarest tokens, so only these are joined; sizes
-    rule out pairs before sets are compared. Equal sets are one class, whose members are paired through its first.
+    Sets of that similarity share one of their n - ceil(least * n) + 1 rarest tokens, so only these are joined; sizes,
+    and the places of a shared token in both sets, rule out pairs before sets are compared. A token that many sets share
+    is split over tasks. Equal sets are one class, whose members are paired through its first.
     """
+    shared_dir(rows.sparkSession)
     sets, classes = _classes(rows, key, by, tokens)
+    sets = sets.checkpoint()  # tokens are not taken apart again
+    classes = sets.groupBy("by", "hash").agg(F.min("id").alias("rep"), F.first("set").alias("set"))
     terms = classes.select("by", "rep", F.size("set").alias("n"), F.explode("set").alias("t"))
     df = terms.groupBy("by", "t").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy("by", "rep").orderBy("df", "t")
     rare = terms.join(df, ["by", "t"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).where("df > 1")
-    left, right = rare.select("by", "t", F.col("rep").alias("a"), F.col("n").alias("na")), rare.select("by", "t", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    found = left.join(right, ["by", "t"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("a", "b").distinct()
+    rare = rare.checkpoint()
+    held = rare.groupBy("by", "t").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("by", "t", F.ceil(F.col("_m") / MEET).cast("int").alias("_of"))
+    rare = rare.join(held, ["by", "t"])
+    left = rare.select("by", "t", F.pmod(F.xxhash64("rep"), F.col("_of")).cast("int").alias("_s"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"))
+    right = rare.select("by", "t", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)).alias("_s"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"))
+    most = F.least("ra", "rb") + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))  # tokens that both can share
+    fits = (F.least("na", "nb") >= least * F.greatest("na", "nb")) & (most * (1 + least) >= least * (F.col("na") + F.col("nb")) - 1e-9)
+    found = left.join(right, ["by", "t", "_s"]).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
     sa, sb = classes.select(F.col("rep").alias("a"), F.col("set").alias("sa")), classes.select(F.col("rep").alias("b"), F.col("set").alias("sb"))
     both = found.join(sa, "a").join(sb, "b")
     s = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))

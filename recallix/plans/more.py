@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import DAY_MS, RESONANCE, SECTORS
@@ -218,14 +219,18 @@ def temporal_relevance(spark, d):
 # vectors
 
 
-@query(f"SELECT vec_id, m.sector, round({COSINE} * [{', '.join(map(str, RESONANCE))}][list_position({SECTORS}, m.sector)][2], 6) AS resonance FROM vectors r JOIN memories m ON m.id = r.id, (SELECT v FROM vectors WHERE vec_id = 0) q", ctes=f"{MEMORIES_SQL}, {VECTORS_SQL}")
+@query(f"SELECT query_id, vec_id, rank, round(s, 6) AS resonance FROM (SELECT query_id, vec_id, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, r.vec_id, {COSINE} * [{', '.join(map(str, RESONANCE))}][list_position({SECTORS}, m.sector)][list_position({SECTORS}, q.sector)] AS s FROM vectors r JOIN memories m ON m.id = r.id, vectors q WHERE q.vec_id % 20 = 0)) WHERE rank <= 10", ctes=f"{MEMORIES_SQL}, {VECTORS_SQL}")
 def vec_resonance(spark, d):
-    """Similarity to one semantic query, by how its sector and the memory's go together."""
+    """The ten best of each query by similarity times how its sector and the memory's go together. The factor is one for
+    all memories of a sector, so that the ten nearest of each sector are enough."""
     v = derive.vectors(spark, d)
-    q = v.where("vec_id = 0").select(F.lit(1).alias("j"), F.col("v").alias("qv"))
-    m = derive.memories(spark, d).select("id", F.col("sector").alias("own"))
-    j = v.withColumn("j", F.lit(1)).join(F.broadcast(q), "j").join(m, "id")  # one row is sent
-    return j.select("vec_id", F.col("own").alias("sector"), _r(retrieval.cosines(F.col("v"), F.col("qv")) * vectors.resonance(F.col("own"), F.lit("semantic"))).alias("resonance"))
+    rows = v.select("vec_id", "id", "v").join(derive.memories(spark, d).select("id", F.col("sector").alias("own")), "id")
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "v", F.col("sector").alias("asked"))
+    every = asked.select("query_id", "v", F.explode(F.array(*map(F.lit, SECTORS))).alias("own"))
+    near = search.top_k(rows, every, 10, key="vec_id", by="own").join(asked.select("query_id", "asked"), "query_id")
+    scored = near.select("query_id", "vec_id", (F.col("similarity") * vectors.resonance(F.col("own"), F.col("asked"))).alias("s"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("s", 9)), "vec_id"))
+    return scored.withColumn("rank", rank.cast("bigint")).where("rank <= 10").select("query_id", "vec_id", "rank", _r(F.col("s")).alias("resonance"))
 
 
 @query("SELECT id, i, round(avg(x), 6) AS x FROM (SELECT id, unnest(v) AS x, unnest(range(len(v))) AS i FROM vectors) GROUP BY 1, 2", ctes=VECTORS_SQL)
@@ -241,10 +246,13 @@ def vec_decay_pool(spark, d):
     return v.select("vec_id", F.col("i").cast("bigint").alias("i"), _r(F.col("x")).alias("x"))
 
 
-@query("SELECT vec_id, i, round(x / n, 6) AS x FROM (SELECT vec_id, i, x, sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS n FROM (SELECT vec_id, unnest(f) AS x, unnest(range(len(f))) AS i FROM (SELECT vec_id, list_concat(list_transform(v, lambda x: x * 0.6), list_transform(v[1:16], lambda x: x * 0.4)) AS f FROM vectors)))", ctes=VECTORS_SQL)
+@query("SELECT vec_id, i, round(x / n, 6) AS x FROM (SELECT vec_id, i, x, sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS n FROM (SELECT vec_id, unnest(f) AS x, unnest(range(len(f))) AS i FROM (SELECT a.vec_id, list_concat(list_transform(a.v, lambda x: x * 0.6), list_transform(b.v[1:16], lambda x: x * 0.4)) AS f FROM vectors a JOIN vectors b ON b.vec_id = a.vec_id + 1)))", ctes=VECTORS_SQL)
 def vec_fused(spark, d):
-    v = derive.vectors(spark, d).select("vec_id", F.posexplode(vectors.fused(F.col("v"), F.slice("v", 1, 16))).alias("i", "x"))
-    return v.select("vec_id", F.col("i").cast("bigint").alias("i"), _r(F.col("x")).alias("x"))
+    """Each vector beside the first part of the next one."""
+    v = derive.vectors(spark, d).select("vec_id", "v")
+    semantic = v.select((F.col("vec_id") - 1).alias("vec_id"), F.slice("v", 1, 16).alias("s"))
+    f = v.join(semantic, "vec_id").select("vec_id", F.posexplode(vectors.fused(F.col("v"), F.col("s"))).alias("i", "x"))
+    return f.select("vec_id", F.col("i").cast("bigint").alias("i"), _r(F.col("x")).alias("x"))
 
 
 @query("SELECT vec_id, CAST(len(v) * 4 AS BIGINT) AS bytes, round(list_sum(v), 4) AS total FROM vectors", ctes=VECTORS_SQL)
@@ -299,12 +307,20 @@ def decay_sample(spark, d):
 LEFT = f"(SELECT *, CASE tier WHEN 'hot' THEN 0.005 WHEN 'warm' THEN 0.02 ELSE 0.05 END AS lam FROM (SELECT *, least(1, salience * (1 + ln(1 + coactivations))) AS a, CASE WHEN {SEEN} < 6 AND (coactivations > 5 OR salience > 0.7) THEN 'hot' WHEN {SEEN} < 6 OR salience > 0.4 THEN 'warm' ELSE 'cold' END AS tier FROM memories))"
 
 
-@query(f"SELECT id, round(f, 6) AS kept, CAST(CASE WHEN f >= 0.7 THEN 1536 WHEN w >= 1536 THEN 1536 ELSE ceil(1536 / ceil(1536 / w)) END AS INTEGER) AS dim, f < 0.3 AS fingerprinted FROM (SELECT id, f, greatest(64, least(1536, floor(1536 * least(1, f)))) AS w FROM (SELECT id, exp(-lam * {SEEN} / (a + 0.1)) AS f FROM {LEFT}))", ctes=MEMORIES_SQL)
+KEPT_SQL = f"kept AS (SELECT id, exp(-lam * {SEEN} / (a + 0.1)) AS f FROM {LEFT})"
+
+
+@query("""SELECT vec_id, round(f, 6) AS kept, CAST(CASE WHEN f < 0.3 THEN 32 WHEN f < 0.7 THEN ceil(64 / w) ELSE 64 END AS INTEGER) AS dim,
+  CASE WHEN f >= 0.3 THEN round(CASE WHEN f < 0.7 THEN p[1] / sqrt(list_sum(list_transform(p, lambda x: x * x))) ELSE v[1] END, 6) END AS first,
+  CASE WHEN f >= 0.3 THEN round(CASE WHEN f < 0.7 THEN p[len(p)] / sqrt(list_sum(list_transform(p, lambda x: x * x))) ELSE v[64] END, 6) END AS last
+FROM (SELECT *, [list_avg(v[i * w + 1 : (i + 1) * w]) for i in range(CAST(ceil(64 / w) AS INTEGER))] AS p FROM (SELECT vec_id, v, f, CAST(ceil(64 / least(64, greatest(16, floor(64 * least(1, f))))) AS INTEGER) AS w FROM vectors JOIN kept USING (id)))""", ctes=f"{MEMORIES_SQL}, {VECTORS_SQL}, {KEPT_SQL}")
 def decay_compression(spark, d):
-    """What decay does to vectors of 1536 components: pooled below 0.7, a fingerprint in their place below 0.3."""
-    m = insight.decayed(derive.memories(spark, d), NOW_MS)
-    size = F.when(F.col("kept") < 0.7, dynamics.compressed_size(F.lit(1536), F.col("kept"))).otherwise(F.lit(1536))
-    return m.select("id", _r(F.col("kept")).alias("kept"), size.alias("dim"), (F.col("kept") < 0.3).alias("fingerprinted"))
+    """What decay does to the memories' vectors: means over buckets below 0.7, a fingerprint in their place below 0.3."""
+    m = insight.decayed(derive.memories(spark, d), NOW_MS).select("id", "content", "kept")
+    rows = derive.vectors(spark, d).select("vec_id", "id", "v").join(m, "id")
+    out = insight.compressed(rows, least=16)
+    end = lambda i: F.when(F.col("kept") >= 0.3, _r(F.element_at("v", i)))
+    return out.select("vec_id", _r(F.col("kept")).alias("kept"), F.size("v").alias("dim"), end(1).alias("first"), end(-1).alias("last"))
 
 
 @query(None)
@@ -438,17 +454,25 @@ def text_key_terms(spark, d):
 ASKED = "how do users schedule a meeting in dark mode after the project review"
 
 
-@query(f"SELECT id, round(list_sum(list_transform(q, lambda x: CASE WHEN len(list_filter(w, lambda y: y = x)) = 0 THEN 0.0 ELSE ln(1 + 1 / (len(list_filter(w, lambda y: y = x)) + 1.0)) * len(list_filter(w, lambda y: y = x)) * 2.5 / (len(list_filter(w, lambda y: y = x)) + 1.5 * (0.25 + 0.75 * len(w) / 100.0)) END)), 6) AS score FROM (SELECT id, {_words('text')} AS w, {_words(repr(ASKED))} AS q FROM cues)", ctes=CUES_SQL)
+def _asked(spark, d, rows, of=None):
+    """Each row with the words of one benchmark text, by turns, of all of them or so many."""
+    b = derive.table(spark, d, "benchmark")
+    q = b.select(F.col("item_id").alias("asked"), analysis.words(F.col("text")).alias("q"))
+    return rows.withColumn("asked", F.col("id") % (of or b.count())).join(q, "asked")
+
+
+@query(f"SELECT id, round(list_sum(list_transform(q, lambda x: CASE WHEN len(list_filter(w, lambda y: y = x)) = 0 THEN 0.0 ELSE ln(1 + 1 / (len(list_filter(w, lambda y: y = x)) + 1.0)) * len(list_filter(w, lambda y: y = x)) * 2.5 / (len(list_filter(w, lambda y: y = x)) + 1.5 * (0.25 + 0.75 * len(w) / 100.0)) END)), 6) AS score FROM (SELECT id, {_words('c.text')} AS w, {_words('b.text')} AS q FROM cues c JOIN (SELECT text, item_id, count(*) OVER () AS n FROM benchmark) b ON b.item_id = c.id % b.n)", ctes=CUES_SQL)
 def bm25_dashboard(spark, d):
-    w = derive.cue_texts(spark, d).select("id", analysis.words(F.col("text")).alias("w"))
-    return w.select("id", _r(analysis.bm25(analysis.words(F.lit(ASKED)), F.col("w"))).alias("score"))
+    """Every text under one of the benchmark's texts as a query."""
+    w = _asked(spark, d, derive.cue_texts(spark, d).select("id", analysis.words(F.col("text")).alias("w")))
+    return w.select("id", _r(analysis.bm25(F.col("q"), F.col("w"))).alias("score"))
 
 
-@query(f"SELECT id, place, round(j * pow(0.95, place - 1) * salience, 6) AS attention FROM (SELECT id, salience, row_number() OVER (ORDER BY salience DESC, id) AS place, CASE WHEN len(list_distinct(list_concat(w, q))) = 0 THEN 0 ELSE len(list_intersect(w, q)) / len(list_distinct(list_concat(w, q))) END AS j FROM (SELECT *, {_words(repr(ASKED))} AS q FROM items))", ctes=BENCH)
+@query(f"SELECT id, asked, place, round(j * pow(0.95, place - 1) * salience, 6) AS attention FROM (SELECT id, asked, salience, row_number() OVER (PARTITION BY asked ORDER BY salience DESC, id) AS place, CASE WHEN len(list_distinct(list_concat(w, q))) = 0 THEN 0 ELSE len(list_intersect(w, q)) / len(list_distinct(list_concat(w, q))) END AS j FROM (SELECT i.*, b.item_id AS asked, {_words('b.text')} AS q FROM items i JOIN benchmark b ON b.item_id = i.id % 10))", ctes=BENCH)
 def context_attention(spark, d):
-    """How far each item of one window counts, by its place and what it shares with the query."""
-    rows = _items(spark, d).withColumn("window", F.lit("one")).withColumnRenamed("salience", "priority")
-    return insight.attention(rows, analysis.words(F.lit(ASKED)), "window").select("id", "place", _r(F.col("attention")).alias("attention"))
+    """How far each item counts in the window of its query, by its place and what it shares with the query."""
+    rows = _asked(spark, d, _items(spark, d).withColumnRenamed("salience", "priority"), 10)
+    return insight.attention(rows, F.col("q"), "asked").select("id", "asked", "place", _r(F.col("attention")).alias("attention"))
 
 
 @query(f"SELECT id, round(0.25 * greatest(0, 1 - ({NOW_MS} - last_seen_at) / CAST(86400000 AS DOUBLE) / 30) + 0.35 * salience + 0.3 * 0.5 + 0.1 * CASE WHEN len(w) = 0 THEN 0 ELSE len(list_distinct(w)) / len(w) END, 6) AS score FROM items", ctes=BENCH)
@@ -550,9 +574,9 @@ def error_rates(spark, d):
 def memory_add(spark, d):
     """New memories from conversation turns: duplicates strengthen, others are classified, cut to their essence and
     embedded in each of their sectors."""
-    t = derive.table(spark, d, "conversations").where("role = 'user'")
+    t = derive.table(spark, d, "conversations")
     rows = t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("content"), F.concat(F.lit("u"), F.col("conv_id") % 10).alias("user_id"), F.lit(None).cast("string").alias("project_id"))
-    out = adding.add(rows, NOW_MS, dim=64)
+    out = adding.add(rows, NOW_MS)
     m = out.memories.select("id", "sector", "segment", "arrivals", F.length("content").alias("length"), _r(F.col("salience")).alias("salience"))
     return m.join(out.waypoints.select(F.col("src").alias("id"), "dst"), "id", "left").join(out.vectors.groupBy("id").agg(F.count(F.lit(1)).alias("vectors")), "id", "left")
 
@@ -560,9 +584,9 @@ def memory_add(spark, d):
 @query(None)
 def memory_update(spark, d):
     """Changed contents are classified and embedded anew; others only get their tags."""
-    m = derive.memories(spark, d).where("id < 100").withColumn("version", F.lit(1))
+    m = derive.memories(spark, d).withColumn("version", F.lit(1))
     changes = m.select("id", F.when(F.col("id") % 4 == 0, F.lit("How to deploy: first install the tool, then run it.")).alias("content"), F.when(F.col("id") % 2 == 0, F.array(F.lit("new"))).alias("tags"))
-    out = adding.update(m, derive.vectors(spark, d).where("id < 100").select("id", "sector", "v"), changes, NOW_MS, dim=64)
+    out = adding.update(m, derive.vectors(spark, d).select("id", "sector", "v"), changes, NOW_MS, dim=64)
     n = out.vectors.groupBy("id").agg(F.count(F.lit(1)).alias("vectors"), F.max(F.size("v")).alias("dim"))
     return out.memories.select("id", "sector", "version", F.array_join("tags", ",").alias("tags")).join(n, "id", "left")
 

@@ -663,6 +663,14 @@ def reflection_clusters(spark, d):
     return analytics.reflections(m, g, NOW_MS).withColumn("salience", _r(F.col("salience")))
 
 
+@query(None)
+def reflection_job(spark, d):
+    """Each owner's newest hundred memories after a reflection: groups of similar ones are marked and more salient."""
+    m = analytics.newest(derive.memories(spark, d).where("sector <> 'reflective'"))
+    g = sets.greedy_groups(m.select("id", F.concat_ws("|", "user_id", "sector").alias("sector"), text.canonical_tokens(F.col("content")).alias("tokens")), 0.8)
+    return analytics.reflected(m, g, NOW_MS).select("id", "consolidated", "updated_at", _r(F.col("salience")).alias("salience"))
+
+
 @query(None)
 def merge_duplicates(spark, d):
     m = derive.memories(spark, d).select("id", F.lit("all").alias("sector"), text.tokens(F.col("content")).alias("tokens"))
