@@ -1,8 +1,9 @@
-"""Full-text search over an inverted index in posting blocks, each with the greatest score that it can give.
+"""Full-text search over an inverted index in posting blocks, each with a bound of the score that it can give.
 
-Texts are dealt to pages of bounded size; a term's block holds its postings of one page. A query first adds up, from the
-blocks' heads alone, what each page can give at most, and scores its most promising pages; the k-th best score so found
-is a floor, and only pages that can reach it are scored at all. The result is that of scoring every text.
+Texts are dealt to pages of bounded size as they are read, and a term's block holds its postings of one page; blocks are
+then sorted by term, so that a search reads those of its own terms. A query first adds up, from the blocks' heads alone,
+what each page can give at most, and scores its most promising pages; the k-th best score so found is a floor, and only
+pages that can reach it are scored at all. The result is that of scoring every text.
 """
 
 from __future__ import annotations
@@ -10,26 +11,57 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_counts
-from ..storage import fresh_dir
+from ..storage import fresh_dir, remove
 
 #: Texts of a page, about, and pages that a query scores before it skips any.
 PAGE, FIRST = 1024, 4
+BLOCK = "term string, page bigint, n bigint, most int, least int, ids array<bigint>, tfs array<int>, lengths array<int>"
 
 
 @dataclass(frozen=True)
 class Index:
-    """Where the blocks lie (term, page, n, most, postings), and how many texts there are."""
+    """Where the blocks lie (BLOCK: n postings, their greatest count and shortest length), how many texts there are, and
+    their mean length; k1 and b of the scores."""
 
     folder: str
     texts: int
-
-
-def term_counts(text: F.Column) -> F.Column:
+    mean: float
+    k1: float = 1.2
+    b: float = 0.75
+
+    def weight(self, tf: Column, length: Column) -> Column:
+        """The part of a BM25 score that does not depend on the query; it grows with tf and falls with the length."""
+        tf = tf.cast("double")
+        return tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * (length / F.lit(self.mean or 1.0))))
+
+
+def _page(number: int, keys: list[int], counts: list) -> pa.RecordBatch:
+    """Blocks of a page by term, and a row without a term: the page's texts, and in `most` their length in all."""
+    names = {}
+    term = np.array([names.setdefault(t, len(names)) for c in counts for t in c], np.int64)
+    size = np.array([c.total() for c in counts], np.int64)
+    text = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
+    tf = np.array([n for c in counts for n in c.values()], np.int64)
+    by = np.argsort(term, kind="stable")
+    term, text, tf = term[by], text[by], tf[by]
+    starts = np.searchsorted(term, np.arange(len(names) + 1))
+    lists = lambda values, kind: pa.ListArray.from_arrays(pa.array(np.r_[0, starts], pa.int32()), pa.array(values, kind))
+    most = np.maximum.reduceat(tf, starts[:-1]) if len(tf) else tf
+    least = np.minimum.reduceat(size[text], starts[:-1]) if len(tf) else tf
+    columns = [pa.array([None, *names], pa.string()), pa.array([number] * (len(names) + 1), pa.int64()), pa.array(np.r_[len(counts), np.diff(starts)], pa.int64())]
+    columns += [pa.array(np.r_[int(size.sum()) >> 31, most], pa.int32()), pa.array(np.r_[int(size.sum()) & (2**31 - 1), least], pa.int32())]
+    columns += [lists(np.array(keys, np.int64)[text], pa.int64()), lists(tf, pa.int32()), lists(size[text], pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in BLOCK.split(", ")])
+
+
+def term_counts(text: Column) -> Column:
     """Canonical terms of a whole text with their numbers."""
 
     @F.arrow_udf("array<struct<term:string,n:int>>")
@@ -45,29 +77,40 @@ def build(rows: DataFrame, key: str = "id", text: str = "content", page: int = P
     """Index the whole texts of rows (one row a key) by their canonical terms, in the shared folder.
 
     Null texts and texts without terms are indexed as texts of length 0: they count for the means, and are never found.
-    A posting holds its text's key and the part of its BM25 score that does not depend on the query.
+    Pages are made where the texts are read; only blocks are shuffled, into the order of their terms.
     """
     spark = rows.sparkSession
     folder = fresh_dir(spark, "fulltext")
-    counted = rows.select(F.col(key).alias("id"), term_counts(F.col(text)).alias("terms")).withColumn("len", F.aggregate("terms", F.lit(0).cast("bigint"), lambda a, t: a + t["n"]))
-    counted.write.parquet(f"{folder}/texts")
-    texts = spark.read.parquet(f"{folder}/texts")
-    n, mean = texts.agg(F.count(F.lit(1)), F.coalesce(F.avg("len"), F.lit(0.0))).first()
-    pages = max(1, -(-n // page))
-    dealt = texts.select("id", "len", F.pmod(F.xxhash64("id"), F.lit(pages)).cast("int").alias("page"), F.explode("terms").alias("t"))
-    tf = F.col("t.n").cast("double")
-    weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * (F.col("len") / F.lit(mean or 1.0))))
-    blocks = dealt.select("id", "page", F.col("t.term").alias("term"), weight.alias("weight")).groupBy("term", "page").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("most"), F.collect_list(F.struct("id", "weight")).alias("postings"))
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, keys, counts = TaskContext.get().partitionId() << 32, [], []
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys.append(k)
+                counts.append(canonical_counts(x.as_py()))
+                if len(keys) >= page:
+                    yield _page(number, keys, counts)
+                    number, keys, counts = number + 1, [], []
+        if keys:
+            yield _page(number, keys, counts)
+
+    rows.select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(pages, BLOCK).write.parquet(f"{folder}/pages")
+    made = spark.read.schema(BLOCK).parquet(f"{folder}/pages")
+    size = F.sum(F.col("most").cast("bigint") * 2**31 + F.col("least"))
+    n, total = made.where("term IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(size, F.lit(0))).first()
     # a term's blocks lie side by side, so that a scan skips files and row groups by their terms
-    blocks.repartitionByRange("term", "page").sortWithinPartitions("term", "page").write.parquet(f"{folder}/blocks")
-    return Index(f"{folder}/blocks", n)
+    made.where("term IS NOT NULL").repartitionByRange("term", "page").sortWithinPartitions("term", "page").write.parquet(f"{folder}/blocks")
+    remove(spark, f"{folder}/pages")
+    return Index(f"{folder}/blocks", n, total / n if n else 0.0, k1, b)
 
 
-def _scored(blocks: DataFrame, pages: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+def _scored(index: Index, pages: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score) of the k best texts of the given pages (query_id, page) of each query (query_id, term, idf)."""
     need = pages.join(asked, "query_id").select("query_id", "page", "term", "idf")
-    met = need.join(blocks.select("term", "page", "postings"), ["term", "page"]).select("query_id", "idf", F.explode("postings").alias("p"))
-    score = met.groupBy("query_id", F.col("p.id").alias("id")).agg(F.round(F.sum(F.col("idf") * F.col("p.weight")), 9).alias("score"))
+    blocks = pages.sparkSession.read.schema(BLOCK).parquet(index.folder).select("term", "page", F.arrays_zip("ids", "tfs", "lengths").alias("postings"))
+    met = need.join(blocks, ["term", "page"]).select("query_id", "idf", F.explode("postings").alias("p"))
+    weight = index.weight(F.col("p.tfs"), F.col("p.lengths"))
+    score = met.groupBy("query_id", F.col("p.ids").alias("id")).agg(F.round(F.sum(F.col("idf") * weight), 9).alias("score"))
     return best(score, k).drop("rank")
 
 
@@ -84,13 +127,14 @@ def bounds(index: Index, queries: DataFrame, text: str = "text") -> tuple[DataFr
     terms = queries.select("query_id", F.explode(term_counts(F.col(text))).alias("t")).select("query_id", F.col("t.term").alias("term")).distinct()
     terms.write.parquet(f"{folder}/terms")
     terms = spark.read.parquet(f"{folder}/terms")
-    heads = spark.read.parquet(index.folder).select("term", "page", "n", "most").join(terms.select("term").distinct(), "term", "left_semi")
+    heads = spark.read.schema(BLOCK).parquet(index.folder).select("term", "page", "n", "most", "least").join(terms.select("term").distinct(), "term", "left_semi")
     heads.write.parquet(f"{folder}/heads")
     heads = spark.read.parquet(f"{folder}/heads")
     df = F.sum("n")
     idf = heads.groupBy("term").agg(F.greatest(F.log((index.texts - df + 0.5) / (df + 0.5)), F.lit(1e-6)).alias("idf"))
     asked = terms.join(idf, "term")
-    bound = heads.select("term", "page", "most").join(asked, "term").groupBy("query_id", "page").agg(F.sum(F.col("idf") * F.col("most")).alias("bound"))
+    top = index.weight(F.col("most"), F.col("least"))
+    bound = heads.select("term", "page", top.alias("top")).join(asked, "term").groupBy("query_id", "page").agg(F.sum(F.col("idf") * F.col("top")).alias("bound"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "page"))
     bound.withColumn("place", place).write.parquet(f"{folder}/pages")
     return asked, spark.read.parquet(f"{folder}/pages")
@@ -101,12 +145,11 @@ def search(index: Index, queries: DataFrame, k: int = 10, text: str = "text", fi
     to nine places, ties by id. Each distinct canonical term counts once; a term that most texts hold counts 0.000001."""
     spark = queries.sparkSession
     asked, pages = bounds(index, queries, text)
-    blocks = spark.read.parquet(index.folder)
     folder = fresh_dir(spark, "scored")
-    _scored(blocks, pages.where(F.col("place") <= first).select("query_id", "page"), asked, k).write.parquet(folder)
+    _scored(index, pages.where(F.col("place") <= first).select("query_id", "page"), asked, k).write.parquet(folder)
     begun = spark.read.parquet(folder)
     floor = begun.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.min("score").alias("least"))
-    rest = _scored(blocks, reaching(pages, floor, k, first).select("query_id", "page"), asked, k)
+    rest = _scored(index, reaching(pages, floor, k, first).select("query_id", "page"), asked, k)
     return best(begun.unionByName(rest), k)
 
 
