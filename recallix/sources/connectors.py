@@ -1,13 +1,12 @@
-"""Connectors as Python data sources over local exports, one partition per file."""
+"""Connectors over exports: items of other services as JSON files in a folder of any file system that Spark knows, as a
+table or as a stream."""
 
 from __future__ import annotations
 
-import json
-import os
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from .files import CONTENT
 
 #: Connector names and the fields in which their exports hold id, name and text.
 FIELDS = {
@@ -20,40 +19,32 @@ FIELDS = {
 }
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+def items(rows: DataFrame, connector: str, value: str = "value") -> DataFrame:
+    """Items (CONTENT, _corrupt) of texts that each hold one JSON object, or an array of them.
 
+    meta has the fields besides the text, each as its JSON text. What is no JSON object gives a row with _corrupt alone.
+    """
+    key, name, text = FIELDS[connector]
+    listed = F.when(F.ltrim(value).startswith("["), F.col(value)).otherwise(F.concat(F.lit("["), F.col(value), F.lit("]")))
+    parsed = F.from_json(listed, "array<map<string,string>>", {"mode": "PERMISSIVE"})
+    one = rows.where(F.length(F.trim(value)) > 0).select(F.col(value).alias("_v"), F.explode_outer(F.when(F.size(parsed) > 0, parsed)).alias("m"))
+    bad = F.col("m").isNull()
+    get = lambda field: F.try_element_at("m", F.lit(field))
+    rest = F.to_json(F.map_filter("m", lambda k, v: k != text))
+    return one.select(get(key).alias("id"), get(name).alias("name"), F.when(~bad, "text").alias("type"), get(text).alias("text"), F.lit(None).cast("binary").alias("data"), rest.alias("meta"), F.when(bad, F.col("_v")).alias("_corrupt"))
 
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.folder, self.fields = options["path"], FIELDS[options["connector"]]
 
-    def partitions(self):
-        return [_File(os.path.join(self.folder, n)) for n in sorted(os.listdir(self.folder)) if n.endswith((".json", ".jsonl"))]
+def exports(spark: SparkSession, folder: str, connector: str, stream: bool = False, lines: bool = True, files: int = 1000) -> DataFrame:
+    """Items of an export's files: with lines each line of *.jsonl is one, else each *.json file holds one or an array.
 
-    def read(self, partition: _File) -> Iterator[tuple]:
-        key, name, text = self.fields
-        with open(partition.path, encoding="utf-8") as f:
-            items = map(json.loads, f) if partition.path.endswith(".jsonl") else iter(x if isinstance(x := json.load(f), list) else [x])
-            for item in items:
-                body = item.get(text)
-                yield (str(item.get(key)), item.get(name), "text", body if isinstance(body, str) or body is None else json.dumps(body), None, json.dumps({k: v for k, v in item.items() if k != text}))
+    As a stream at most so many new files make a batch; a query's checkpoint holds which it has taken, so that a restart
+    takes none twice.
+    """
+    if connector not in FIELDS:
+        raise ValueError(f"no such connector: {connector}; there are {', '.join(FIELDS)}")
+    reader = spark.readStream.option("maxFilesPerTrigger", files) if stream else spark.read
+    reader = reader.option("pathGlobFilter", "*.jsonl" if lines else "*.json").option("wholetext", not lines)
+    return items(reader.format("text").load(folder), connector)
 
 
-class ExportSource(DataSource):
-    """spark.read.format("memory_export").option("connector", "github").load(folder)"""
-
-    @classmethod
-    def name(cls) -> str:
-        return "memory_export"
-
-    def schema(self) -> str:
-        return "id string, name string, type string, text string, data binary, meta string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(ExportSource)
+__all__ = ["CONTENT", "FIELDS", "exports", "items"]

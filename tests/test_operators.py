@@ -132,11 +132,28 @@ def test_signature(spark):
     assert [r.ok for r in df.select(files.signed(F.col("b"), F.col("s"), "k").alias("ok")).collect()] == [True, False, False]
 
 
-def test_connector(spark, tmp_path):
-    (tmp_path / "a.jsonl").write_text(json.dumps({"sha": 1, "path": "p", "content": "text", "extra": 2}) + "\n")
-    connectors.register(spark)
-    r = spark.read.format("memory_export").option("connector", "github").load(str(tmp_path)).first()
-    assert (r.id, r.name, r.text) == ("1", "p", "text")
+def test_connectors(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.jsonl").write_text(json.dumps({"sha": 1, "path": "p", "content": "text", "extra": {"x": [2]}}) + "\n\nnot json\n")
+    (tmp_path / "in/b.json").write_text(json.dumps([{"sha": "2", "content": None}, {"sha": "3", "content": ["a"]}]))
+    (tmp_path / "in/c.json").write_text(json.dumps({"sha": "4"}, indent=1))
+    got = connectors.exports(spark, str(tmp_path / "in"), "github").collect()
+    assert [(r.id, r.name, r.text, json.loads(r.meta)["extra"], r._corrupt) for r in got if r.id] == [("1", "p", "text", '{"x":[2]}', None)]
+    assert [r._corrupt for r in got if not r.id] == ["not json"]
+    whole = connectors.exports(spark, str(tmp_path / "in"), "github", lines=False).collect()
+    assert sorted((r.id, r.text) for r in whole) == [("2", None), ("3", '["a"]'), ("4", None)]
+    with pytest.raises(ValueError, match="no such connector"):
+        connectors.exports(spark, str(tmp_path), "other")
+
+    def run():
+        rows = connectors.exports(spark, str(tmp_path / "in"), "github", stream=True, files=1)
+        q = rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at"))
+        q.trigger(availableNow=True).start().awaitTermination()
+        return sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).where("id IS NOT NULL").collect())
+
+    assert run() == ["1"]
+    (tmp_path / "in/d.jsonl").write_text(json.dumps({"sha": 5}) + "\n")
+    assert run() == run() == ["1", "5"]
 
 
 def test_ingest(spark):
