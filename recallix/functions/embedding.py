@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import EMBED_WEIGHT
-from .text import canonical_list
+from .text import canonical_counts, canonical_list
 
 
 def _units(text: str) -> list[int]:
@@ -37,14 +37,17 @@ def mixed(text: str, seed: int = 0xDEADBEEF) -> int:
     return h
 
 
-def token_votes(tokens: list[str]) -> str:
+@functools.lru_cache(maxsize=1 << 16)
+def _times_31(token: str) -> int:
+    h = 0
+    for u in _units(token):
+        h = (h * 31 + u) & 0xFFFFFFFF
+    return h
+
+
+def token_votes(tokens: Iterable[str]) -> str:
     """32 majority votes over the tokens' multiply-by-31 hashes as eight hex digits, low bits first, written twice."""
-    hashes = []
-    for t in dict.fromkeys(tokens):
-        h = 0
-        for u in _units(t):
-            h = (h * 31 + u) & 0xFFFFFFFF
-        hashes.append(h)
+    hashes = [_times_31(t) for t in dict.fromkeys(tokens)]
     bits = (np.array(hashes, np.uint64)[:, None] >> np.arange(32, dtype=np.uint64)) & np.uint64(1)
     up = 2 * bits.sum(0) > len(hashes)
     half = "".join(f"{int(sum(8 >> j for j in range(4) if up[i + j])):x}" for i in range(0, 32, 4))
@@ -59,7 +62,7 @@ def simhash(text: Column) -> Column:
         for texts in batches:
             out = []
             for x in texts.to_pylist():
-                t = canonical_list(x)
+                t = canonical_counts(x)
                 out.append(None if x is None else token_votes(t) if t else hashlib.blake2b(x.encode()).hexdigest()[:16])
             yield pa.array(out, pa.string())
 
