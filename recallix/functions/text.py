@@ -111,6 +111,8 @@ TEMPORAL = [
 
 #: Endings and what they become, in the order of trial.
 _ENDINGS = [("ies$", "y"), ("ing$", ""), ("ers?$", "er"), ("ed$", ""), ("s$", "")]
+#: The same as plain text, an optional letter once with it and once without.
+_PLAIN_ENDINGS = [("ies", "y"), ("ing", ""), ("ers", "er"), ("er", "er"), ("ed", ""), ("s", "")]
 
 _LEFT, _RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 _CJK = r"㐀-䶿一-鿿豈-﫿぀-ヿ가-힯"
@@ -188,9 +190,10 @@ def canonical_counts(text: str | None) -> Counter:
 
 
 def _stemmed(t: str) -> str:
-    for p, to in _ENDINGS if len(t) > 3 else ():
-        if re.search(p, t) and len(cut := re.sub(p, to, t)) >= 3:
-            return cut
+    """stem() of one token: the first ending whose cut leaves three characters or more."""
+    for end, to in _PLAIN_ENDINGS if len(t) > 3 else ():
+        if t.endswith(end) and len(t) - len(end) + len(to) >= 3:
+            return t[: len(t) - len(end)] + to
     return t
 
 
