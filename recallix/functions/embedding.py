@@ -37,18 +37,23 @@ def mixed(text: str, seed: int = 0xDEADBEEF) -> int:
     return h
 
 
-@functools.lru_cache(maxsize=1 << 16)
-def _times_31(token: str) -> int:
-    h = 0
-    for u in _units(token):
-        h = (h * 31 + u) & 0xFFFFFFFF
+def times_31(tokens: list[str]) -> np.ndarray:
+    """Multiply-by-31 hashes of tokens' code units in 32 bits, a unit of all tokens at a time."""
+    raw = [t.encode("utf-16-le", "surrogatepass") for t in sorted(tokens, key=len, reverse=True)]
+    size = np.array([len(r) // 2 for r in raw])
+    by = np.argsort(-size, kind="stable")  # a letter may have two units
+    units, starts = np.frombuffer(b"".join(raw), "<u2").astype(np.uint32), (np.cumsum(size) - size)[by]
+    h = np.zeros(len(raw), np.uint32)
+    left = len(raw) - np.searchsorted(np.sort(size), np.arange(int(size.max(initial=0))), "right")
+    for i, k in enumerate(left.tolist()):
+        h[:k] = h[:k] * np.uint32(31) + units[starts[:k] + i]
     return h
 
 
 def token_votes(tokens: Iterable[str]) -> str:
     """32 majority votes over the tokens' multiply-by-31 hashes as eight hex digits, low bits first, written twice."""
-    hashes = [_times_31(t) for t in dict.fromkeys(tokens)]
-    bits = (np.array(hashes, np.uint64)[:, None] >> np.arange(32, dtype=np.uint64)) & np.uint64(1)
+    hashes = times_31(list(dict.fromkeys(tokens)))
+    bits = (hashes.astype(np.uint64)[:, None] >> np.arange(32, dtype=np.uint64)) & np.uint64(1)
     up = 2 * bits.sum(0) > len(hashes)
     half = "".join(f"{int(sum(8 >> j for j in range(4) if up[i + j])):x}" for i in range(0, 32, 4))
     return half * 2
