@@ -43,7 +43,7 @@ def near_pairs(hashes: DataFrame, most: int = 3, parts: int | None = None, value
     own = hashes.select(F.col(value).alias("v")).where("v IS NOT NULL").distinct()
     if parts is None:
         n = own.count()
-        parts = 1 + (n > 1_000_000) + (n > 100_000_000)
+        parts = 1 + (n > 2000) + (n > 50_000) + (n > 500_000_000)
     every = F.array(*[F.lit(m).cast("bigint") for m in masks(most, parts)])
     keyed = own.select("v", F.posexplode(every).alias("t", "m")).select("v", "t", F.col("v").bitwiseAND(F.col("m")).alias("k"))
     shared = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "k", F.ceil(F.col("n") / MEET).cast("int").alias("of"))
