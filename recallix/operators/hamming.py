@@ -11,6 +11,8 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
+
 #: Hashes of one key that meet in one task; a key with more of them is split.
 MEET = 2048
 
@@ -60,6 +62,8 @@ def near_counts(rows: DataFrame, key: str = "id", hash_: str = "simhash", most:
     """(key, hash, same, near, first): other rows of the same hash, rows of other hashes within the distance, and the
     smallest key of all these and the row itself. Rows without a hash are left out."""
     own = rows.where(F.col(hash_).isNotNull()).select(key, hash_, from_hex(F.col(hash_)).alias("v"))
+    shared_dir(rows.sparkSession)
+    own = own.checkpoint()  # hashes are not made again
     groups = own.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("least"))
     pairs = near_pairs(own, most, parts, "v")
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
