@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Encoding, Tokenizer
 
-from .common import short_batches, single_thread, strings, with_struct
+from .common import quoted, short_batches, single_thread, strings, with_struct
 
 #: White space as the tokenizers see it: Python's, without the four ASCII separators.
 _WS, _WORD = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
@@ -343,4 +343,4 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", full: bool = Fal
             yield pa.StructArray.from_arrays(cols, names)
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] + (["ids", "decoded"] if full else [])
-    return with_struct(df, run(F.col(text)), names)
+    return with_struct(df, run(F.col(quoted(text))), names)

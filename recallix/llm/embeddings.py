@@ -90,9 +90,10 @@ def decode(x: np.ndarray, caps: Caps) -> np.ndarray:
 
 
 def scaled(values: np.ndarray) -> np.ndarray:
-    """Divided by the largest component, so that no square over- or underflows."""
+    """Divided by a power of two near the largest component, which rounds nothing that counts, so that no square over-
+    or underflows."""
     most = np.abs(values).max(initial=0.0)
-    return values / most if most > 0 and np.isfinite(most) else values
+    return np.ldexp(values, -int(np.frexp(most)[1])) if most > 0 and np.isfinite(most) else values
 
 
 def unit(values: np.ndarray) -> np.ndarray | None:

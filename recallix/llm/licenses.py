@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, strings, with_struct
+from .common import quoted, short_batches, strings, with_struct
 
 #: Fixed values of the base: phrase and label.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -248,4 +248,4 @@ def scan_licenses(df: DataFrame, text: str = "text", templates: tuple = tuple(TE
                 out.append((n, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(every)), score, [{"label": a, "start": b, "end": c} for a, b, c in found]))
             yield pa.StructArray.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names)
 
-    return with_struct(df, run.asNondeterministic()(F.col(text)), names)
+    return with_struct(df, run.asNondeterministic()(F.col(quoted(text))), names)

@@ -209,3 +209,14 @@ def test_pruned_edges_are_diverse():
         seen |= new
         todo = list(new)
     assert len(seen) == 300 and (edges != np.arange(300)[:, None]).all()
+
+
+def test_columns_with_dots(spark):
+    df = spark.createDataFrame([(1, "all rights reserved"), (2, None)], "doc_id long, `a.b` string")
+    import public_tokenizers
+
+    from recallix.llm import bpe, licenses
+
+    got = bpe.encode_decode(df, public_tokenizers.path("byte_bpe_50k.json"), text="a.b").collect()
+    assert sorted(r.n_tokens for r in got)[0] == 0 and len(got) == 2
+    assert {r.doc_id: r.n_base for r in licenses.scan_licenses(df, text="a.b").collect()} == {1: 1, 2: 0}
