@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from ..functions.text import canonical_counts
 from ..storage import fresh_dir, remove
 
-#: Texts of a page, about, and pages that a query scores before it skips any.
-PAGE, FIRST = 1024, 4
+#: Texts of a page, about; pages that a query scores before it skips any; queries that meet a page at once.
+PAGE, FIRST, QUERIES = 1024, 4, 256
 BLOCK = "term string, page bigint, n bigint, most int, least int, ids array<bigint>, tfs array<int>, lengths array<int>"
 
 
@@ -105,13 +105,37 @@ def build(rows: DataFrame, key: str = "id", text: str = "content", page: int = P
 
 
 def _scored(index: Index, pages: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score) of the k best texts of the given pages (query_id, page) of each query (query_id, term, idf)."""
-    need = pages.join(asked, "query_id").select("query_id", "page", "term", "idf")
-    blocks = pages.sparkSession.read.schema(BLOCK).parquet(index.folder).select("term", "page", F.arrays_zip("ids", "tfs", "lengths").alias("postings"))
-    met = need.join(blocks, ["term", "page"]).select("query_id", "idf", F.explode("postings").alias("p"))
-    weight = index.weight(F.col("p.tfs"), F.col("p.lengths"))
-    score = met.groupBy("query_id", F.col("p.ids").alias("id")).agg(F.round(F.sum(F.col("idf") * weight), 9).alias("score"))
-    return best(score, k).drop("rank")
+    """(query_id, id, score) of the k best texts of the given pages (query_id, page) of each query (query_id, term, idf).
+
+    A page's blocks meet the queries, QUERIES at a time, in one task; k texts at most leave it for each query."""
+    of = max(1, -(-asked.select("query_id").distinct().count() // QUERIES))
+    part = F.pmod(F.xxhash64("query_id"), F.lit(of)).cast("int").alias("part")
+    asks = asked.select(part, "term", F.struct("query_id", "idf").alias("ask")).groupBy("part", "term").agg(F.collect_list("ask").alias("asks"))
+    wanted = pages.select(part, "page", "query_id").groupBy("part", "page").agg(F.collect_list("query_id").alias("wanted"))
+    blocks = pages.sparkSession.read.schema(BLOCK).parquet(index.folder).where("term IS NOT NULL")
+    met = blocks.select("term", "page", "ids", "tfs", "lengths").join(asks, "term").drop("term").join(wanted.select("part", "page"), ["part", "page"], "left_semi")
+    rows = met.unionByName(wanted, allowMissingColumns=True)
+    k1, b, mean = index.k1, index.b, index.mean or 1.0
+
+    def score(group: pa.Table) -> pa.Table:
+        kept = next(x for x in group["wanted"].to_pylist() if x is not None)
+        place = {q: i for i, q in enumerate(kept)}
+        lists = [(ids.values.to_numpy(), tfs.values.to_numpy().astype(float), lengths.values.to_numpy(), asks.as_py()) for ids, tfs, lengths, asks in zip(group["ids"], group["tfs"], group["lengths"], group["asks"], strict=True) if ids.is_valid]
+        texts = np.unique(np.concatenate([np.zeros(0, np.int64), *(x[0] for x in lists)]))
+        total = np.zeros((len(kept), len(texts)))
+        for ids, tf, length, asks in lists:
+            at, weight = np.searchsorted(texts, ids), tf * (k1 + 1) / (tf + k1 * (1 - b + b * (length / mean)))
+            for ask in asks:
+                if (i := place.get(ask["query_id"])) is not None:
+                    total[i, at] += ask["idf"] * weight
+        out = []
+        for q, row in zip(kept, np.round(total, 9), strict=True):
+            some = np.flatnonzero(row > 0)
+            top = some[np.lexsort((texts[some], -row[some]))[:k]]
+            out.append((np.full(len(top), q, np.int64), texts[top], row[top]))
+        return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], ["query_id", "id", "score"])
+
+    return best(rows.groupBy("part", "page").applyInArrow(score, "query_id bigint, id bigint, score double"), k).drop("rank")
 
 
 def best(scores: DataFrame, k: int) -> DataFrame:
