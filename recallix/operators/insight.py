@@ -231,6 +231,29 @@ def summaries(rows: DataFrame, most: int = 500) -> DataFrame:
     return _by_query(rows, call, "query_id bigint, summary string")
 
 
+def selected(rows: DataFrame, most: int = 4, least: float = 0.0) -> DataFrame:
+    """(query_id, place, id, gain, said): what an answer is made of, chosen greedily from a query's rows.
+
+    Each choice is the row with the greatest gain: its salience, times the share of its distinct words that no chosen row
+    has; the better rank on ties. It ends after `most` rows, or where no row gains more than `least`. said is the row's
+    most informative sentence, empty where it has none. Rows without words gain nothing.
+    """
+
+    def call(query, g):
+        words = [set(reading.words(x or "")) for x in g["content"]]
+        value, heard, left = g["salience"].fillna(0.5).tolist(), set(), list(range(len(g)))
+        for place in range(most):
+            gain = {i: value[i] * len(words[i] - heard) / len(words[i]) if words[i] else 0.0 for i in left}
+            best = max(left, key=lambda i: (gain[i], -i), default=None)
+            if best is None or gain[best] <= least:
+                return
+            left.remove(best)
+            heard |= words[best]
+            yield query, place, int(g["id"].iloc[best]), gain[best], (reading.informative(g["content"].iloc[best] or "", 1) or [""])[0]
+
+    return _by_query(rows, lambda q, g: list(call(q, g)), "query_id bigint, place int, id bigint, gain double, said string")
+
+
 def gaps(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """(query_id, topic, confidence): what a query (query_id, text) names and its rows lack."""
     asked = rows.join(queries.select("query_id", F.col("text").alias("_q")), "query_id").select("query_id", "id", "rank", F.col("content"), F.col("_q").alias("sector"), "salience")

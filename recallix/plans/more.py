@@ -543,6 +543,12 @@ def memory_insights(spark, d):
     return insight.insights(_results(spark, d), 3).select("query_id", "place", "insight", _r(F.col("confidence")).alias("confidence"), "sources")
 
 
+@query(None)
+def memory_answer(spark, d):
+    """What an answer to each benchmark text is made of."""
+    return insight.selected(_results(spark, d), 4).select("query_id", "place", "id", _r(F.col("gain")).alias("gain"), "said")
+
+
 @query(None)
 def memory_gaps(spark, d):
     q = derive.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")

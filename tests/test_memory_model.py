@@ -168,3 +168,27 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError):
         shared_dir(Session())
+
+
+def test_answers_are_chosen_for_what_is_new(spark):
+    import itertools
+
+    from recallix.operators import insight
+
+    texts = ["alpha beta gamma delta", "alpha beta gamma delta", "epsilon zeta alpha beta", "theta", None, "the of", "iota kappa lambda theta"]
+    salience = [0.9, 0.95, 0.6, 0.3, 1.0, 1.0, 0.5]
+    rows = spark.createDataFrame([(q, i, i + 1, t, "semantic", s) for q in (1, 2) for i, (t, s) in enumerate(zip(texts, salience, strict=True)) if q == 1 or i < 3], "query_id long, id long, rank int, content string, sector string, salience double")
+    got = {q: [(r.id, round(r.gain, 9)) for r in g] for q, g in itertools.groupby(sorted(insight.selected(rows, 4).collect(), key=lambda r: (r.query_id, r.place)), key=lambda r: r.query_id)}
+    assert got == {1: [(1, 0.95), (6, 0.5), (2, 0.3)], 2: [(1, 0.95), (2, 0.3)]}
+    assert insight.selected(rows.limit(0), 4).count() == 0
+
+
+def test_reflection_job(spark):
+    from recallix.operators import analytics
+
+    rows = spark.createDataFrame([(i, "u" if i < 30 else "v", 1000 + i, 0.95 if i == 4 else 0.5) for i in range(45)], "id long, user_id string, created_at long, salience double")
+    seen = analytics.newest(rows, 25, 20)
+    assert sorted(r.id for r in seen.collect()) == list(range(5, 30))  # the other owner has too few
+    groups = spark.createDataFrame([(4, 4), (7, 4), (8, 8)], "id long, seed long")
+    got = {r.id: (r.consolidated, round(r.salience, 3), r.updated_at) for r in analytics.reflected(rows, groups, 9).collect()}
+    assert got[4] == (True, 1.0, 9) and got[7] == (True, 0.55, 9) and got[8] == (False, 0.5, 1008) and len(got) == 45
