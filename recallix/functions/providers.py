@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import time
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -14,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import EMBED_WEIGHT, SECTORS
-from .embedding import fnv1a, mixed, synthetic
+from .embedding import fnv1a, mixed, synthetic, vectors_of
 from .passages import chunked
 from .text import HEAD, SYNONYMS, canonical_list
 
@@ -77,20 +78,34 @@ def bucketed(v: np.ndarray, n: int) -> np.ndarray:
     return out / (np.linalg.norm(out) or 1)
 
 
+class Unavailable(RuntimeError):
+    """What an embedder raises when it cannot answer just now; other errors are faults, and are not hidden."""
+
+
+def answered(name: str, text: str, sector: str, dim: int, attempts: int = 3, wait: float = 1.0, sleep=time.sleep) -> np.ndarray | None:
+    """A registered embedder's vector; asked again after twice as long each time while it is unavailable, at last none.
+    A name that is not registered gives none."""
+    for n in range(attempts if name in REGISTRY else 0):
+        try:
+            return np.asarray(REGISTRY[name](text, sector, dim), float)
+        except Unavailable:
+            if n + 1 < attempts:
+                sleep(wait * 2**n)
+    return None
+
+
+def is_synthetic(tier: str, chain: tuple[str, ...]) -> bool:
+    return tier in ("hybrid", "fast") or tier == "smart" and chain[0] == "synthetic"
+
+
 def embedded(text: str, sector: str, tier: str = "hybrid", chain: tuple[str, ...] = ("synthetic",), dim: int = DIMENSION) -> np.ndarray:
     """A text's vector in a sector. hybrid and fast: the synthetic one; smart: 0.6 of it beside 0.4 of the chain's, in 128
     components; deep: the chain's. The first embedder of the chain that gives one counts, the synthetic one at last."""
     if sector not in SECTORS:
         raise ValueError(f"unknown sector: {sector}")
-    if tier in ("hybrid", "fast") or tier == "smart" and chain[0] == "synthetic":
+    if is_synthetic(tier, chain):
         return by_features(text, sector, dim)
-    v = None
-    for name in chain:
-        try:
-            v = np.asarray(REGISTRY[name](text, sector, dim), float)
-            break
-        except Exception:  # noqa: BLE001, S112 - the next one answers
-            continue
+    v = next((v for name in chain if (v := answered(name, text, sector, dim)) is not None), None)
     if v is None:
         v = by_features(text, sector, dim)
     if tier == "smart":
@@ -110,11 +125,12 @@ def embed_text(text: Column, sector: Column, tier: str = "hybrid", chain: tuple[
     @F.arrow_udf("array<float>")
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, sectors in batches:
-            out = []
-            for t, s in zip(texts.to_pylist(), sectors.to_pylist(), strict=True):
-                parts = [x for x, _ in chunked(t or "")] or [""]
-                out.append(pooled([embedded(x, s, tier, chain, dim) for x in parts]).astype(np.float32))
-            yield pa.array(out, pa.list_(pa.float32()))
+            parts = [[x for x, _ in chunked(t or "")] or [""] for t in texts.to_pylist()]
+            asked = [(x, s) for xs, s in zip(parts, sectors.to_pylist(), strict=True) for x in xs]
+            if unknown := {s for _, s in asked}.difference(SECTORS):
+                raise ValueError(f"unknown sectors: {sorted(map(str, unknown))}")
+            found = iter(vectors_of(asked, dim) if is_synthetic(tier, chain) else (embedded(x, s, tier, chain, dim) for x, s in asked))
+            yield pa.array([pooled([next(found) for _ in xs]).astype(np.float32) for xs in parts], pa.list_(pa.float32()))
 
     return run.asNondeterministic()(text, sector)
 

@@ -192,3 +192,30 @@ def test_reflection_job(spark):
     groups = spark.createDataFrame([(4, 4), (7, 4), (8, 8)], "id long, seed long")
     got = {r.id: (r.consolidated, round(r.salience, 3), r.updated_at) for r in analytics.reflected(rows, groups, 9).collect()}
     assert got[4] == (True, 1.0, 9) and got[7] == (True, 0.55, 9) and got[8] == (False, 0.5, 1008) and len(got) == 45
+
+
+def test_unavailable_embedders_are_asked_again(monkeypatch):
+    asked, waited = [], []
+
+    def slow(text, sector, dim):
+        asked.append(text)
+        if len(asked) < 3:
+            raise providers.Unavailable
+        return np.ones(dim)
+
+    monkeypatch.setitem(providers.REGISTRY, "slow", slow)
+    assert providers.answered("slow", "x", "semantic", 4, sleep=waited.append).tolist() == [1, 1, 1, 1] and waited == [1, 2]
+    monkeypatch.setitem(providers.REGISTRY, "never", lambda *a: (_ for _ in ()).throw(providers.Unavailable))
+    assert providers.answered("never", "x", "semantic", 4, sleep=waited.append) is None
+    monkeypatch.setitem(providers.REGISTRY, "faulty", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        providers.embedded("x", "semantic", "deep", ("faulty",), 4)
+
+
+def test_long_texts_are_the_means_of_their_chunks(spark):
+    rows = [("word and tasks. " * 600, "semantic"), ("short", "emotional"), (None, "semantic")]
+    df = spark.createDataFrame(rows, "t string, s string")
+    got = [r[0] for r in df.select(providers.embed_text(F.col("t"), F.col("s"), dim=48)).collect()]
+    for (t, s), v in zip(rows, got, strict=True):
+        parts = [x for x, _ in providers.chunked(t or "")] or [""]
+        assert np.array_equal(np.array(v, np.float32), np.mean([providers.by_features(x, s, 48) for x in parts], axis=0).astype(np.float32))
