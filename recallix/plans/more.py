@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import DAY_MS, RESONANCE, SECTORS
 from ..functions import analysis, dynamics, passages, providers, reading, text, vectors
 from ..operators import adding, analytics, graph, insight, memory, nodes, retrieval, scope, search, state
+from ..operators.versions import Versions
+from ..storage import fresh_dir
 from . import derive
 from .derive import CUES_SQL, GRAPH_SQL, MEMORIES_SQL, NOW_MS, VECTORS_SQL
 from .queries import A0, AT, COSINE, LAMBDA, SEEN, _r, _round, _seen, query
@@ -130,12 +134,17 @@ def mem_page(spark, d):
     return memory.page(derive.memories(spark, d), 40, 20).select("id", "created_at")
 
 
-@query("SELECT 0 AS memories, 0 AS vectors, 0 AS edges, 0 AS users")
+@query("SELECT 'memories' AS name, 0 AS after, count(*) AS before FROM memories UNION ALL SELECT 'vectors', 0, count(*) FROM vectors UNION ALL SELECT 'edges', 0, count(*) FROM graph UNION ALL SELECT 'users', 0, count(DISTINCT user_id) FROM memories", ctes=f"{MEMORIES_SQL}, {VECTORS_SQL}, {GRAPH_SQL}")
 def wipe(spark, d):
-    tables = state.wiped(derive.memories(spark, d), derive.vectors(spark, d), derive.graph_edges(spark, d), _users(spark, d))
-    n = [t.select(F.lit(i).alias("t")) for i, t in enumerate(tables)]
-    every = n[0].unionAll(n[1]).unionAll(n[2]).unionAll(n[3])
-    return every.agg(*[F.count_if(F.col("t") == i).cast("int").alias(c) for i, c in enumerate(("memories", "vectors", "edges", "users"))])
+    """Four tables written as a version and emptied in the next one, in one step; the version before still has them."""
+    m = derive.memories(spark, d)
+    tables = {"memories": m, "vectors": derive.vectors(spark, d), "edges": derive.graph_edges(spark, d), "users": m.select("user_id").distinct()}
+    kept = Versions(spark, fresh_dir(spark, "wipe"))
+    kept.commit(tables, 0)
+    last = kept.transact(lambda read: dict(zip(tables, state.wiped(*map(read, tables)), strict=True)))
+    rows = [kept.read(name, version).select(F.lit(name).alias("name"), F.lit(version == last).alias("now")) for name in tables for version in (last - 1, last)]
+    counts = reduce(lambda x, y: x.unionAll(y), rows).groupBy("name")
+    return counts.agg(F.count_if("now").cast("int").alias("after"), F.count_if(~F.col("now")).alias("before"))
 
 
 @query(f"SELECT event_type AS type, count(*) AS count, {NOW_MS} AS ts FROM events GROUP BY 1 UNION ALL SELECT 'decay', 3, {AT}")
