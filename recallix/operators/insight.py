@@ -122,19 +122,20 @@ def attention(items: DataFrame, query: Column, by: str) -> DataFrame:
     return items.withColumn("place", place).withColumn("attention", jaccard(F.array_distinct("w"), F.array_distinct(query)) * F.pow(F.lit(0.95), F.col("place") - 1) * F.col("priority"))
 
 
-def relevance(items: DataFrame, query: str, now: int) -> DataFrame:
-    """items (id, text, w, sector, salience, last_seen_at) with relevance to a query and priority in a context window."""
-    q = F.lit(query)
-    terms, names = F.array(*map(F.lit, reading.key_terms(query))), F.array(*map(F.lit, reading.entities(query)))
+def relevance(items: DataFrame, now: int, query: str = "query") -> DataFrame:
+    """items (id, text, w, sector, salience, last_seen_at, and the text of the query that each is asked by) with relevance
+    to it and priority in a context window."""
+    rows = items.withColumn("_terms", reading.key_terms_of(F.col(query))).withColumn("_names", analysis.entities(F.col(query))).withColumn("_q", analysis.words(F.col(query)))
+    q, terms, names = F.col(query), F.col("_terms"), F.col("_names")
     shared = F.size(F.filter(terms, lambda k: F.array_contains("w", k))) / F.greatest(F.lit(1), F.size(terms))
-    named = F.size(F.filter(names.cast("array<string>"), lambda e: F.contains(F.lower("text"), F.lower(e)))) / F.greatest(F.lit(1), F.size(names))
+    named = F.size(F.filter(names, lambda e: F.contains(F.lower("text"), F.lower(e)))) / F.greatest(F.lit(1), F.size(names))
     table = F.create_map(*[x for s, kinds in AFFINITY.items() for x in (F.lit(s), F.array(*map(F.lit, kinds)))])
     suits = F.coalesce(F.array_contains(F.try_element_at(table, F.col("sector")), analysis.intent(q)), F.lit(False))
-    score = F.coalesce("salience", F.lit(0.5)) * 0.25 + shared * 0.2 + named * 0.15 + jaccard(F.array_distinct("w"), F.array_distinct(analysis.words(q))) * 0.15 + analysis.bm25(analysis.words(q), F.col("w")) / 10 * 0.15 + F.when(suits, 0.02).otherwise(0.0)
-    rows = items.withColumn("relevance", score)
+    score = F.coalesce("salience", F.lit(0.5)) * 0.25 + shared * 0.2 + named * 0.15 + jaccard(F.array_distinct("w"), F.array_distinct("_q")) * 0.15 + analysis.bm25(F.col("_q"), F.col("w")) / 10 * 0.15 + F.when(suits, 0.02).otherwise(0.0)
+    rows = rows.withColumn("relevance", score)
     scope = F.when(F.size(analysis.time_words(q)) > 0, analysis.time_scope(q)).otherwise("general")
     fit = dynamics.temporal_relevance(scope, dynamics.days_between(F.col("last_seen_at"), F.lit(now)))
-    return rows.withColumn("priority", F.col("relevance") * 0.7 + fit * 0.3)
+    return rows.withColumn("priority", F.col("relevance") * 0.7 + fit * 0.3).drop("_terms", "_names", "_q")
 
 
 def strategy(text: Column) -> Column:

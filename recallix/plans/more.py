@@ -460,9 +460,6 @@ def text_key_terms(spark, d):
     return derive.cue_texts(spark, d).select("id", reading.key_terms_of(F.col("text"), 10).alias("terms"))
 
 
-ASKED = "how do users schedule a meeting in dark mode after the project review"
-
-
 def _asked(spark, d, rows, of=None):
     """Each row with the words of one benchmark text, by turns, of all of them or so many."""
     b = derive.table(spark, d, "benchmark")
@@ -491,8 +488,12 @@ def rank_memories(spark, d):
 
 @query(None)
 def relevance_scores(spark, d):
-    """Relevance of every item to one analysed query, and its priority with time."""
-    return insight.relevance(_items(spark, d).withColumn("sector", F.lit("procedural")), ASKED, NOW_MS).select("id", _r(F.col("relevance")).alias("relevance"), _r(F.col("priority")).alias("priority"))
+    """Relevance of every memory to one of the benchmark's texts as an analysed query, and its priority with time."""
+    m = derive.memories(spark, d).select("id", F.coalesce("content", F.lit("")).alias("text"), "sector", "salience", "last_seen_at")
+    b = derive.table(spark, d, "benchmark")
+    asked = m.withColumn("asked", F.col("id") % b.count()).join(b.select(F.col("item_id").alias("asked"), F.col("text").alias("query")), "asked")
+    rows = insight.relevance(asked.withColumn("w", analysis.words(F.col("text"))), NOW_MS)
+    return rows.select("id", "asked", _r(F.col("relevance")).alias("relevance"), _r(F.col("priority")).alias("priority"))
 
 
 @query("""SELECT id, CASE WHEN timed THEN 'temporal' WHEN complexity = 'complex' THEN 'deep' WHEN complexity = 'simple' THEN 'focused' ELSE 'broad' END AS strategy, CAST(CASE complexity WHEN 'complex' THEN 15 WHEN 'simple' THEN 5 ELSE 10 END AS INTEGER) AS wanted FROM (SELECT id, CASE WHEN %s THEN 'complex' WHEN %s THEN 'moderate' ELSE 'simple' END AS complexity, %s AS timed FROM cues)""" % tuple("(" + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + ")" for ws in (analysis.COMPLEX, analysis.MODERATE, analysis.TIME_WORDS)), ctes=CUES_SQL)
