@@ -22,13 +22,14 @@ from ..storage import fresh_dir, remove
 
 #: Texts of a page, about; pages that a query scores before it skips any; queries that meet a page at once.
 PAGE, FIRST, QUERIES = 1024, 4, 256
-BLOCK = "term string, page bigint, n bigint, most int, least int, ids array<bigint>, tfs array<int>, lengths array<int>"
+BLOCK = "term string, page bigint, n bigint, most int, least int, places array<int>, tfs array<int>, ids array<bigint>, lengths array<int>"
 
 
 @dataclass(frozen=True)
 class Index:
-    """Where the blocks lie (BLOCK: n postings, their greatest count and shortest length), how many texts there are, and
-    their mean length; k1 and b of the scores."""
+    """Where the blocks lie (BLOCK: n postings, their greatest count and shortest length, places in the page and counts; a
+    page's own row has no term, but its texts' ids and lengths), how many texts there are, and their mean length; k1 and
+    b of the scores."""
 
     folder: str
     texts: int
@@ -43,7 +44,7 @@ class Index:
 
 
 def _page(number: int, keys: list[int], counts: list) -> pa.RecordBatch:
-    """Blocks of a page by term, and a row without a term: the page's texts, and in `most` their length in all."""
+    """The page's row, which has no term, and its blocks by term."""
     names = {}
     term = np.array([names.setdefault(t, len(names)) for c in counts for t in c], np.int64)
     size = np.array([c.total() for c in counts], np.int64)
@@ -52,12 +53,13 @@ def _page(number: int, keys: list[int], counts: list) -> pa.RecordBatch:
     by = np.argsort(term, kind="stable")
     term, text, tf = term[by], text[by], tf[by]
     starts = np.searchsorted(term, np.arange(len(names) + 1))
-    lists = lambda values, kind: pa.ListArray.from_arrays(pa.array(np.r_[0, starts], pa.int32()), pa.array(values, kind))
+    ends = pa.array(np.r_[0, starts], pa.int32())
+    lists = lambda values: pa.ListArray.from_arrays(ends, pa.array(values, pa.int32()))
+    own = lambda values, kind: pa.array([values, *[None] * len(names)], pa.list_(kind))
     most = np.maximum.reduceat(tf, starts[:-1]) if len(tf) else tf
     least = np.minimum.reduceat(size[text], starts[:-1]) if len(tf) else tf
     columns = [pa.array([None, *names], pa.string()), pa.array([number] * (len(names) + 1), pa.int64()), pa.array(np.r_[len(counts), np.diff(starts)], pa.int64())]
-    columns += [pa.array(np.r_[int(size.sum()) >> 31, most], pa.int32()), pa.array(np.r_[int(size.sum()) & (2**31 - 1), least], pa.int32())]
-    columns += [lists(np.array(keys, np.int64)[text], pa.int64()), lists(tf, pa.int32()), lists(size[text], pa.int32())]
+    columns += [pa.array(np.r_[0, most], pa.int32()), pa.array(np.r_[0, least], pa.int32()), lists(text), lists(tf), own(keys, pa.int64()), own(size, pa.int32())]
     return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in BLOCK.split(", ")])
 
 
@@ -96,10 +98,10 @@ def build(rows: DataFrame, key: str = "id", text: str = "content", page: int = P
 
     rows.select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(pages, BLOCK).write.parquet(f"{folder}/pages")
     made = spark.read.schema(BLOCK).parquet(f"{folder}/pages")
-    size = F.sum(F.col("most").cast("bigint") * 2**31 + F.col("least"))
+    size = F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda x, y: x + y))
     n, total = made.where("term IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(size, F.lit(0))).first()
     # a term's blocks lie side by side, so that a scan skips files and row groups by their terms
-    made.where("term IS NOT NULL").repartitionByRange("term", "page").sortWithinPartitions("term", "page").write.parquet(f"{folder}/blocks")
+    made.repartitionByRange("term", "page").sortWithinPartitions("term", "page").write.parquet(f"{folder}/blocks")
     remove(spark, f"{folder}/pages")
     return Index(f"{folder}/blocks", n, total / n if n else 0.0, k1, b)
 
@@ -112,22 +114,24 @@ def _scored(index: Index, pages: DataFrame, asked: DataFrame, k: int) -> DataFra
     part = F.pmod(F.xxhash64("query_id"), F.lit(of)).cast("int").alias("part")
     asks = asked.select(part, "term", F.struct("query_id", "idf").alias("ask")).groupBy("part", "term").agg(F.collect_list("ask").alias("asks"))
     wanted = pages.select(part, "page", "query_id").groupBy("part", "page").agg(F.collect_list("query_id").alias("wanted"))
-    blocks = pages.sparkSession.read.schema(BLOCK).parquet(index.folder).where("term IS NOT NULL")
-    met = blocks.select("term", "page", "ids", "tfs", "lengths").join(asks, "term").drop("term").join(wanted.select("part", "page"), ["part", "page"], "left_semi")
-    rows = met.unionByName(wanted, allowMissingColumns=True)
+    blocks = pages.sparkSession.read.schema(BLOCK).parquet(index.folder)
+    met = blocks.where("term IS NOT NULL").select("term", "page", "places", "tfs").join(asks, "term").drop("term").join(wanted.select("part", "page"), ["part", "page"], "left_semi")
+    heads = blocks.where("term IS NULL").select("page", "ids", "lengths").join(wanted, "page")
+    rows = met.unionByName(heads, allowMissingColumns=True)
     k1, b, mean = index.k1, index.b, index.mean or 1.0
 
     def score(group: pa.Table) -> pa.Table:
-        kept = next(x for x in group["wanted"].to_pylist() if x is not None)
-        place = {q: i for i, q in enumerate(kept)}
-        lists = [(ids.values.to_numpy(), tfs.values.to_numpy().astype(float), lengths.values.to_numpy(), asks.as_py()) for ids, tfs, lengths, asks in zip(group["ids"], group["tfs"], group["lengths"], group["asks"], strict=True) if ids.is_valid]
-        texts = np.unique(np.concatenate([np.zeros(0, np.int64), *(x[0] for x in lists)]))
-        total = np.zeros((len(kept), len(texts)))
-        for ids, tf, length, asks in lists:
-            at, weight = np.searchsorted(texts, ids), tf * (k1 + 1) / (tf + k1 * (1 - b + b * (length / mean)))
+        head = next(i for i, x in enumerate(group["wanted"]) if x.is_valid)
+        kept, texts, lengths = group["wanted"][head].as_py(), group["ids"][head].values.to_numpy(), group["lengths"][head].values.to_numpy()
+        place, total = {q: i for i, q in enumerate(kept)}, np.zeros((len(kept), len(texts)))
+        for i, (places, tfs, asks) in enumerate(zip(group["places"], group["tfs"], group["asks"].to_pylist(), strict=True)):
+            if i == head:
+                continue
+            at, tf = places.values.to_numpy(), tfs.values.to_numpy().astype(float)
+            weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * (lengths[at] / mean)))
             for ask in asks:
-                if (i := place.get(ask["query_id"])) is not None:
-                    total[i, at] += ask["idf"] * weight
+                if (row := place.get(ask["query_id"])) is not None:
+                    total[row, at] += ask["idf"] * weight
         out = []
         for q, row in zip(kept, np.round(total, 9), strict=True):
             some = np.flatnonzero(row > 0)
@@ -151,7 +155,7 @@ def bounds(index: Index, queries: DataFrame, text: str = "text") -> tuple[DataFr
     terms = queries.select("query_id", F.explode(term_counts(F.col(text))).alias("t")).select("query_id", F.col("t.term").alias("term")).distinct()
     terms.write.parquet(f"{folder}/terms")
     terms = spark.read.parquet(f"{folder}/terms")
-    heads = spark.read.schema(BLOCK).parquet(index.folder).select("term", "page", "n", "most", "least").join(terms.select("term").distinct(), "term", "left_semi")
+    heads = spark.read.schema(BLOCK).parquet(index.folder).where("term IS NOT NULL").select("term", "page", "n", "most", "least").join(terms.select("term").distinct(), "term", "left_semi")
     heads.write.parquet(f"{folder}/heads")
     heads = spark.read.parquet(f"{folder}/heads")
     df = F.sum("n")
