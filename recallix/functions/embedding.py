@@ -59,8 +59,12 @@ def token_votes(tokens: Iterable[str]) -> str:
     return half * 2
 
 
-def simhash(text: Column) -> Column:
-    """Hash of a text's distinct canonical tokens; without tokens, of the text itself. Null gives null."""
+#: The simhash of no tokens, where all texts without any are to be one.
+NO_BITS = "0" * 16
+
+
+def simhash(text: Column, bare: str | None = None) -> Column:
+    """Hash of a text's distinct canonical tokens; without tokens, `bare` or a hash of the text itself. Null gives null."""
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -68,7 +72,7 @@ def simhash(text: Column) -> Column:
             out = []
             for x in texts.to_pylist():
                 t = canonical_counts(x)
-                out.append(None if x is None else token_votes(t) if t else hashlib.blake2b(x.encode()).hexdigest()[:16])
+                out.append(None if x is None else token_votes(t) if t else bare or hashlib.blake2b(x.encode()).hexdigest()[:16])
             yield pa.array(out, pa.string())
 
     return run.asNondeterministic()(text)

@@ -41,9 +41,10 @@ def insert_missing(state: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return state.unionByName(new.dropDuplicates([key]).join(state.select(key), key, "left_anti"))
 
 
-def deduplicated(rows: DataFrame, boost: float = 0.15) -> DataFrame:
-    """One memory per simhash, the first by time and id; each further arrival adds to its salience, up to 1."""
-    own = rows.withColumn("simhash", simhash(F.col("content")))
+def deduplicated(rows: DataFrame, boost: float = 0.15, bare: str | None = None) -> DataFrame:
+    """One memory per simhash, the first by time and id; each further arrival adds to its salience, up to 1. bare:
+    the simhash of all texts without tokens, by default one each."""
+    own = rows.withColumn("simhash", simhash(F.col("content"), bare))
     first = F.min_by(F.struct("id", "salience"), F.struct("created_at", "id"))
     g = own.groupBy("simhash").agg(first.alias("f"), F.count(F.lit(1)).alias("arrivals"), F.max("created_at").alias("last_seen_at"))
     return g.select(F.col("f.id").alias("id"), "simhash", "arrivals", "last_seen_at", F.least(F.lit(1.0), F.col("f.salience") + boost * (F.col("arrivals") - 1)).alias("salience"))
