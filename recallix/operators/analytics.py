@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DAY_MS, SECTORS
@@ -46,13 +46,18 @@ def session_statistics(events: DataFrame, kinds: list[str]) -> DataFrame:
     return events.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file").alias("files"), *counts)
 
 
-def user_summary(rows: DataFrame, recent: int = 100) -> DataFrame:
-    """Each user's last memories: number, distinct projects and languages in order of first appearance."""
+def user_summary(rows: DataFrame, recent: int = 100, by_name: bool = False) -> DataFrame:
+    """Each user's last memories: number, distinct projects and languages in order of first appearance, or of their
+    names; null where there is none."""
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("created_at"), "id"))
     last = rows.withColumn("_r", rank).where(F.col("_r") <= recent)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("_r", "project_id", "language"))), lambda x: x)
     g = last.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), listed.alias("l"), F.max("created_at").alias("last_active"))
-    names = lambda f: F.array_join(F.array_distinct(F.filter(F.transform("l", lambda x: x[f]), lambda x: x.isNotNull())), ", ")
+
+    def names(f: str) -> Column:
+        found = F.array_distinct(F.filter(F.transform("l", lambda x: x[f]), lambda x: x.isNotNull()))
+        return F.when(F.size(found) > 0, F.array_join(F.array_sort(found) if by_name else found, ", "))
+
     return g.select("user_id", "n", names("project_id").alias("projects"), names("language").alias("languages"), "last_active")
 
 
