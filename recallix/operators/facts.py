@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,10 @@ from .scope import like, of_project, of_user, valid_at, valid_in
 from .versions import Versions
 
 
+class BadFact(ValueError):
+    """A batch has a fact that cannot be inserted."""
+
+
 #: What names a fact: its owner, subject and predicate.
 KEY = ("user_id", "subject", "predicate")
 
@@ -47,8 +54,14 @@ def checked(new: DataFrame) -> DataFrame:
 
 
 def insert_batch(tables: Versions, new: DataFrame, table: str = "facts") -> int:
-    """Insert a batch of facts in one step: all of them, or none where one is bad or a task fails."""
-    return tables.transact(lambda read: {table: insert_facts(read(table), checked(new))})
+    """Insert a batch of facts in one step: all of them, or none where one is bad (BadFact) or a task fails. Stages that
+    meet bad facts at the same time fail in Spark with an error that it does not name, so that the message decides."""
+    try:
+        return tables.transact(lambda read: {table: insert_facts(read(table), checked(new))})
+    except (PySparkException, Py4JJavaError) as e:
+        if found := re.search(r"bad fact: (?:-?\d+|no id)", str(e)):
+            raise BadFact(found[0]) from e
+        raise
 
 
 def by_id(facts: DataFrame, ids: DataFrame, user: str, project: str | None = None) -> DataFrame:
