@@ -9,12 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..batches import BATCH_BYTES, BATCH_ROWS, short_batches
 from ..storage import fresh_dir, shared_dir
 
-__all__ = ["fresh_dir", "shared_dir"]
-
-#: Most rows and bytes of one Arrow batch: documents may be long, so batches are kept short.
-BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "fresh_dir", "shared_dir", "short_batches"]
 
 
 #: Rows and bytes of one file of an intermediate table, at least.
@@ -46,15 +44,6 @@ def cut_lineage(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df.coalesce(file_count(spark, rows, None if rows is not None else plan_size(df))).checkpoint(eager=True)
 
 
-def short_batches(spark: SparkSession) -> None:
-    """Bound an Arrow batch by rows and by bytes, where the session allows more. The settings count when a plan runs,
-    so they stay; tighter ones of the caller's are kept."""
-    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        now = int(re.sub(r"\D", "", spark.conf.get(f"spark.sql.execution.arrow.{name}")) or 0)
-        if not 0 < now <= most:
-            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
-
-
 def with_struct(df: DataFrame, call, names: list[str]) -> DataFrame:
     """Add the fields of the struct column `call`; they replace columns of the same name."""
     keep = [c for c in df.columns if c.lower() not in {n.lower() for n in names}]

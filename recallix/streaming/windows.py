@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..batches import short_batches
 from ..storage import fresh_dir
 
 
@@ -61,6 +62,7 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 def opened(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table's files as a stream."""
+    short_batches(spark)
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
     rows = spark.readStream.schema(schema).parquet(f"{folder}/{name}.parquet*")
     return rows.withColumn("ts", F.col("ts").cast("timestamp")) if dict(rows.dtypes).get("ts") == "timestamp_ntz" else rows
