@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..batches import short_batches
+
 #: Vectors of one block.
 BLOCK = 1024
 
@@ -41,11 +43,11 @@ def similarities(rows: DataFrame, queries: DataFrame, key: str = "id", vector: s
     @F.arrow_udf(kind)
     def meet(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
-            out = [_best(_matrix(qs), _matrix(rs), k, include_self, least, _floors(qs) if floor else None) for qs, rs in zip(left, right, strict=True)]
-            ends = np.cumsum([0, *(len(x[0]) for x in out)])
-            fields = [pa.array(np.concatenate([np.zeros(0, t), *(x[i] for x in out)])) for i, t in enumerate((np.int64, np.int64, float))]
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["q", "k", "s"]))
+            for qs, rs in zip(left, right, strict=True):  # a pair of blocks at a time leaves the task
+                found = _best(_matrix(qs), _matrix(rs), k, include_self, least, _floors(qs) if floor else None)
+                yield pa.ListArray.from_arrays(pa.array([0, len(found[0])], pa.int32()), pa.StructArray.from_arrays(list(map(pa.array, found)), ["q", "k", "s"]))
 
+    short_batches(rows.sparkSession)
     r = blocks(rows, key, vector, by).select(by, "block", "of", F.col("rows").alias("rs"))
     parts = r.groupBy(by).agg(F.max("of").alias("parts"))
     q = blocks(queries, query_key, vector, by, floor=floor).select(by, F.col("rows").alias("qs")).join(parts, by)

@@ -40,3 +40,11 @@ def test_batches_of_given_tables_are_short(spark, long_batches):
 
 def test_a_single_file_is_many_tasks(spark):
     assert derive.cue_texts(spark, SF).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_blocks_meet_in_short_batches(spark, long_batches):
+    from recallix.operators import search
+
+    rows = spark.createDataFrame([(i, "s", [float(i), 1.0]) for i in range(20)], "id long, sector string, v array<double>")
+    met = search.similarities(rows, rows.where("id < 2").withColumnRenamed("id", "query_id"))
+    assert met.count() == 40 and int(spark.conf.get(ROWS)) <= 256
