@@ -48,3 +48,10 @@ def test_blocks_meet_in_short_batches(spark, long_batches):
     rows = spark.createDataFrame([(i, "s", [float(i), 1.0]) for i in range(20)], "id long, sector string, v array<double>")
     met = search.similarities(rows, rows.where("id < 2").withColumnRenamed("id", "query_id"))
     assert met.count() == 40 and int(spark.conf.get(ROWS)) <= 256
+
+
+@pytest.mark.parametrize("name", ["synthetic_embedding"])
+def test_work_on_whole_memories_is_spread(spark, name):
+    from recallix.plans import more, queries  # noqa: F401 - the other registers its queries
+
+    assert queries.QUERIES[name](spark, SF).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
