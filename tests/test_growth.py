@@ -50,7 +50,7 @@ def test_blocks_meet_in_short_batches(spark, long_batches):
     assert met.count() == 40 and int(spark.conf.get(ROWS)) <= 256
 
 
-@pytest.mark.parametrize("name", ["synthetic_embedding"])
+@pytest.mark.parametrize("name", ["synthetic_embedding", "fingerprint_vector", "embed_variants", "memory_quality"])
 def test_work_on_whole_memories_is_spread(spark, name):
     from recallix.plans import more, queries  # noqa: F401 - the other registers its queries
 
