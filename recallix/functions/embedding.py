@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,13 +14,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import EMBED_WEIGHT
-from .text import canonical_counts, canonical_list
+from .text import HEAD, SYNONYMS, canonical_counts, canonical_list
 
 
 def _units(text: str) -> list[int]:
     """UTF-16 code units, over which the hashes run."""
-    raw = text.encode("utf-16-le", "surrogatepass")
-    return [raw[i] | raw[i + 1] << 8 for i in range(0, len(raw), 2)]
+    return np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2").tolist()
 
 
 def fnv1a(text: str) -> int:
@@ -104,9 +104,14 @@ class _Features:
         self.size += len(raw)
         return self.size - len(raw)
 
+    def seed(self, prefix: str) -> np.ndarray:
+        return np.array(self.known.get(prefix) or self.known.setdefault(prefix, _prefix(prefix)), np.uint32)
+
     def add(self, prefix: str, starts: np.ndarray, lengths: np.ndarray) -> None:
-        seed = self.known.get(prefix) or self.known.setdefault(prefix, _prefix(prefix))
-        self.seeds.append(np.broadcast_to(np.array(seed, np.uint32), (len(starts), 2)))
+        self.add_each(np.broadcast_to(self.seed(prefix), (len(starts), 2)), starts, lengths)
+
+    def add_each(self, seeds: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        self.seeds.append(seeds)
         self.starts.append(starts)
         self.lengths.append(lengths)
 
@@ -193,21 +198,75 @@ def synthetic_many(rows: list[tuple[list[str], str]], dim: int) -> list[np.ndarr
     return out
 
 
+def plain_many(rows: list[tuple[list[str], str]], dim: int) -> list[np.ndarray]:
+    """The smaller variant for many (tokens, sector): tokens with their synonyms, character triples, pairs of neighbours
+    and positions."""
+    f, weights = _Features(), []
+    for tokens, sector in rows:
+        if not tokens:
+            weights.append(None)
+            continue
+        every = [x for t in tokens for x in (t, *_OTHERS.get(t, ()))]
+        n, sw, counts = len(every), EMBED_WEIGHT.get(sector, 1.0), Counter(every)
+        of = {c: (c / n * math.log(1 + n / c) + 1) * sw for c in set(counts.values())}
+        w = np.array([of[c] for c in counts.values()])
+        size = np.array([_wide(t) for t in counts])
+        at = f.put("_".join(counts)) + np.cumsum(size + 1) - size - 1
+        # each token's own stretches in turn: itself, its triples
+        number = 1 + np.maximum(0, size - 2)
+        owner = np.repeat(np.arange(len(size)), number)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
+        part = place > 0
+        f.add_each(np.where(part, f.seed(f"{sector}|c3|")[:, None], f.seed(f"{sector}|tok|")[:, None]).T, at[owner] + np.where(part, place - 1, 0), np.where(part, 3, size[owner]))
+        own, m = [np.where(part, w[owner] * 0.4, w[owner])], len(tokens)
+        if m > 1:
+            sizes = np.array([_wide(t) for t in tokens])
+            starts = f.put("_".join(tokens)) + np.cumsum(sizes + 1) - sizes - 1
+            f.add(f"{sector}|bi|", starts[:-1], starts[1:] + sizes[1:] - starts[:-1])
+            own.append(1.4 * sw / (1 + np.arange(m - 1) * 0.1))
+        weights.append((np.concatenate(own), min(m, 50), 0.5 * sw / math.log(1 + n)))
+    h, g = f.hashes() if f.starts else (np.zeros(0, np.uint32), np.zeros(0, np.uint32))
+    out, low = [], 0
+    for row in weights:
+        if row is None:
+            out.append(np.full(dim, 1 / math.sqrt(dim), np.float32))
+            continue
+        w, m, part = row
+        mine = slice(low, low + len(w))
+        low += len(w)
+        value = np.where(h[mine] & 1, -w, w)
+        v = np.zeros(dim, np.float32)
+        np.add.at(v, np.stack([h[mine] % dim, g[mine] % dim], 1).ravel(), np.stack([value, value * 0.5], 1).astype(np.float32).ravel())
+        wave, sin, cos = (x[:m] for x in _waves(dim))
+        np.add.at(v, np.stack([wave, (wave + 1) % dim], 1).ravel(), np.stack([part * sin, part * cos], 1).astype(np.float32).ravel())
+        norm = np.linalg.norm(v)
+        out.append(v / norm if norm else v)
+    return out
+
+
+#: What stands beside a token that heads a group of synonyms.
+_OTHERS = {g[0]: [HEAD.get(x, x) for x in g] for g in SYNONYMS}
+
+
+def _wide(token: str) -> int:
+    return len(token) if token.isascii() else len(token.encode("utf-16-le", "surrogatepass")) // 2
+
+
 def synthetic(tokens: list[str], sector: str, dim: int) -> np.ndarray:
     return synthetic_many([(tokens, sector)], dim)[0]
 
 
-def vectors_of(rows: list[tuple[str | None, str]], dim: int, most: int = 20_000) -> Iterator[np.ndarray]:
-    """synthetic() of (text, sector), hashed together in runs of about so many tokens."""
+def vectors_of(rows: Iterable[tuple[str | None, str]], dim: int, most: int = 20_000, many=synthetic_many) -> Iterator[np.ndarray]:
+    """synthetic(), or what many gives, of (text, sector), hashed together in runs of about so many tokens."""
     run, held = [], 0
     for text, sector in rows:
         tokens = canonical_list(text)
         if run and held + len(tokens) > most:
-            yield from synthetic_many(run, dim)
+            yield from many(run, dim)
             run, held = [], 0
         run.append((tokens, sector))
         held += len(tokens)
-    yield from synthetic_many(run, dim)
+    yield from many(run, dim)
 
 
 def synthetic_embedding(text: Column, sector: Column, dim: int = 256) -> Column:

@@ -4,9 +4,7 @@ are put into the registry by the caller; an embedder that fails gives way to the
 from __future__ import annotations
 
 import hashlib
-import math
 import time
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import EMBED_WEIGHT, SECTORS
-from .embedding import fnv1a, mixed, synthetic, vectors_of
+from ..config import SECTORS
+from .embedding import plain_many, synthetic, synthetic_many, vectors_of
 from .passages import chunked
-from .text import HEAD, SYNONYMS, canonical_list
+from .text import canonical_list
 
 Embedder = Callable[[str, str, int], np.ndarray]
 #: Fixed value: the dimension unless another is asked for.
@@ -37,36 +35,12 @@ def by_digest(text: str, sector: str, dim: int) -> np.ndarray:
 
 def by_plain_features(text: str, sector: str, dim: int) -> np.ndarray:
     """The smaller variant: tokens with their synonyms, character triples, pairs of neighbours and positions."""
-    tokens = canonical_list(text)
-    if not tokens:
-        return np.full(dim, 1 / math.sqrt(dim), np.float32)
-    groups = {g[0]: g for g in SYNONYMS}
-    every = [x for t in tokens for x in (t, *(HEAD.get(s, s) for s in groups.get(t, ())))]
-    n, sw, v = len(every), EMBED_WEIGHT.get(sector, 1.0), np.zeros(dim, np.float32)
-
-    def add(feature: str, w: float) -> None:
-        h, g = fnv1a(f"{sector}|{feature}"), mixed(f"{sector}|{feature}")
-        value = -w if h & 1 else w
-        v[h % dim] += value
-        v[g % dim] += value * 0.5
-
-    for t, c in Counter(every).items():
-        w = (c / n * math.log(1 + n / c) + 1) * sw
-        add(f"tok|{t}", w)
-        for i in range(len(t) - 2):
-            add(f"c3|{t[i : i + 3]}", w * 0.4)
-    for i, (a, b) in enumerate(zip(tokens, tokens[1:], strict=False)):
-        add(f"bi|{a}_{b}", 1.4 * sw / (1 + i * 0.1))
-    for i in range(min(len(tokens), 50)):
-        at = i % dim
-        angle = i / 10000 ** (2 * at / dim)
-        v[at] += 0.5 * sw / math.log(1 + n) * math.sin(angle)
-        v[(at + 1) % dim] += 0.5 * sw / math.log(1 + n) * math.cos(angle)
-    norm = np.linalg.norm(v)
-    return v / norm if norm else v
+    return plain_many([(canonical_list(text), sector)], dim)[0]
 
 
 REGISTRY: dict[str, Embedder] = {"synthetic": by_features, "plain": by_plain_features, "local": by_digest}
+#: Embedders that take many (tokens, sector) at once.
+MANY = {by_features: synthetic_many, by_plain_features: plain_many}
 
 
 def bucketed(v: np.ndarray, n: int) -> np.ndarray:
@@ -114,6 +88,16 @@ def embedded(text: str, sector: str, tier: str = "hybrid", chain: tuple[str, ...
     return v
 
 
+def embedded_many(rows: list[tuple[str, str]], tier: str, chain: tuple[str, ...], dim: int) -> Iterator[np.ndarray]:
+    """embedded() of many (text, sector), together where their embedder takes many."""
+    if is_synthetic(tier, chain):
+        return vectors_of(rows, dim)
+    first = next((REGISTRY[name] for name in chain if name in REGISTRY), by_features)
+    if tier == "smart" or first not in MANY:
+        return (embedded(x, s, tier, chain, dim) for x, s in rows)
+    return (v.astype(float) for v in vectors_of(rows, dim, many=MANY[first]))
+
+
 def pooled(vectors: list[np.ndarray]) -> np.ndarray:
     """The mean of a text's chunks, as it is."""
     return np.mean(vectors, axis=0)
@@ -129,7 +113,7 @@ def embed_text(text: Column, sector: Column, tier: str = "hybrid", chain: tuple[
             asked = [(x, s) for xs, s in zip(parts, sectors.to_pylist(), strict=True) for x in xs]
             if unknown := {s for _, s in asked}.difference(SECTORS):
                 raise ValueError(f"unknown sectors: {sorted(map(str, unknown))}")
-            found = iter(vectors_of(asked, dim) if is_synthetic(tier, chain) else (embedded(x, s, tier, chain, dim) for x, s in asked))
+            found = iter(embedded_many(asked, tier, chain, dim))
             yield pa.array([pooled([next(found) for _ in xs]).astype(np.float32) for xs in parts], pa.list_(pa.float32()))
 
     return run.asNondeterministic()(text, sector)

@@ -531,7 +531,7 @@ def text_spans(spark, d):
 
 @query(None)
 def memory_quality(spark, d):
-    m = derive.memories(spark, d).select("id", reading.quality_of(F.col("content"), F.col("salience")).alias("q"))
+    m = derive.whole_memories(spark, d).select("id", reading.quality_of(F.col("content"), F.col("salience")).alias("q"))
     return m.select("id", "q.valid", F.array_join("q.issues", "; ").alias("issues"), _r(F.col("q.score")).alias("score"))
 
 
@@ -610,7 +610,7 @@ def memory_update(spark, d):
 @query(None)
 def embed_variants(spark, d):
     """The plain variant and the one from digests, in eight components."""
-    m = derive.memories(spark, d).select("id", F.col("content").alias("t"), "sector")
+    m = derive.whole_memories(spark, d).select("id", F.col("content").alias("t"), "sector")
     return m.select("id", providers.embed_text(F.col("t"), F.col("sector"), "deep", ("plain",), 8).alias("plain"), providers.embed_text(F.col("t"), F.col("sector"), "deep", ("missing", "local"), 8).alias("digest"))
 
 

@@ -55,3 +55,21 @@ def test_work_on_whole_memories_is_spread(spark, name):
     from recallix.plans import more, queries  # noqa: F401 - the other registers its queries
 
     assert queries.QUERIES[name](spark, SF).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_plain_embedder_takes_many():
+    from recallix.functions import embedding, providers
+
+    rows = [("dark mode preferred by users 日本語の文章", "semantic"), ("", "episodic"), ("meeting meeting at noon", "emotional"), ("ab", "procedural")]
+    many = list(providers.embedded_many(rows, "deep", ("missing", "plain"), 8))
+    assert embedding.plain_many in providers.MANY.values()
+    for (text, sector), v in zip(rows, many, strict=True):
+        assert np.array_equal(v, providers.embedded(text, sector, "deep", ("plain",), 8))
+    # one token: itself, and its position
+    v, w = np.zeros(8, np.float32), float(embedding.EMBED_WEIGHT["procedural"])
+    h, g = embedding.fnv1a("procedural|tok|ab"), embedding.mixed("procedural|tok|ab")
+    value = (np.log(2) + 1) * w * (-1 if h & 1 else 1)
+    v[h % 8] += value
+    v[g % 8] += value / 2
+    v[1] += 0.5 * w / np.log(2)
+    assert np.allclose(many[3], v / np.linalg.norm(v), atol=1e-6)
