@@ -73,3 +73,20 @@ def test_plain_embedder_takes_many():
     v[g % 8] += value / 2
     v[1] += 0.5 * w / np.log(2)
     assert np.allclose(many[3], v / np.linalg.norm(v), atol=1e-6)
+
+
+ODD = [None, "", "ſaw it; ſtep by ſtep", "Kelvin Know", "I\x0bwas\x0bmet at\x0b10:30 on\x0bmonday", "我\r去了 我们abc\n去了 我们ab看到", "foo_yesterday yesterday_ éyesterday", "我\u0085去了!! 2024年1月2日", "Yesterday I learned THE fact. How to run it, step by step!", "JANUARY 12 what did we do 20240131"]
+
+
+def test_classifier_reads_texts_by_arrow(spark):
+    from recallix.config import SECTOR_WEIGHT, SECTORS
+    from recallix.functions import text
+
+    df = texts(spark, ODD)
+    scores = df.select("id", text.sector_scores(F.col("t")).alias("s"), text.has_temporal_marker(F.col("t")).alias("m"))
+    assert "RLIKE" not in scores._jdf.queryExecution().optimizedPlan().toString().upper()
+    one = lambda r: F.when(F.col("t").rlike(text.pattern(*r[1:])), float(r[0])).otherwise(0.0)
+    want = df.select("id", F.array(*[sum(map(one, text.RULES[s]), F.lit(0.0)) * SECTOR_WEIGHT[s] for s in SECTORS]).alias("s"))
+    got = {r.id: r for r in scores.collect()}
+    assert {r.id: r.s for r in want.collect()} == {i: r.s for i, r in got.items()}
+    assert [got[i].m for i in (0, 1, 6, 8, 9)] == [None, False, True, True, True]
