@@ -90,3 +90,19 @@ def test_classifier_reads_texts_by_arrow(spark):
     got = {r.id: r for r in scores.collect()}
     assert {r.id: r.s for r in want.collect()} == {i: r.s for i, r in got.items()}
     assert [got[i].m for i in (0, 1, 6, 8, 9)] == [None, False, True, True, True]
+
+
+def test_compression_reads_texts_by_arrow(spark):
+    from recallix.functions import compression
+
+    long = "We met. we MET. We really do not know ( it ) ; the cat,  the dog. " + "It is fine. " * 4000
+    rows = [None, "short", long, "See https://www.a.org/x\x0by for the JavaScript function.\n\n\n  end  \n It is just\x0bso  long that it counts"]
+    c = F.col("t")
+    df = texts(spark, rows).select("id", compression.chosen(c).alias("n"), compression.semantic(c).alias("s"), compression.compressed(c, compression.chosen(c)).alias("c"), compression.metrics(c, compression.semantic(c)).alias("m"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
+    none, short, got, code = df.orderBy("id").collect()
+    assert (none.n, none.s, none.c) == ("syntactic", None, None) and (short.n, short.s, short.c) == ("semantic", "short", "short")
+    assert got.n == "semantic" and got.s == got.c == "We met. We do not know ( it ) ; the cat, the dog. It is fine."
+    assert code.n == "aggressive" and code.c == "See a.org y for the JS fn. end it's so long that it counts"
+    assert got.m.before == -(-(len(long) + 2 * len(long.split())) // 4) and got.m.saved == got.m.before - got.m.after
