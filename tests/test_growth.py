@@ -106,3 +106,53 @@ def test_compression_reads_texts_by_arrow(spark):
     assert got.n == "semantic" and got.s == got.c == "We met. We do not know ( it ) ; the cat, the dog. It is fine."
     assert code.n == "aggressive" and code.c == "See a.org y for the JS fn. end it's so long that it counts"
     assert got.m.before == -(-(len(long) + 2 * len(long.split())) // 4) and got.m.saved == got.m.before - got.m.after
+
+
+def plainly_ranked(text, n):
+    """Key phrases by a search of the whole text for each."""
+    from recallix.functions import reading
+
+    scores = {}
+    for s in reading.sentences(text):
+        for p in reading.phrases(s):
+            at = text.lower().find(p)
+            capital = any("A" <= c <= "Z" for c in text[max(0, at - 1) : max(0, at + len(p) + 1)])
+            scores[p] = scores.get(p, 0.0) + (1 + p.count(" ")) * (1.5 if capital else 1.0)
+    return sorted(scores, key=lambda k: -scores[k])[:n]
+
+
+def test_key_phrases_search_a_text_once():
+    import random
+
+    from recallix.functions import reading
+
+    rng = random.Random(4)
+    some = ["art", "smart", "art_", "good", "goodness", "Good", "the", "day", "days", "ARTday"]
+    for size in [3, 30, 400] * 30:
+        text = "".join(rng.choice(some) + rng.choice([" ", " ", "  ", ". ", ", "]) for _ in range(size))
+        assert reading.key_phrases(text, 5) == plainly_ranked(text, 5)
+        few = list(dict.fromkeys(p for s in reading.sentences(text) for p in reading.phrases(s)))
+        assert reading.first_places(text.lower(), few) == {p: at for p in few if (at := text.lower().find(p)) >= 0}
+
+    class Counted(str):
+        searched = 0
+
+        def find(self, *a):
+            Counted.searched += 1
+            return super().find(*a)
+
+        def lower(self):
+            return Counted(super().lower())
+
+    reading.key_phrases(Counted(" ".join(f"word{i}" for i in range(2000)) + " End"), 5)
+    assert Counted.searched <= 64
+
+
+def test_density_counts_three_phrases(monkeypatch):
+    from recallix.functions import reading
+
+    monkeypatch.delattr(reading, "key_phrases")
+    t = "Big cats sleep. Big cats sleep well here."
+    assert reading.density(t) == min(1.0, reading.diversity(t) * (1 + len(reading.entities(t)) * 0.1) * 1.15)
+    assert reading.density("word") == 1.0 and reading.density("") == 0.0
+    assert reading.quality("Big cats sleep well here tonight.", 0.5) == (True, [], 1.0)
