@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .text import STOP_WORDS
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
-_STOP = set(STOP_WORDS)
+_STOP, _WORD = set(STOP_WORDS), re.compile("[a-z0-9]+")
 
 #: What makes a sentence worth keeping, and how much.
 CUES = [
@@ -86,7 +86,7 @@ def essence(text: str, most: int = 200) -> str:
 
 def frequent_words(text: str, k: int) -> list[str]:
     """The k most frequent words that are no stop words, ties in alphabetical order."""
-    n = Counter(w for w in re.findall("[a-z0-9]+", text.lower()) if w not in _STOP)
+    n = Counter(w for w in _WORD.findall(text.lower()) if w not in _STOP)
     return [w for w, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:k]]
 
 
@@ -96,7 +96,8 @@ def summary(text: str) -> str:
     sentences = [s for s in _SENTENCE.split(text) if s]
     if not sentences:
         return text
-    score = [len(frequent_words(s, 6)) + min(3, len(re.findall("[,;:]", s))) for s in sentences]
+    own = lambda s: len(set(_WORD.findall(s.lower())) - _STOP)
+    score = [min(6, own(s)) + min(3, s.count(",") + s.count(";") + s.count(":")) for s in sentences]
     best = sorted(range(len(sentences)), key=lambda i: -score[i])[: min(3, -(-len(sentences) // 3))]
     return " ".join(sentences[i] for i in sorted(best)) or sentences[0]
 

@@ -156,3 +156,11 @@ def test_density_counts_three_phrases(monkeypatch):
     assert reading.density(t) == min(1.0, reading.diversity(t) * (1 + len(reading.entities(t)) * 0.1) * 1.15)
     assert reading.density("word") == 1.0 and reading.density("") == 0.0
     assert reading.quality("Big cats sleep well here tonight.", 0.5) == (True, [], 1.0)
+
+
+def test_summary_does_not_rank_words(monkeypatch):
+    from recallix.functions import passages
+
+    monkeypatch.delattr(passages, "frequent_words")
+    t = "One two. Red green blue; black, white. The of and. Ten ten ten. A long sentence with many different words, here. Six. End."
+    assert passages.summary(t) == "One two. Red green blue; black, white. A long sentence with many different words, here."
