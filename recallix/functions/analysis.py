@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _LEFT, _RIGHT, let
+from .patterns import re2
+from .text import WORDS, by_text, let
 
 #: Words that the analysis leaves out, and its word lists.
 STOP_WORDS = "a an and are as at be by for from has he in is it its of on that the to was will with i you me my we our this these those can do have had been being but or if than because while where after so though since until whether before although nor like once unless now except also into over such then them same only may must shall".split()
@@ -48,9 +53,17 @@ def _has(text: Column, parts: list[str]) -> Column:
 
 def intent(text: Column) -> Column:
     """The kind whose first match is longest, the earlier kind on ties; factual where none matches."""
-    found = F.array(*[F.struct(F.length(F.regexp_extract(text, f"(?i)({p})", 1)).alias("n"), F.lit(-i).alias("order"), F.lit(k).alias("kind")) for i, (k, p) in enumerate(INTENTS.items())])
-    best = F.array_max(found)
-    return F.when(best["n"] > 0, best["kind"]).otherwise("factual")
+    kinds, patterns = [*INTENTS, "factual"], [f"(?P<m>{re2(p)})" for p in INTENTS.values()]
+
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = [pc.utf8_length(pc.struct_field(pc.extract_regex(texts, p), "m")) for p in patterns]
+            length = np.stack([pc.fill_null(n, 0).to_numpy(zero_copy_only=False) for n in found])
+            best = np.where(length.max(0) > 0, length.argmax(0), len(patterns))
+            yield pa.array([kinds[i] for i in best], pa.string())
+
+    return run.asNondeterministic()(text)
 
 
 def form(text: Column) -> Column:
@@ -63,6 +76,20 @@ def complexity(text: Column) -> Column:
     return F.when(_has(t, COMPLEX), "complex").when(_has(t, MODERATE), "moderate").otherwise("simple")
 
 
+def traits(text: Column) -> Column:
+    """struct of hard, a text's complexity(), and timed, whether it holds one of the time_words(). Null counts as empty."""
+
+    @F.arrow_udf("struct<hard:string,timed:boolean>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            lower = [(x or "").lower() for x in texts.to_pylist()]
+            any_of = lambda parts: [any(p in x for p in parts) for x in lower]
+            hard = ["complex" if c else "moderate" if m else "simple" for c, m in zip(any_of(COMPLEX), any_of(MODERATE), strict=True)]
+            yield pa.StructArray.from_arrays([pa.array(hard, pa.string()), pa.array(any_of(TIME_WORDS), pa.bool_())], ["hard", "timed"])
+
+    return run.asNondeterministic()(text)
+
+
 def time_scope(text: Column) -> Column:
     t = F.lower(text)
     return F.when(_has(t, PAST), "past").when(_has(t, FUTURE), "future").when(_has(t, PRESENT), "present").otherwise("general")
@@ -75,10 +102,16 @@ def time_words(text: Column) -> Column:
 
 def sentiment(text: Column) -> Column:
     """polarity and intensity: ten times the share of words of feeling, at most 1."""
-    w = words(text)
-    good, bad = F.size(F.filter(w, lambda x: x.isin(*POSITIVE))), F.size(F.filter(w, lambda x: x.isin(*NEGATIVE)))
-    polarity = F.when(good > bad, "positive").when(bad > good, "negative").otherwise("neutral")
-    return F.struct(polarity.alias("polarity"), F.when(good + bad == 0, 0.0).otherwise(F.least(F.lit(1.0), (good + bad) / F.size(w) * 10)).alias("intensity"))
+    from .reading import words as listed
+
+    good_ones, bad_ones = frozenset(POSITIVE), frozenset(NEGATIVE)
+
+    def of(x: str) -> dict:
+        w = listed(x)
+        good, bad = sum(t in good_ones for t in w), sum(t in bad_ones for t in w)
+        return {"polarity": "positive" if good > bad else "negative" if bad > good else "neutral", "intensity": min(1.0, (good + bad) / len(w) * 10) if good + bad else 0.0}
+
+    return by_text(text, of, "struct<polarity:string,intensity:double>", pa.struct([("polarity", pa.string()), ("intensity", pa.float64())]))
 
 
 def markers(text: Column, kind: str) -> Column:
@@ -89,8 +122,9 @@ def markers(text: Column, kind: str) -> Column:
 
 def entities(text: Column) -> Column:
     """Capitalized runs, quoted passages, acronyms and dates, each once."""
-    every = lambda p, g=0: F.regexp_extract_all(text, F.lit(p), F.lit(g))
-    return F.array_distinct(F.concat(every(_LEFT + r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*" + _RIGHT), every(r'"([^"]+)"', 1), every(_LEFT + r"[A-Z]{2,}" + _RIGHT), every(_LEFT + r"\d{1,2}/\d{1,2}/\d{2,4}" + _RIGHT)))
+    from .reading import named
+
+    return by_text(text, named, "array<string>", WORDS)
 
 
 def ngrams(w: Column, n: int) -> Column:

@@ -164,3 +164,15 @@ def test_summary_does_not_rank_words(monkeypatch):
     monkeypatch.delattr(passages, "frequent_words")
     t = "One two. Red green blue; black, white. The of and. Ten ten ten. A long sentence with many different words, here. Six. End."
     assert passages.summary(t) == "One two. Red green blue; black, white. A long sentence with many different words, here."
+
+
+def test_strategy_reads_a_text_once(spark):
+    from recallix.functions import analysis
+    from recallix.operators import insight
+
+    rows = ["", "How do I analyze the plan tomorrow?", "Explain why it feels sad", "HOW\x0bTO guide", "just a list", "Kelvin weeK: last weeK", "ſteps remember"]
+    df = texts(spark, rows).select("id", insight.strategy(F.col("t")).alias("s"), analysis.intent(F.col("t")).alias("k"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan and plan.count("contains(") == 0
+    got = {r.id: (r.s.strategy, r.s.wanted, r.k, r.s.sectors[0]) for r in df.collect()}
+    assert got == {0: ("focused", 5, "factual", "semantic"), 1: ("temporal", 15, "procedural", "procedural"), 2: ("broad", 10, "factual", "semantic"), 3: ("broad", 10, "procedural", "procedural"), 4: ("focused", 5, "factual", "semantic"), 5: ("temporal", 5, "factual", "episodic"), 6: ("focused", 5, "episodic", "episodic")}
