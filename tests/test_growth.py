@@ -176,3 +176,16 @@ def test_strategy_reads_a_text_once(spark):
     assert "regexp_extract" not in plan and plan.count("contains(") == 0
     got = {r.id: (r.s.strategy, r.s.wanted, r.k, r.s.sectors[0]) for r in df.collect()}
     assert got == {0: ("focused", 5, "factual", "semantic"), 1: ("temporal", 15, "procedural", "procedural"), 2: ("broad", 10, "factual", "semantic"), 3: ("broad", 10, "procedural", "procedural"), 4: ("focused", 5, "factual", "semantic"), 5: ("temporal", 5, "factual", "episodic"), 6: ("focused", 5, "episodic", "episodic")}
+
+
+def test_sentiment_reads_a_text_once(spark):
+    from recallix.functions import analysis
+
+    rows = [None, "", "happy day at home with great joy", "bad bad good news", 'Alice Smith met "the\nteam" at NASA 1/2/2024 and NASA', "New\x0bYork City_ éParis"]
+    df = texts(spark, rows).select("id", analysis.sentiment(F.col("t")).alias("s"), analysis.entities(F.col("t")).alias("e"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "split(" not in plan
+    got = df.orderBy("id").collect()
+    assert got[0].s is None and got[0].e is None and tuple(got[1].s) == ("neutral", 0.0)
+    assert tuple(got[2].s) == ("positive", 1.0) and tuple(got[3].s) == ("negative", 1.0)
+    assert got[4].e == ["Alice Smith", "the\nteam", "NASA", "1/2/2024"] and got[5].e == ["New\x0bYork", "Paris"]
