@@ -189,3 +189,24 @@ def test_sentiment_reads_a_text_once(spark):
     assert got[0].s is None and got[0].e is None and tuple(got[1].s) == ("neutral", 0.0)
     assert tuple(got[2].s) == ("positive", 1.0) and tuple(got[3].s) == ("negative", 1.0)
     assert got[4].e == ["Alice Smith", "the\nteam", "NASA", "1/2/2024"] and got[5].e == ["New\x0bYork", "Paris"]
+
+
+def test_facts_of_a_lane_leave_a_batch_once(spark, tmp_path):
+    """Many keys share a lane, whose rows come in several Arrow batches."""
+    from recallix.operators import facts
+    from recallix.streaming import stateful
+
+    kind = "id long, user_id string, subject string, predicate string, object string, valid_from long"
+    rows = [(i, None if i % 5 == 0 else f"u{i % 3}", f"s{i % 4}", "p", None if i % 7 == 0 else "o", i * 37 % 101 * 86_400_000) for i in range(300)]
+    for part in (rows[::2], rows[1::2]):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(str(tmp_path))
+    before = spark.conf.get(ROWS)
+    spark.conf.set(ROWS, "16")
+    try:
+        stream = stateful.fact_history(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path)), lanes=2)
+        columns = ["id", "user_id", "subject", "predicate", "object", "valid_from", "valid_to"]
+        got = stateful.latest(stream, ["id"]).select(columns).collect()
+    finally:
+        spark.conf.set(ROWS, before)
+    want = facts.close_intervals(spark.createDataFrame(rows, kind)).select(columns).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
