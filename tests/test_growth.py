@@ -210,3 +210,18 @@ def test_facts_of_a_lane_leave_a_batch_once(spark, tmp_path):
         spark.conf.set(ROWS, before)
     want = facts.close_intervals(spark.createDataFrame(rows, kind)).select(columns).collect()
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_text_sentiment_hands_a_text_to_python_once(spark):
+    """One step of Python for both results, whose values are those of each alone; other characters part words."""
+    from recallix.functions import analysis, reading
+    from recallix.plans import queries
+
+    plan = queries.text_sentiment(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython ") == 1
+    rows = [None, "", "goodK good\x1cgoodé bad_ GOOD İgood", "happinesſ sad\xa0SAD ABCd NASA Abc Def1 Ab CD", 'x/y "a"b" 1/2/2024 11/2/20245 éNASA _NASA A1']
+    t = F.col("t")
+    got = texts(spark, rows).select("id", analysis.tone(t).alias("t"), analysis.sentiment(t).alias("s"), F.size(analysis.entities(t)).alias("n")).orderBy("id").collect()
+    assert got[0].t is None and all((r.t.polarity, r.t.intensity, r.t.entities) == (*r.s, r.n) for r in got[1:])
+    assert [(r.s.polarity, r.n) for r in got[1:]] == [("neutral", 0), ("positive", 1), ("negative", 5), ("neutral", 3)]
+    assert reading.words(rows[2]) == ["goodk", "good", "good", "bad_", "good", "good"] and reading.named(rows[3]) == ["Abc", "Ab", "SAD", "NASA", "CD"]
