@@ -2,22 +2,25 @@
 
 `TreeEncoder` codes halves of a text apart, as batches, and joins them by windows that are coded again. Texts of many
 megabytes are first cut into slices at places where the tokenizer always starts anew: a single space between two other
-characters, for byte-level BPE. `PieceTable` codes a text in small pieces, each distinct one once; packing uses it for
-the word BPE.
+characters, for byte-level BPE. `PieceTable` codes small pieces, each distinct one once: those of the tree's leaves and
+windows, and for packing those of the word BPE.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Encoding, Tokenizer
+from tokenizers import Tokenizer
 
 from .common import quoted, short_batches, single_thread, strings, with_struct
 
@@ -25,12 +28,14 @@ from .common import quoted, short_batches, single_thread, strings, with_struct
 _WS, _WORD = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 #: Latin-1 letters, and ASCII marks; a run of either ends where the tokenizer's own pre-tokens end.
 _LETTER, _MARK = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"\x00-\x08\x0e-\x1f!-/:-@\[-`{-~\x7f"
+#: For byte-level BPE by GPT-2's pattern: a piece is one pre-token, or a few of them where other characters join in.
+BYTE_PIECE = re.compile(rf" ?[{_LETTER}]++(?![\u0100-\U0010ffff])|'(?:s|t|re|ve|m|ll|d)| ?[{_MARK}]++(?![^\x00-\x7f])| ?{_WORD}+|{_WS}+(?!{_WORD})|{_WS}")
 #: For the word BPE, which folds case and composes characters first, and drops white space.
 _SHORT = "'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])"
 WORD_PIECE = re.compile(rf"[{_LETTER}]++(?![^\s\x00-\xff])|{_SHORT}(?![^\s\x00-\xff])|{_SHORT}{_WORD}+|[{_MARK}]++(?![^\x00-\x7f])|{_WORD}+")
 BYTE_SAFE = re.compile(rf"(?<={_WORD}) (?={_WORD})")
 #: Characters of a text taken at a time, of a leaf of the tree, and the bytes of a batch.
-SLICE, LEAF, BATCH = 1 << 20, 4096, 1 << 17
+SLICE, LEAF, BATCH = 1 << 20, 2048, 1 << 17
 #: Distinct pieces that a worker remembers, and the most characters of one.
 REMEMBERED, SHORT = 300_000, 64
 
@@ -58,14 +63,21 @@ def slices(text: str, safe: re.Pattern = BYTE_SAFE, size: int = SLICE) -> Iterat
 
 @functools.lru_cache(maxsize=4)
 def specials(path: str) -> re.Pattern | None:
+    return specials_of(tokenizer(path))
+
+
+def specials_of(t: Tokenizer) -> re.Pattern | None:
     """Strings that the tokenizer takes out of a text before anything else."""
-    found = sorted((a.content for a in tokenizer(path).get_added_tokens_decoder().values()), key=len, reverse=True)
+    found = sorted((a.content for a in t.get_added_tokens_decoder().values()), key=len, reverse=True)
     return re.compile("(" + "|".join(map(re.escape, found)) + ")") if found else None
 
 
 def independent(text: str, path: str, piece: re.Pattern) -> list[str]:
+    return parted(text, specials(path), piece)
+
+
+def parted(text: str, cut: re.Pattern | None, piece: re.Pattern) -> list[str]:
     """Pieces of a text that the tokenizer codes independently of one another."""
-    cut = specials(path)
     if not cut or not cut.search(text):
         return piece.findall(text)
     return [p for i, part in enumerate(cut.split(text)) for p in ([part] if i % 2 else piece.findall(part))]
@@ -113,53 +125,62 @@ class PieceTable:
 
 
 @dataclass
-class Part:
-    """Tokens low to high of a coded stretch of the text that begins at character `at`; it begins a pre-token."""
+class Node:
+    """The coded stretch of a text from character `start` to `end`: where its pieces begin, and the ids of each."""
 
-    e: Encoding
-    at: int
-    low: int
-    high: int
+    start: int
+    end: int
+    starts: list[int]
+    ids: list[list[int]]
 
-    def start(self, token: int) -> int:
-        return self.at + self.e.token_to_chars(token)[0]
 
-    def begins(self, token: int) -> bool:
-        """Whether the token is a pre-token's first."""
-        return token == self.low or self.e.token_to_word(token) != self.e.token_to_word(token - 1)
+def gpt2_pieces(t: Tokenizer) -> bool:
+    """Whether the tokenizer parts texts by GPT-2's pattern alone, so that BYTE_PIECE holds."""
+    said = json.loads(t.to_str())
+    before, added = said["pre_tokenizer"] or {}, said["added_tokens"]
+    plain = not any(a["lstrip"] or a["rstrip"] or a["single_word"] for a in added)
+    return plain and not said["normalizer"] and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
 
 
 class TreeEncoder:
     """Tree concatenation: texts as the tokenizer codes them whole, from halves that are coded apart.
 
-    A text is halved until its leaves have at most `leaf` characters; the leaves of all texts are coded as batches.
-    Neighbours are then joined pair by pair, level by level. The text around a join is coded again in a window that
-    starts where the left side begins a pre-token and grows until it agrees with the right side on a place where both
-    begin one. Pre-tokens are found from left to right and coded alone, so that from there on both sides stay equal,
-    and the joined tokens are those of the whole. Near the end of a coded stretch nothing is trusted (`margin`), since
-    what follows may change it; at a text's own end all is. Without such a place the window grows to the whole.
+    A text is halved until its leaves have at most `leaf` characters. Leaves are coded in pieces, each distinct one once
+    by the library (by pre-tokens as the library parts them, where it does not go by GPT-2's pattern). Neighbours are
+    then joined pair by pair, level by level. The text around a join is coded again in a window that starts where the
+    left side begins a piece and grows until it agrees with the right side on a place where both begin one. Pieces are
+    found from left to right and coded alone, so that from there on both sides stay equal, and the joined ids are those
+    of the whole. Near the end of a coded stretch nothing is trusted (`margin`), since what follows may change it; at a
+    text's own end all is. Without such a place the window grows to the whole.
     """
 
     def __init__(self, t: Tokenizer, leaf: int = LEAF, window: int = 64):
         self.t, self.leaf = t, leaf
         self.margin = 8 + max([len(a.content) for a in t.get_added_tokens_decoder().values()] or [0])
         self.window = max(window, 2 * self.margin)
+        self.cut, self.table = specials_of(t), PieceTable(piece_coder(t)) if gpt2_pieces(t) else None
         self.joins = 0
 
-    def _code(self, texts: list[str]) -> list[Encoding]:
-        return [e for batch in batches(texts) for e in self.t.encode_batch(batch, add_special_tokens=False)]
+    def _code(self, stretches: list[tuple[str, int, int]]) -> list[Node]:
+        """Nodes of stretches of texts, each coded as if nothing stood around it."""
+        if not self.table:
+            found = (e for batch in batches([x[a:b] for x, a, b in stretches]) for e in self.t.encode_batch(batch, add_special_tokens=False))
+            return [self._by_library(stretch, e) for stretch, e in zip(stretches, found, strict=True)]
+        pieces = [parted(x[a:b], self.cut, BYTE_PIECE) for x, a, b in stretches]
+        ids = iter(self.table([p for own in pieces for p in own]))
+        return [Node(a, b, [*accumulate(map(len, own[:-1]), initial=a)] if own else [], [*islice(ids, len(own))]) for (_, a, b), own in zip(stretches, pieces, strict=True)]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        leaves, cuts = [], []
+        leaves, counts = [], []
         for x in texts:
             n = 1
             while len(x) > n * self.leaf:
                 n *= 2
-            cuts.append([len(x) * i // n for i in range(n + 1)])
-            leaves += [x[a:b] for a, b in zip(cuts[-1], cuts[-1][1:], strict=False)]
-        coded, levels = iter(self._code(leaves)), []
-        for own in cuts:
-            levels.append([(a, b, [Part(e, a, 0, len(e))]) for a, b, e in zip(own, own[1:], coded)])  # noqa: B905
+            cuts = [len(x) * i // n for i in range(n + 1)]
+            counts.append(n)
+            leaves += [(x, a, b) for a, b in zip(cuts, cuts[1:])]  # noqa: B905
+        coded = iter(self._code(leaves))
+        levels = [[*islice(coded, n)] for n in counts]
         while any(len(level) > 1 for level in levels):
             pairs = [(i, j) for i, level in enumerate(levels) for j in range(0, len(level) - 1, 2)]
             joined = self._joined([(texts[i], levels[i][j], levels[i][j + 1]) for i, j in pairs])
@@ -167,70 +188,54 @@ class TreeEncoder:
             for (i, _), node in zip(pairs, joined, strict=True):
                 after[i].append(node)
             levels = after
-        return [[k for part in level[0][2] for k in part.e.ids[part.low : part.high]] if level else [] for level in levels]
+        return [[k for ids in level[0].ids for k in ids] for level in levels]
 
-    def _joined(self, pairs: list[tuple]) -> list[tuple]:
-        """Nodes (start, end, parts) of neighbours; a window that does not agree yet is coded again at twice its width."""
+    def _joined(self, pairs: list[tuple[str, Node, Node]]) -> list[Node]:
+        """Nodes of neighbours; a window that does not agree yet is coded again at twice its width."""
         self.joins += len(pairs)
-        done: list = [None] * len(pairs)
-        open_, width = list(range(len(pairs))), self.window
+        done = [right if left.start == left.end else left if right.start == right.end else None for _, left, right in pairs]
+        open_, width = [i for i, node in enumerate(done) if node is None], self.window
         while open_:
-            plans = []
+            kept, stretches = [], []
             for i in open_:
                 text, left, right = pairs[i]
-                k, token, start = self._before(left, left[1] - width)
-                plans.append((i, k, token, start, min(right[1], right[0] + width)))
-            later = []
-            for (i, k, token, start, end), e in zip(plans, self._code([pairs[i][0][start:end] for i, _, _, start, end in plans]), strict=True):
-                node = self._agreed(pairs[i][1], pairs[i][2], k, token, Part(e, start, 0, len(e)), end)
-                if node is None:
-                    later.append(i)
-                done[i] = node
-            open_, width = later, 2 * width
+                kept.append(max(0, bisect_right(left.starts, left.end - width) - 1))
+                stretches.append((text, left.starts[kept[-1]], min(right.end, right.start + width)))
+            for i, k, window in zip(open_, kept, self._code(stretches), strict=True):
+                done[i] = self._agreed(pairs[i][1], pairs[i][2], k, window)
+            open_, width = [i for i in open_ if done[i] is None], 2 * width
         return done
 
-    @staticmethod
-    def _before(node: tuple, place: int) -> tuple[int, int, int]:
-        """Part, token and character of the last pre-token that begins at a place or before it."""
-        if place <= node[0]:
-            return 0, node[2][0].low, node[0]
-        k = len(node[2]) - 1
-        while node[2][k].start(node[2][k].low) > place:
-            k -= 1
-        part = node[2][k]
-        token = min(part.e.char_to_token(place - part.at), part.high - 1)
-        while not part.begins(token):
-            token -= 1
-        return k, token, part.start(token)
-
-    def _agreed(self, left: tuple, right: tuple, k: int, token: int, window: Part, end: int) -> tuple | None:
-        whole = end == right[1]
-        if whole and window.at == left[0]:
-            return left[0], right[1], [window]
-        last = end - (0 if whole else self.margin)
-        for w in range(window.e.char_to_token(right[0] - window.at), window.high):
-            place = window.start(w)
-            if place < right[0] or not window.begins(w):
-                continue
-            if place > last:
-                break
-            for j, part in enumerate(right[2]):
-                if part.start(part.high - 1) < place:
-                    continue
-                if part.start(part.low) > place:
+    def _agreed(self, left: Node, right: Node, k: int, window: Node) -> Node | None:
+        whole = window.end == right.end
+        last = window.end - (0 if whole else self.margin)
+        w, j = bisect_left(window.starts, right.start), len(right.starts)
+        if not (whole and window.start == left.start):
+            for w in range(w, len(window.starts)):
+                place = window.starts[w]
+                if place > last:
                     break
-                at = part.e.char_to_token(place - part.at)
-                if at is not None and part.low <= at < part.high and part.start(at) == place and part.begins(at):
-                    parts = [*left[2][:k]]
-                    if token > left[2][k].low:
-                        parts.append(Part(left[2][k].e, left[2][k].at, left[2][k].low, token))
-                    parts.append(Part(window.e, window.at, 0, w))
-                    return left[0], right[1], [p for p in [*parts, Part(part.e, part.at, at, part.high), *right[2][j + 1 :]] if p.high > p.low]
-                break
-        if whole:  # no common place up to the end: all from the window's start on is the window's
-            parts = [*left[2][:k], Part(left[2][k].e, left[2][k].at, left[2][k].low, token), window]
-            return left[0], right[1], [p for p in parts if p.high > p.low]
-        return None
+                at = bisect_left(right.starts, place)
+                if at < len(right.starts) and right.starts[at] == place:
+                    j = at
+                    break
+        if j == len(right.starts):
+            if not whole:
+                return None
+            w = len(window.starts)  # no common place up to the end: all from the window's start on is the window's
+        parts = [(left, 0, k), (window, 0, w), (right, j, len(right.starts))]
+        return Node(left.start, right.end, [x for n, a, b in parts for x in n.starts[a:b]], [x for n, a, b in parts for x in n.ids[a:b]])
+
+    @staticmethod
+    def _by_library(stretch: tuple[str, int, int], e) -> Node:
+        node, before = Node(*stretch[1:], [], []), None
+        for token, word, (start, _) in zip(e.ids, e.word_ids, e.offsets, strict=True):
+            if not node.ids or word != before:
+                node.starts.append(stretch[1] + start)
+                node.ids.append([])
+            node.ids[-1].append(token)
+            before = word
+        return node
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -246,9 +251,12 @@ _PLAIN = re.compile(rf" ?[{_LETTER}]+")
 
 
 def encode_pieces(path: str, fold: bool = False) -> Callable[[list[str]], list[list[int]]]:
+    return piece_coder(tokenizer(path), fold)
+
+
+def piece_coder(t: Tokenizer, fold: bool = False) -> Callable[[list[str]], list[list[int]]]:
     """Ids of pieces. Runs of letters are one pre-token that nothing normalizes but case (fold), so that the model can
     take them at once; all others go through the tokenizer."""
-    t = tokenizer(path)
     tokenize, plain = t.model.tokenize, _PLAIN.fullmatch
 
     def one(piece: str) -> list[int]:

@@ -64,6 +64,20 @@ def test_tree_concatenation_is_exact(leaf):
     assert tree.joins > 100
 
 
+@pytest.mark.parametrize("pieces", [True, False])
+def test_tree_codes_each_distinct_piece_once(pieces):
+    t, coded = bpe.tokenizer(BYTE), []
+    tree = bpe.TreeEncoder(t, 16)
+    assert bpe.gpt2_pieces(t) and not bpe.gpt2_pieces(bpe.tokenizer(WORD))
+    own = tree.table.code
+    tree.table.code = lambda batch: coded.extend(batch) or own(batch)
+    tree.table = tree.table if pieces else None  # else by the library's own pre-tokens
+    spaces = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
+    xs = ["the cat isn't the cat, the cat's <|endoftext|> 12é日 " * 40, "", "it's\u2009fine\u3000é²¼ K\u0301 \x1c'll've" * 9, f"a{spaces}'s{spaces} b"] * 2
+    assert tree.encode(xs) == [t.encode(x, add_special_tokens=False).ids for x in xs] and tree.joins > 100
+    assert not pieces or len(coded) == len(set(coded)) and len("".join(coded)) < sum(map(len, xs)) / 4
+
+
 def test_coding_of_very_long_texts():
     t = bpe.tokenizer(BYTE)
     for x in ("word and é日 <|endoftext|> x's 12  " * 40000, "q" * 150000 + " end", "日本語" * 20000, " \n" * 30000):
