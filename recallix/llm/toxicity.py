@@ -5,7 +5,7 @@ The ordinary dictionary is trained on windows of ordinary text. Toxic dictionari
 text whose byte strings toxic documents have far more often than ordinary ones; each lies before the ordinary
 dictionary's content, so that what all texts have in common compresses alike and the difference of two lengths comes
 from the toxic part. A second one is trained on the toxic documents that the first leaves unseen. A window's lengths
-under the dictionaries are compared with calibrated thresholds, and a document's score is a logistic curve over the
+under the dictionaries, where it holds a string that only a toxic one has, are compared with calibrated thresholds, and a document's score is a logistic curve over the
 numbers and shares of windows beyond them.
 """
 
@@ -15,9 +15,11 @@ import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +30,8 @@ from .common import bounded_sample, logistic, predict, quoted, short_batches, st
 HALF = 48
 _CUT = re.compile(rb".{1,%d}(?: |$)|.{%d}" % (HALF, HALF), re.S)
 _SPACE = re.compile(rb"\s+")
+#: Bytes of the shortest match that is taken from a dictionary, and windows that are looked at together.
+MATCH, RUN = 4, 1 << 14
 #: Bytes of the strings that toxic and ordinary text are contrasted by.
 GRAM = 6
 #: Gains in bytes that are counted, and the pairs of them that calibration chooses from.
@@ -61,35 +65,73 @@ def windows(data: bytes) -> Iterator[bytes]:
         yield data[:middle]
 
 
+def own_strings(toxic: bytes, ordinary: bytes) -> set[bytes]:
+    """The shortest strings, of MATCH bytes or more, that begin in a toxic dictionary and are not in the ordinary one that
+    follows it. A window without any gains nothing: its matches are as long in the ordinary part, which is nearer."""
+    whole, out = toxic + ordinary[: 2 * HALF + 2], set()
+    for i in range(len(toxic)):
+        n = MATCH
+        while n <= len(whole) - i and whole[i : i + n] in ordinary:
+            n += 1
+        if n <= len(whole) - i:
+            out.add(whole[i : i + n])
+    return out
+
+
+def pattern(strings: set[bytes]) -> str:
+    return "|".join("".join(f"\\x{b:02x}" for b in x) for x in sorted(strings))
+
+
 class Lengths:
     """Compressed lengths of windows: under the ordinary dictionary, and under each toxic one with it."""
 
     def __init__(self, ordinary: bytes, toxic: tuple[bytes, ...]):
-        self.params = params = zstandard.ZstdCompressionParameters(window_log=17, chain_log=15, hash_log=15, search_log=6, min_match=4, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+        self.params = params = zstandard.ZstdCompressionParameters(window_log=17, chain_log=15, hash_log=15, search_log=6, min_match=MATCH, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.held = [zstandard.ZstdCompressionDict(x + ordinary or b" " * 64, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for x in (b"", *toxic)]
         for d in self.held:
             d.precompute_compress(compression_params=params)
+        self.own = [pattern(own_strings(x, ordinary)) for x in toxic]
         self.by = [zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress for d in self.held]
 
     def of(self, window: bytes) -> list[int]:
         return [len(c(window)) for c in self.by]
 
     def counts(self, text: str) -> np.ndarray:
-        """Windows, then for each toxic dictionary the windows that gain GAINS bytes or more, and all gains (8 a window
-        at most)."""
+        return self.all_counts([text])[0]
+
+    def all_counts(self, texts: list[str]) -> np.ndarray:
+        """A row for each text: windows, then for each toxic dictionary the windows that gain GAINS bytes or more, and
+        all gains (8 a window at most)."""
+        number, seen = np.zeros(len(texts)), np.zeros((len(texts), len(self.own), 9))
+        held: list[bytes] = []
+        at: list[int] = []
+        for i, x in enumerate(texts):
+            cut = windows(folded(x))
+            while part := list(islice(cut, RUN)):
+                number[i] += len(part)
+                held += part
+                at += [i] * len(part)
+                if len(held) >= RUN:
+                    self._gains(held, at, seen)
+                    held, at = [], []
+        self._gains(held, at, seen)
+        out = [number]
+        for d in range(len(self.own)):
+            out += [seen[:, d, g:].sum(1) for g in GAINS] + [seen[:, d] @ np.arange(9.0)]
+        return np.stack(out, axis=1)
+
+    def _gains(self, held: list[bytes], at: list[int], seen: np.ndarray) -> None:
+        """Count the gains of windows, whose texts are numbered by `at`."""
         base, *rest = self.by
-        n, seen = 0, [[0] * 9 for _ in rest]
-        for w in windows(folded(text)):
-            n += 1
-            before = len(base(w))
-            for gains, c in zip(seen, rest, strict=True):
-                gain = before - len(c(w))
+        column, before = pa.array(held, pa.large_binary()), {}
+        for d, (own, c) in enumerate(zip(self.own, rest, strict=True)):
+            for i in np.flatnonzero(pc.match_substring_regex(column, own)).tolist() if own else ():
+                w = held[i]
+                if i not in before:
+                    before[i] = len(base(w))
+                gain = before[i] - len(c(w))
                 if gain > 0:
-                    gains[min(gain, 8)] += 1
-        out = [n]
-        for gains in seen:
-            out += [sum(gains[g:]) for g in GAINS] + [sum(i * k for i, k in enumerate(gains))]
-        return np.array(out, float)
+                    seen[at[i], d, min(gain, 8)] += 1
 
 
 @functools.lru_cache(maxsize=2)
@@ -177,9 +219,9 @@ def toxic_dictionaries(base: bytes, toxic: list[str], ordinary: list[str], size:
         spans = telling_spans([folded(x) for x in left], fine)
         found.append(trained(spans, size, 16) if spans else b"")
         lengths = Lengths(base, (found[-1],))
-        share = lambda x: (c := lengths.counts(x))[2] / max(c[0], 1)  # noqa: B023, E731
-        usual = np.quantile([share(x) for x in ordinary[:500]], 0.95)
-        left = [x for x in left if share(x) <= usual]
+        share = lambda xs: (c := lengths.all_counts(xs))[:, 2] / np.maximum(c[:, 0], 1)  # noqa: B023, E731
+        usual = np.quantile(share(ordinary[:500]), 0.95)
+        left = [x for x, k in zip(left, share(left), strict=True) if k <= usual]
     return tuple(found)
 
 
@@ -207,8 +249,7 @@ def scores(texts: list[str], model: ToxicityModel) -> np.ndarray:
     if not texts:
         return np.zeros(0)
     lengths = lengths_of(model.ordinary, model.toxic)
-    counts = np.array([lengths.counts(x) for x in texts])
-    return predict(model.curve, columns(counts, model.gains))
+    return predict(model.curve, columns(lengths.all_counts(texts), model.gains))
 
 
 def sampled(df: DataFrame, labels: DataFrame, rows: int, key: str, text: str, label: str) -> DataFrame:
@@ -252,7 +293,12 @@ def train(df: DataFrame, labels: DataFrame, rows: int = 2000, part: int = 2048,
     def count(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         by = [[Lengths(base, x) for x in own] for base, own in zip(bases, apart, strict=True)]
         for batch, of_fold in batches:
-            yield pa.array([np.concatenate([own[f].counts(x) for own in by]) for x, f in zip(strings(batch), of_fold.to_pylist(), strict=True)], pa.list_(pa.float64()))
+            texts, fold = strings(batch), of_fold.to_numpy()
+            out = np.zeros((len(texts), len(by) * (1 + 2 * (len(GAINS) + 1))))
+            for f in range(folds):
+                at = np.flatnonzero(fold == f)
+                out[at] = np.concatenate([own[f].all_counts([texts[i] for i in at]) for own in by], axis=1)
+            yield pa.array(out.tolist(), pa.list_(pa.float64()))
 
     seen = some.select("key", "y", "of", count.asNondeterministic()(F.col("text"), F.col("fold")).alias("c")).toPandas().sort_values(["key", "y"], kind="stable")
     y, rows_of = seen["y"].to_numpy(dtype=float), seen["of"].to_numpy(dtype=float)

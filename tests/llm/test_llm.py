@@ -281,6 +281,26 @@ def test_window_lengths_are_those_of_plain_compression():
         assert lengths.counts(text).tolist() == want.tolist()
 
 
+def test_windows_that_cannot_gain_are_not_compressed(monkeypatch):
+    rng = random.Random(34)
+    word = lambda k: "".join(rng.choice("aeinrstlo") for _ in range(k))
+    vocabulary = [word(rng.randint(2, 8)) for _ in range(400)]
+    base = " ".join(rng.choice(vocabulary) for _ in range(1500)).encode()
+    lengths = toxicity.Lengths(base, (b" you filthy scumbucket of a liar ", "schändlicher Lump".encode(), b""))
+    texts = ["", " ".join(rng.choice(vocabulary) for _ in range(3000)), "you filthy scumbucket! schändlicher Lump " * 3, "日本\n" * 90]
+    texts.append(texts[1] + " filthy scumbucket of old " + texts[1])
+    done, want = [], []
+    for x in texts:
+        sizes = [lengths.of(w) for w in toxicity.windows(toxicity.folded(x))]
+        gains = [[min(8, max(0, s[0] - s[1 + d])) for s in sizes] for d in range(3)]
+        want.append([len(sizes), *(v for g in gains for v in [*(sum(y >= k for y in g) for k in toxicity.GAINS), sum(g)])])
+    base_of = lengths.by[0]
+    lengths.by[0] = lambda w: done.append(w) or base_of(w)
+    monkeypatch.setattr(toxicity, "RUN", 16)
+    assert lengths.all_counts(texts).tolist() == want and want[4][1] > 0 and lengths.all_counts([]).shape == (0, 19)
+    assert 0 < len(done) < sum(w[0] for w in want) / 4
+
+
 def test_telling_spans():
     rng = random.Random(33)
     word = lambda: "".join(rng.choice("aeinrst") for _ in range(rng.randint(2, 7)))
