@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..batches import short_batches
 
-#: Vectors of one block.
-BLOCK = 1024
+#: Vectors of one block, and most of one where the pairs of two blocks are fused.
+BLOCK, WIDE = 1024, 8192
 
 
 def blocks(rows: DataFrame, key: str, vector: str, by: str, size: int | None = None, floor: str | None = None) -> DataFrame:
@@ -76,11 +76,17 @@ def _floors(block: pa.ListScalar) -> np.ndarray:
     return block.values.field("f").cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False)
 
 
-def _best(queries: tuple, rows: tuple, k: int, include_self: bool, least: float | None, floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    (qk, a, na), (rk, b, nb) = queries, rows
+def _cosines(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Products of unit vectors of dimensions na and nb, 0 where these differ."""
     wide = min(a.shape[1], b.shape[1])
     s = np.where(na[:, None] == nb[None, :], a[:, :wide] @ b[:, :wide].T, 0.0)
     s[np.isnan(s)] = 0.0
+    return s
+
+
+def _best(queries: tuple, rows: tuple, k: int, include_self: bool, least: float | None, floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    (qk, a, na), (rk, b, nb) = queries, rows
+    s = _cosines(a, na, b, nb)
     use = np.full(s.shape, True) if include_self else qk[:, None] != rk[None, :]
     if least is not None:
         use &= s >= least
@@ -105,6 +111,43 @@ def fused(similarities: DataFrame, weights: DataFrame, keys: tuple[str, ...]) ->
     return joined.groupBy(*keys).agg((F.sum(F.col("similarity") * w) / F.sum(w)).alias("fusion"))
 
 
+def fusions(rows: DataFrame, queries: DataFrame, weights: dict[str, float], key: str = "id", query_key: str = "query_id") -> DataFrame:
+    """(query, key, fusion): what fused() makes of all similarities, which are not listed: a memory's vectors of all
+    sectors lie in one block, so that two blocks give the fusions of their queries and memories at once."""
+    spark = rows.sparkSession
+    short_batches(spark)
+    rows, queries = rows.where("sector IS NOT NULL"), queries.where("sector IS NOT NULL")
+    n = rows.count()
+    of = max(1, -(-n // WIDE), min(-(-n // BLOCK), 4 * spark.sparkContext.defaultParallelism))
+
+    def packed(df: DataFrame, k: str, parts: int, name: str) -> DataFrame:
+        one = F.struct(F.col(k).alias("k"), F.col("sector").alias("g"), F.transform("v", lambda x: x.cast("double")).alias("v"))
+        return df.select(F.pmod(F.xxhash64(k), F.lit(parts)).cast("int").alias("block"), one.alias("x")).groupBy("block").agg(F.collect_list("x").alias(name))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for qs, rs in zip(batch.column("qs"), batch.column("rs"), strict=True):
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, _fusions(qs, rs, weights))), ["q", "k", "f"])
+
+    q = packed(queries, query_key, max(1, -(-queries.count() // BLOCK)), "qs").select("qs", F.explode(F.sequence(F.lit(0), F.lit(of - 1))).alias("block"))
+    met = q.join(packed(rows, key, of, "rs"), "block").select("qs", "rs").mapInArrow(run, "q bigint, k bigint, f double")
+    return met.select(F.col("q").alias(query_key), F.col("k").alias(key), F.col("f").alias("fusion"))
+
+
+def _fusions(qs: pa.ListScalar, rs: pa.ListScalar, weights: dict[str, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    (qk, a, na), (rk, b, nb) = _matrix(qs), _matrix(rs)
+    (qk, qi), (rk, ri) = np.unique(qk, return_inverse=True), np.unique(rk, return_inverse=True)
+    gq, gr = (x.values.field("g").to_numpy(zero_copy_only=False) for x in (qs, rs))
+    total, weight = np.zeros((len(qk), len(rk))), np.zeros((len(qk), len(rk)))
+    for g in np.unique(gq):
+        i, j, w = np.flatnonzero(gq == g), np.flatnonzero(gr == g), weights.get(g, 0.5)
+        at = np.ix_(qi[i], ri[j])
+        np.add.at(total, at, w * _cosines(a[i], na[i], b[j], nb[j]))  # a memory may have several vectors of a sector
+        np.add.at(weight, at, w)
+    i, j = np.nonzero(weight)
+    return qk[i].astype(np.int64), rk[j].astype(np.int64), total[i, j] / weight[i, j]
+
+
 def mean_vectors(vectors: DataFrame, key: str = "id", beta: float = 2.0) -> DataFrame:
     """One vector per memory: its sectors' vectors under a softmax of their weights, of length one."""
     from ..config import SECTOR_WEIGHT
